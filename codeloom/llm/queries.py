@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .minhash_dedup import near_dedup
 from .suffix_dedup import suffix_dedup
 
 
@@ -23,12 +24,17 @@ FROM n
 """
 
 
+def op4_minhash_dedup(spark, sf_dir):
+    return near_dedup(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op7_suffix_dedup(spark, sf_dir):
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
 }
 
