@@ -5,7 +5,9 @@ from __future__ import annotations
 from .common import table
 from .exact_dedup import exact_dedup
 from .minhash_dedup import near_dedup
+from .packing import pack
 from .suffix_dedup import suffix_dedup
+from .token_files import token_files
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -28,6 +30,14 @@ def op4_minhash_dedup(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op5_token_files(spark, sf_dir):
+    return token_files(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark, sf_dir):
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -35,6 +45,8 @@ def op7_suffix_dedup(spark, sf_dir):
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_token_files": op5_token_files,
+    "op6_packing": op6_packing,
     "op7_suffix_dedup": op7_suffix_dedup,
 }
 
