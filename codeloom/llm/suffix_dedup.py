@@ -216,8 +216,8 @@ def _solve(length: int):
     return run
 
 
-CUT = "rk binary, id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text binary"
-_CUT = pa.schema([("rk", pa.binary()), ("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.binary())])
+CUT = "rk binary, id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
+_CUT = pa.schema([("rk", pa.binary()), ("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
 def covered(n: int, spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -243,7 +243,7 @@ def _cut(length: int, texts: bool):
                 kept.append(raw[last:a])
                 last = b
             rest = b"".join([*kept, raw[last:]])
-            yield from put((rk, i, len(raw), len(raw) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), rest if texts else None), 200 + texts * len(rest))
+            yield from put((rk, i, len(raw), len(raw) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if texts else None), 200 + texts * len(rest))
         yield from flush()
 
     return run
@@ -277,7 +277,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400) -> DataFrame:
     """docs with repeated passages taken out of the texts; n_chars, if there, is counted anew. Code points cut in two are dropped."""
-    cut = suffix_dedup(docs, id_col, text_col, length=length, texts=True).where("n_removed > 0").select(F.col(id_col).alias("__id"), F.decode(F.to_binary(F.hex("kept_text"), F.lit("hex")), "UTF-8").alias("__t")).dropDuplicates(["__id"])
+    cut = suffix_dedup(docs, id_col, text_col, length=length, texts=True).where("n_removed > 0").select(F.col(id_col).alias("__id"), F.col("kept_text").alias("__t")).dropDuplicates(["__id"])
     joined = docs.join(cut, docs[id_col] == cut["__id"], "left")
     text = F.when(F.col("__id").isNotNull(), F.col("__t")).otherwise(docs[text_col])
     return joined.select(*[text.alias(c) if c == text_col else F.when(F.col("__id").isNotNull(), F.length("__t").cast("bigint")).otherwise(docs[c]).alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
