@@ -1,9 +1,11 @@
-"""Registered queries of the code-intelligence operators, with their SQL."""
+"""All registered queries outside the llm subpackage."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import relational
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "relational"]
 
 
 def flagship(spark, sf_dir):
