@@ -123,15 +123,13 @@ def j03(spark, d):
 
 @query("j04_innermost_interval", """
 WITH o AS (SELECT o_custkey, o_orderkey, epoch_us(o_orderdate) // 1000000 AS s, epoch_us(o_orderdate) // 1000000 + 86400 * (30 + 200 * (o_orderkey % 3)) AS e FROM orders),
-i AS (SELECT l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber AS point, o_custkey, epoch_us(l_shipdate) // 1000000 AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-m AS (SELECT point, i.o_custkey, p, o_orderkey, row_number() OVER (PARTITION BY point ORDER BY o_orderkey IS NULL, e - s, o_orderkey) AS n FROM i LEFT JOIN o ON o.o_custkey = i.o_custkey AND s <= p AND p < e)
-SELECT point, o_custkey, o_orderkey FROM m WHERE n = 1""")
+m AS (SELECT i.o_orderkey AS point, i.o_custkey, o.o_orderkey AS holder, row_number() OVER (PARTITION BY i.o_orderkey ORDER BY o.o_orderkey IS NULL, o.e - o.s, o.o_orderkey) AS n FROM o i LEFT JOIN o ON o.o_custkey = i.o_custkey AND o.s < i.s AND i.s < o.e)
+SELECT point, o_custkey, holder FROM m WHERE n = 1""")
 def j04(spark, d):
-    secs = lambda c: F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
-    orders = t(spark, d, "orders")
-    outer = orders.select("o_custkey", "o_orderkey", secs("o_orderdate").alias("s")).withColumn("e", F.col("s") + 86400 * (30 + 200 * (F.col("o_orderkey") % 3)))
-    inner = t(spark, d, "lineitem").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point"), "o_custkey", secs("l_shipdate").alias("p"))
-    return R.innermost(inner, outer, ["o_custkey"], "point", "s", "e", "o_orderkey", "p").select("point", "o_custkey", "o_orderkey")
+    begun = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate)")
+    spans = t(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("holder"), begun.alias("s")).withColumn("e", F.col("s") + 86400 * (30 + 200 * (F.col("holder") % 3)))
+    points = spans.select("o_custkey", F.col("holder").alias("point"), F.col("s").alias("p"))
+    return R.innermost(points, spans, ["o_custkey"], "point", "s", "e", "holder", "p", strict=True).select("point", "o_custkey", "holder")
 
 
 @query("j10_longest_suffix_folder", """
