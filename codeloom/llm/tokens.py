@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from bisect import bisect_right
 
 import numpy as np
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, utf8
 
 _encoders: dict[str, "ChunkEncoder"] = {}
+_stop = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s|$)")
 
 
 def default_vocabulary() -> str:
@@ -33,27 +36,36 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.held = Tokenizer.from_file(path), {}, held
+        self.tokenizer, self.young, self.old, self.held = Tokenizer.from_file(path), {}, {}, held
+
+    def chunks(self, text: bytes) -> list[bytes]:
+        """Lower-cased in A-Z, as the tokenizer does, and a full stop or comma after a letter or digit apart, where it splits anyway. Texts that may spell a special token stay as they are."""
+        return (text if b"<|" in text else _stop.sub(rb" \1", text.lower())).split()
 
     def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """A table that has all the chunks."""
-        new = list(set(chunks) - self.known.keys())
-        if not new:
-            return self.known
-        ids = self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
-        fresh = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, ids)}
-        if len(self.known) + len(fresh) <= self.held and max(map(len, new)) <= 200:
-            self.known.update(fresh)
-            return self.known
-        return {c: fresh.get(c) or self.known.get(c, b"") for c in set(chunks)}
+        """A table that has all the chunks. What was not asked for lately is forgotten, in two generations."""
+        if len(self.young) >= self.held:
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old, []
+        for c in set(chunks):
+            if c not in young:
+                if (got := old.get(c)) is not None:
+                    young[c] = got
+                else:
+                    new.append(c)
+        if new:
+            ids = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
+            for c, e in zip(new, ids):
+                young[c] = array("I", e.ids).tobytes()
+        return young
 
     def encode(self, text: bytes) -> bytes:
-        chunks = text.split()
+        chunks = self.chunks(text)
         return b"".join(map(self.learn(chunks).__getitem__, chunks)) if chunks else b""
 
     def encode_with_stops(self, text: bytes, stops: tuple[bytes, ...] = (b".", b"!", b"?", b'."', b".)")) -> tuple[bytes, np.ndarray]:
         """Ids, and after how many of them a sentence ends."""
-        chunks = text.split()
+        chunks = self.chunks(text)
         if not chunks:
             return b"", np.zeros(0, np.int64)
         parts = list(map(self.learn(chunks).__getitem__, chunks))
