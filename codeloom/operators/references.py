@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.lineage import cut
 from ..schemas import CALLABLE, LOCAL, MEMBERS, STRING_KEYED, TYPES
 from .facts import Tables, place
 from .resolving import EXACT, FIELD, IMPORTED, NAME, first_answer
@@ -60,7 +61,7 @@ def import_files(t: Tables) -> DataFrame:
 
 def resolve(t: Tables) -> DataFrame:
     """refs with target_id, confidence and the rule that answered."""
-    found = import_files(t)
+    found = cut(import_files(t))  # short plans: each of these tables is used by several rules
     bound = t.bindings.join(found, ["path", "import_pos"], "left").select("path", F.col("name").alias("bound"), "original", "module", F.col("file").alias("bound_file"))
     types = t.symbols.where(F.col("kind").isin(TYPES)).select("language", F.col("name").alias("receiver")).distinct().withColumn("receiver_is_type", F.lit(True))
     refs = t.refs.join(bound.select("path", F.col("bound").alias("receiver"), F.col("bound_file").alias("receiver_file"), F.lit(True).alias("receiver_bound")), ["path", "receiver"], "left")
@@ -71,7 +72,7 @@ def resolve(t: Tables) -> DataFrame:
     for c in ("receiver_bound", "name_bound", "receiver_is_type"):
         refs = refs.withColumn(c, F.coalesce(c, F.lit(False)))
     on_value = (F.col("kind") == "call") & F.col("receiver").isNotNull() & ~F.col("receiver_is_path") & ~F.col("receiver_bound")
-    refs = refs.withColumn("member", (F.col("kind") == "field") | on_value).persist()
+    refs = cut(refs.withColumn("member", (F.col("kind") == "field") | on_value))
 
     s = t.symbols.select("name", F.col("symbol_id").alias("target_id"), F.col("path").alias("s_path"), F.col("language").alias("s_language"), F.col("kind").alias("s_kind"), F.col("name_start").alias("s_at"), "full_start", "full_end", F.col("scope_id").alias("s_scope"), F.col("qualifier").alias("s_qualifier"), "exported")
     slugs = s.where("s_kind = 'heading'").withColumn("name", S.anchor_slug(F.col("name")))
@@ -82,8 +83,8 @@ def resolve(t: Tables) -> DataFrame:
 
     # Plausible candidates: members for members, locals only from their own scope chain, never the binding being defined.
     chain = t.scope_chain.select("path", "scope_id", F.col("ancestor_id").alias("s_scope"), "distance")
-    within = t.imports.join(found, ["path", "import_pos"]).groupBy("path", F.col("file").alias("s_path")).agg(F.collect_list(F.struct("start", "end")).alias("statements"))
-    cand = cand.join(chain, ["path", "scope_id", "s_scope"], "left").join(within, ["path", "s_path"], "left")
+    within = t.imports.join(found, ["path", "import_pos"]).groupBy("path", F.col("file").alias("s_path")).agg(F.collect_list(F.struct("start", "end")).alias("statements"), F.max("is_glob").alias("globbed"))
+    cand = cut(cand.join(chain, ["path", "scope_id", "s_scope"], "left").join(within, ["path", "s_path"], "left"))
     binding = F.col("s_kind").isin(*LOCAL)
     own_value = (F.col("s_kind") == "variable") & (F.col("full_start") <= F.col("start")) & (F.col("start") < F.col("full_end"))
     fits = F.when(F.col("member"), is_member).otherwise(~is_member | F.col("receiver_bound") | ~F.col("language").isin(RECEIVER_LANGUAGES))
@@ -103,6 +104,7 @@ def resolve(t: Tables) -> DataFrame:
         6: in_file & ~F.col("member"),
         7: F.col("in_import") & top & here,
         10: ~plain & expected & (F.col("receiver").isNull() | (F.col("s_qualifier") == F.col("receiver"))),
+        12: plain & F.col("globbed") & ~F.col("member") & top & ~same_file,
         13: plain & F.col("language").isin("go", "hcl") & ~F.col("member") & top & same_folder,
         14: plain & F.col("member") & is_member,
         15: plain & ~F.col("member") & top & F.col("exported") & ~same_file,

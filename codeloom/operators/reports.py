@@ -93,7 +93,7 @@ def entry_points(t: Tables, resolved: DataFrame, rules: DataFrame) -> DataFrame:
     r = rules.withColumnsRenamed({"language": "r_language", "kind": "entry_kind"})
     c = F.col
     fits = (c("r_language").isNull() | (c("language") == c("r_language"))) & (c("name_is").isNull() | (c("name") == c("name_is"))) & (c("name_starts").isNull() | c("name").startswith(c("name_starts")))
-    fits = fits & (c("path_matches").isNull() | c("path").rlike(c("path_matches"))) & (c("annotation").isNull() | F.exists(F.coalesce(c("notes"), F.array().cast("array<string>")), lambda n: (n == c("annotation")) | n.endswith(F.concat(F.lit("."), c("annotation")))))
+    fits = fits & (c("path_matches").isNull() | F.rlike(c("path"), c("path_matches"))) & (c("annotation").isNull() | F.exists(F.coalesce(c("notes"), F.array().cast("array<string>")), lambda n: (n == c("annotation")) | n.endswith(F.concat(F.lit("."), c("annotation")))))
     fits = fits & (c("symbol_kind").isNull() | (c("kind") == c("symbol_kind"))) & (c("main_guard").isNull() | (c("guarded") == c("main_guard"))) & (c("is_exported").isNull() | (c("exported") == c("is_exported")))
     found = s.join(F.broadcast(r), fits)  # rules are written by hand: a small table
     return found.groupBy("symbol_id", "entry_kind").agg(F.min("rule").alias("rule"), F.min_by("threat_model", "rule").alias("threat_model")).withColumnRenamed("entry_kind", "kind")
