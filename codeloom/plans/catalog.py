@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import code, relational
+from .code import flagship
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "relational"]
-
-
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy("page_id").count()
+__all__ = ["ORACLE", "QUERIES", "code", "flagship", "relational"]
