@@ -51,6 +51,35 @@ def references_to(resolved: DataFrame, targets: DataFrame) -> DataFrame:
     return resolved.join(targets.select(F.col("symbol_id").alias("target_id")), "target_id", "left_semi")
 
 
+def definition_at(t: Tables, resolved: DataFrame, path: str, offset: int) -> DataFrame:
+    """the symbol whose name holds a byte offset, else the target of the reference there."""
+    own = t.symbols.where((F.col("path") == path) & (F.col("name_start") <= offset) & (F.lit(offset) < F.col("name_end"))).select("symbol_id", F.lit(0).alias("rank"))
+    used = reference_at(resolved, path, offset).where("target_id is not null").select(F.col("target_id").alias("symbol_id"), F.lit(1).alias("rank"))
+    best = own.union(used).groupBy().agg(F.min_by("symbol_id", "rank").alias("symbol_id"))
+    return t.symbols.join(best, "symbol_id")
+
+
+def reference_at(resolved: DataFrame, path: str, offset: int) -> DataFrame:
+    """the first reference that holds a byte offset."""
+    return resolved.where((F.col("path") == path) & (F.col("start") <= offset) & (F.lit(offset) < F.col("end"))).orderBy("start").limit(1)
+
+
+def graph_summary(graph: dict) -> DataFrame:
+    """Edges by tier and origin."""
+    return graph["edges"].groupBy(tier_name(F.col("confidence")).alias("tier"), "origin").agg(F.count("*").cast("int").alias("edges"))
+
+
+def hierarchy_callers(graph: dict, target: DataFrame) -> DataFrame:
+    """Callers that reach a symbol through the type hierarchy alone."""
+    return graph["edges"].where("origin = 'hierarchy'").join(target.select(F.col("symbol_id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+
+
+def holders(t: Tables, symbols: DataFrame) -> DataFrame:
+    """Everything that contains the symbols, up their container chains."""
+    up = t.symbols.where("container_id is not null").select(F.col("symbol_id").alias("src"), F.col("container_id").alias("dst"))
+    return reach(up, symbols.select(F.col("symbol_id").alias("node"))).join(symbols.select(F.col("symbol_id").alias("node")), "node", "left_anti")
+
+
 def mentions(t: Tables, word: str) -> DataFrame:
     """Q18: whole-word hits in strings, comments and prose, with their byte offset."""
     part = F.expr(rf"regexp_instr(text, '(?<![\\p{{IsAlphabetic}}\\p{{N}}_])\\Q{word}\\E(?![\\p{{IsAlphabetic}}\\p{{N}}_])')")

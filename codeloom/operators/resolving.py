@@ -80,9 +80,8 @@ def divide(have: DataFrame, need: DataFrame, owner: str, item: str, group: str |
     """Owners (with the group) that have every item needed: counts of matches against counts of needs, no pairs of owners and groups without a match."""
     keys = [group] if group else []
     wanted = need.select(*keys, item).distinct()
-    total = wanted.groupBy(*keys).agg(F.count("*").alias("__need"))
     got = have.select(owner, item).distinct().join(wanted, item).groupBy(owner, *keys).agg(F.count("*").alias("__got"))
-    joined = got.join(total, keys) if keys else got.crossJoin(F.broadcast(total))  # total is one row there
+    joined = got.join(wanted.groupBy(*keys).agg(F.count("*").alias("__need")), keys) if keys else got.withColumn("__need", F.lit(wanted.count()))
     return joined.where("__got = __need").select(owner, *keys)
 
 

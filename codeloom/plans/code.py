@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import python_scalars as P
+from ..operators import api, calls, reports
 from ..sources import workspace as W
 from ..workspace import Workspace
 from .registry import query, t
@@ -117,7 +119,7 @@ def search(spark, d):
 
 @query("a02_parse_tally", values("language, with_errors", [(x, int(x == "python")) for x in ("bash", "css", "go", "hcl", "helm", "html", "markdown", "python", "typescript", "yaml")]))
 def tally(spark, d):
-    return sample(spark).parse_tally().select("language", "with_errors")
+    return sample(spark).parse_tally().select("language", F.col("with_errors").cast("int").alias("with_errors"))
 
 
 @query("m01_rename", values("path, refused", [("shop/__init__.py", None), ("shop/core.py", None)]))
@@ -143,4 +145,81 @@ def recipe(spark, d):
 
 @query("s03_languages", values("language, files", [("bash", 2), ("css", 1), ("go", 2), ("hcl", 3), ("helm", 1), ("html", 1), ("markdown", 1), ("python", 6), ("typescript", 2), ("yaml", 2)]))
 def languages(spark, d):
-    return sample(spark).files.groupBy("language").agg(F.count("*").alias("files"))
+    return sample(spark).files.groupBy("language").agg(F.count("*").cast("int").alias("files"))
+
+
+@query("f06_definition_at_offset", values("path, name", [("shop/core.py", "total")]))
+def definition_at(spark, d):
+    w = sample(spark)
+    return reports.definition_at(w.tables, w.resolved, "app.py", 100).select("path", "name")
+
+
+@query("f07_reference_at_offset", values("name, start", [("price", 98)]))
+def reference_at(spark, d):
+    return reports.reference_at(sample(spark).resolved, "app.py", 100).select("name", F.col("start").cast("int").alias("start"))
+
+
+@query("f09_internal_unused", values("path, name", [("shop/core.py", "_spared")]))
+def internal(spark, d):
+    return sample(spark).unused(internal=True).where("kind = 'function'").select("path", "name")
+
+
+@query("a04_graph_by_tier_and_origin", values("tier, origin, edges", [("exact", "resolved", 5), ("import-qualified", "resolved", 4), ("field-based", "resolved", 1), ("field-based", "hierarchy", 1)]))
+def summary(spark, d):
+    return reports.graph_summary(sample(spark).graph)
+
+
+@query("a10_entry_point_summary", values("kind, n", [("main", 2), ("test", 1)]))
+def entry_summary(spark, d):
+    return sample(spark).entry_points().groupBy("kind").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("a15_capability_totals", values("support, n", [("supported", 139), ("not-applicable", 69)]))
+def capability_totals(spark, d):
+    return api.capabilities(spark).groupBy("support").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("e04_dispatch_family", values("abstract_path, concrete_path", [("shop/core.py", "shop/core.py"), ("geo/shape.go", "geo/shape.go")]))
+def family(spark, d):
+    return calls.families(sample(spark).tables).select(F.substring_index("abstract_id", ":", 1).alias("abstract_path"), F.substring_index("concrete_id", ":", 1).alias("concrete_path"))
+
+
+@query("e06_subtype_closure", values("src, dst", [("Book", "Item"), ("Square", "Shape")]))
+def subtype_closure(spark, d):
+    return calls.ancestors_of(sample(spark).tables)
+
+
+@query("g09_hierarchy_callers", values("path", [("shop/core.py",)]))
+def hierarchy_callers(spark, d):
+    w = sample(spark)
+    return reports.hierarchy_callers(w.graph, w.tables.symbols.where("qualified_name = 'Book::base'")).select(F.substring_index("node", ":", 1).alias("path"))
+
+
+@query("g11_container_chain", values("name", [("Item",), ("cost",)]))
+def container_chain(spark, d):
+    w = sample(spark)
+    return reports.holders(w.tables, w.tables.symbols.where("name = 'n' and path = 'shop/core.py'")).join(w.tables.symbols.select(F.col("symbol_id").alias("node"), "name"), "node").select("name")
+
+
+@query("q17_unreachable", values("name", [("dead_a",), ("dead_b",), ("_spared",), ("orphan_helper",), ("settings",)]))
+def unreachable(spark, d):
+    return sample(spark).unreachable().where("path like 'shop/%' and kind = 'function'").select("name")
+
+
+@query("w05_chart_values", values("value, place, wins", [("c", 1, True), ("b", 2, False), ("a", 3, False), ("d", 4, False)]))
+def chart_values(spark, d):
+    rows = [("tag", "values.yaml", "chart", 0, "a"), ("tag", "prod.yaml", "file", 0, "b"), ("tag", "--set", "set", 1, "c"), ("tag", "other.yaml", "unpassed", 0, "d")]
+    return reports.helm_values(spark.createDataFrame(rows, "key string, path string, source string, position int, value string")).select("value", "place", "wins")
+
+
+@query("n08_normal_paths", values("path, normal", [("a/./b/../c", "a/c"), ("../x", "../x"), (".", ""), ("a//b", "a/b")]))
+def normal(spark, d):
+    paths = spark.createDataFrame([("a/./b/../c",), ("../x",), (".",), ("a//b",)], "path string")
+    return paths.select("path", P.normal_paths(F.col("path")).alias("normal"))
+
+
+@query("p02_line_and_column", "SELECT doc_id, CAST(len(string_split(text[:100], chr(10))) AS INTEGER) AS line, CAST(length(string_split(text[:100], chr(10))[-1]) + 1 AS INTEGER) AS col FROM documents WHERE length(text) >= 100 AND regexp_full_match(text, '[\\x00-\\x7F]*')")
+def line_and_column(spark, d):
+    """Where the byte offset 100 lies in ASCII texts."""
+    docs = t(spark, d, "documents").where("length(text) >= 100").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
+    return docs.select("doc_id", P.line_cols(F.col("text"), F.lit(100)).alias("p")).select("doc_id", "p.line", "p.col")

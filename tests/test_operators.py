@@ -125,3 +125,17 @@ def test_scalars(spark):
 def test_chart_inputs():
     assert split_unescaped(r"a=1,b={x,y},c=2\,3", ",") == ["a=1", "b={x,y}", r"c=2\,3"]
     assert [(x["source"], x["key"], x["value"]) for x in chart_inputs(["-f", "a.yaml", "--set", r"k=1,m=2\,3"])] == [("file", None, None), ("set", "k", "1"), ("set", "m", "2,3")]
+
+
+def test_positions_and_names():
+    from codeloom.functions import python_scalars as P
+
+    text = "aé\nbc\n"
+    assert [P.line_col(text, i) for i in (0, 1, 3, 4, 99)] == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1)]
+    assert (P.offset_of(text, 2, 2), P.offset_of(text, 1, 99), P.offset_of(text, 9, 1)) == (5, 3, None)
+    assert P.parse_range("a:1:2-3:4") == ("a", 1, 2, 3, 4)
+    with pytest.raises(ValueError):
+        P.parse_range("a:3:1-2:1")
+    assert P.full_line_span("ab\ncd\nef", 4, 5) == (3, 6) and P.reindent("  a\n    b", "\t") == "\ta\n\t  b"
+    assert P.relative_link("docs/a.md", "docs/b.md") == "./b.md" and P.relative_link("a/b/c.md", "x.md") == "../../x.md"
+    assert (P.snake("HTTPServerName"), P.pascal("a_b-c"), P.suggest_name("order.getTotal(x)")) == ("http_server_name", "ABC", "total")
