@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, utf8
 
 _encoders: dict[str, "ChunkEncoder"] = {}
-_stop = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s|$)")
+_plain = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+_ended = re.compile(rb"[^<]*[a-z0-9][.,]").fullmatch
 
 
 def default_vocabulary() -> str:
@@ -25,52 +26,88 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> str:
+    """For each byte the character that byte-level vocabularies write for it: itself if it prints, else one from U+0100 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in prints else next(rest)) for b in range(256))
+
+
 class ChunkEncoder:
     """Token ids of texts, as little-endian 32-bit bytes, with a bounded memory of white-space separated chunks.
 
-    Only for tokenizers that drop white space and never join text across it (as word_bpe_49k.json): there the ids of a
-    text are those of its chunks. Chunks are cut at ASCII white space; the library itself encodes each new chunk.
+    Only for byte-level tokenizers that lower-case, drop white space and never join text across it nor letters with
+    punctuation (as word_bpe_49k.json): there the ids of a text are those of its chunks. Chunks are cut at ASCII white
+    space. A new chunk of lower-case Latin letters is one word to the tokenizer, so its merges are asked for straight
+    away; a full stop or comma after a letter or digit is looked up apart; all else goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, held: int = 250_000) -> None:
+    def __init__(self, path: str, held: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.young, self.old, self.held = Tokenizer.from_file(path), {}, {}, held
+        self.letters = _byte_letters()
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        size = self.tokenizer.get_vocab_size() + 1
+        self.stop, self.digit = np.zeros(size, bool), np.zeros(size, bool)
+        for mark in (".", "!", "?", '."', ".)", "...", "?!"):
+            if len(ids(mark)) == 1:
+                self.stop[ids(mark)] = True
+        for digit in "0123456789":
+            self.digit[ids(digit)] = True
 
     def chunks(self, text: bytes) -> list[bytes]:
-        """Lower-cased in A-Z, as the tokenizer does, and a full stop or comma after a letter or digit apart, where it splits anyway. Texts that may spell a special token stay as they are."""
-        return (text if b"<|" in text else _stop.sub(rb" \1", text.lower())).split()
+        """Lower-cased in A-Z, as the tokenizer does; texts that may spell a special token stay as they are."""
+        return (text if b"<|" in text else text.lower()).split()
 
     def learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """A table that has all the chunks. What was not asked for lately is forgotten, in two generations."""
         if len(self.young) >= self.held:
             self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, []
+        young, old, new, ended = self.young, self.old, [], []
         for c in set(chunks):
             if c not in young:
                 if (got := old.get(c)) is not None:
                     young[c] = got
+                elif _ended(c):
+                    ended.append(c)
                 else:
                     new.append(c)
-        if new:
-            ids = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
-            for c, e in zip(new, ids):
+        for c in ended:
+            for part in (c[:-1], c[-1:]):
+                if part not in young:
+                    if (got := old.get(part)) is not None:
+                        young[part] = got
+                    else:
+                        new.append(part)
+        merge, letters, whole = self.tokenizer.model.tokenize, self.letters, []
+        for c in new:
+            if not _plain(c):
+                whole.append(c)
+            elif c not in young:
+                word = c.decode() if c.isascii() else c.decode("latin-1").translate(letters)
+                young[c] = array("I", [x.id for x in merge(word)]).tobytes()
+        if whole:
+            ids = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in whole], add_special_tokens=False)
+            for c, e in zip(whole, ids):
                 young[c] = array("I", e.ids).tobytes()
+        for c in ended:
+            young[c] = young[c[:-1]] + young[c[-1:]]
         return young
 
     def encode(self, text: bytes) -> bytes:
         chunks = self.chunks(text)
         return b"".join(map(self.learn(chunks).__getitem__, chunks)) if chunks else b""
 
-    def encode_with_stops(self, text: bytes, stops: tuple[bytes, ...] = (b".", b"!", b"?", b'."', b".)")) -> tuple[bytes, np.ndarray]:
-        """Ids, and after how many of them a sentence ends."""
-        chunks = self.chunks(text)
-        if not chunks:
-            return b"", np.zeros(0, np.int64)
-        parts = list(map(self.learn(chunks).__getitem__, chunks))
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
-        return b"".join(parts), ends[np.fromiter((c.endswith(stops) for c in chunks), bool, len(chunks))]
+    def encode_with_stops(self, text: bytes) -> tuple[bytes, np.ndarray]:
+        """Ids, and after how many of them a sentence ends: after marks that end one, unless a digit follows."""
+        raw = self.encode(text)
+        ids = np.frombuffer(raw, "<u4")
+        ends = self.stop[ids]
+        if len(ids):
+            ends[:-1] &= ~self.digit[ids[1:]]
+        return raw, np.flatnonzero(ends) + 1
 
 
 def encoder(path: str) -> ChunkEncoder:
