@@ -12,6 +12,8 @@ these the dictionary side (what precedes the trigger, read backwards) and the pa
 in suffix order with the lengths of common prefixes between neighbours. Two contexts share the window that begins d
 bytes before the trigger exactly if they share d bytes on the dictionary side and length - d on the parse side, so both
 arrays together give the corpus order of all windows of that trigger and the repeated ones among them, byte for byte.
+Triggers with many different contexts are split over parts of about `group` contexts; windows that no part holds twice
+are then counted across parts by hash, one row for each part that holds them.
 
 Defined results: null text is empty; texts shorter than `length` lose nothing; matches never cross texts but count
 within one; repeated rows repeat each other; null ids are ids of their own; an empty table gives an empty result; other
@@ -103,8 +105,8 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array([row_key(i, t) for i, t in zip(ids, texts)], pa.binary()), pa.array([squeeze(t) for t in texts], pa.binary())], names=["rk", "z"])
 
 
-OPEN = "rk binary, k bigint, own boolean, at int, first int, ctx binary"
-_OPEN = pa.schema([("rk", pa.binary()), ("k", pa.int64()), ("own", pa.bool_()), ("at", pa.int32()), ("first", pa.int32()), ("ctx", pa.binary())])
+OPEN = "rk binary, k bigint, part int, parts int, own boolean, at int, first int, ctx binary"
+_OPEN = pa.schema([("rk", pa.binary()), ("k", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("own", pa.bool_()), ("at", pa.int32()), ("first", pa.int32()), ("ctx", pa.binary())])
 
 
 def _open_contexts(length: int):
@@ -117,10 +119,11 @@ def _open_contexts(length: int):
                 continue
             raw = unpacked(z)
             at, lo, hi = parse(raw, length)
-            for i, f in flags:
+            for i, f, parts in flags:
                 if f >= 2:
                     ctx = raw[lo[i] : hi[i] + length]
-                    yield from put((rk, ks[i], f == 2, int(at[i] - lo[i]), int(lo[i]), ctx), len(ctx) + 60)
+                    part = xxhash.xxh3_64_intdigest(ctx) % parts
+                    yield from put((rk, ks[i], part, parts, f == 2, int(at[i] - lo[i]), int(lo[i]), ctx), len(ctx) + 60)
         yield from flush()
 
     return run
@@ -184,32 +187,43 @@ def repeated_windows(contexts: list[tuple[bytes, int]], length: int, small: int
     return out
 
 
-FOUND = "rk binary, first bigint, last bigint"
-_FOUND = pa.schema([("rk", pa.binary()), ("first", pa.int64()), ("last", pa.int64())])
+FOUND = "rk binary, first bigint, last bigint, window binary"
+_FOUND = pa.schema([("rk", pa.binary()), ("first", pa.int64()), ("last", pa.int64()), ("window", pa.binary())])
 
 
 def _solve(length: int):
-    """Rows come sorted by trigger; each trigger's different contexts are solved together."""
+    """Rows come sorted by trigger and part; the different contexts of each are solved together.
 
-    def solved(group):
-        for (rk, own, at, first, ctx), hit in zip(group, repeated_windows([(g[4], g[2]) for g in group], length)):
+    Where a trigger's contexts are split over several parts, each part also names its different windows once (window is
+    their 128-bit hash, rk null if the part has them twice already), so that windows shared by parts are found by counting.
+    """
+
+    def solved(group, split):
+        hits = repeated_windows([(g[4], g[2]) for g in group], length) if len(group) > 1 else [np.zeros(len(group[0][4]) - length + 1, bool)]
+        said: set[bytes] = set()
+        for (rk, own, at, first, ctx), hit in zip(group, hits):
             if own and hit.any():
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False]))))
                 for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    yield rk, first + a, first + b - 1
+                    yield rk, first + a, first + b - 1, None
+            for s, twice in enumerate(hit.tolist() if split else ()):
+                window = xxhash.xxh3_128_digest(ctx[s : s + length])
+                if window not in said:
+                    said.add(window)
+                    yield rk if own and not twice else None, first + s, first + s, window
 
     def run(batches):
         put, flush = emitter(_FOUND)
-        key, group = None, []
-        for rk, k, own, at, first, ctx in rows_of(batches):
-            if k != key:
-                if len(group) > 1:
-                    for row in solved(group):
+        key, group, split = None, [], False
+        for rk, k, part, parts, own, at, first, ctx in rows_of(batches):
+            if (k, part) != key:
+                if len(group) > 1 or split:
+                    for row in solved(group, split):
                         yield from put(row)
-                key, group = k, []
+                key, group, split = (k, part), [], parts > 1
             group.append((rk, own, at, first, ctx))
-        if len(group) > 1:
-            for row in solved(group):
+        if len(group) > 1 or split:
+            for row in solved(group, split):
                 yield from put(row)
         yield from flush()
 
@@ -237,7 +251,7 @@ def _cut(length: int, texts: bool):
         for rk, i, z, flags, found in rows_of(batches):
             raw = unpacked(z)
             _, lo, hi = parse(raw, length)
-            spans = [(int(lo[j]), int(hi[j])) for j, f in flags if f in (1, 3)] + [(x["first"], x["last"]) for x in found or ()]
+            spans = [(int(lo[j]), int(hi[j])) for j, f, _ in flags if f in (1, 3)] + [(x["first"], x["last"]) for x in found or ()]
             gone, kept, last = covered(len(raw), spans, length), [], 0
             for a, b in gone:
                 kept.append(raw[last:a])
@@ -249,8 +263,8 @@ def _cut(length: int, texts: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400, texts: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row, and kept_text where texts is set (null where nothing was removed)."""
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400, texts: bool = False, group: int = 16_384) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row, and kept_text where texts is set (null where nothing was removed). At most about `group` contexts of one trigger are sorted together."""
     if length < GRAM:
         raise ValueError(f"length is {GRAM} at least")
     bounded_batches(docs.sparkSession)
@@ -260,15 +274,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     contexts = each.groupBy("k", "c").agg(F.count("*").alias("count"), F.min(F.struct("rk", "i")).alias("first"))
     repeated = contexts.groupBy("k").agg(F.sum("count").alias("total"), F.count("*").alias("different")).where("total > 1")
     # 1: repeated as a whole. 2: alone, but its trigger has other contexts. 3: repeated, and stands for its equals beside others.
-    known = stash(contexts.join(repeated, "k").where("count > 1 or different > 1").select("k", "c", "first", F.when(F.col("count") == 1, 2).otherwise(1).alias("flag"), (F.col("different") > 1).alias("open")), "contexts")
+    known = stash(contexts.join(repeated, "k").where("count > 1 or different > 1").select("k", "c", "first", F.when(F.col("count") == 1, 2).otherwise(1).alias("flag"), (F.col("different") > 1).alias("open"), F.ceil(F.col("different") / group).cast("int").alias("parts")), "contexts")
     flag = F.when((F.col("flag") == 1) & F.col("open") & (F.col("first.rk") == F.col("rk")) & (F.col("first.i") == F.col("i")), 3).otherwise(F.col("flag"))
-    flagged = each.join(known, ["k", "c"]).select("rk", "i", flag.alias("flag")).groupBy("rk").agg(F.collect_set(F.struct("i", "flag")).alias("flags"))
+    flagged = each.join(known, ["k", "c"]).select("rk", "i", flag.alias("flag"), "parts").groupBy("rk").agg(F.collect_set(F.struct("i", "flag", "parts")).alias("flags"))
     whole = parsed.select("rk", "id", "k").dropDuplicates(["rk"]).join(flagged, "rk")
-    touched = stash(whole.join(rows.mapInArrow(_texts, "rk binary, z binary").dropDuplicates(["rk"]), "rk").select("rk", "id", "z", F.transform("flags", lambda f: F.array(f["i"], f["flag"])).alias("flags"), "k"), "texts")
+    touched = stash(whole.join(rows.mapInArrow(_texts, "rk binary, z binary").dropDuplicates(["rk"]), "rk").select("rk", "id", "z", F.transform("flags", lambda f: F.array(f["i"], f["flag"], f["parts"])).alias("flags"), "k"), "texts")
     drop_stash(known)
     contexts_open = touched.select("rk", "z", "flags", "k").mapInArrow(_open_contexts(length), OPEN)
-    by_trigger = contexts_open.repartition("k").sortWithinPartitions("k", "rk", "first")
-    found = by_trigger.mapInArrow(_solve(length), FOUND).groupBy("rk").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    by_trigger = contexts_open.repartition("k", "part").sortWithinPartitions("k", "part", "rk", "first")
+    solved = stash(by_trigger.mapInArrow(_solve(length), FOUND), "found")
+    shared = solved.where("window is not null").groupBy("window").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("rk").isNotNull(), F.struct("rk", "first", "last"))).alias("rows")).where("n > 1")
+    spans = solved.where("window is null").select("rk", "first", "last").union(shared.select(F.explode("rows").alias("r")).select("r.rk", "r.first", "r.last"))
+    found = spans.groupBy("rk").agg(F.collect_list(F.struct("first", "last")).alias("found"))
     cut = touched.join(found, "rk", "left").select("rk", "id", "z", "flags", "found").mapInArrow(_cut(length, texts), CUT)
     out = parsed.select("rk", "id", "n_bytes", "sha").join(cut.drop("id", "n_bytes"), "rk", "left")
     out = out.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("bigint")).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept_text")
