@@ -42,10 +42,29 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class _Segments(dict):
+    """Segment -> ids, in two generations: what was not asked for lately is forgotten."""
+
+    def __init__(self, codec: "Codec") -> None:
+        self.codec, self.old = codec, {}
+
+    def __missing__(self, text: str) -> bytes:
+        if (got := self.old.get(text)) is None:
+            got = np.array(self.codec.trace_alone(text), "<u4").tobytes()
+        if len(text) <= 64:
+            self[text] = got
+        return got
+
+    def age(self, most: int) -> None:
+        if len(self) >= most:
+            self.old = dict(self)
+            self.clear()
+
+
 class Codec:
     """The vocabulary, the weights between pieces, and a bounded memory of segments."""
 
-    def __init__(self, path: str, held: int = 200_000) -> None:
+    def __init__(self, path: str, held: int = 400_000) -> None:
         import sentencepiece
 
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -56,7 +75,8 @@ class Codec:
         self.longest = max(map(len, self.id_of))
         self.prefixes = {p[:i] for p in self.id_of for i in range(1, len(p) + 1)}
         self.bytes_of = {b: self.lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
-        self.known: dict[str, bytes] = {}
+        self.known = _Segments(self)
+        self.raw = [bytes([int(p[3:5], 16)]) if self.lib.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.pairs: dict[tuple[int, int], bool] = {}
         self.held = held
         if any(SPACE in p.lstrip(SPACE) for p in self.id_of):
@@ -83,13 +103,10 @@ class Codec:
 
     # -- segments ----------------------------------------------------------------------------------------------------
 
-    def segment(self, text: str) -> bytes:
-        """Ids of a text between two spaces, traced back from its end, as little-endian 32-bit bytes."""
-        if (got := self.known.get(text)) is None:
-            got = np.array(self.trace_alone(text), "<u4").tobytes()
-            if len(self.known) < self.held and len(text) <= 64:
-                self.known[text] = got
-        return got
+    def segments(self, text: str) -> bytes:
+        """Ids of a text that is cut at spaces only, as little-endian 32-bit bytes."""
+        self.known.age(self.held)
+        return b"".join(map(self.known.__getitem__, _parts.findall(text)))
 
     def trace_alone(self, text: str) -> list[int]:
         """trace() of a whole segment: with one state at its start, every place has one state too."""
@@ -181,8 +198,7 @@ class Codec:
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the text before encoding."""
-        out = b"".join(bytes([int(p[3:5], 16)]) if len(p) == 6 and p.startswith("<0x") and self.lib.is_byte(i) else p.encode("utf-8") for i, p in ((i, self.pieces[i]) for i in ids))
-        return out.replace(SPACE.encode(), b" ")[1:]
+        return b"".join(map(self.raw.__getitem__, ids))[1:]
 
 
 def codec(path: str) -> Codec:
@@ -303,7 +319,7 @@ def _encode(path: str):
             if inside or hard:
                 raw = np.array(c.trace(body, lo, hi, a, b), "<u4").tobytes()
             else:
-                raw = b"".join(map(c.segment, _parts.findall(body[lo:hi])))
+                raw = c.segments(body[lo:hi])
             yield from put((rk, i, part, len(raw) // 4, zlib.crc32(raw), None, raw), len(raw) + 80)
         yield from flush()
 

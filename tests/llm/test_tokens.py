@@ -128,9 +128,7 @@ def encode_in_chunks(c, text, chunk):
         if inside or hard:
             out += c.trace(m, lo, hi, *states[lo])
         else:
-            from codeloom.llm.pieces import _parts
-
-            out += np.frombuffer(b"".join(map(c.segment, _parts.findall(m[lo:hi]))), "<u4").tolist()
+            out += np.frombuffer(c.segments(m[lo:hi]), "<u4").tolist()
     return out
 
 
