@@ -10,10 +10,15 @@ symbols of each chunk may be wrong gives keys of width - errors symbols, and suc
 the defaults (12 chunks of 6 symbols, 1 error: 72 keys) all pairs at a distance of 23 of 72 or less are met for certain,
 and pairs at the threshold of 0.8 beyond that distance with a chance of 0.999997, since every chunk is a further try.
 
-No pairs inside groups. Rows of a key are linked to the first row and to the row before, not to each other, first inside
-each task (so that a task hands on one row a key) and then across tasks. Links are dropped if a one-bit sketch of the
-signature is further off than any pair at the threshold gets (six standard deviations). Each remaining link is
-confirmed on the two whole texts. Links inside a component found so far need no confirmation: they can't change it.
+Few pairs inside groups. Rows of a key are first linked to the first row and to the row before, inside each task (so
+that a task hands on one row a key) and then across tasks. Links are dropped if a one-bit sketch of the signature is
+further off than any pair at the threshold gets (six standard deviations). Each remaining link is confirmed on the two
+whole texts. Links inside a component found so far need no confirmation: they can't change it.
+
+No pairs missed. Keys whose rows are then still in several components are settled: their rows outside the key's largest
+component meet all its rows of other components, in units of bounded size, so that a hot key is spread over tasks. The
+rows that are nearest to all others go first, which joins stars around one base at a linear cost; then all pairs that
+are still between two components are confirmed. So two rows with a common key are in one component, or were compared.
 
 Words are lower-cased in A-Z only and split at ASCII white space. Defined results: null or blank text has an empty set
 and stands alone; fewer words than a shingle holds count as one shingle; a null id stands alone; repeated rows are
@@ -104,7 +109,7 @@ class Scheme:
         return int(np.packbits((sig[:64] & np.uint64(1)).astype(np.uint8)).tobytes().ljust(8, b"\0").hex(), 16)
 
 
-#: kind 0: a document (a: id, b: the row in its task with an equal set, n: set size). 1: a possible link a, b. 2: row a has key b; n: sketch.
+#: kind 0: a document (a: id, b: the row in its task with an equal set, n: set size). 1: a possible link a, b. 2: row a has key b; n: sketch. 3: the same, for rows of keys that others have too.
 MADE = "kind int, a bigint, b bigint, n bigint"
 _MADE = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
@@ -125,6 +130,11 @@ def _runs(keys: np.ndarray, ids: np.ndarray, sketches: np.ndarray, most_bits: fl
     return head, pairs[pairs[:, 0] != pairs[:, 1]]
 
 
+def _shared(head: np.ndarray) -> np.ndarray:
+    """Of sorted rows of keys, those whose key another row has too."""
+    return ~head | np.append(~head[1:], False)
+
+
 def _make(scheme: Scheme, size: int, held: int):
     def run(batches):
         equal: dict[bytes, int] = {}
@@ -137,6 +147,8 @@ def _make(scheme: Scheme, size: int, held: int):
             head, pairs = _runs(k, i, s, scheme.most_bits)
             yield _batch(1, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64))
             yield _batch(2, i[head], k[head], s[head].view(np.int64))
+            many = _shared(head)
+            yield _batch(3, i[many], k[many], s[many].view(np.int64))
             for x in (keys, ids, sketches):
                 x.clear()
 
@@ -186,9 +198,11 @@ def _meet(most_bits: float):
             ids, keys, sk = (own.column(j).to_numpy(zero_copy_only=False) for j in (1, 2, 3))
             if last is not None:  # the first and the latest row of the key that the batch before ended with
                 keys, ids, sk = (np.concatenate((x, y)) for x, y in zip(last, (keys, ids, sk)))
-            _, pairs = _runs(keys, ids, sk.view(np.uint64), most_bits)
+            head, pairs = _runs(keys, ids, sk.view(np.uint64), most_bits)
             if len(pairs):
                 yield _batch(1, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64))
+            if (many := _shared(head)).any():  # rows carried over come twice, which changes nothing
+                yield _batch(3, ids[many], keys[many], sk[many])
             start = int(np.searchsorted(keys, keys[-1]))
             pick = [start, len(keys) - 1] if start < len(keys) - 1 else [start]
             last = tuple(x[pick] for x in (keys, ids, sk))
@@ -196,6 +210,56 @@ def _meet(most_bits: float):
     return run
 
 
+UNIT = "key bigint, x int, y int, side int, id bigint, comp bigint, sketch bigint"
+
+
+def _settle(most_bits: float, central: int | None):
+    """Rows sorted by unit (key, x, y) -> pairs of side 0 and side 1 of different components that the sketch allows; with `central`, only those with the rows of side 1 nearest to all of side 0."""
+
+    def pairs(side, ids, comps, sketches):
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(left) or not len(right):
+            return np.zeros((0, 2), np.int64)
+        if central and len(left) * len(right) > 64:
+            total = np.zeros(len(right), np.int64)
+            for i in range(0, len(left), 256):
+                total += np.bitwise_count(sketches[left[i : i + 256], None] ^ sketches[None, right]).sum(0, dtype=np.int64)
+            right = right[np.argsort(total, kind="stable")[:central]]
+        out = []
+        for i in range(0, len(left), 256):
+            at = left[i : i + 256, None]
+            near = (np.bitwise_count(sketches[at] ^ sketches[None, right]) <= most_bits) & (comps[at] != comps[None, right])
+            a, b = np.nonzero(near)
+            out.append(np.stack((ids[left[i + a]], ids[right[b]]), 1))
+        out = np.concatenate(out)
+        return np.stack((out.min(1), out.max(1)), 1) if len(out) else out
+
+    def run(batches):
+        held = None
+
+        def units(columns, ends):
+            start = 0
+            for end in ends:
+                found = pairs(*(c[start:end] for c in columns[3:6]), columns[6][start:end].view(np.uint64))
+                start = end
+                for i in range(0, len(found), 100_000):
+                    part = found[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
+
+        for b in batches:
+            own = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            held = own if held is None else [np.concatenate(x) for x in zip(held, own)]
+            key, x, y = held[:3]
+            ends = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            if len(ends):
+                yield from units(held, ends)
+                held = [c[ends[-1] :] for c in held]
+        if held is not None and len(held[0]):
+            yield from units(held, [len(held[0])])
+
+    return run
+
+
 LINKED = "a bigint, b bigint, ok boolean"
 
 
@@ -217,7 +281,7 @@ def _confirm(size: int, threshold_percent: int):
     return run
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, threshold: float = 0.8, chunks: int = 12, width: int = 6, errors: int = 1, held: int = 8000) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, threshold: float = 0.8, chunks: int = 12, width: int = 6, errors: int = 1, held: int = 8000, unit: int = 2000) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row: components of links of Jaccard likeness `threshold` or more."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -229,7 +293,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = stash(made.repartition(spread).sortWithinPartitions("kind", "b", "a").mapInArrow(_meet(scheme.most_bits), MADE), "met")
     documents = met.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("rep"), F.col("n").alias("n_shingles"))
     possible = stash(met.where("kind = 1").select("a", "b").distinct(), "possible")
-    ends = possible.select(F.col("a").alias("id")).union(possible.select(F.col("b").alias("id"))).distinct()
+    members = met.where("kind = 3").select(F.col("b").alias("key"), F.col("a").alias("id"), F.col("n").alias("sketch"))
+    ends = members.select("id").distinct()
     texts = stash(packed(rows, "id", "text").join(ends, "id", "left_semi").dropDuplicates(["id"]), "texts")
 
     def confirmed(links: DataFrame) -> DataFrame:
@@ -254,8 +319,35 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = components(good)
     up = labels.select("node", F.col("component").alias("root"))
     third = confirmed(crossing(rest.select("a", "b").join(second.select("a", "b"), ["a", "b"], "left_anti")))
+    tested = first.union(second).union(third)
+
+    def joined() -> DataFrame:
+        return components(tested.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v")))
+
     if not third.where("ok").isEmpty():
-        labels = components(good.union(third.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        labels = joined()
+
+    # Keys with rows of several components: first by the rows nearest to all others, then every pair that is left.
+    for central in (4, None):
+        own = members.join(labels.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), "sketch")
+        sizes = own.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+        blocks = lambda n: F.ceil(n / unit).cast("int")
+        sizes = sizes.select("key", F.col("most.comp").alias("main"), blocks(F.col("n") - F.col("most.n")).alias("xs"), blocks(F.col("n")).alias("ys"))
+        unsettled = stash(own.join(sizes, "key"), "unsettled")
+        if unsettled.isEmpty():
+            drop_stash(unsettled)
+            break
+        block = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = unsettled.where("comp <> main").select("key", block(F.col("xs")).alias("x"), every("ys").alias("y"), F.lit(0).alias("side"), "id", "comp", "sketch")
+        right = unsettled.select("key", every("xs").alias("x"), block(F.col("ys")).alias("y"), F.lit(1).alias("side"), "id", "comp", "sketch")
+        units = left.union(right).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+        pairs = units.mapInArrow(_settle(scheme.most_bits, central), "a bigint, b bigint").distinct()
+        found = confirmed(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        drop_stash(unsettled)
+        tested = tested.union(found)
+        if not found.where("ok").isEmpty():
+            labels = joined()
     drop_stash(texts)
     grouped = documents.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
     grouped = stash(grouped, "grouped")

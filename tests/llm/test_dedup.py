@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -91,6 +92,19 @@ def test_near_matches_brute_force(spark, odd_rows, words, k):
     assert all(x.kept == (x.doc_id == x.component_id) for x in out)
 
 
+@pytest.mark.parametrize("held,unit", [(25, 2000), (8000, 20)])
+def test_near_joins_stars_with_a_late_base(spark, held, unit):
+    rng, rows, base = random.Random(3), [], [f"b{i}" for i in range(150)]
+    for c in range(700):
+        copy = list(base)
+        for j, at in enumerate(rng.sample(range(150), 7)):
+            copy[at] = f"s{c}x{j}"
+        rows.append((c, " ".join(copy)))
+    rows.append((5000, " ".join(base)))
+    out = near_dedup(frame(spark, rows).repartition(6), shingle=2, held=held, unit=unit).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in out) == brute_near(rows, 2)
+
+
 def test_near_of_nothing(spark):
     assert near_dedup(frame(spark, []).where("false")).collect() == []
     assert drop_near_copies(frame(spark, [(1, "a b c d e f"), (2, "a b c d e f")])).select("doc_id").collect()[0][0] == 1
