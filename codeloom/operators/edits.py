@@ -50,13 +50,19 @@ def rename(t: Tables, resolved: DataFrame, old: str, new: str) -> tuple[DataFram
 
 def safe_delete(t: Tables, resolved: DataFrame, name: str) -> DataFrame:
     """M3: edits that remove all sites of a name; refuses while something outside them refers to it."""
-    hit = t.symbols.where((F.col("qualified_name") == name) | (F.col("name") == name)).select("symbol_id", F.col("path").alias("t_path"), "full_start", "full_end")
-    if hit.isEmpty():
-        raise Refusal("not-found", name)
-    holders = resolved.join(hit.withColumnRenamed("symbol_id", "target_id"), "target_id").where("path <> t_path or start < full_start or start >= full_end")
-    if rows := holders.select("path", "start").limit(20).collect():
-        raise Refusal("still-referenced", name, rows)
-    return hit.select(F.col("t_path").alias("path"), F.col("full_start").alias("start"), F.col("full_end").alias("end"), F.lit("").alias("replacement"))
+    return safe_deletes(t, resolved, t.symbols.sparkSession.createDataFrame([(name,)], "wanted string"))
+
+
+def safe_deletes(t: Tables, resolved: DataFrame, names: DataFrame) -> DataFrame:
+    """M3 for all names (wanted) at once: refuses the plan as a whole while one of them is unknown or still referred to."""
+    by = lambda c: t.symbols.join(names.distinct(), F.col(c) == F.col("wanted"))
+    found = by("qualified_name").union(by("name")).select("wanted", "symbol_id", F.col("path").alias("t_path"), "full_start", "full_end").distinct()
+    if missing := names.join(found, "wanted", "left_anti").limit(1).collect():
+        raise Refusal("not-found", str(missing[0]["wanted"]))
+    holders = resolved.join(found.withColumnRenamed("symbol_id", "target_id"), "target_id").where("path <> t_path or start < full_start or start >= full_end")
+    if rows := holders.select("path", "start", "wanted").limit(20).collect():
+        raise Refusal("still-referenced", rows[0]["wanted"], rows)
+    return found.select(F.col("t_path").alias("path"), F.col("full_start").alias("start"), F.col("full_end").alias("end"), F.lit("").alias("replacement")).distinct()
 
 
 def unused_imports(t: Tables, resolved: DataFrame) -> DataFrame:

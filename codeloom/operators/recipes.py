@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import LANGUAGES
-from .edits import Refusal
+from .edits import Refusal, safe_deletes
 
 #: What a where clause may name.
 FIELDS = ["name", "kind", "lang", "file", "in", "annotated-with", "calls", "called-by", "implements", "matches"]
@@ -195,10 +195,8 @@ def run(workspace, text: str) -> list[dict]:
                     raise Refusal("ambiguous", f"rename takes one name, not {len(names)}")
                 result["edits"], result["warnings"] = workspace.rename(names[0], step.args[0])
             elif step.action == "delete":
-                names = [r["qualified_name"] for r in rows.select("qualified_name").distinct().limit(1000).collect()]
-                parts = [workspace.delete(n) for n in names]
-                for p in parts:
-                    result["edits"] = p if "edits" not in result else result["edits"].union(p)
+                names = rows.select(F.col("qualified_name").alias("wanted")).distinct()
+                result["edits"] = safe_deletes(workspace.tables, workspace.resolved, names)
             elif step.action == "restructure":
                 pattern, template = " ".join(step.args).split(" => ", 1)
                 lang = next((v for _, n, _, v in step.where if n == "lang"), "python")

@@ -109,6 +109,12 @@ def test_delete_refuses_while_referenced(shop):
     assert e.value.kind == "still-referenced" and len(e.value.rows) == 2
 
 
+def test_recipe_deletes_every_selected_name(spark):
+    w = Workspace.of(spark, {f"m{k}.py": "".join(f"def gone_{k}_{i}():\n    return {i}\n\n\n" for i in range(401)) for k in range(3)})
+    (out,) = w.run("step old\n  select symbols\n  where kind=function name~gone_*\n  delete\n")
+    assert out["edits"].select("path", "start").distinct().count() == out["edits"].count() == 1203
+
+
 def test_edits_are_checked_and_gated(spark, shop):
     make = lambda *rows: spark.createDataFrame(list(rows), edits.EDIT)
     with pytest.raises(edits.Refusal):
