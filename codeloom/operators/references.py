@@ -135,14 +135,17 @@ def resolve(t: Tables) -> DataFrame:
     return out.withColumn("confidence", F.when(untyped, F.greatest("confidence", F.lit(FIELD))).otherwise(F.col("confidence"))).select(*t.refs.columns, "target_id", "confidence", "rule", "member", "receiver_bound")
 
 
-def _barrels(imported: DataFrame, t: Tables, found: DataFrame, s: DataFrame, top: Column, hops: int = 3) -> DataFrame:
-    """Follows names through files that import and re-export them, a hop at a time, up to a bound."""
-    again = t.bindings.join(found, ["path", "import_pos"]).select(F.col("path").alias("at"), F.col("name").alias("wanted"), F.col("original").alias("next_wanted"), F.col("file").alias("next_at"))
+def _barrels(imported: DataFrame, t: Tables, found: DataFrame, s: DataFrame, top: Column, hops: int = 8) -> DataFrame:
+    """Follows names through files that import and re-export them, a hop at a time, up to the reference's bound. A name that is found goes no further."""
+    again = cut(t.bindings.join(found, ["path", "import_pos"]).select(F.col("path").alias("at"), F.col("name").alias("wanted"), F.col("original").alias("next_wanted"), F.col("file").alias("next_at")).distinct())
     walk = imported.where("bound_file is not null").select("ref_id", F.col("bound_file").alias("at"), "wanted")
     out = []
     for _ in range(hops):
-        walk = walk.join(again, ["at", "wanted"]).select("ref_id", F.col("next_at").alias("at"), F.col("next_wanted").alias("wanted"))
+        walk = cut(walk.join(again, ["at", "wanted"]).select("ref_id", F.col("next_at").alias("at"), F.col("next_wanted").alias("wanted")).distinct())
         out.append(walk.join(s.withColumnRenamed("name", "wanted"), "wanted").where(top & (F.col("at") == F.col("s_path"))).select("ref_id", "target_id"))
+        if walk.isEmpty():
+            break
+        walk = walk.join(out[-1], "ref_id", "left_anti")
     return reduce(DataFrame.unionByName, out)
 
 

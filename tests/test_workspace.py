@@ -109,6 +109,15 @@ def test_delete_refuses_while_referenced(shop):
     assert e.value.kind == "still-referenced" and len(e.value.rows) == 2
 
 
+def test_names_are_followed_through_eight_barrels(spark):
+    files = {f"b{i}.py": f"from b{i + 1} import width_{i + 1} as width_{i}\n" for i in range(9)} | {"b9.py": "def width_9():\n    return 1\n"}
+    files |= {f"use{i}.py": f"from b{i} import width_{i}\n\n\ndef run_{i}():\n    return width_{i}()\n" for i in (0, 1, 8)}
+    files |= {"loop_a.py": "from loop_b import spin\n", "loop_b.py": "from loop_a import spin\n", "use_loop.py": "from loop_a import spin\n\nspin()\n"}
+    calls = {r.path: (r.target_id, r.rule) for r in Workspace.of(spark, files).resolved.where("kind = 'call'").collect()}
+    assert calls["use8.py"][0] is not None and calls["use1.py"] == calls["use8.py"] and calls["use1.py"][1] == 9
+    assert calls["use0.py"][0] is None and calls["use_loop.py"][0] is None  # nine hops, and a circle
+
+
 def test_recipe_deletes_every_selected_name(spark):
     w = Workspace.of(spark, {f"m{k}.py": "".join(f"def gone_{k}_{i}():\n    return {i}\n\n\n" for i in range(401)) for k in range(3)})
     (out,) = w.run("step old\n  select symbols\n  where kind=function name~gone_*\n  delete\n")
