@@ -1,4 +1,4 @@
-"""The resolution cascade over fact tables (J1-J3, J8-J16, J25-J26, appendix A).
+"""The resolution cascade over fact tables (J1-J3, J8-J12, J16, J25-J26, appendix A); J13-J15 are not built.
 
 Every rule is a join that gives (ref_id, target, rule, confidence); an ambiguous answer is an answer too and stops the
 cascade. The lowest rule wins by one aggregation. Candidates are joined by name once; rules are filters over them.
