@@ -108,26 +108,25 @@ class Model:
         return best, sure * (votes[best] / (len(members) - 1) if len(members) > 1 else 1.0)
 
 
-def train(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, sample: int = 3000, max_languages: int = 100) -> Model | None:
-    """Fits a model on a bounded sample: per_language rows of each language at most, of the max_languages most frequent ones."""
+def train(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, sample: int = 3000) -> Model | None:
+    """Fits a model on a bounded sample: per_language rows of each language that has any."""
     bounded_batches(docs.sparkSession)
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(11)).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return None
     per_language = max(1, min(per_language, sample // len(counts)))
     # A hash bound lets through somewhat more than is needed, so that what is ranked is small at any size of the table.
-    bound = F.lit(False)
-    for r in counts:
-        part = min(1.0, 1.5 * per_language / r["count"] + 20 / r["count"])
-        bound = bound | (F.col("lang") == r["lang"]) & (F.col("h") <= F.lit(min(2**63 - 1, int(-(2**63) + part * 2**64))))
+    parts = [(r["lang"], min(1.0, 1.5 * per_language / r["count"] + 20 / r["count"])) for r in counts]
+    bounds = docs.sparkSession.createDataFrame([(v, min(2**63 - 1, int(-(2**63) + part * 2**64))) for v, part in parts], "lang string, most bigint")
+    near = rows.join(F.broadcast(bounds), "lang").where("h <= most").select("lang", "text", "h")  # one row a language
 
     def run(batches):
         for b in batches:
             got = [(v, h, features(t).tobytes()) for v, t, h in rows_of([b]) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], names=["lang", "h", "x"])
 
-    found = rows.where(bound).mapInArrow(run, "lang string, h bigint, x binary").collect()
+    found = near.mapInArrow(run, "lang string, h bigint, x binary").collect()
     kept, seen = [], {}
     for r in sorted(found, key=lambda r: (r["lang"], r["h"], r["x"])):
         seen[r["lang"]] = seen.get(r["lang"], 0) + 1
@@ -144,7 +143,7 @@ _OUT = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.f
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # families and pairs of max_languages at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # weights of each family and pair of languages
 
     def run(batches):
         put, flush = emitter(_OUT)

@@ -33,6 +33,14 @@ def test_language_id_of_odd_rows(spark, odd_rows):
     assert drop_unknown(docs).columns == docs.columns
 
 
+def test_every_labelled_language_is_learned(spark):
+    say = lambda n: " ".join(chr(0x4E00 + 7 * n + j) * 2 for j in range(7))
+    docs = frame(spark, [(2 * n + c, say(n) + " " * c, f"x{n:03}") for n in range(120) for c in range(2)])
+    model = train(docs, F.lit(True))
+    assert model.langs == [f"x{n:03}" for n in range(120)]
+    assert all(x.lang_pred == f"x{x.doc_id // 2:03}" for x in identify(docs, model).collect())
+
+
 def test_quality_on_held_out_rows(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     out = classify(docs, labels, held_out=held_out("doc_id", 4, 2)).join(labels, "doc_id").where("held_out").collect()
