@@ -15,10 +15,12 @@ that a task hands on one row a key) and then across tasks. Links are dropped if
 further off than any pair at the threshold gets (six standard deviations). Each remaining link is confirmed on the two
 whole texts. Links inside a component found so far need no confirmation: they can't change it.
 
-No pairs missed. Keys whose rows are then still in several components are settled: their rows outside the key's largest
-component meet all its rows of other components, in units of bounded size, so that a hot key is spread over tasks. The
-rows that are nearest to all others go first, which joins stars around one base at a linear cost; then all pairs that
-are still between two components are confirmed. So two rows with a common key are in one component, or were compared.
+No pairs missed. Keys whose rows are then still in several components are settled. First the rows of such a key that
+are nearest to all others meet its rows outside the key's largest component, which joins stars around one base at a
+linear cost. Then rows that open keys connect form a family; its rows outside the family's largest component meet all its
+rows of a like set size on their whole shingle sets. That is done in units of bounded size, so that a hot family is
+spread over tasks; a unit counts all its intersections at once and hands on only links that join two components, never
+the pairs that it looked at. So two rows with a common key are in one component, or their whole sets were compared.
 
 Words are lower-cased in A-Z only and split at ASCII white space. Defined results: null or blank text has an empty set
 and stands alone; fewer words than a shingle holds count as one shingle; a null id stands alone; repeated rows are
@@ -210,28 +212,21 @@ def _meet(most_bits: float):
     return run
 
 
-UNIT = "key bigint, x int, y int, side int, id bigint, comp bigint, sketch bigint"
-
-
-def _settle(most_bits: float, central: int | None):
-    """Rows sorted by unit (key, x, y) -> pairs of side 0 and side 1 of different components that the sketch allows; with `central`, only those with the rows of side 1 nearest to all of side 0."""
+def _central(most_bits: float, most: int):
+    """Rows sorted by key -> links of each row outside the key's largest component (side 0) with the `most` rows of other components (side 1) that are nearest to all of side 0."""
 
     def pairs(side, ids, comps, sketches):
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(left) or not len(right):
             return np.zeros((0, 2), np.int64)
-        if central and len(left) * len(right) > 64:
+        if len(left) * len(right) > 64:
             total = np.zeros(len(right), np.int64)
             for i in range(0, len(left), 256):
                 total += np.bitwise_count(sketches[left[i : i + 256], None] ^ sketches[None, right]).sum(0, dtype=np.int64)
-            right = right[np.argsort(total, kind="stable")[:central]]
-        out = []
-        for i in range(0, len(left), 256):
-            at = left[i : i + 256, None]
-            near = (np.bitwise_count(sketches[at] ^ sketches[None, right]) <= most_bits) & (comps[at] != comps[None, right])
-            a, b = np.nonzero(near)
-            out.append(np.stack((ids[left[i + a]], ids[right[b]]), 1))
-        out = np.concatenate(out)
+            right = right[np.argsort(total, kind="stable")[:most]]
+        near = (np.bitwise_count(sketches[left, None] ^ sketches[None, right]) <= most_bits) & (comps[left, None] != comps[None, right])
+        a, b = np.nonzero(near)
+        out = np.stack((ids[left[a]], ids[right[b]]), 1)
         return np.stack((out.min(1), out.max(1)), 1) if len(out) else out
 
     def run(batches):
@@ -242,9 +237,8 @@ def _settle(most_bits: float, central: int | None):
             for end in ends:
                 found = pairs(*(c[start:end] for c in columns[3:6]), columns[6][start:end].view(np.uint64))
                 start = end
-                for i in range(0, len(found), 100_000):
-                    part = found[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
         for b in batches:
             own = [c.to_numpy(zero_copy_only=False) for c in b.columns]
@@ -260,6 +254,87 @@ def _settle(most_bits: float, central: int | None):
     return run
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, each given as sorted distinct hashes.
+
+    Hashes that few rows hold are counted along their lists of rows, the others by matrix products over `columns` hashes
+    at a time, so the memory is that of the sets and of the answer.
+    """
+    n, m = len(left), len(right)
+    out = np.zeros(n * m, np.float32)
+    names, at = np.unique(np.concatenate(right), return_inverse=True)
+    row_r = np.repeat(np.arange(m), [len(x) for x in right])[np.argsort(at, kind="stable")]
+    many_r = np.bincount(at, minlength=len(names))
+    start_r = np.cumsum(many_r) - many_r
+    mine = np.concatenate(left)
+    place = np.minimum(np.searchsorted(names, mine), len(names) - 1)
+    both = names[place] == mine
+    row_l, place = np.repeat(np.arange(n), [len(x) for x in left])[both], place[both]
+    order = np.argsort(place, kind="stable")
+    row_l, place = row_l[order], place[order]
+    many_l = np.bincount(place, minlength=len(names))
+    dense = many_l * many_r > max(1, n * m // 100)
+    sparse = np.flatnonzero(~dense[place])
+    for i in range(0, len(sparse), 20_000):
+        part = sparse[i : i + 20_000]
+        k = many_r[place[part]]
+        ends = np.cumsum(k)
+        with_r = row_r[np.repeat(start_r[place[part]] - (ends - k), k) + np.arange(ends[-1] if len(ends) else 0)]
+        np.add.at(out, np.repeat(row_l[part], k) * m + with_r, 1)
+    out = out.reshape(n, m)
+    heavy, start_l = np.flatnonzero(dense), np.cumsum(many_l) - many_l
+    for i in range(0, len(heavy), columns):
+        part = heavy[i : i + columns]
+        sides = []
+        for rows, start, many, size in ((row_l, start_l, many_l, n), (row_r, start_r, many_r, m)):
+            has = np.zeros((size, len(part)), np.float32)
+            for j, e in enumerate(part.tolist()):
+                has[rows[start[e] : start[e] + many[e]], j] = 1
+            sides.append(has)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _families(size: int, threshold_percent: int):
+    """Rows sorted by unit (family, band, x, y), side 0 first -> links of whole shingle sets between components, no more of them than join what they join."""
+
+    def links(left, right):
+        sets = [[shingles(unpacked(z), size) for _, _, z in rows] for rows in (left, right)]
+        n, m = (np.array([len(x) for x in s]) for s in sets)
+        both = overlaps(*sets)
+        ca, cb = (np.array([c for _, c, _ in rows]) for rows in (left, right))
+        ok = (100 * both >= threshold_percent * (n[:, None] + m[None] - both)) & (both > 0) & (ca[:, None] != cb[None])
+        up: dict[int, int] = {}
+
+        def top(x):
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        for i, j in zip(*(x.tolist() for x in np.nonzero(ok))):
+            u, v = top(left[i][1]), top(right[j][1])
+            if u != v:
+                up[u] = v
+                yield min(left[i][0], right[j][0]), max(left[i][0], right[j][0])
+
+    def run(batches):
+        unit, sides = None, ([], [])
+
+        def done():
+            found = list(links(*sides)) if sides[0] and sides[1] else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+        for family, band, x, y, side, i, comp, z in rows_of(batches):
+            if (family, band, x, y) != unit:
+                yield from done()
+                unit, sides = (family, band, x, y), ([], [])
+            sides[side].append((i, comp, z))
+        yield from done()
+
+    return run
+
+
 LINKED = "a bigint, b bigint, ok boolean"
 
 
@@ -281,7 +356,7 @@ def _confirm(size: int, threshold_percent: int):
     return run
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, threshold: float = 0.8, chunks: int = 12, width: int = 6, errors: int = 1, held: int = 8000, unit: int = 2000) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, threshold: float = 0.8, chunks: int = 12, width: int = 6, errors: int = 1, held: int = 8000, unit: int = 2000, unit_shingles: int = 1_000_000) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row: components of links of Jaccard likeness `threshold` or more."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -327,27 +402,53 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not third.where("ok").isEmpty():
         labels = joined()
 
-    # Keys with rows of several components: first by the rows nearest to all others, then every pair that is left.
-    for central in (4, None):
+    def open_keys() -> DataFrame:
+        """Rows of the keys whose rows are in several components, with the key's largest one."""
         own = members.join(labels.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), "sketch")
         sizes = own.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-        blocks = lambda n: F.ceil(n / unit).cast("int")
-        sizes = sizes.select("key", F.col("most.comp").alias("main"), blocks(F.col("n") - F.col("most.n")).alias("xs"), blocks(F.col("n")).alias("ys"))
-        unsettled = stash(own.join(sizes, "key"), "unsettled")
-        if unsettled.isEmpty():
-            drop_stash(unsettled)
-            break
-        block = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = unsettled.where("comp <> main").select("key", block(F.col("xs")).alias("x"), every("ys").alias("y"), F.lit(0).alias("side"), "id", "comp", "sketch")
-        right = unsettled.select("key", every("xs").alias("x"), block(F.col("ys")).alias("y"), F.lit(1).alias("side"), "id", "comp", "sketch")
+        return stash(own.join(sizes.select("key", F.col("most.comp").alias("main"), F.col("most.n").alias("most"), "n"), "key"), "unsettled")
+
+    blocks = lambda n, size: F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # First the rows of each key that are nearest to all others, which joins stars at a linear cost.
+    unsettled = open_keys()
+    if not unsettled.isEmpty():
+        parted = unsettled.select("*", blocks(F.col("n") - F.col("most"), unit).alias("xs"), blocks(F.col("n"), unit).alias("ys"))
+        left = parted.where("comp <> main").select("key", block(F.col("xs")).alias("x"), every("ys").alias("y"), F.lit(0).alias("side"), "id", "comp", "sketch")
+        right = parted.select("key", every("xs").alias("x"), block(F.col("ys")).alias("y"), F.lit(1).alias("side"), "id", "comp", "sketch")
         units = left.union(right).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-        pairs = units.mapInArrow(_settle(scheme.most_bits, central), "a bigint, b bigint").distinct()
+        pairs = units.mapInArrow(_central(scheme.most_bits, 4), "a bigint, b bigint").distinct()
         found = confirmed(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        drop_stash(unsettled)
         tested = tested.union(found)
         if not found.where("ok").isEmpty():
             labels = joined()
+            drop_stash(unsettled)
+            unsettled = open_keys()
+    # Then whole families, the rows that open keys connect: rows outside the family's largest component meet all its rows of a like set size.
+    if not unsettled.isEmpty():
+        named = unsettled.select("id", "comp").distinct()
+        ends = unsettled.groupBy("key").agg(F.min("id").alias("v"))
+        family = components(unsettled.select("key", F.col("id").alias("u")).join(ends, "key").select("u", "v")).select(F.col("node").alias("id"), F.col("component").alias("family"))
+        band = F.floor(F.log("n_shingles") / float(np.log(1 / threshold))).cast("int")
+        rows_in = stash(named.join(family, "id").join(documents.select("id", "n_shingles").dropDuplicates(["id"]), "id").withColumn("band", band), "family")
+        most = rows_in.groupBy("family", "comp").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+        rows_in = rows_in.join(most, "family")
+        # A set of 0.8 or more of another's size is at most one band away from it.
+        left = rows_in.where("comp <> main").select("family", "band", F.lit(0).alias("side"), "id", "comp", "n_shingles")
+        right = rows_in.select("family", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.lit(1).alias("side"), "id", "comp", "n_shingles")
+        weight = F.col("n_shingles") + unit_shingles // unit
+        loads = [side.groupBy("family", "band").agg(blocks(F.sum(weight), 2 * unit_shingles).alias(n)) for side, n in ((left, "xs"), (right, "ys"))]
+        loads = loads[0].join(loads[1], ["family", "band"])
+        left = left.join(loads, ["family", "band"]).select("family", "band", block(F.col("xs")).alias("x"), every("ys").alias("y"), "side", "id", "comp")
+        right = right.join(loads, ["family", "band"]).select("family", "band", every("xs").alias("x"), block(F.col("ys")).alias("y"), "side", "id", "comp")
+        units = left.union(right).join(texts, "id").select("family", "band", "x", "y", "side", "id", "comp", "z")
+        linked = units.repartition("family", "band", "x", "y").sortWithinPartitions("family", "band", "x", "y", "side").mapInArrow(_families(shingle, percent), "a bigint, b bigint")
+        linked = stash(linked, "linked")
+        if not linked.isEmpty():
+            tested = tested.union(linked.select("a", "b", F.lit(True).alias("ok")))
+            labels = joined()
+    drop_stash(unsettled)
     drop_stash(texts)
     grouped = documents.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
     grouped = stash(grouped, "grouped")
