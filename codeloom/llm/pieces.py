@@ -4,13 +4,14 @@ A path through a text is a sequence of vocabulary pieces; its weight is the sum
 library itself splits the two pieces' joint text into just them and minus infinity elsewhere. For byte-pair models the
 library's segmentation is the one path of weight 0, so the best path gives the library's ids exactly, merges included.
 
-Chunks. Texts are cut into chunks of at most `chunk` characters. No piece reaches across the start of a run of spaces,
-so a cut there has a single boundary state and its chunks are independent (their transfer matrix is one by one). Only
-where a chunk has no such place (a giant word) is it cut anywhere. The states of such a boundary are (piece, how far it
-reaches into the next chunk), a handful each; a chunk's transfer matrix holds which states at its start lead with weight
-0 to which at its end. Matrices are combined associatively from left to right and from right to left, which leaves one
-state at each boundary, and every chunk is then traced back on its own. Characters that no piece covers become their
-UTF-8 bytes; nothing merges with them.
+Chunks. Texts of more than `chunk` characters are cut into chunks; shorter ones are one chunk, encoded and decoded where
+they are read. No piece reaches across the start of a run of spaces, so a cut there has a single boundary state and its
+chunks are independent (their transfer matrix is one by one). Only where a chunk has no such place (a giant word) is it
+cut anywhere. The states of such a boundary are (piece, how far it reaches into the next chunk), a handful each; a
+chunk's transfer matrix holds which states at its start lead with weight 0 to which at its end. Matrices are combined
+associatively, FAN at a time, level upon level, until a text has one. Going down again, each level's two boundary states
+settle those between the matrices below it, and every chunk is then traced back on its own. Characters that no piece
+covers become their UTF-8 bytes; nothing merges with them.
 
 Defined results: null or empty text has no ids; texts of any length are handled in bounded memory; null ids and repeated
 rows are rows of their own (repeated rows with one id are told apart by their number in the input partition); an empty
@@ -22,17 +23,21 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, emitter, rows_of, stash, task_id
+from .common import bounded_batches, emitter, rows_of, stash, task_id, unpacked
 
 SPACE = "▁"
 State = tuple[int, int]  # piece (-1 for none) and how many characters it reaches over the boundary
 START: State = (-1, 0)
+#: So many transfer matrices are combined in one step.
+FAN = 64
 _codecs: dict[str, "Codec"] = {}
 
 
@@ -50,7 +55,7 @@ class _Segments(dict):
 
     def __missing__(self, text: str) -> bytes:
         if (got := self.old.get(text)) is None:
-            got = np.array(self.codec.trace_alone(text), "<u4").tobytes()
+            got = array("I", self.codec.trace_alone(text)).tobytes()
         if len(text) <= 64:
             self[text] = got
         return got
@@ -73,12 +78,17 @@ class Codec:
         special = [self.lib.is_byte(i) or self.lib.is_control(i) or self.lib.is_unknown(i) or self.lib.is_unused(i) for i in range(n)]
         self.id_of = {p: i for i, (p, s) in enumerate(zip(self.pieces, special)) if not s}
         self.longest = max(map(len, self.id_of))
-        self.prefixes = {p[:i] for p in self.id_of for i in range(1, len(p) + 1)}
+        self.trie: dict = {}
+        for p, i in self.id_of.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = i
         self.bytes_of = {b: self.lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.known = _Segments(self)
         self.raw = [bytes([int(p[3:5], 16)]) if self.lib.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.held = held
+        self.pairs: list[dict[int, bool]] = [{} for _ in range(n)]
+        self.known_pairs, self.held = 0, held
         if any(SPACE in p.lstrip(SPACE) for p in self.id_of):
             raise ValueError("pieces that reach across spaces need another place to cut")
 
@@ -95,10 +105,13 @@ class Codec:
         """Whether b may follow a: weight 0, else minus infinity. Nothing (-1) and uncovered characters go with all."""
         if a < 0 or b < 0:
             return True
-        if (ok := self.pairs.get((a, b))) is None:
-            ok = self.library(self.pieces[a] + self.pieces[b]) == [a, b]
-            if len(self.pairs) < self.held:
-                self.pairs[a, b] = ok
+        if (ok := self.pairs[a].get(b)) is None:
+            if self.known_pairs >= 5 * self.held:
+                self.known_pairs = 0
+                for row in self.pairs:
+                    row.clear()
+            ok = self.pairs[a][b] = self.library(self.pieces[a] + self.pieces[b]) == [a, b]
+            self.known_pairs += 1
         return ok
 
     # -- segments ----------------------------------------------------------------------------------------------------
@@ -110,22 +123,23 @@ class Codec:
 
     def trace_alone(self, text: str) -> list[int]:
         """trace() of a whole segment: with one state at its start, every place has one state too."""
-        n, get, pairs, begun = len(text), self.id_of.get, self.pairs.get, self.prefixes
+        n, pairs, trie, joins = len(text), self.pairs, self.trie, self.joins
         last, start = [None] * (n + 1), [0] * (n + 1)
         last[0] = -1
         for at in range(n):
             if (before := last[at]) is None:
                 continue
-            for end in range(at + 1, n + 1):
-                part = text[at:end]
-                if part not in begun:
+            node, end, follows = trie, at, pairs[before].get if before >= 0 else None
+            for c in text[at : at + self.longest]:
+                if (node := node.get(c)) is None:
                     break
-                piece = get(part)
-                if piece is not None and last[end] is None:
-                    ok = before < 0 or pairs((before, piece))
-                    if ok or ok is None and self.joins(before, piece):
+                end += 1
+                if "" in node and last[end] is None:
+                    piece = node[""]
+                    ok = follows is None or follows(piece)
+                    if ok or ok is None and joins(before, piece):
                         last[end], start[end] = piece, at
-            if last[at + 1] is None and get(text[at]) is None:
+            if last[at + 1] is None and text[at] not in self.id_of:
                 last[at + 1], start[at + 1] = -1, at
         out: list[list[int]] = []
         while n:
@@ -245,13 +259,26 @@ def _read(moves: str) -> dict[State, list[State]]:
     return out
 
 
-def resolve(moves: list[dict[State, list[State]]]) -> list[State]:
-    """The states at the boundaries of a chain of chunks, from START to START: forward reach, then back."""
-    reach = [{START}]
-    for m in moves:
+def _state(text: str) -> State:
+    a, b = text.split(",")
+    return int(a), int(b)
+
+
+def combine(moves: list[dict[State, list[State]]]) -> dict[State, list[State]]:
+    """The max-plus product of neighbouring transfer matrices. It is associative, and rows that lead nowhere are left out."""
+    out = moves[0]
+    for m in moves[1:]:
+        out = {a: to for a, mid in out.items() if (to := sorted({t for s in mid for t in m.get(s, ())}))}
+    return out
+
+
+def resolve(moves: list[dict[State, list[State]]], enter: State = START, leave: State = START) -> list[State]:
+    """The states at the boundaries of neighbouring matrices between two that are known: forward reach, then back."""
+    reach = [{enter}]
+    for m in moves[:-1]:
         reach.append({t for s in reach[-1] for t in m.get(s, ())})
-    out = [START]
-    for m, before in zip(reversed(moves), reversed(reach[:-1])):
+    out = [leave]
+    for m, before in zip(reversed(moves), reversed(reach)):
         out.append(min(s for s in before if out[-1] in m.get(s, ())))
     return out[::-1]
 
@@ -267,84 +294,154 @@ def _chunks(path: str, chunk: int):
         for i, text in rows_of(batches):
             number += 1
             whole = marked(text or "")
-            rows = cut(whole, chunk) or [(0, 0, False, False)]
+            rows = cut(whole, chunk)
             reach = codec(path).longest
             for part, (lo, hi, inside, hard) in enumerate(rows):
                 a = max(0, lo - reach) if inside else lo
                 b = min(len(whole), hi + reach) if hard else hi
-                moves = ""
-                if inside or hard:
-                    c, body = codec(path), whole[a:b]
-                    moves = _write(c.transfer(body, lo - a, hi - a, c.entries(body, lo - a) if inside else [START], not hard))
-                yield from put((f"{task}:{number}", i, part, len(rows), whole[a:b], lo - a, hi - a, inside, hard, moves), b - a + 100)
+                c, body = codec(path), whole[a:b]
+                moves = _write(c.transfer(body, lo - a, hi - a, c.entries(body, lo - a) if inside else [START], not hard)) if inside or hard else "-1,0>-1,0"
+                yield from put((f"{task}:{number}", i, part, len(rows), body, lo - a, hi - a, inside, hard, moves), b - a + 100)
         yield from flush()
 
     return run
 
 
+_LEVEL = pa.schema([("rk", pa.string()), ("part", pa.int32()), ("moves", pa.string())])
 _STATES = pa.schema([("rk", pa.string()), ("part", pa.int32()), ("enter", pa.string()), ("leave", pa.string())])
 
 
-def _solve(batches):
-    """Rows come sorted by text and part: settles the boundary states of every chain."""
-    put, flush = emitter(_STATES)
-    key, chain, last = None, [], -2
+def _groups(batches):
+    """Rows (rk, part, ...) sorted by rk and part, in groups of FAN parts."""
+    key, group = None, []
+    for row in rows_of(batches):
+        if (row[0], row[1] // FAN) != key:
+            if group:
+                yield key, group
+            key, group = (row[0], row[1] // FAN), []
+        group.append(row)
+    if group:
+        yield key, group
+
+
+def _up(batches):
+    """(rk, part, moves) of one level -> those of the next, a FAN-th as many."""
+    put, flush = emitter(_LEVEL)
+    for (rk, part), group in _groups(batches):
+        yield from put((rk, part, _write(combine([_read(m) for _, _, m in group]))))
+    yield from flush()
 
-    def done():
-        states = resolve([_read(m) for _, m in chain])
-        for (part, _), a, b in zip(chain, states, states[1:]):
-            yield from put((key, part, f"{a[0]},{a[1]}", f"{b[0]},{b[1]}"))
 
-    for rk, part, inside, moves in rows_of(batches):
-        if chain and (rk != key or not inside or part != last + 1):
-            yield from done()
-            chain = []
-        key, last = rk, part
-        chain.append((part, moves))
-    if chain:
-        yield from done()
+def _down(batches):
+    """(rk, part, moves, enter, leave), the states being those of the FAN parts together -> the states of each part."""
+    put, flush = emitter(_STATES)
+    for (rk, _), group in _groups(batches):
+        states = resolve([_read(m) for _, _, m, _, _ in group], _state(group[0][3]), _state(group[0][4]))
+        for (_, part, *_), a, b in zip(group, states, states[1:]):
+            yield from put((rk, part, f"{a[0]},{a[1]}", f"{b[0]},{b[1]}"))
     yield from flush()
 
 
-_IDS = pa.schema([("rk", pa.string()), ("id", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("crc", pa.int64()), ("back", pa.binary()), ("ids", pa.binary())])
+def boundary_states(moves: DataFrame) -> DataFrame:
+    """(rk, part, enter, leave) of every chunk from (rk, part, moves): matrices combined up a tree, states settled down it."""
+    level, levels, most = moves, [], moves.agg(F.max("part")).first()[0] or 0
+    dealt = lambda df: df.withColumn("g", F.floor(F.col("part") / FAN)).repartition("rk", "g").drop("g").sortWithinPartitions("rk", "part")
+    while most > 0:
+        levels.append(level)
+        level = stash(dealt(level).mapInArrow(_up, "rk string, part int, moves string"), "level")
+        most //= FAN
+    states = level.select("rk", "part", F.lit("-1,0").alias("enter"), F.lit("-1,0").alias("leave"))
+    for below in reversed(levels):
+        above = states.select("rk", F.col("part").alias("g"), "enter", "leave")
+        joined = below.withColumn("g", F.floor(F.col("part") / FAN).cast("int")).join(above, ["rk", "g"]).select("rk", "part", "moves", "enter", "leave")
+        states = dealt(joined).mapInArrow(_down, "rk string, part int, enter string, leave string")
+    return states
+
+
+IDS = "rk string, id bigint, part int, n bigint, ids binary"
+_IDS = pa.schema([("rk", pa.string()), ("id", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("ids", pa.binary())])
 
 
 def _encode(path: str):
+    """Chunks whose boundary states are known -> their ids; with states null, whole texts."""
+
     def run(batches):
         c = codec(path)
         put, flush = emitter(_IDS)
-        for rk, i, part, parts, body, lo, hi, inside, hard, enter, leave in rows_of(batches):
-            a = tuple(map(int, enter.split(","))) if enter else START
-            b = tuple(map(int, leave.split(","))) if leave else START
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for rk, i, part, body, lo, hi, inside, hard, enter, leave in rows_of(batches):
             if inside or hard:
-                raw = np.array(c.trace(body, lo, hi, a, b), "<u4").tobytes()
+                raw = array("I", c.trace(body, lo, hi, _state(enter), _state(leave))).tobytes()
             else:
                 raw = c.segments(body[lo:hi])
-            yield from put((rk, i, part, len(raw) // 4, zlib.crc32(raw), None, raw), len(raw) + 80)
+            small = squeeze(np.frombuffer(raw, "<u4").astype("<u2").tobytes() if len(c.pieces) <= 1 << 16 else raw)
+            yield from put((rk, i, part, len(raw) // 4, small), len(small) + 80)
         yield from flush()
 
     return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model: str | None = None, chunk: int = 16_384) -> DataFrame:
-    """(id, rk, part, n_tokens, ids): ids of every chunk in little-endian 32-bit integers. rk names the input row; its chunks in order of part are the whole text."""
+def _wide(c: Codec, small: bytes) -> bytes:
+    """Ids as shuffled -> little-endian 32-bit integers."""
+    raw = unpacked(small)
+    return np.frombuffer(raw, "<u2").astype("<u4").tobytes() if len(c.pieces) <= 1 << 16 else raw
+
+
+def _giants(rows: DataFrame, path: str, chunk: int) -> DataFrame:
+    """(rk, id, part, n, ids) of the chunks of texts that have more than one; ids as _encode packs them."""
+    chunks = stash(rows.where(F.length("text") >= chunk).mapInArrow(_chunks(path, chunk), CHUNK), "chunks")
+    cols = ["rk", "id", "part", "body", "lo", "hi", "inside", "open", "enter", "leave"]
+    chained = chunks.where("inside or open").select("rk").distinct()
+    moves = chunks.select("rk", "part", "moves").join(chained, "rk", "left_semi")
+    if moves.isEmpty():
+        named = chunks.withColumn("enter", F.lit(None).cast("string")).withColumn("leave", F.lit(None).cast("string"))
+    else:
+        named = chunks.join(boundary_states(moves), ["rk", "part"], "left")
+    return named.select(*cols).repartition("rk", "part").mapInArrow(_encode(path), IDS)
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model: str | None = None, chunk: int = 65_536) -> DataFrame:
+    """(id, rk, part, n_tokens, ids): ids of every chunk in little-endian 32-bit integers. rk names the input row of a text of several chunks, which are the whole text in order of part; it is null for others."""
     bounded_batches(docs.sparkSession)
     path = model or default_model()
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    chunks = stash(rows.mapInArrow(_chunks(path, chunk), CHUNK), "chunks")
-    chained = chunks.where("inside or open").select("rk", "part", "inside", "moves").repartition("rk").sortWithinPartitions("rk", "part")
-    states = chained.mapInArrow(_solve, "rk string, part int, enter string, leave string")
-    named = chunks.where("inside or open").join(states, ["rk", "part"], "left").unionByName(chunks.where("not (inside or open)"), allowMissingColumns=True)
-    cols = ["rk", "id", "part", "parts", "body", "lo", "hi", "inside", "open", "enter", "leave"]
-    return named.select(*cols).mapInArrow(_encode(path), "rk string, id bigint, part int, n bigint, crc bigint, back binary, ids binary").select(F.col("id").alias(id_col), "rk", "part", F.col("n").alias("n_tokens"), "ids")
 
+    def run(batches):
+        c = codec(path)
+        put, flush = emitter(_IDS)
+        for i, text in rows_of(batches):
+            raw = c.segments(marked(text or ""))
+            yield from put((None, i, 0, len(raw) // 4, raw), len(raw) + 80)
+        yield from flush()
+
+    def widen(batches):
+        c = codec(path)
+        for b in batches:
+            yield b.set_column(4, "ids", pa.array([_wide(c, z) for z in b.column(4).to_pylist()], pa.binary()))
+
+    alone = rows.where(F.coalesce(F.length("text"), F.lit(0)) < chunk).mapInArrow(run, IDS)
+    return alone.union(_giants(rows, path, chunk).mapInArrow(widen, IDS)).select(F.col("id").alias(id_col), "rk", "part", F.col("n").alias("n_tokens"), "ids")
 
+
+DONE = "id bigint, n_tokens bigint, ids_crc32 bigint, n_chars bigint, decoded_sha256 string"
 _DONE = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("n_chars", pa.int64()), ("decoded_sha256", pa.string())])
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model: str | None = None, chunk: int = 16_384) -> DataFrame:
-    """(id, n_tokens, ids_crc32, n_chars, decoded_sha256) of every row: encodes each text and decodes its ids again. A text's chunks are read in order and never held together."""
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model: str | None = None, chunk: int = 65_536) -> DataFrame:
+    """(id, n_tokens, ids_crc32, n_chars, decoded_sha256) of every row: encodes each text and decodes its ids again. A giant text's chunks are read in order and never held together."""
+    bounded_batches(docs.sparkSession)
     path = model or default_model()
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    chars = lambda text: int(np.count_nonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)) if text else 0
+
+    def alone(batches):
+        c = codec(path)
+        put, flush = emitter(_DONE)
+        for i, text in rows_of(batches):
+            raw = c.segments(marked(text or ""))
+            back = c.decode(memoryview(raw).cast("I"))
+            yield from put((i, len(raw) // 4, zlib.crc32(raw), chars(back), hashlib.sha256(back).hexdigest()), 200)
+        yield from flush()
 
     def run(batches):
         c = codec(path)
@@ -352,24 +449,25 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         key, state = None, None
 
         def done():
-            i, n, crc, chars, sha = state
-            return put((i, n, crc, chars, sha.hexdigest()))
+            i, n, crc, size, sha = state
+            return put((i, n, crc, size, sha.hexdigest()))
 
-        for i, rk, part, n, raw in rows_of(batches):
+        for rk, i, part, n, small in rows_of(batches):
             if rk != key:
                 if key is not None:
                     yield from done()
                 key, state = rk, [i, 0, 0, 0, hashlib.sha256()]
-            ids = np.frombuffer(raw, "<u4").tolist()
+            raw = _wide(c, small)
+            ids = memoryview(raw).cast("I")
             text = c.decode(ids) if part == 0 else c.decode([c.id_of[SPACE], *ids])
             state[1] += n
             state[2] = zlib.crc32(raw, state[2])
-            state[3] += sum((x & 0xC0) != 0x80 for x in text) if len(text) < 64 else int(np.count_nonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80))
+            state[3] += chars(text)
             state[4].update(text)
         if key is not None:
             yield from done()
         yield from flush()
 
-    parts = encode(docs, id_col, text_col, model=model, chunk=chunk)
-    ordered = parts.repartition("rk").sortWithinPartitions("rk", "part")
-    return ordered.mapInArrow(run, "id bigint, n_tokens bigint, ids_crc32 bigint, n_chars bigint, decoded_sha256 string").withColumnRenamed("id", id_col)
+    small = rows.where(F.coalesce(F.length("text"), F.lit(0)) < chunk).mapInArrow(alone, DONE)
+    giant = _giants(rows, path, chunk).repartition("rk").sortWithinPartitions("rk", "part").mapInArrow(run, DONE)
+    return small.union(giant).withColumnRenamed("id", id_col)

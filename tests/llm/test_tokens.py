@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from codeloom.llm.packing import choose_cuts, pack
-from codeloom.llm.pieces import START, Codec, cut, default_model, marked, resolve, round_trip
+from codeloom.llm.pieces import START, Codec, combine, cut, default_model, encode, marked, resolve, round_trip
 from codeloom.llm.token_files import Dac, dac_encode, read_tokens, token_files, write_tokens
 from codeloom.llm.tokens import ChunkEncoder, default_vocabulary
 
@@ -148,3 +148,20 @@ def test_round_trip_over_spark(spark, odd_rows, codec):
     want = sorted((str(i), len(e := codec.lib.encode(t or "")), zlib.crc32(np.array(e, "<u4").tobytes()), len(t or ""), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
     assert sorted((str(x.doc_id), x.n_tokens, x.ids_crc32, x.n_chars, x.decoded_sha256) for x in out) == want
     assert round_trip(frame(spark, []).where("false")).collect() == []
+
+
+def test_matrices_combine_in_any_grouping(codec, words):
+    m = marked(words(40, 7).replace(" ", ""))
+    moves = [codec.transfer(m, lo, hi, codec.entries(m, lo) if inside else [START], not hard) for lo, hi, inside, hard in cut(m, 9)]
+    whole, third = combine(moves), len(moves) // 3
+    assert whole == combine([combine(moves[:third]), combine(moves[third:])]) == combine([moves[0], combine(moves[1:])]) and whole[START] == [START]
+    states = resolve(moves)
+    assert states == [*resolve(moves[:third], START, states[third]), *resolve(moves[third:], states[third], START)[1:]]
+
+
+def test_giant_words_go_up_and_down_the_tree(spark, words, codec):
+    rows = [(1, words(250, 3).replace(" ", "")), (2, words(30, 2)), (3, "x" * 300), (4, None), (4, words(5, 1))]
+    out = round_trip(frame(spark, rows).repartition(2), chunk=7).collect()  # the first has more than 100 chunks
+    assert sorted((x.doc_id, x.n_tokens, x.ids_crc32) for x in out) == sorted((i, len(e := codec.lib.encode(t or "")), zlib.crc32(np.array(e, "<u4").tobytes())) for i, t in rows)
+    parts = sorted((x.doc_id, x.part, x.ids) for x in encode(frame(spark, rows), chunk=40).collect() if x.doc_id != 4)
+    assert {i: np.frombuffer(b"".join(p for j, _, p in parts if j == i), "<u4").tolist() for i in (1, 2, 3)} == {i: codec.lib.encode(t) for i, t in rows if i != 4}
