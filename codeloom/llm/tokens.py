@@ -6,6 +6,7 @@ import os
 import re
 from array import array
 from bisect import bisect_right
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, utf8
 
 _encoders: dict[str, "ChunkEncoder"] = {}
-_plain = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
-_ended = re.compile(rb"[^<]*[a-z0-9][.,]").fullmatch
+#: A word of Latin letters, then ASCII marks; apostrophes (which may begin a contraction) and < and | (which may spell a special token) are left out.
+_word = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=-@\[-`{}~]*)").fullmatch
+_ended = re.compile(rb"[^<]*[0-9][.,]").fullmatch
+_id = attrgetter("id")
 
 
 def default_vocabulary() -> str:
@@ -39,14 +42,15 @@ class ChunkEncoder:
     Only for byte-level tokenizers that lower-case, drop white space and never join text across it nor letters with
     punctuation (as word_bpe_49k.json): there the ids of a text are those of its chunks. Chunks are cut at ASCII white
     space. A new chunk of lower-case Latin letters is one word to the tokenizer, so its merges are asked for straight
-    away; a full stop or comma after a letter or digit is looked up apart; all else goes through the whole tokenizer.
+    away; marks after such a word, and a full stop or comma after a digit, are looked up apart; all else goes through the
+    whole tokenizer.
     """
 
     def __init__(self, path: str, held: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.young, self.old, self.held = Tokenizer.from_file(path), {}, {}, held
+        self.tokenizer, self.young, self.old, self.marks, self.held = Tokenizer.from_file(path), {}, {}, {}, held
         self.letters = _byte_letters()
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         size = self.tokenizer.get_vocab_size() + 1
@@ -65,34 +69,37 @@ class ChunkEncoder:
         """A table that has all the chunks. What was not asked for lately is forgotten, in two generations."""
         if len(self.young) >= self.held:
             self.young, self.old = {}, self.young
-        young, old, new, ended = self.young, self.old, [], []
+        young, old, whole, later = self.young, self.old, [], []
+        merge, letters = self.tokenizer.model.tokenize, self.letters
         for c in set(chunks):
-            if c not in young:
-                if (got := old.get(c)) is not None:
-                    young[c] = got
-                elif _ended(c):
-                    ended.append(c)
-                else:
-                    new.append(c)
-        for c in ended:
-            for part in (c[:-1], c[-1:]):
-                if part not in young:
-                    if (got := old.get(part)) is not None:
-                        young[part] = got
-                    else:
-                        new.append(part)
-        merge, letters, whole = self.tokenizer.model.tokenize, self.letters, []
-        for c in new:
-            if not _plain(c):
+            if c in young:
+                continue
+            if (got := old.get(c)) is not None:
+                young[c] = got
+                continue
+            if fit := _word(c):
+                word, marks = fit.groups()
+                if (got := young.get(word)) is None:
+                    if (got := old.get(word)) is None:
+                        name = word.decode() if word.isascii() else word.decode().lower().encode().decode("latin-1").translate(letters)
+                        got = array("I", map(_id, merge(name))).tobytes()
+                    young[word] = got
+                if marks:
+                    if (after := self.marks.get(marks)) is None:
+                        if len(self.marks) >= self.held:
+                            self.marks.clear()
+                        after = self.marks[marks] = array("I", self.tokenizer.encode(marks.decode(), add_special_tokens=False).ids).tobytes()
+                    young[c] = got + after
+            elif _ended(c):
+                later.append(c)
+                whole += [p for p in (c[:-1], c[-1:]) if p not in young]
+            else:
                 whole.append(c)
-            elif c not in young:
-                word = c.decode() if c.isascii() else c.decode("latin-1").translate(letters)
-                young[c] = array("I", [x.id for x in merge(word)]).tobytes()
         if whole:
             ids = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in whole], add_special_tokens=False)
             for c, e in zip(whole, ids):
                 young[c] = array("I", e.ids).tobytes()
-        for c in ended:
+        for c in later:
             young[c] = young[c[:-1]] + young[c[-1:]]
         return young
 
