@@ -32,6 +32,26 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_rows(docs: DataFrame, id_col: str) -> tuple[DataFrame, str, bool]:
+    """docs with a bigint that names each row, its column's name, and whether that is just the id.
+
+    It is the id where every row has one of its own. Otherwise rows are numbered, and written to the shared folder so
+    that a number stays with its row however often it is read.
+    """
+    row = fresh("__row", docs)
+    if docs.groupBy(F.col(id_col)).count().where(F.col("count") > 1).isEmpty() and docs.where(F.col(id_col).isNull()).isEmpty():
+        return docs.withColumn(row, F.col(id_col).cast("bigint")), row, True
+    return stash(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row, False
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)

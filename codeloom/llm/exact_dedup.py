@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, bounded_batches, emitter, rows_of, stash, task_id, utf8
+from .common import SPACE, bounded_batches, emitter, rows_of, stash, task_id, utf8, with_rows
 
 LOG = "kind int, task int, digest string, id bigint, n bigint, members bigint, checked boolean, sha string"
 _LOG = pa.schema([("kind", pa.int32()), ("task", pa.int32()), ("digest", pa.string()), ("id", pa.int64()), ("n", pa.int64()), ("members", pa.int64()), ("checked", pa.bool_()), ("sha", pa.string())])
@@ -135,6 +135,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stay, all columns; of repeated rows with one id, one. Rows without an id can't be named by a decision and stay."""
-    kept = exact_dedup(docs, id_col, text_col, **options).where("kept").select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).union(docs.where(F.col(id_col).isNull()))
+    """The rows of docs that stay, all columns: of each group of equal texts the one with the most code points, then the smallest id.
+
+    Defined results: null and empty texts are one group; ids may be null or repeated, since rows are told apart by
+    number: of equal texts of one id any one of the longest stays, different texts of one id all stay, and a null id
+    loses every tie; texts of any length are compared whole; an empty table gives an empty one; other columns, whatever
+    their names, are kept as they are.
+    """
+    rows, row, plain = with_rows(docs, id_col)
+    said = exact_dedup(rows, row, text_col, **options)
+    if plain:
+        kept = said.where("kept").select(row)
+    else:
+        n = F.length(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+        ranked = rows.select(row, F.struct((-n).alias("n"), F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("rank")).join(said.select(row, "text_sha256"), row)
+        kept = ranked.groupBy("text_sha256").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -108,6 +108,14 @@ class Model:
         return best, sure * (votes[best] / (len(members) - 1) if len(members) > 1 else 1.0)
 
 
+    def margin(self, x: np.ndarray) -> float:
+        """How far the best family's decision is above the next one's; without limit where there is one family."""
+        if self.family_w is None:
+            return np.inf
+        best = np.sort(self.family_w @ np.append(x, 1.0))
+        return float(best[-1] - best[-2])
+
+
 def train(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, sample: int = 3000) -> Model | None:
     """Fits a model on a bounded sample: per_language rows of each language that has any."""
     bounded_batches(docs.sparkSession)
@@ -159,8 +167,20 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part
 
 
-def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, least_score: float = 0.25) -> DataFrame:
-    """The rows of docs whose language is known, all columns: rejects `und` and scores below least_score. Rows without an id stay."""
+def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, least_margin: float = 0.05) -> DataFrame:
+    """The rows of docs whose language is known, all columns. Texts without a letter go, and texts that two families claim alike (the best one's decision is less than `least_margin` above the next one's, whatever the number of languages).
+
+    Defined results: null and empty texts go; every row is judged by its own text, so ids may be null or repeated (they
+    only choose what is learned from); texts of any length are read whole; without any labelled row, or in an empty
+    table, nothing is known and nothing stays; other columns, whatever their names, are kept as they are.
+    """
     model = train(docs, ~held_out(id_col, 3, 1), id_col=id_col, text_col=text_col, lang_col=lang_col)
-    known = identify(docs, model, id_col, text_col).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(id_col).distinct()
-    return docs.join(known, id_col, "left_semi").union(docs.where(F.col(id_col).isNull()))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # weights of each family and pair of languages
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            known = [shared.value is not None and has_letter(t) and shared.value.margin(features(t)) >= least_margin for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

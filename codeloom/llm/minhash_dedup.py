@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, drop_stash, emitter, packed, rows_of, stash, unpacked, utf8
+from .common import bounded_batches, components, drop_stash, emitter, packed, rows_of, stash, unpacked, utf8, with_rows
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -458,6 +458,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stay, one of each component, all columns; of repeated rows with one id, one. Rows without an id stay."""
-    kept = near_dedup(docs, id_col, text_col, **options).where("kept").select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).union(docs.where(F.col(id_col).isNull()))
+    """The rows of docs that stay, all columns: of each component the one with the smallest id.
+
+    Defined results: null, empty and blank texts stay; ids may be null or repeated, since rows are told apart by number:
+    of linked rows of one id any one stays, and a null id stays only where no linked row has an id; texts of any length
+    are compared whole; an empty table gives an empty one; other columns, whatever their names, are kept as they are.
+    """
+    rows, row, plain = with_rows(docs, id_col)
+    said = near_dedup(rows, row, text_col, **options)
+    if plain:
+        kept = said.where("kept").select(row)
+    else:
+        ranked = rows.select(row, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("rank")).join(said.select(row, "component_id"), row)
+        kept = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop_stash, emitter, rows_of, stash, unpacked, utf8
+from .common import bounded_batches, drop_stash, emitter, fresh, rows_of, stash, unpacked, utf8, with_rows
 
 GRAM = 32
 _rng = np.random.default_rng(20240607)
@@ -292,9 +292,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out if texts else out.drop("kept_text")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400) -> DataFrame:
-    """docs with repeated passages taken out of the texts; n_chars, if there, is counted anew. Code points cut in two are dropped."""
-    cut = suffix_dedup(docs, id_col, text_col, length=length, texts=True).where("n_removed > 0").select(F.col(id_col).alias("__id"), F.col("kept_text").alias("__t")).dropDuplicates(["__id"])
-    joined = docs.join(cut, docs[id_col] == cut["__id"], "left")
-    text = F.when(F.col("__id").isNotNull(), F.col("__t")).otherwise(docs[text_col])
-    return joined.select(*[text.alias(c) if c == text_col else F.when(F.col("__id").isNotNull(), F.length("__t").cast("bigint")).otherwise(docs[c]).alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
+#: Bytes that the stage takes for a passage: about 50 tokens, the customary length for suffix-array dedup of prose.
+PASSAGE = 200
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = PASSAGE) -> DataFrame:
+    """docs with every passage of `length` bytes or more that occurs again taken out of the texts; n_chars, if there, is counted anew. Code points cut in two are dropped.
+
+    Defined results: null texts stay null and texts shorter than `length` as they are; ids may be null or repeated,
+    since rows are told apart by number (repeated rows repeat each other); texts of any length are searched whole; an
+    empty table gives an empty one; other columns, whatever their names, are kept as they are.
+    """
+    rows, row, _ = with_rows(docs, id_col)
+    mark, text = fresh("__cut", rows), fresh("__kept", rows)
+    cut = suffix_dedup(rows, row, text_col, length=length, texts=True).where("n_removed > 0").select(F.col(row).alias(mark), F.col("kept_text").alias(text))
+    joined = rows.join(cut, F.col(row) == F.col(mark), "left")
+    new = {text_col: F.col(text), "n_chars": F.length(F.col(text)).cast("bigint")}
+    return joined.select(*[F.when(F.col(mark).isNotNull(), new[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

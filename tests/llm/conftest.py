@@ -15,7 +15,7 @@ def frame(spark, rows):
 def words():
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("abdeilnorstu") for _ in range(rng.randint(2, 7))) for _ in range(900)]
-    return lambda n, seed: " ".join(random.Random(seed).choice(vocabulary) for _ in range(n))
+    return lambda n, seed: " ".join(random.Random(seed).choices(vocabulary, k=n))
 
 
 @pytest.fixture(scope="session")

@@ -180,3 +180,22 @@ def test_remove_repeats_keeps_columns(spark, words):
     out = {r.doc_id: r for r in remove_repeats(docs).collect()}
     assert remove_repeats(docs).columns == docs.columns and len(out) == 4
     assert shared not in out[1].text and out[1].n_chars == len(out[1].text) and out[3].text is None and out[4].text == "short"
+
+
+def test_remove_repeats_takes_passages_of_more_than_fifty_words(spark, words):
+    passages = [words(51 + n, 500 + n) for n in range(4)]
+    rows = [(i, f"{words(80, i)} {passages[i % 4]} {words(60, 100 + i)}") for i in range(12)] + [(50, words(150, 77))]
+    out = {r.doc_id: r.text for r in remove_repeats(frame(spark, rows).repartition(3)).collect()}
+    assert all(len(passages[i % 4]) - 2 <= len(t) - len(out[i]) <= len(passages[i % 4]) + 8 for i, t in rows[:12]) and out[50] == rows[-1][1]
+
+
+def test_stages_tell_rows_of_one_id_apart(spark, words):
+    """Repeated and null ids: different texts stay apart, equal ones are one group."""
+    shared, other = words(90, 1), words(70, 2)
+    rows = [(1, "a " + shared), (1, other), (2, "b " + shared), (None, "c " + shared), (None, words(50, 3)), (1, other + " ")]
+    texts = lambda df: sorted((r.doc_id is None, r.doc_id, r.text) for r in df.collect())
+    docs = frame(spark, rows)
+    assert texts(drop_copies(docs)) == sorted((i is None, i, t) for i, t in [*rows[:1], *rows[2:]])
+    assert texts(drop_near_copies(docs)) in [sorted((i is None, i, t) for i, t in [rows[0], x, rows[4]]) for x in (rows[1], rows[5])]
+    cut = texts(remove_repeats(docs))
+    assert len(cut) == 6 and sum(shared in t for _, _, t in cut) == 0 and sum(t == rows[4][1] for _, _, t in cut) == 1 and sum(len(t) < 10 for _, _, t in cut) == 5

@@ -37,3 +37,24 @@ def test_pipeline_keeps_columns_and_packs(spark, sf):
         docs, n = docs_out, docs_out.count()
     packed = cp.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == n
+
+
+def test_stages_handle_odd_rows_and_nothing(spark, odd_rows, tmp_path):
+    """Nulls, blanks, repeated and null ids, a very long text and clashing names, through every stage and through run."""
+    import corpus_pipeline as cp
+
+    from .conftest import frame
+
+    rows = [(i, t, "en" if i and i % 2 else "de") for i, t, *_ in odd_rows] + [(17, None, None)]
+    for data in (frame(spark, rows), frame(spark, []).where("false")):
+        path = str(tmp_path / f"t{data.count()}")
+        data.write.parquet(f"{path}/documents.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        want = docs.count()
+        for name, stage in cp.STAGES[:-1]:
+            out = stage(spark, docs, path)
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes and out.count() <= want, name
+            docs, want = spark.createDataFrame(out.collect(), out.schema), out.count()
+        pieces = cp.STAGES[-1][1](spark, docs, path).collect()
+        assert {p.doc_id for p in pieces} == {d.doc_id for d in docs.collect()}
+        assert sorted((p.doc_id is None, p.doc_id, p.start, p.length) for p in cp.run(spark, path).collect()) == sorted((p.doc_id is None, p.doc_id, p.start, p.length) for p in pieces)
