@@ -38,9 +38,15 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b)
 
 
+def word_pattern(word: str) -> str:
+    """A pattern for a word as it is written, with no letter, digit or underscore beside it."""
+    quoted = word.replace("\\E", "\\E\\\\E\\Q")
+    return rf"(?<!{WORD})\Q{quoted}\E(?!{WORD})"
+
+
 def whole_word(text: Column, word: str) -> Column:
     """Whether a word occurs with no letter, digit or underscore beside it."""
-    return text.rlike(rf"(?<!{WORD})\Q{word}\E(?!{WORD})")
+    return text.rlike(word_pattern(word))
 
 
 def file_name(path: Column) -> Column:

@@ -82,7 +82,7 @@ def holders(t: Tables, symbols: DataFrame) -> DataFrame:
 
 def mentions(t: Tables, word: str) -> DataFrame:
     """Q18: whole-word hits in strings, comments and prose, with their byte offset."""
-    part = F.expr(rf"regexp_instr(text, '(?<![\\p{{IsAlphabetic}}\\p{{N}}_])\\Q{word}\\E(?![\\p{{IsAlphabetic}}\\p{{N}}_])')")
+    part = F.regexp_instr("text", F.lit(S.word_pattern(word)))
     hit = t.texts.where(S.whole_word(F.col("text"), word))
     return hit.select("path", "language", (F.col("start") + F.octet_length(F.substring("text", F.lit(1), part - 1))).alias("start"), "text")
 

@@ -26,14 +26,12 @@ def pages_workspace(spark, d) -> Workspace:
     return Workspace(W.from_pages(t(spark, d, "pages")))
 
 
-def flagship(spark, d):
+@query("q02_stats_of_pages")
+def page_stats(spark, d):
     """Scan, extract, resolve, aggregate: statistics of the pages by language."""
     return pages_workspace(spark, d).stats()
 
 
-query("q02_stats_of_pages")(flagship)
-
-
 @query("x05_class_references", """
 SELECT name, count(*) AS n FROM (SELECT unnest(string_split_regex(trim(c), '[\\s,]+')) AS name FROM (SELECT unnest(regexp_extract_all(html, 'class="([^"]*)"', 1)) AS c FROM pages)) WHERE name <> '' GROUP BY name""")
 def class_references(spark, d):
@@ -201,7 +199,7 @@ def container_chain(spark, d):
     return reports.holders(w.tables, w.tables.symbols.where("name = 'n' and path = 'shop/core.py'")).join(w.tables.symbols.select(F.col("symbol_id").alias("node"), "name"), "node").select("name")
 
 
-@query("q17_unreachable", values("name", [("dead_a",), ("dead_b",), ("_spared",), ("orphan_helper",), ("settings",)]))
+@query("g17_unreachable_functions", values("name", [("dead_a",), ("dead_b",), ("_spared",), ("orphan_helper",), ("settings",)]))
 def unreachable(spark, d):
     return sample(spark).unreachable().where("path like 'shop/%' and kind = 'function'").select("name")
 
@@ -218,8 +216,9 @@ def normal(spark, d):
     return paths.select("path", P.normal_paths(F.col("path")).alias("normal"))
 
 
-@query("p02_line_and_column", "SELECT doc_id, CAST(len(string_split(text[:100], chr(10))) AS INTEGER) AS line, CAST(length(string_split(text[:100], chr(10))[-1]) + 1 AS INTEGER) AS col FROM documents WHERE length(text) >= 100 AND regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query("p02_line_and_column", "SELECT doc_id, CAST(len(string_split(half, chr(10))) AS INTEGER) AS line, CAST(length(string_split(half, chr(10))[-1]) + 1 AS INTEGER) AS col FROM (SELECT doc_id, left(coalesce(text, ''), length(coalesce(text, '')) // 2) AS half FROM documents)")
 def line_and_column(spark, d):
-    """Where the byte offset 100 lies in ASCII texts."""
-    docs = t(spark, d, "documents").where("length(text) >= 100").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
-    return docs.select("doc_id", P.line_cols(F.col("text"), F.lit(100)).alias("p")).select("doc_id", "p.line", "p.col")
+    """Where the byte offset of each text's middle lies."""
+    docs = t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    half = F.octet_length(F.expr("substring(text, 1, int(length(text) div 2))"))
+    return docs.select("doc_id", P.line_cols(F.col("text"), half).alias("p")).select("doc_id", "p.line", "p.col")

@@ -138,6 +138,12 @@ def with_languages(files: DataFrame, only: list[str] | None = None) -> DataFrame
     return out.where(F.col("language").isin(only)) if only else out
 
 
+def census(files: DataFrame) -> DataFrame:
+    """(ext, n) of files that no language has."""
+    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    return files.where(~ext.isin(list(EXTENSIONS))).groupBy(F.when(ext == "", "no extension").otherwise(ext).alias("ext")).agg(F.count("*").alias("n"))
+
+
 def split_by_size(files: DataFrame, most: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """(kept, too large)."""
     return files.where(F.octet_length("text") <= most), files.where(F.octet_length("text") > most)

@@ -1,8 +1,9 @@
 """Incremental indexing with Structured Streaming.
 
 An addition of this engine, on top of the content-addressed cache (K6): files that arrive as rows (path, language, text)
-are extracted only if no stored facts have their language and content; facts are kept by content key, so renamed and
-repeated files cost nothing. Each micro-batch appends only what is new, and running it again appends nothing.
+are extracted only if no stored facts have their language and content. Facts are kept by content key, and a second table
+says which path has which key, so renamed and repeated files cost a row each. A micro-batch that is run again appends
+path rows that change nothing.
 """
 
 from __future__ import annotations
@@ -16,24 +17,37 @@ from ..operators.facts import extracted, missing_from_cache
 MANIFEST = "path string, language string, text string"
 
 
-def index_batch(batch: DataFrame, store: str) -> None:
-    spark = batch.sparkSession
-    keyed = batch.withColumn("key", F.sha2(F.concat("language", F.lit("\0"), "text"), 256)).dropDuplicates(["key"])
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        known = spark.read.parquet(store).select("key")
+        return spark.read.parquet(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        known = keyed.select("key").limit(0)
-    new = missing_from_cache(keyed.drop("key"), known)
-    facts = extracted(new)
-    facts.join(keyed.select("path", "key"), "path").write.mode("append").parquet(store)
+        return None
+
+
+def index_batch(batch: DataFrame, store: str, number: int = 0) -> None:
+    """Facts of new contents go to store/facts by key; which path has which content goes to store/paths."""
+    spark = batch.sparkSession
+    keyed = batch.withColumn("key", F.sha2(F.concat("language", F.lit("\0"), "text"), 256))
+    known = _read(spark, f"{store}/facts")
+    once = keyed.dropDuplicates(["key"])
+    new = missing_from_cache(once.drop("key"), known if known is not None else once.limit(0))
+    extracted(new).join(once.select("path", "key"), "path").drop("path").write.mode("append").parquet(f"{store}/facts")
+    keyed.select("path", "key", F.lit(number).cast("bigint").alias("batch")).write.mode("append").parquet(f"{store}/paths")
+
+
+def stored(spark: SparkSession, store: str) -> DataFrame:
+    """Facts of every path, as its latest batch left it; files of equal content share what was stored once."""
+    at = spark.read.parquet(f"{store}/paths").groupBy("path").agg(F.max_by("key", F.struct("batch", "key")).alias("key"))
+    facts = spark.read.parquet(f"{store}/facts").dropDuplicates(["key"])
+    return at.join(facts, "key").drop("key")
 
 
 def start(spark: SparkSession, manifest: str, store: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Follows a folder of Parquet manifests."""
     stream = spark.readStream.schema(MANIFEST).parquet(manifest)
-    writer = stream.writeStream.foreachBatch(lambda df, _: index_batch(df, store)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda df, number: index_batch(df, store, number)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

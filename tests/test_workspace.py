@@ -165,8 +165,15 @@ def test_incremental_index_is_idempotent(spark, tmp_path):
     rows = [("a.py", "python", "x = 1\n"), ("copy.py", "python", "x = 1\n"), ("b.css", "css", ".a { }")]
     spark.createDataFrame(rows, incremental.MANIFEST).write.parquet(manifest)
     incremental.start(spark, manifest, store, str(tmp_path / "c")).awaitTermination()
-    assert spark.read.parquet(store).count() == 2
+    assert spark.read.parquet(f"{store}/facts").count() == 2 and incremental.stored(spark, store).count() == 3
     spark.createDataFrame(rows[:1] + [("c.md", "markdown", "# T\n")], incremental.MANIFEST).write.mode("append").parquet(manifest)
     incremental.start(spark, manifest, store, str(tmp_path / "c")).awaitTermination()
-    assert spark.read.parquet(store).count() == 3
-    assert facts.missing_from_cache(spark.createDataFrame(rows, incremental.MANIFEST), spark.read.parquet(store)).count() == 0
+    assert spark.read.parquet(f"{store}/facts").count() == 3
+    assert facts.missing_from_cache(spark.createDataFrame(rows, incremental.MANIFEST), spark.read.parquet(f"{store}/facts")).count() == 0
+    spark.createDataFrame([("d.md", "markdown", "# T\n")], incremental.MANIFEST).write.mode("append").parquet(manifest)
+    incremental.start(spark, manifest, store, str(tmp_path / "c")).awaitTermination()
+    assert {r.path for r in incremental.stored(spark, store).collect()} >= {"c.md", "d.md"}  # equal content, both paths
+
+
+def test_mentions_take_any_word(shop):
+    assert shop.mentions("it's \\E.* 'x'").count() == 0 and shop.mentions("total").count() == 1
