@@ -15,6 +15,8 @@ def cut(df: DataFrame) -> DataFrame:
     """checkpoint() in spark.checkpoint.dir; a temporary folder of our own only where that is unset, as in tests."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="codeloom-"))
             atexit.register(shutil.rmtree, _own[0], True)
