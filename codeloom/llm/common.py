@@ -53,9 +53,11 @@ def with_rows(docs: DataFrame, id_col: str) -> tuple[DataFrame, str, bool]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir. Only where that is unset and driver and executors are one process, as in tests, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="codeloom-"))
             atexit.register(shutil.rmtree, _own[0], True)

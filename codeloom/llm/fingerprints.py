@@ -114,11 +114,12 @@ _OUT = pa.schema([("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256",
 
 def build_lexicon(docs: DataFrame, text_col: str = "text", *, least: float = 1 / 1000, most: float = 1 / 10) -> list[bytes]:
     """Terms in the band; raises if there are more than the band allows for documents of 20,000 distinct terms."""
-    n = docs.count()
-    band = document_frequencies(docs, text_col).where((F.col("documents") >= max(2.0, n * least)) & (F.col("documents") <= max(2.0, n * most))).select("term").collect()
-    if len(band) > 20_000 / least:
+    n, bound = docs.count(), int(20_000 / least)
+    band = document_frequencies(docs, text_col).where((F.col("documents") >= max(2.0, n * least)) & (F.col("documents") <= max(2.0, n * most))).select("term")
+    found = band.limit(bound + 1).collect()  # one more than there can be, so that a band too wide is seen before it is held
+    if len(found) > bound:
         raise ValueError("more band terms than its bound")
-    return [bytes(r["term"]) for r in band]
+    return [bytes(r["term"]) for r in found]
 
 
 def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: float = 1 / 1000, most: float = 1 / 10) -> DataFrame:

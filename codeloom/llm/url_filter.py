@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, stash
+
 #: Parameters that only tell where a visitor came from.
 TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content ref fbclid gclid".split()
 
@@ -65,19 +67,23 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
 
 def in_list(pages: DataFrame, listed: DataFrame, url_col: str, *, bits: int = 16, broadcast_blocks: int = 1 << 19) -> DataFrame:
     """pages with `is_listed`, by way of the filter and the exact join."""
-    listing = listed.select(canonical(F.col(url_col)).alias("listed")).where("listed <> ''").distinct()
+    listing = stash(listed.select(canonical(F.col(url_col)).alias("listed")).where("listed <> ''").distinct(), "listing")
     blocks = max(1, -(-listing.count() * bits // 512))
-    words = bloom(listing, blocks)
+    words = stash(bloom(listing, blocks), "bloom")
     if blocks <= broadcast_blocks:
         words = F.broadcast(words)
-    block, probe = _bits(F.col("__url"), blocks)
-    asked = pages.withColumn("__url", canonical(F.col(url_col))).withColumn("block", block)
-    tested = asked.join(words, "block", "left")
+    url, at = fresh("__url", pages), fresh("block", pages)
+    block, probe = _bits(F.col(url), blocks)
+    names = [f"w{i}" for i in range(8)]
+    asked = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), canonical(F.col(url_col)).alias(url)).withColumn(at, block)
+    tested = asked.join(words.withColumnRenamed("block", at), at, "left")
     possible = F.lit(True)
-    for i, p in enumerate(probe):
-        possible = possible & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(p) == p)
-    tested = tested.withColumn("__hit", F.when(possible, F.col("__url")))  # null keys never match, so only possible hits are looked up
-    return tested.join(listing.withColumnRenamed("listed", "__hit").withColumn("__in", F.lit(True)), "__hit", "left").withColumn("is_listed", F.coalesce("__in", F.lit(False)))
+    for name, p in zip(names, probe):
+        possible = possible & (F.coalesce(F.col(name), F.lit(0)).bitwiseAND(p) == p)
+    tested = tested.select("page", url, possible.alias("possible"))
+    # Only possible hits are looked up: all others are settled, and take no part in the join.
+    hits = tested.where("possible").join(listing.withColumn("there", F.lit(True)), F.col(url) == F.col("listed"), "left").select("page.*", F.coalesce("there", F.lit(False)).alias("is_listed"))
+    return hits.union(tested.where("not possible").select("page.*", F.lit(False).alias("is_listed")))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
