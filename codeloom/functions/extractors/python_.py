@@ -30,6 +30,10 @@ def extract(f: Facts) -> None:
     def named(n, name: str, after: int) -> int:
         return f.text.find(name, after)
 
+    def typed(place: int, value) -> None:
+        if (said := _value(value)) is not None:
+            f.note(place, "@value", said)
+
     def bind(target, kind: str, stmt, value=None) -> None:
         for x in ast.walk(target):
             if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Store):
@@ -38,6 +42,10 @@ def extract(f: Facts) -> None:
                 f.define(x.id, kind, place, a, b, kind != "variable" and not x.id.startswith("_"))
                 if value is not None:
                     f.flow(place, *span(value))
+                if isinstance(stmt, ast.AnnAssign):
+                    f.note(place, "@declares", ast.unparse(stmt.annotation))
+                if value is not None and x is target:
+                    typed(place, value if stmt is not target else _element(value))
 
     def visit(n, inside: str | None, top: bool, guard: bool = False) -> None:
         if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
@@ -51,9 +59,12 @@ def extract(f: Facts) -> None:
                 f.note(place, ast.unparse(call), arg)
                 visit(d, None, top)
             f.scope(place + len(n.name), b)
+            if n.returns:
+                f.note(place, "@declares", ast.unparse(n.returns))
             for p in [*n.args.posonlyargs, *n.args.args, *n.args.kwonlyargs, *filter(None, (n.args.vararg, n.args.kwarg))]:
                 f.define(p.arg, "parameter", *(span(p)[0], *span(p)))
                 if p.annotation:
+                    f.note(span(p)[0], "@declares", ast.unparse(p.annotation))
                     visit(p.annotation, None, False)
             for x in [*n.args.defaults, *filter(None, n.args.kw_defaults), *([n.returns] if n.returns else [])]:
                 visit(x, None, False)
@@ -77,6 +88,10 @@ def extract(f: Facts) -> None:
                     for target in x.targets if isinstance(x, ast.Assign) else [x.target]:
                         if isinstance(target, ast.Name):
                             f.define(target.id, "field", span(target)[0], *span(x), not target.id.startswith("_"))
+                            if isinstance(x, ast.AnnAssign):
+                                f.note(span(target)[0], "@declares", ast.unparse(x.annotation))
+                            elif x.value is not None:
+                                typed(span(target)[0], x.value)
                     for y in filter(None, (x.value, getattr(x, "annotation", None))):
                         visit(y, None, False)
                 else:
@@ -149,6 +164,35 @@ def extract(f: Facts) -> None:
     _subtrees(f, tree, span, 0)
 
 
+def _literal(v) -> str | None:
+    if isinstance(v, ast.Constant):
+        return type(v.value).__name__ if v.value is not None else "None"
+    if isinstance(v, ast.UnaryOp) and isinstance(v.op, (ast.USub, ast.UAdd)):
+        return _literal(v.operand)
+    kinds = {ast.List: "list", ast.Dict: "dict", ast.Set: "set", ast.Tuple: "tuple", ast.ListComp: "list", ast.DictComp: "dict", ast.SetComp: "set", ast.JoinedStr: "str"}
+    return kinds.get(type(v))
+
+
+def _value(v) -> str | None:
+    """What an expression says of its type: literal|t, both|t, call|name, name|name or member|name."""
+    if (t := _literal(v)) is not None:
+        return f"literal|{t}"
+    if isinstance(v, ast.BinOp) and (t := _literal(v.left)) is not None and t == _literal(v.right):
+        return f"both|{t}"
+    if isinstance(v, ast.Call):
+        return f"call|{ast.unparse(v.func).rpartition('.')[2]}" if isinstance(v.func, (ast.Name, ast.Attribute)) else None
+    if isinstance(v, ast.Name):
+        return f"name|{v.id}"
+    return f"member|{v.attr}" if isinstance(v, ast.Attribute) else None
+
+
+def _element(v):
+    """An element that stands for all of a literal sequence, if they have one type."""
+    if isinstance(v, (ast.List, ast.Tuple, ast.Set)) and v.elts and len({_literal(x) for x in v.elts}) == 1:
+        return v.elts[0]
+    return ast.Yield()
+
+
 def _name(f: Facts, n, kind: str, span) -> None:
     if isinstance(n, ast.Name):
         f.refer(n.id, kind, span(n)[0])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import extractors
 from ..functions.extractors import EXTRACTORS, extract
 from ..schemas import FACTS
 
@@ -89,6 +92,28 @@ def _chains(nested: DataFrame) -> DataFrame:
     return nested.select("path", "scopes").mapInPandas(run, "path string, scope_id int, ancestor_id int, distance int")
 
 
+def fingerprint() -> str:
+    """H4: changes with the source of the extractors, so that facts of other rules are not taken from a cache."""
+    folder, digest = Path(extractors.__file__).parent, hashlib.sha256()
+    for path in sorted(folder.glob("*.py")):
+        digest.update(path.name.encode() + b"\0" + path.read_bytes())
+    return digest.hexdigest()
+
+
+def workspace_key(files: DataFrame) -> str:
+    """K7: a key of all paths and contents, whatever their order, and of the extractors."""
+    row = files.select(F.xxhash64("path", "language", "text").alias("a"), F.xxhash64("text", "path", F.lit(1)).alias("b")).agg(F.count("*"), F.bit_xor("a"), F.bit_xor("b")).first()
+    return hashlib.sha256(f"{fingerprint()}:{tuple(row)}".encode()).hexdigest()
+
+
+def cache_counters(files: DataFrame, cached: DataFrame) -> DataFrame:
+    """(files, hits, misses, entries) of a fact cache for some files, by language and content."""
+    keyed = files.select(F.sha2(F.concat("language", F.lit("\0"), "text"), 256).alias("key"))
+    known = cached.select("key").distinct()
+    entries = known.count()
+    return keyed.join(known.withColumn("hit", F.lit(True)), "key", "left").agg(F.count("*").alias("files"), F.count("hit").alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"), F.lit(entries).alias("entries"))
+
+
 def missing_from_cache(files: DataFrame, cached: DataFrame) -> DataFrame:
     """K6: files whose content no cached facts have: an anti-join on language and hash."""
     keyed = files.withColumn("key", F.sha2(F.concat("language", F.lit("\0"), "text"), 256))

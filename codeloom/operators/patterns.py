@@ -65,11 +65,15 @@ def find(text: str, language: str, pattern: str) -> list[tuple[int, int, dict[st
     return out
 
 
+def unbound(pattern: str, template: str) -> list[str]:
+    """Metavariables of a template that its pattern doesn't bind."""
+    return sorted(set(re.findall(r"(?<!\$)\$[A-Z][A-Z0-9_]*", template)) - set(re.findall(r"(?<!\$)\$[A-Z][A-Z0-9_]*", pattern)))
+
+
 def search(files: DataFrame, language: str, pattern: str, template: str | None = None) -> DataFrame:
     """(path, start, end, text, replacement) in bytes: every match and, with a template, what it becomes. Unknown metavariables in the template are refused."""
-    names = set(re.findall(r"\$[A-Z][A-Z0-9_]*", pattern))
-    if template is not None and (odd := set(re.findall(r"(?<!\$)\$[A-Z][A-Z0-9_]*", template)) - names):
-        raise ValueError(f"not in the pattern: {sorted(odd)}")
+    if template is not None and (odd := unbound(pattern, template)):
+        raise ValueError(f"not in the pattern: {odd}")
 
     def run(batches):
         for b in batches:

@@ -1,4 +1,4 @@
-"""The resolution cascade over fact tables (J1-J3, J8-J12, J16, J25-J26, appendix A); J13-J15 are not built.
+"""The resolution cascade over fact tables (J1-J3, J8-J16, J25-J26, appendix A).
 
 Every rule is a join that gives (ref_id, target, rule, confidence); an ambiguous answer is an answer too and stops the
 cascade. The lowest rule wins by one aggregation. Candidates are joined by name once; rules are filters over them.
@@ -15,6 +15,7 @@ from ..functions import scalars as S
 from ..functions.lineage import cut
 from ..schemas import CALLABLE, LOCAL, MEMBERS, STRING_KEYED, TYPES
 from .facts import Tables, place
+from .provenance import chart_keys, module_outputs, object_keys
 from .resolving import EXACT, FIELD, IMPORTED, NAME, first_answer
 
 SELF = ["self", "this", "cls"]
@@ -103,7 +104,7 @@ def resolve(t: Tables) -> DataFrame:
         5: in_file & ~F.col("member") & F.col("distance").isNotNull(),
         6: in_file & ~F.col("member"),
         7: F.col("in_import") & top & here,
-        10: ~plain & expected & (F.col("receiver").isNull() | (F.col("s_qualifier") == F.col("receiver"))),
+        10: ~plain & expected & (F.col("receiver").isNull() | (F.col("s_qualifier") == F.col("receiver"))) & ~((F.col("language") == "helm") & (F.col("expects") == "key")) & ~nil(F.col("receiver").rlike("^(ConfigMap|Secret)/")),
         12: plain & F.col("globbed") & ~F.col("member") & top & ~same_file,
         13: plain & F.col("language").isin("go", "hcl") & ~F.col("member") & top & same_folder,
         14: plain & F.col("member") & is_member,
@@ -121,7 +122,7 @@ def resolve(t: Tables) -> DataFrame:
     from_import = wanted.where((F.col("bound_file") == F.col("s_path")) | F.col("bound_file").isNull() & F.col("exported") & (F.col("path") != F.col("s_path")))
     headings = refs.where("kind = 'string-ref' and (expects = 'heading' or expects is null)").join(slugs, "name")
     plainly = lambda df, r: df.select("ref_id", "target_id", F.lit(r).alias("rule"), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).cast("bigint").alias("c"), F.col("target_id").alias("t")).alias("o"))
-    for r, df in ((8, from_import), (9, _barrels(imported, t, found, s, top)), (11, headings), (12, _packages(refs, t, s))):
+    for r, df in ((8, from_import), (9, _barrels(imported, t, found, s, top)), (11, headings), (12, _packages(refs, t, s)), (1, module_outputs(t, refs)), (10, object_keys(t, refs)), (10, chart_keys(t, refs))):
         rows = rows.union(plainly(df, r))
     grouped = rows.groupBy("ref_id", "rule").agg(F.min("o").alias("o"), F.count_distinct("target_id").alias("n"))
     hit, vague = F.lit(EXACT), F.lit(FIELD)

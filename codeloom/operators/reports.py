@@ -46,6 +46,13 @@ def definitions(t: Tables, name: str) -> DataFrame:
     return t.symbols.join(role, "symbol_id").select("path", "name_start", "name", "kind", "qualified_name", F.element_at(F.array(F.lit("primary"), F.lit("same-entity"), F.lit("implementation")), F.col("role") + 1).alias("role"))
 
 
+def first_definition(t: Tables, name: str) -> DataFrame:
+    """The best single site: the primary one, then the exported, then by place."""
+    role = F.array_position(F.array(F.lit("primary"), F.lit("same-entity"), F.lit("implementation")), F.col("role"))
+    exported = t.symbols.select("path", "name_start", "exported")
+    return definitions(t, name).join(exported, ["path", "name_start"]).orderBy(role, F.desc("exported"), "path", "name_start").limit(1)
+
+
 def references_to(resolved: DataFrame, targets: DataFrame) -> DataFrame:
     """Refs of the symbols in column symbol_id."""
     return resolved.join(targets.select(F.col("symbol_id").alias("target_id")), "target_id", "left_semi")
@@ -113,21 +120,67 @@ def impact(t: Tables, resolved: DataFrame, graph: dict, name: str, depth: int =
 # -- entry points and unused ---------------------------------------------------------------------------------------------
 
 
-def entry_points(t: Tables, resolved: DataFrame, rules: DataFrame) -> DataFrame:
-    """Q10, F16: symbols that a rule's conditions all fit; null conditions fit everything. One row for each symbol and kind."""
-    notes = t.notes.where("owner >= 0").select("symbol_id", F.col("name").alias("note"))
+def entry_points(t: Tables, resolved: DataFrame, rules: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Symbols that a rule's conditions all fit, and what packages name as their commands; null conditions fit everything. One row for each symbol and kind."""
+    c = F.col
+    notes = t.notes.where("owner >= 0 and name not like '@%'").select("symbol_id", F.struct("name", F.coalesce("arg", F.lit("")).alias("arg")).alias("note"))
     s = t.symbols.join(notes.groupBy("symbol_id").agg(F.collect_set("note").alias("notes")), "symbol_id", "left")
-    guard = t.notes.where("name = 'main-guard'").select("path", F.col("arg").alias("name")).distinct().withColumn("guarded", F.lit(True))
+    guard = t.notes.where("name = 'main-guard'").select("path", c("arg").alias("name")).distinct().withColumn("guarded", F.lit(True))
     s = s.join(guard, ["path", "name"], "left").withColumn("guarded", F.coalesce("guarded", F.lit(False)))
-    r = rules.withColumnsRenamed({"language": "r_language", "kind": "entry_kind"})
-    c = F.col
-    fits = (c("r_language").isNull() | (c("language") == c("r_language"))) & (c("name_is").isNull() | (c("name") == c("name_is"))) & (c("name_starts").isNull() | c("name").startswith(c("name_starts")))
-    fits = fits & (c("path_matches").isNull() | F.rlike(c("path"), c("path_matches"))) & (c("annotation").isNull() | F.exists(F.coalesce(c("notes"), F.array().cast("array<string>")), lambda n: (n == c("annotation")) | n.endswith(F.concat(F.lit("."), c("annotation")))))
-    fits = fits & (c("symbol_kind").isNull() | (c("kind") == c("symbol_kind"))) & (c("main_guard").isNull() | (c("guarded") == c("main_guard"))) & (c("is_exported").isNull() | (c("exported") == c("is_exported")))
-    found = s.join(F.broadcast(r), fits)  # rules are written by hand: a small table
+    textual = [r["language"] for r in rules.where("keyword is not null or directive is not null").select("language").distinct().collect()]  # rules are written by hand: a small table
+    if textual:
+        s = s.join(_heads(t, textual), "symbol_id", "left")
+    else:
+        s = s.withColumn("first_word", F.lit(None).cast("string")).withColumn("directives", F.lit(None).cast("array<string>"))
+    r = rules.withColumnsRenamed({"language": "r_language", "kind": "entry_kind", "keyword": "r_keyword", "directive": "r_directive"})
+    tests = {
+        "r_language": c("language") == c("r_language"), "name_is": c("name") == c("name_is"), "name_starts": c("name").startswith(c("name_starts")), "name_ends": c("name").endswith(c("name_ends")), "symbol_kind": c("kind") == c("symbol_kind"),
+        "file_is": S.file_name(c("path")) == c("file_is"), "path_contains": c("path").contains(c("path_contains")), "path_starts": c("path").startswith(c("path_starts")), "path_ends": c("path").endswith(c("path_ends")), "path_matches": F.rlike(c("path"), c("path_matches")),
+        "annotation": F.exists(F.coalesce(c("notes"), F.array().cast("array<struct<name:string,arg:string>>")), lambda n: ((n["name"] == c("annotation")) | n["name"].endswith(F.concat(F.lit("."), c("annotation")))) & (c("argument_starts").isNull() | n["arg"].startswith(c("argument_starts")))),
+        "r_keyword": c("first_word") == c("r_keyword"), "r_directive": F.array_contains(c("directives"), c("r_directive")), "main_guard": c("guarded") == c("main_guard"), "is_exported": c("exported") == c("is_exported"), "top_level": c("container_id").isNull() == c("top_level"),
+    }
+    fits = F.lit(True)
+    for name, test in tests.items():
+        fits = fits & (c(name).isNull() | F.coalesce(test, F.lit(False)))
+    found = s.join(F.broadcast(r), fits).select("symbol_id", "entry_kind", "rule", "threat_model")
+    found = found.union(packaged(t, resolved, t.files if files is None else files).select("symbol_id", F.lit("main"), "rule", F.lit("local")))
     return found.groupBy("symbol_id", "entry_kind").agg(F.min("rule").alias("rule"), F.min_by("threat_model", "rule").alias("threat_model")).withColumnRenamed("entry_kind", "kind")
 
 
+DIRECTIVE = r"""["'](use [a-z]+)["']"""
+
+
+def _heads(t: Tables, languages: list[str]) -> DataFrame:
+    """(symbol_id, first word of its declaration, directives at the top of its file and body)."""
+    file = F.regexp_extract("text", r"\A\s*(?:(?://[^\n]*\n|/\*(?s:.*?)\*/)\s*)*" + DIRECTIVE, 1)
+    files = t.files.where(F.col("language").isin(languages)).select("path", F.col("text").cast("binary").alias("raw"), file.alias("file_directive"))
+    own = t.symbols.where(F.col("language").isin(languages)).select("path", "symbol_id", "full_start", "full_end").join(files, "path")
+    head = F.decode(F.expr("substring(raw, int(full_start + 1), int(least(full_end - full_start, 400)))"), "utf-8")
+    own = own.select("symbol_id", "file_directive", head.alias("head"))
+    return own.select("symbol_id", F.regexp_extract("head", r"\A\s*(\w+)", 1).alias("first_word"), F.array("file_directive", F.regexp_extract("head", r"\{\s*" + DIRECTIVE, 1)).alias("directives"))
+
+
+def packaging_scripts(files: DataFrame) -> DataFrame:
+    """(path, script, module, function) of commands that setup.py, setup.cfg and pyproject.toml declare, read line by line."""
+    target = r"""^\s*["']?([\w.-]+)\s*["']?\s*=\s*["']?([\w.]+):([\w.]+)["']?\s*,?\s*$"""
+    inline = r"""["']([\w.-]+)\s*=\s*([\w.]+):([\w.]+)["']"""
+    name = S.file_name(F.col("path"))
+    toml = files.where(name == "pyproject.toml").select("path", F.explode(F.split(F.regexp_extract("text", r"(?s)\[(?:project\.scripts|tool\.poetry\.scripts)\]\n(.*?)(?:\n\[|\z)", 1), "\n")).alias("line"), F.lit(target).alias("pattern"))
+    setup = files.where(name.isin("setup.py", "setup.cfg")).where(F.col("text").contains("console_scripts")).select("path", F.explode(F.split(F.regexp_extract("text", r"(?s)console_scripts(.*)", 1), "[\n,]")).alias("line"), F.when(name == "setup.py", inline).otherwise(target).alias("pattern"))
+    rows = toml.union(setup)
+    part = lambda i: F.when(F.col("pattern") == target, F.regexp_extract("line", target, i)).otherwise(F.regexp_extract("line", inline, i))
+    return rows.select("path", part(1).alias("script"), part(2).alias("module"), part(3).alias("function")).where("script <> ''")
+
+
+def packaged(t: Tables, resolved: DataFrame, files: DataFrame) -> DataFrame:
+    """(symbol_id, rule) of functions that installed commands name, and of those that a __main__.py calls outside its functions."""
+    scripts = packaging_scripts(files).select(F.explode(F.array(*[F.concat(F.lit(a), F.translate("module", ".", "/"), F.lit(b)) for a in ("", "src/") for b in (".py", "/__init__.py")])).alias("path"), F.col("function").alias("name"))
+    named = t.symbols.where("kind = 'function'").join(scripts.distinct(), ["path", "name"], "left_semi").select("symbol_id", F.lit("python-console-script").alias("rule"))
+    calls = resolved.where("kind = 'call' and enclosing_id is null and target_id is not null").where(S.file_name(F.col("path")) == "__main__.py")
+    run = t.symbols.where(F.col("kind").isin(CALLABLE)).join(calls.select(F.col("target_id").alias("symbol_id")), "symbol_id", "left_semi").select("symbol_id", F.lit("python-package-main").alias("rule"))
+    return named.union(run)
+
+
 def unused(t: Tables, resolved: DataFrame, graph: dict, entries: DataFrame) -> DataFrame:
     """Symbols that no root reaches and nothing outside themselves refers to, and members of dead cycles; spared ones keep their first reason."""
     seeds = entries.select(F.col("symbol_id").alias("node"))

@@ -116,7 +116,7 @@ def f13(spark, d):
 @query("f16_entry_rules", f"WITH {P} SELECT DISTINCT 'tests/test_b' || b || '.py' AS path, 'test_b' || b AS name, 'test' AS kind, 'pytest-function' AS rule FROM p")
 def f16(spark, d):
     w = shop(spark, d)
-    return w.entry_points().join(w.tables.symbols.select("symbol_id", "path", "name"), "symbol_id").select("path", "name", "kind", "rule")
+    return w.entry_points("test").join(w.tables.symbols.select("symbol_id", "path", "name"), "symbol_id").select("path", "name", "kind", "rule")
 
 
 _UNUSED = f"{P}, {T}, u AS (SELECT f AS path, fn AS name, CASE WHEN k % 8 = 1 THEN 'underscore' END AS spared FROM p WHERE k % 4 IN (0, 1) AND (k % 4 = 1 OR k = 0) AND k NOT IN (SELECT k FROM s) UNION ALL SELECT DISTINCT 'parts/b' || b || '/util.py', 'shared', NULL FROM p)"
@@ -383,3 +383,167 @@ def s05(spark, d):
 def s07(spark, d):
     return W.census(t(spark, d, "pages").select(F.col("url").alias("path")))
 
+
+
+# -- a second workspace: types, flags, modules, charts and scripts from nations and regions -------------------------------
+
+_kits: dict[tuple[str, str], Workspace] = {}
+
+
+def kit(spark, d) -> Workspace:
+    """A Python module for each nation; for each region a Terraform module, a subchart, a script, a stylesheet, a server action and a ConfigMap with its reader."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _kits:
+        _kits.clear()
+        _kits[key] = Workspace(_kit_files(spark, d).persist())
+    return _kits[key]
+
+
+_MODULE = """FLAG_# = True
+
+
+class Kind_#:
+    size: int = 0
+
+
+def build_#(x: str, y: int) -> Kind_#:
+    a = #
+    b = Kind_#()
+    c = build_#("s", 1)
+    d = b
+    e = d
+    f = x
+    g = 1 + 2
+    h = c.size
+    return c
+
+
+def use_#():
+    if FLAG_# and not False:
+        return build_#("t", #)
+    else:
+        return old_#()
+
+
+def old_#():
+    return None
+"""
+#: For each region: path and text; # is its key, + the next one's.
+_OF_REGION = [
+    ("stack/r#/main.tf", 'variable "size" {\n  default = 1\n}\n\nvariable "zone" {\n  default = "a"\n}\n\noutput "total" {\n  value = var.size\n}\n'),
+    ("chart/charts/r#/Chart.yaml", "name: r#\n"),
+    ("chart/charts/r#/values.yaml", "size: 0\nown: 1\n"),
+    ("chart/charts/r#/templates/a.yaml", "x: {{ .Values.size }}\ny: {{ .Values.own }}\n"),
+    ("run/r#.sh", 'source ./r+.sh\nstart_#() {\n  echo "#"\n}\n'),
+    ("style/r#.css", '@import "r+.css";\n.c# { color: red; }\n'),
+    ("web/act#.ts", '"use server";\n\nexport function act_#() {\n  return #;\n}\n'),
+    ("k8s/r#.yaml", "kind: ConfigMap\nmetadata:\n  name: conf-#\ndata:\n  MODE: m#\n---\nkind: Pod\nmetadata:\n  name: pod-#\nenv:\n  - name: MODE\n    valueFrom:\n      configMapKeyRef:\n        name: conf-#\n        key: MODE\n"),
+]
+
+
+def _kit_files(spark, d) -> DataFrame:
+    n = t(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("k"))
+    r = t(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("k"), (F.col("r_regionkey") + 1).cast("string").alias("after"))
+    text = lambda x: F.replace(F.lit(x), F.lit("#"), F.col("k"))
+    out = n.select(text("kit/n#.py").alias("path"), text(_MODULE).alias("text"))
+    for path, body in _OF_REGION:
+        out = out.union(r.select(text(path), F.replace(text(body), F.lit("+"), F.col("after"))))
+    gathered = lambda df, x, sep="": F.array_join(F.array_sort(F.collect_list(x)), sep)
+    root = r.groupBy().agg(gathered(r, text('module "r#" {\n  source = "./r#"\n  size = 10#\n}\n\noutput "r#" {\n  value = module.r#.total\n}\n\n')).alias("x"))  # one file names all regions
+    chart = r.groupBy().agg(gathered(r, text("r#:\n  size: 2#\n")).alias("x"))
+    scripts = n.groupBy().agg(gathered(n, text('n# = "kit.n#:use_#"\n')).alias("x"))
+    out = out.union(root.select(F.lit("stack/main.tf"), "x")).union(chart.select(F.lit("chart/values.yaml"), "x")).union(scripts.select(F.lit("pyproject.toml"), F.concat(F.lit("[project.scripts]\n"), "x")))
+    return out.union(spark.createDataFrame([("chart/Chart.yaml", "name: top\n")], "path string, text string"))
+
+
+@query("q17_types", """
+WITH n AS (SELECT n_nationkey AS k, 'kit/n' || n_nationkey || '.py' AS path, 'Kind_' || n_nationkey AS made FROM nation)
+SELECT path, name, type, basis FROM n, LATERAL (VALUES ('FLAG_' || k, 'bool', 'literal'), ('size', 'int', 'declared'), ('build_' || k, made, 'declared'), ('x', 'str', 'declared'), ('y', 'int', 'declared'), ('a', 'int', 'literal'), ('b', made, 'construction'),
+  ('c', made, 'return-of-call'), ('d', made, 'construction'), ('e', made, 'construction'), ('f', 'str', 'declared'), ('g', 'int', 'both-operands'), ('h', 'int', 'field')) AS v(name, type, basis)""")
+def q17(spark, d):
+    w = kit(spark, d)
+    return w.types.join(w.tables.symbols.select("symbol_id", "path", "name"), "symbol_id").select("path", "name", "type", "basis")
+
+
+@query("s13_packaged_commands", "SELECT 'kit/n' || n_nationkey || '.py' AS path, 'use_' || n_nationkey AS name, 'main' AS kind, 'python-console-script' AS rule FROM nation")
+def s13(spark, d):
+    w = kit(spark, d)
+    return w.entry_points().where("rule = 'python-console-script'").join(w.tables.symbols.select("symbol_id", "path", "name"), "symbol_id").select("path", "name", "kind", "rule")
+
+
+@query("f19_directives", "SELECT 'web/act' || r_regionkey || '.ts' AS path, 'act_' || r_regionkey AS name, 'next-server-action' AS rule FROM region")
+def f19(spark, d):
+    w = kit(spark, d)
+    return w.entry_points().where("kind = 'http'").join(w.tables.symbols.select("symbol_id", "path", "name"), "symbol_id").select("path", "name", "rule")
+
+
+@query("j13_module_outputs", "SELECT 'stack/main.tf' AS path, 'total' AS name, 'stack/r' || r_regionkey || '/main.tf' AS target, 0 AS confidence FROM region")
+def j13(spark, d):
+    return kit(spark, d).resolved.where("receiver like 'module.%'").select("path", "name", F.split("target_id", ":")[0].alias("target"), "confidence")
+
+
+@query("j29_module_callers", "SELECT 'stack/r' || r_regionkey AS child, 'r' || r_regionkey AS label, variable, CASE WHEN variable = 'size' THEN '10' || r_regionkey END AS value FROM region, (VALUES ('size'), ('zone')) AS v(variable)")
+def j29(spark, d):
+    return kit(spark, d).module_callers().select("child", "label", "variable", "value")
+
+
+@query("j14_object_keys", "SELECT 'k8s/r' || r_regionkey || '.yaml' AS path, 'ConfigMap/conf-' || r_regionkey AS receiver, 'k8s/r' || r_regionkey || '.yaml' AS target FROM region")
+def j14(spark, d):
+    return kit(spark, d).resolved.where("receiver like 'ConfigMap/%'").select("path", "receiver", F.split("target_id", ":")[0].alias("target"))
+
+
+@query("j15_chart_keys", "SELECT 'chart/charts/r' || r_regionkey || '/templates/a.yaml' AS path, name, 'chart/charts/r' || r_regionkey || '/values.yaml' AS target FROM region, (VALUES ('size'), ('own')) AS v(name)")
+def j15(spark, d):
+    return kit(spark, d).resolved.where("language = 'helm' and kind = 'string-ref'").select("path", "name", F.split("target_id", ":")[0].alias("target"))
+
+
+@query("j30_chart_levels", """
+SELECT 'chart/charts/r' || r_regionkey || '/' || k AS key, source, v AS value, source = 'enclosing' OR k = 'own' AS wins FROM region, LATERAL (VALUES ('size', 'chart', '0'), ('own', 'chart', '1'), ('size', 'enclosing', '2' || r_regionkey)) AS x(k, source, v)
+UNION ALL SELECT 'chart/r' || r_regionkey || '.size', 'chart', '2' || r_regionkey, true FROM region""")
+def j30(spark, d):
+    return kit(spark, d).helm().select("key", "source", "value", "wins")
+
+
+@query("g13_visible_scripts", "SELECT 'run/r' || a.r_regionkey || '.sh' AS path, 'start_' || b.r_regionkey AS name FROM region a JOIN region b ON b.r_regionkey >= a.r_regionkey")
+def g13(spark, d):
+    return kit(spark, d).visible_scripts().select("path", "name")
+
+
+@query("g14_style_imports", "SELECT 'style/r' || a.r_regionkey || '.css' AS src, 'style/r' || b.r_regionkey || '.css' AS dst FROM region a JOIN region b ON b.r_regionkey > a.r_regionkey")
+def g14(spark, d):
+    from ..operators.provenance import file_edges
+    from ..operators.references import import_files
+
+    w = kit(spark, d)
+    return graphs.closure(file_edges(w.tables, import_files(w.tables), ["css", "scss"]))
+
+
+@query("l05_first_definition", "SELECT min('kit/n' || n_nationkey || '.py') AS path, 'h' AS name FROM nation")
+def l05(spark, d):
+    return kit(spark, d).first_definition("h").select("path", "name")
+
+
+@query("m05_inline", "SELECT 'kit/n' || n_nationkey || '.py' AS path, replacement FROM nation, (VALUES ('b'), ('')) AS v(replacement) WHERE n_nationkey = 5")
+def m05(spark, d):
+    w = kit(spark, d)
+    place = w.tables.symbols.where("path = 'kit/n5.py' and name = 'd'").first()["symbol_id"]
+    return w.inline_variable(place).select("path", "replacement")
+
+
+@query("m06_signature", "SELECT 'kit/n' || n_nationkey || '.py' AS path, replacement FROM nation, LATERAL (VALUES ('y: int, x: str'), ('1, \"s\"'), (n_nationkey || ', \"t\"')) AS v(replacement) WHERE n_nationkey = 3")
+def m06(spark, d):
+    return kit(spark, d).change_signature("build_3", "move:1:0").select("path", "replacement")
+
+
+@query("m09_remove_flag", "SELECT * FROM (VALUES (1, 'substitute', 1), (2, 'fold', 1), (3, 'remove-symbols', 2)) AS v(round, action, edits) WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 7)")
+def m09(spark, d):
+    """The rounds of a cascade."""
+    _, rounds = kit(spark, d).remove_flag("FLAG_7", True)
+    return spark.createDataFrame([(x["round"], x["action"], x["edits"]) for x in rounds], "round int, action string, edits int")
+
+
+@query("a17_cache_counters", "SELECT count(*) AS files, count(*) FILTER (n_nationkey < 10) AS hits, count(*) FILTER (n_nationkey >= 10) AS misses, count(*) FILTER (n_nationkey < 10) AS entries FROM nation")
+def a17(spark, d):
+    files = kit(spark, d).files.where("path like 'kit/%'")
+    cached = files.where("path rlike 'kit/n[0-9][.]py'").select(F.sha2(F.concat("language", F.lit("\0"), "text"), 256).alias("key"))
+    return facts.cache_counters(files, cached)

@@ -35,6 +35,10 @@ def ignored(path: str, is_dir: bool, rules: list[tuple[str, str]]) -> bool:
     return out
 
 
+#: Files without a language that name a package's commands.
+PACKAGING = ["pyproject.toml", "setup.cfg"]
+
+
 class _Part(InputPartition):
     def __init__(self, paths: list[tuple[str, str, str]]) -> None:
         self.paths = paths
@@ -67,7 +71,7 @@ class _Reader(DataSourceReader):
                         found.append((path, "symlink", os.readlink(entry.path)))
                 elif entry.is_dir():
                     walk(path, rules)
-                elif ext not in EXTENSIONS:
+                elif ext not in EXTENSIONS and entry.name not in PACKAGING:
                     found.append((path, "unsupported", ext if "." in entry.name else "no extension"))
                 else:
                     found.append((path, "too-large" if entry.stat().st_size > self.most else "ok", ""))

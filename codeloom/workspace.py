@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from .functions.lineage import cut
-from .operators import calls, edits, facts, graphs, patterns, recipes, references, reports
+from .operators import calls, edits, facts, graphs, patterns, provenance, recipes, refactorings, references, reports, types
 from .sources import catalogs, workspace
 
 
@@ -23,10 +24,10 @@ class NotFound(LookupError):
 class Workspace:
     """Facts are extracted once, resolved once and kept; every verb is a plan over them."""
 
-    def __init__(self, files: DataFrame, catalog_folder: str | None = None, only: list[str] | None = None) -> None:
-        self.spark = files.sparkSession
+    def __init__(self, files: DataFrame, catalog_folder: str | None = None, only: list[str] | None = None, store: str | None = None) -> None:
+        self.spark, self.given = files.sparkSession, files
         self.files = workspace.with_languages(files, only)
-        self.catalog_folder = catalog_folder
+        self.catalog_folder, self.store = catalog_folder, store
         self.changed = self.files.limit(0)
 
     @classmethod
@@ -43,8 +44,17 @@ class Workspace:
 
     @cached_property
     def resolved(self) -> DataFrame:
-        """K7: written once to the shared folder, so no verb resolves again."""
-        return cut(references.resolve(self.tables))
+        """K7: written once to the shared folder, so no verb resolves again; with a store, kept there by workspace key and taken from it by later workspaces of the same files."""
+        if not self.store:
+            return cut(references.resolve(self.tables))
+        at = f"{self.store}/resolved-{facts.workspace_key(self.files)}"
+        try:
+            return self.spark.read.parquet(at)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        references.resolve(self.tables).write.parquet(at)
+        return self.spark.read.parquet(at)
 
     @cached_property
     def graph(self) -> dict[str, DataFrame]:
@@ -53,7 +63,47 @@ class Workspace:
 
     @cached_property
     def entries(self) -> DataFrame:
-        return cut(reports.entry_points(self.tables, self.resolved, catalogs.rules(self.spark, self.catalog_folder)))
+        return cut(reports.entry_points(self.tables, self.resolved, catalogs.rules(self.spark, self.catalog_folder), self.given))
+
+    @cached_property
+    def types(self) -> DataFrame:
+        return cut(types.types(self.tables))
+
+    def helm(self, passed: list[str] = (), sets: dict[str, str] | None = None) -> DataFrame:
+        return provenance.helm_sources(self.tables, passed, sets)
+
+    def module_callers(self) -> DataFrame:
+        return provenance.module_callers(self.tables)
+
+    def visible_scripts(self) -> DataFrame:
+        return provenance.visible_scripts(self.tables, references.import_files(self.tables))
+
+    def reaches_style(self, origin: str, destination: str) -> bool:
+        return provenance.reaches_style(self.tables, references.import_files(self.tables), origin, destination)
+
+    def first_definition(self, name: str) -> DataFrame:
+        return reports.first_definition(self.tables, name)
+
+    def orphaned_imports(self, planned: DataFrame) -> DataFrame:
+        return refactorings.orphaned_imports(self, planned)
+
+    def inline_variable(self, symbol_id: str) -> DataFrame:
+        return refactorings.inline_variable(self.tables, self.resolved, symbol_id)
+
+    def change_signature(self, name: str, change: str) -> DataFrame:
+        return refactorings.change_signature(self.tables, self.resolved, name, change)
+
+    def extract_variable(self, path: str, start: int, end: int, name: str) -> DataFrame:
+        return refactorings.extract_variable(self.files, path, start, end, name)
+
+    def extract_function(self, path: str, start: int, end: int, name: str) -> DataFrame:
+        return refactorings.extract_function(self.files, path, start, end, name)
+
+    def rewrite(self, path: str, at: int, kind: str) -> DataFrame:
+        return refactorings.rewrite(self.files, path, at, kind)
+
+    def remove_flag(self, flag: str, value: bool) -> tuple[DataFrame, list[dict]]:
+        return refactorings.remove_flag(self, flag, value)
 
     def target(self, name: str) -> DataFrame:
         """Q24: symbols of a name, or NotFound with the three nearest names."""
