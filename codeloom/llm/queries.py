@@ -10,7 +10,7 @@ from .minhash_dedup import near_dedup
 from .packing import pack
 from .pieces import round_trip
 from .quality import classify
-from .suffix_dedup import suffix_dedup
+from .suffix_dedup import PASSAGE, suffix_dedup
 from .token_files import token_files
 from .url_filter import judge
 
@@ -53,7 +53,8 @@ def op6_packing(spark, sf_dir):
 
 
 def op7_suffix_dedup(spark, sf_dir):
-    return suffix_dedup(table(spark, sf_dir, "documents"))
+    """With n_passage_bytes: bytes of repeated passages of the length that the pipeline removes."""
+    return suffix_dedup(table(spark, sf_dir, "documents"), passage=PASSAGE)
 
 
 def op8_pieces(spark, sf_dir):

@@ -16,7 +16,7 @@ Triggers with many different contexts are split over parts of about `group` cont
 are then counted across parts by hash, one row for each part that holds them.
 
 Defined results: null text is empty; texts shorter than `length` lose nothing; matches never cross texts but count
-within one; repeated rows repeat each other; null ids are ids of their own; an empty table gives an empty result; other
+within one; repeated rows repeat each other; rows are told apart by number, so ids may be null or repeated; an empty table gives an empty result; other
 columns are not read.
 """
 
@@ -27,11 +27,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop_stash, emitter, fresh, rows_of, stash, unpacked, utf8, with_rows
+from .common import bounded_batches, drop_stash, emitter, fresh, packed, rows_of, stash, unpacked, utf8, with_rows
 
 GRAM = 32
 _rng = np.random.default_rng(20240607)
@@ -71,12 +70,8 @@ def parse(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return at[lo], lo, np.concatenate((cut - 1, [windows - 1]))
 
 
-def row_key(doc_id, text: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(repr(doc_id).encode() + b":" + text)
-
-
-PARSED = "rk binary, id bigint, n_bytes bigint, sha string, k array<bigint>, c array<bigint>"
-_PARSED = pa.schema([("rk", pa.binary()), ("id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("k", pa.list_(pa.int64())), ("c", pa.list_(pa.int64()))])
+PARSED = "rk bigint, n_bytes bigint, sha string, k array<bigint>, c array<bigint>"
+_PARSED = pa.schema([("rk", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("k", pa.list_(pa.int64())), ("c", pa.list_(pa.int64()))])
 
 
 def _signed(x: int) -> int:
@@ -91,22 +86,14 @@ def _parse_rows(length: int):
             at, lo, hi = parse(raw, length)
             k = [_signed(xxhash.xxh64_intdigest(raw[p : p + GRAM])) for p in at.tolist()]
             c = [_signed(xxhash.xxh3_64_intdigest(raw[a : b + length])) for a, b in zip(lo.tolist(), hi.tolist())]
-            yield from put((row_key(i, raw), i, len(raw), hashlib.sha256(raw).hexdigest(), k, c), 200 + 16 * len(k))
+            yield from put((i, len(raw), hashlib.sha256(raw).hexdigest(), k, c), 200 + 16 * len(k))
         yield from flush()
 
     return run
 
 
-def _texts(batches):
-    """(rk, z): compressed whole texts."""
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    for b in batches:
-        ids, texts = b.column(0).to_pylist(), [utf8(t) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([row_key(i, t) for i, t in zip(ids, texts)], pa.binary()), pa.array([squeeze(t) for t in texts], pa.binary())], names=["rk", "z"])
-
-
-OPEN = "rk binary, k bigint, part int, parts int, own boolean, at int, first int, ctx binary"
-_OPEN = pa.schema([("rk", pa.binary()), ("k", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("own", pa.bool_()), ("at", pa.int32()), ("first", pa.int32()), ("ctx", pa.binary())])
+OPEN = "rk bigint, k bigint, part int, parts int, own boolean, at int, first int, ctx binary"
+_OPEN = pa.schema([("rk", pa.int64()), ("k", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("own", pa.bool_()), ("at", pa.int32()), ("first", pa.int32()), ("ctx", pa.binary())])
 
 
 def _open_contexts(length: int):
@@ -114,16 +101,17 @@ def _open_contexts(length: int):
 
     def run(batches):
         put, flush = emitter(_OPEN)
-        for rk, z, flags, ks in rows_of(batches):
-            if not any(f[1] >= 2 for f in flags):
+        for rk, z, flags in rows_of(batches):
+            if not any(f["flag"] >= 2 for f in flags):
                 continue
             raw = unpacked(z)
             at, lo, hi = parse(raw, length)
-            for i, f, parts in flags:
-                if f >= 2:
+            for f in flags:
+                if f["flag"] >= 2:
+                    i, parts = f["i"], f["parts"]
                     ctx = raw[lo[i] : hi[i] + length]
                     part = xxhash.xxh3_64_intdigest(ctx) % parts
-                    yield from put((rk, ks[i], part, parts, f == 2, int(at[i] - lo[i]), int(lo[i]), ctx), len(ctx) + 60)
+                    yield from put((rk, f["k"], part, parts, f["flag"] == 2, int(at[i] - lo[i]), int(lo[i]), ctx), len(ctx) + 60)
         yield from flush()
 
     return run
@@ -187,8 +175,8 @@ def repeated_windows(contexts: list[tuple[bytes, int]], length: int, small: int
     return out
 
 
-FOUND = "rk binary, first bigint, last bigint, window binary"
-_FOUND = pa.schema([("rk", pa.binary()), ("first", pa.int64()), ("last", pa.int64()), ("window", pa.binary())])
+FOUND = "rk bigint, first bigint, last bigint, window binary"
+_FOUND = pa.schema([("rk", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("window", pa.binary())])
 
 
 def _solve(length: int):
@@ -230,8 +218,8 @@ def _solve(length: int):
     return run
 
 
-CUT = "rk binary, id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
-_CUT = pa.schema([("rk", pa.binary()), ("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+CUT = "rk bigint, n_removed bigint, n_spans bigint, longest bigint, kept_sha256 string, kept_text string"
+_CUT = pa.schema([("rk", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("longest", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
 def covered(n: int, spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -248,55 +236,80 @@ def covered(n: int, spans: list[tuple[int, int]], length: int) -> list[tuple[int
 def _cut(length: int, texts: bool):
     def run(batches):
         put, flush = emitter(_CUT)
-        for rk, i, z, flags, found in rows_of(batches):
+        for rk, z, flags, found in rows_of(batches):
             raw = unpacked(z)
             _, lo, hi = parse(raw, length)
-            spans = [(int(lo[j]), int(hi[j])) for j, f, _ in flags if f in (1, 3)] + [(x["first"], x["last"]) for x in found or ()]
+            spans = [(int(lo[f["i"]]), int(hi[f["i"]])) for f in flags if f["flag"] in (1, 3)] + [(x["first"], x["last"]) for x in found or ()]
             gone, kept, last = covered(len(raw), spans, length), [], 0
             for a, b in gone:
                 kept.append(raw[last:a])
                 last = b
             rest = b"".join([*kept, raw[last:]])
-            yield from put((rk, i, len(raw), len(raw) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if texts else None), 200 + texts * len(rest))
+            yield from put((rk, len(raw) - len(rest), len(gone), max((b - a for a, b in gone), default=0), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if texts else None), 200 + texts * len(rest))
         yield from flush()
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400, texts: bool = False, group: int = 16_384) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row, and kept_text where texts is set (null where nothing was removed). At most about `group` contexts of one trigger are sorted together."""
-    if length < GRAM:
-        raise ValueError(f"length is {GRAM} at least")
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+def _removed(rows: DataFrame, length: int, texts: bool, group: int) -> DataFrame:
+    """(rk, n_bytes, sha, and where something was removed n_removed, n_spans, longest, kept_sha256, kept_text) of rows (rk, text), rk being different for each."""
     parsed = stash(rows.mapInArrow(_parse_rows(length), PARSED), "parse")
     each = parsed.select("rk", F.posexplode(F.arrays_zip("k", "c")).alias("i", "x")).select("rk", "i", "x.k", "x.c")
-    contexts = each.groupBy("k", "c").agg(F.count("*").alias("count"), F.min(F.struct("rk", "i")).alias("first"))
-    repeated = contexts.groupBy("k").agg(F.sum("count").alias("total"), F.count("*").alias("different")).where("total > 1")
-    # 1: repeated as a whole. 2: alone, but its trigger has other contexts. 3: repeated, and stands for its equals beside others.
-    known = stash(contexts.join(repeated, "k").where("count > 1 or different > 1").select("k", "c", "first", F.when(F.col("count") == 1, 2).otherwise(1).alias("flag"), (F.col("different") > 1).alias("open"), F.ceil(F.col("different") / group).cast("int").alias("parts")), "contexts")
-    flag = F.when((F.col("flag") == 1) & F.col("open") & (F.col("first.rk") == F.col("rk")) & (F.col("first.i") == F.col("i")), 3).otherwise(F.col("flag"))
-    flagged = each.join(known, ["k", "c"]).select("rk", "i", flag.alias("flag"), "parts").groupBy("rk").agg(F.collect_set(F.struct("i", "flag", "parts")).alias("flags"))
-    whole = parsed.select("rk", "id", "k").dropDuplicates(["rk"]).join(flagged, "rk")
-    touched = stash(whole.join(rows.mapInArrow(_texts, "rk binary, z binary").dropDuplicates(["rk"]), "rk").select("rk", "id", "z", F.transform("flags", lambda f: F.array(f["i"], f["flag"], f["parts"])).alias("flags"), "k"), "texts")
+    # Most triggers occur once: one aggregation of fixed-size columns finds the others, and only their contexts go on.
+    repeated = each.groupBy("k").agg(F.count("*").alias("n"), F.min("c").alias("a"), F.max("c").alias("b")).where("n > 1").select("k", (F.col("a") != F.col("b")).alias("open"))
+    again = stash(each.join(repeated, "k"), "again")
+    # Triggers with several different contexts are open. 1: repeated as a whole. 2: alone, but its trigger has other contexts. 3: repeated, and stands for its equals beside others.
+    contexts = again.where("open").groupBy("k", "c").agg(F.count("*").alias("count"), F.min(F.struct("rk", "i")).alias("first"))
+    different = contexts.groupBy("k").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"))
+    known = stash(contexts.join(different, "k"), "contexts")
+    stands = (F.col("first.rk") == F.col("rk")) & (F.col("first.i") == F.col("i"))
+    opened = again.where("open").join(known, ["k", "c"]).select("rk", "i", "k", F.when(F.col("count") == 1, 2).when(stands, 3).otherwise(1).alias("flag"), "parts")
+    closed = again.where("not open").select("rk", "i", "k", F.lit(1).alias("flag"), F.lit(1).alias("parts"))
+    flagged = opened.union(closed).groupBy("rk").agg(F.collect_list(F.struct("i", "flag", "parts", "k")).alias("flags"))
+    touched = stash(packed(rows, "rk", "text").join(flagged, "rk"), "texts")
     drop_stash(known)
-    contexts_open = touched.select("rk", "z", "flags", "k").mapInArrow(_open_contexts(length), OPEN)
+    drop_stash(again)
+    contexts_open = touched.select("rk", "z", "flags").mapInArrow(_open_contexts(length), OPEN)
     by_trigger = contexts_open.repartition("k", "part").sortWithinPartitions("k", "part", "rk", "first")
     solved = stash(by_trigger.mapInArrow(_solve(length), FOUND), "found")
     shared = solved.where("window is not null").groupBy("window").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("rk").isNotNull(), F.struct("rk", "first", "last"))).alias("rows")).where("n > 1")
     spans = solved.where("window is null").select("rk", "first", "last").union(shared.select(F.explode("rows").alias("r")).select("r.rk", "r.first", "r.last"))
     found = spans.groupBy("rk").agg(F.collect_list(F.struct("first", "last")).alias("found"))
-    cut = touched.join(found, "rk", "left").select("rk", "id", "z", "flags", "found").mapInArrow(_cut(length, texts), CUT)
-    out = parsed.select("rk", "id", "n_bytes", "sha").join(cut.drop("id", "n_bytes"), "rk", "left")
-    out = out.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("bigint")).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept_text")
-    return out if texts else out.drop("kept_text")
+    cut = touched.join(found, "rk", "left").select("rk", "z", "flags", "found").mapInArrow(_cut(length, texts), CUT)
+    return parsed.select("rk", "n_bytes", "sha").join(cut, "rk", "left")
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = 400, passage: int | None = None, group: int = 16_384) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row. At most about `group` contexts of one trigger are sorted together.
+
+    With `passage`, a shorter length, n_passage_bytes also says how many bytes strings of that length cover that start
+    elsewhere too. It is found first, over all texts; only texts with a run of `length` such bytes can then hold a
+    repeated string of `length`, and such strings lie in such runs in every text that holds them, so these texts alone
+    are searched for the longer ones.
+    """
+    if min(length, passage or length) < GRAM or passage and passage > length:
+        raise ValueError(f"lengths are {GRAM} at least, and a passage is no longer than what is removed")
+    bounded_batches(docs.sparkSession)
+    rows, row, plain = with_rows(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")), "id")
+    texts = rows.select(F.col(row).alias("rk"), "text")
+    none = F.lit(0).cast("bigint")
+    if passage:
+        short = stash(_removed(texts, passage, False, group).select("rk", "n_bytes", "sha", F.coalesce("n_removed", none).alias("n_passage_bytes"), "longest"), "passages")
+        held = texts.join(short.where(F.col("longest") >= length).select("rk"), "rk", "left_semi")
+        out = short.join(_removed(held, length, False, group).drop("n_bytes", "sha"), "rk", "left")
+    else:
+        out = _removed(texts, length, False, group)
+    cols = ["n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *(["n_passage_bytes"] if passage else [])]
+    if plain:
+        return out.select(F.col("rk").alias(id_col), *cols)
+    return out.join(rows.select(F.col(row).alias("rk"), "id"), "rk").select(F.col("id").alias(id_col), *cols)
 
 
 #: Bytes that the stage takes for a passage: about 50 tokens, the customary length for suffix-array dedup of prose.
 PASSAGE = 200
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = PASSAGE) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = PASSAGE, group: int = 16_384) -> DataFrame:
     """docs with every passage of `length` bytes or more that occurs again taken out of the texts; n_chars, if there, is counted anew. Code points cut in two are dropped.
 
     Defined results: null texts stay null and texts shorter than `length` as they are; ids may be null or repeated,
@@ -304,8 +317,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty table gives an empty one; other columns, whatever their names, are kept as they are.
     """
     rows, row, _ = with_rows(docs, id_col)
+    bounded_batches(docs.sparkSession)
     mark, text = fresh("__cut", rows), fresh("__kept", rows)
-    cut = suffix_dedup(rows, row, text_col, length=length, texts=True).where("n_removed > 0").select(F.col(row).alias(mark), F.col("kept_text").alias(text))
+    texts = rows.select(F.col(row).alias("rk"), F.col(text_col).cast("string").alias("text"))
+    cut = _removed(texts, length, True, group).where("n_removed > 0").select(F.col("rk").alias(mark), F.col("kept_text").alias(text))
     joined = rows.join(cut, F.col(row) == F.col(mark), "left")
     new = {text_col: F.col(text), "n_chars": F.length(F.col(text)).cast("bigint")}
     return joined.select(*[F.when(F.col(mark).isNotNull(), new[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

@@ -141,13 +141,16 @@ def brute_suffix(texts, length):
     return out
 
 
-@pytest.mark.parametrize("group", [16_384, 2])
-def test_suffix_matches_brute_force(spark, odd_rows, words, group):
+@pytest.mark.parametrize("group,passage", [(16_384, None), (2, None), (16_384, 200), (2, 90)])
+def test_suffix_matches_brute_force(spark, odd_rows, words, group, passage):
     shared = words(90, 77)
     rows = [r[:2] for r in odd_rows if len(r[1] or "") < 10_000]
     rows += [(100 + i, f"{words(30, i)} {shared} {words(30, 50 + i)}") for i in range(14)] + [(200, "abc" * 400), (201, "x" * 900), (202, words(40, 3) + shared[:401])]
-    out = suffix_dedup(frame(spark, rows).repartition(3), group=group).collect()
+    out = suffix_dedup(frame(spark, rows).repartition(3), group=group, passage=passage).collect()
     want = brute_suffix([(t or "").encode() for _, t in rows], 400)
+    if passage:
+        short = brute_suffix([(t or "").encode() for _, t in rows], passage)
+        assert sorted((x.n_bytes, x.n_passage_bytes, x.n_removed) for x in out) == sorted((a[0], b[1], a[1]) for a, b in zip(want, short))
     key = lambda i: -1 if i is None else i
     assert sorted((key(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in out) == sorted((key(i), *w) for (i, _), w in zip(rows, want))
 
