@@ -65,11 +65,24 @@ def safe_deletes(t: Tables, resolved: DataFrame, names: DataFrame) -> DataFrame:
     return found.select(F.col("t_path").alias("path"), F.col("full_start").alias("start"), F.col("full_end").alias("end"), F.lit("").alias("replacement")).distinct()
 
 
+def organized_imports(t: Tables, resolved: DataFrame) -> DataFrame:
+    """M8: every imported name with what becomes of it: live, removed, or kept with the reason why a name without a use stays."""
+    used = resolved.where("not in_import").select("path", "name").union(resolved.where("not in_import and receiver is not null").select("path", F.col("receiver").alias("name"))).distinct().withColumn("used", F.lit(True))
+    gaps = t.gaps.select("path").distinct().withColumn("gap", F.lit(True))
+    listed = t.texts.join(t.symbols.where("name = '__all__'").select("path").distinct(), "path", "left_semi").select("path", F.regexp_extract("text", r"""^["'](\w+)["']$""", 1).alias("name")).where("name <> ''").distinct().withColumn("listed", F.lit(True))
+    out = t.bindings.join(used, ["path", "name"], "left").join(gaps, "path", "left").join(listed, ["path", "name"], "left")
+    c = F.col
+    reason = (
+        F.when(c("gap"), "file-has-gaps").when(c("module") == "__future__", "future").when(c("path").rlike(r"(^|/)__init__\.py$|(^|/)(index|mod)\.[a-z]+$"), "package-file").when(c("listed"), "listed-in-all")
+        .when((c("language") == "python") & (c("original") == c("module")) & c("module").contains("."), "submodule").when(c("original") == "*", F.when(c("language").isin("bash", "css", "scss", "hcl"), "binds-invisibly"))
+    )
+    status = F.when(c("used"), "live").when(reason.isNotNull(), "kept").otherwise("removed")
+    return out.select("path", "language", "import_pos", "name", "module", status.alias("status"), F.when(status == "kept", reason).alias("reason"))
+
+
 def unused_imports(t: Tables, resolved: DataFrame) -> DataFrame:
-    """M8: imported names that no reference outside an import uses, with the run of statements that each stands in (W9). Package files re-export and are held back, as are globs."""
-    used = resolved.where("not in_import").select("path", "name").union(resolved.where("not in_import and receiver is not null").select("path", F.col("receiver").alias("name"))).distinct()
-    names = t.bindings.where(~F.col("path").rlike(r"(^|/)__init__\.py$|(^|/)(index|mod)\.[a-z]+$")).select("path", "language", "import_pos", "name", "module")
-    dead = names.join(used, ["path", "name"], "left_anti")
+    """M8: imported names that go, with the run of statements that each stands in."""
+    dead = organized_imports(t, resolved).where("status = 'removed'").drop("status", "reason")
     return runs(dead, ["path"], "import_pos", F.col("import_pos") - F.col("previous") > 1)
 
 

@@ -48,3 +48,10 @@ def css_cascade(declarations: DataFrame, subject: str) -> DataFrame:
     files = F.size(F.collect_set(F.when(best, F.col("path"))).over(w))
     last = F.max(F.when(best, F.col("start"))).over(w)
     return top.withColumn("decided", files == 1).withColumn("wins", best & (files == 1) & (F.col("start") == last)).withColumn("reason", F.when(files == 1, F.lit(None).cast("string")).otherwise("equal rules in several files")).drop("__s", "__top")
+
+
+def capped(df: DataFrame, keys: list[str], order: list, most: int, item: str) -> DataFrame:
+    """For each key the count of its rows and its first `most` items in order; no more of a key are held together."""
+    ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    first = F.sort_array(F.collect_list(F.when(F.col("__n") <= most, F.struct("__n", item))))
+    return ranked.groupBy(*keys).agg(F.count("*").alias("total"), F.transform(first, lambda x: x[item]).alias("first"))

@@ -353,6 +353,31 @@ def import_edits(files: DataFrame, dead: DataFrame) -> DataFrame:
     return files.join(lists, "path").select("path", "text", "names").mapInPandas(run, EDIT)
 
 
+def sorted_imports(files: DataFrame) -> DataFrame:
+    """M8: edits that put each run of neighbouring top-level imports of Python files in order: whole modules first, then by module name."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for path, text in zip(batch["path"], batch["text"]):
+                try:
+                    s = _Source(text)
+                except SyntaxError:
+                    continue
+                group: list = []
+                for n in [*s.tree.body, None]:
+                    if isinstance(n, (ast.Import, ast.ImportFrom)) and (not group or n.lineno == group[-1].end_lineno + 1):
+                        group.append(n)
+                        continue
+                    order = sorted(group, key=lambda x: (getattr(x, "module", None) != "__future__", isinstance(x, ast.ImportFrom), s.text(x)))
+                    if order != group:
+                        out.append((path, s.span(group[0])[0], s.span(group[-1])[1], "\n".join(map(s.text, order))))
+                    group = [n] if isinstance(n, (ast.Import, ast.ImportFrom)) else []
+            yield pd.DataFrame(out, columns=["path", "start", "end", "replacement"])
+
+    return files.where("language = 'python' and text like '%import %'").select("path", "text").mapInPandas(run, EDIT)
+
+
 def orphaned_imports(workspace, planned: DataFrame) -> DataFrame:
     """Imports (path, language, import_pos, name, module) that are unused after the edits and were used before."""
     after = type(workspace)(edited(workspace.files, planned).select("path", "text"))

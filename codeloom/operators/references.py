@@ -1,7 +1,8 @@
 """The resolution cascade over fact tables (J1-J3, J8-J16, J25-J26, appendix A).
 
 Every rule is a join that gives (ref_id, target, rule, confidence); an ambiguous answer is an answer too and stops the
-cascade. The lowest rule wins by one aggregation. Candidates are joined by name once; rules are filters over them.
+cascade. The lowest rule wins by one aggregation. Rules that a second key decides (file, folder, receiver) join by name
+and that key; rules that a name alone decides join counts of definitions by name, so a common name makes no pairs.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.lineage import cut
-from ..schemas import CALLABLE, LOCAL, MEMBERS, STRING_KEYED, TYPES
+from ..schemas import CALLABLE, LANGUAGES, LOCAL, MEMBERS, STRING_KEYED, TYPES
 from .facts import Tables, place
 from .provenance import chart_keys, module_outputs, object_keys
 from .resolving import EXACT, FIELD, IMPORTED, NAME, first_answer
@@ -75,56 +76,89 @@ def resolve(t: Tables) -> DataFrame:
     on_value = (F.col("kind") == "call") & F.col("receiver").isNotNull() & ~F.col("receiver_is_path") & ~F.col("receiver_bound")
     refs = cut(refs.withColumn("member", (F.col("kind") == "field") | on_value))
 
-    s = t.symbols.select("name", F.col("symbol_id").alias("target_id"), F.col("path").alias("s_path"), F.col("language").alias("s_language"), F.col("kind").alias("s_kind"), F.col("name_start").alias("s_at"), "full_start", "full_end", F.col("scope_id").alias("s_scope"), F.col("qualifier").alias("s_qualifier"), "exported")
-    slugs = s.where("s_kind = 'heading'").withColumn("name", S.anchor_slug(F.col("name")))
-    cand = refs.join(s, "name").where(admissible(F.col("language"), F.col("s_language"), F.col("s_kind")))
+    s = t.symbols.select(F.col("name").alias("s_name"), F.col("symbol_id").alias("target_id"), F.col("path").alias("s_path"), F.col("language").alias("s_language"), F.col("kind").alias("s_kind"), F.col("name_start").alias("s_at"), "full_start", "full_end", F.col("scope_id").alias("s_scope"), F.col("qualifier").alias("s_qualifier"), "exported", S.parent(F.col("path")).alias("s_folder"))
+    refs = refs.withColumn("r_folder", S.parent(F.col("path")))
     top = F.col("s_qualifier").isNull() & ~F.col("s_kind").isin(LOCAL)
-    same_file, is_member = F.col("path") == F.col("s_path"), F.col("s_kind").isin(MEMBERS) & F.col("s_qualifier").isNotNull()
+    is_member = F.col("s_kind").isin(MEMBERS) & F.col("s_qualifier").isNotNull()
     plain = F.col("kind") != "string-ref"
+    nil = lambda c: F.coalesce(c, F.lit(False))
+
+    def met(left: DataFrame, *keys: tuple[str, str]) -> DataFrame:
+        """References with the symbols of their name that a second key has in common too: a common name alone makes no pairs."""
+        test = F.col("name") == F.col("s_name")
+        for r, k in keys:
+            test = test & (F.col(r) == F.col(k))
+        return left.join(s, test).where(admissible(F.col("language"), F.col("s_language"), F.col("s_kind")))
 
-    # Plausible candidates: members for members, locals only from their own scope chain, never the binding being defined.
+    def ordered(df: DataFrame, rule, a=None, b=None, c=None) -> DataFrame:
+        zero = F.lit(0)
+        order = F.struct((zero if a is None else a).cast("int").alias("a"), (zero if b is None else b).cast("int").alias("b"), (zero if c is None else c).cast("bigint").alias("c"), F.col("target_id").alias("t"))
+        return df.select("ref_id", "target_id", (F.lit(rule) if isinstance(rule, int) else rule).alias("rule"), order.alias("o"))
+
+    # In the reference's own file: members for members, locals only from their own scope chain, never the binding being defined.
     chain = t.scope_chain.select("path", "scope_id", F.col("ancestor_id").alias("s_scope"), "distance")
-    within = t.imports.join(found, ["path", "import_pos"]).groupBy("path", F.col("file").alias("s_path")).agg(F.collect_list(F.struct("start", "end")).alias("statements"), F.max("is_glob").alias("globbed"))
-    cand = cut(cand.join(chain, ["path", "scope_id", "s_scope"], "left").join(within, ["path", "s_path"], "left"))
+    local = met(refs.where(plain & ~F.col("in_import")), ("path", "s_path")).join(chain, ["path", "scope_id", "s_scope"], "left")
     binding = F.col("s_kind").isin(*LOCAL)
     own_value = (F.col("s_kind") == "variable") & (F.col("full_start") <= F.col("start")) & (F.col("start") < F.col("full_end"))
     fits = F.when(F.col("member"), is_member).otherwise(~is_member | F.col("receiver_bound") | ~F.col("language").isin(RECEIVER_LANGUAGES))
-    fits = fits & (F.col("expects").isNull() | (F.col("expects") == F.col("s_kind")))
-    in_file = plain & same_file & fits & ~own_value & (~binding | F.col("distance").isNotNull()) & ~F.col("in_import")
-    far = F.abs(F.col("s_at") - F.col("start"))
-    same_folder = S.parent(F.col("path")) == S.parent(F.col("s_path"))
-    expected = F.when(F.col("expects").isNotNull(), F.col("s_kind") == F.col("expects")).otherwise(F.col("s_kind").isin(STRING_KEYED))
-    here = F.coalesce(F.exists("statements", lambda x: (x["start"] <= F.col("start")) & (F.col("start") < x["end"])), F.lit(False))
-    nil = lambda c: F.coalesce(c, F.lit(False))
-    tests = {
-        1: (F.col("language") == "hcl") & (F.col("s_qualifier") == F.col("receiver")) & same_folder,
-        2: plain & (F.col("receiver_is_path") | F.col("receiver_is_type")) & (F.col("s_qualifier") == F.col("receiver")) & (F.col("language") == F.col("s_language")),
-        3: plain & F.col("receiver_bound") & (F.col("receiver_file") == F.col("s_path")) & top,
-        4: in_file & F.col("member") & F.col("receiver").isin(SELF) & (F.col("s_qualifier") == F.col("own_type")),
-        5: in_file & ~F.col("member") & F.col("distance").isNotNull(),
-        6: in_file & ~F.col("member"),
-        7: F.col("in_import") & top & here,
-        10: ~plain & expected & (F.col("receiver").isNull() | (F.col("s_qualifier") == F.col("receiver"))) & ~((F.col("language") == "helm") & (F.col("expects") == "key")) & ~nil(F.col("receiver").rlike("^(ConfigMap|Secret)/")),
-        12: plain & F.col("globbed") & ~F.col("member") & top & ~same_file,
-        13: plain & F.col("language").isin("go", "hcl") & ~F.col("member") & top & same_folder,
-        14: plain & F.col("member") & is_member,
-        15: plain & ~F.col("member") & top & F.col("exported") & ~same_file,
+    local = local.where(fits & (F.col("expects").isNull() | (F.col("expects") == F.col("s_kind"))) & ~own_value & (~binding | F.col("distance").isNotNull()))
+    inside = {
+        4: F.col("member") & F.col("receiver").isin(SELF) & (F.col("s_qualifier") == F.col("own_type")),
+        5: ~F.col("member") & F.col("distance").isNotNull(),
+        6: ~F.col("member"),
     }
-    # Every candidate row names the rules it is an answer of; one aggregation then serves all of them.
-    applied = cand.withColumn("rule", F.explode(F.array_compact(F.array(*[F.when(nil(x), F.lit(r)) for r, x in tests.items()]))))
-    order = F.struct(
-        F.when(F.col("rule") == 5, F.col("distance")).otherwise(0).alias("a"), F.when((F.col("rule") == 5) & binding & (F.col("s_at") > F.col("start")), 1).otherwise(0).alias("b"),
-        F.when(F.col("rule").isin(5, 6), far).otherwise(F.lit(0).cast("bigint")).alias("c"), F.col("target_id").alias("t"),
-    )
-    rows = applied.select("ref_id", "target_id", "rule", order.alias("o"))
+    local = local.withColumn("rule", F.explode(F.array_compact(F.array(*[F.when(nil(x), F.lit(r)) for r, x in inside.items()]))))
+    five, far = F.col("rule") == 5, F.abs(F.col("s_at") - F.col("start"))
+    rows = ordered(local, F.col("rule"), F.when(five, F.col("distance")).otherwise(0), F.when(five & binding & (F.col("s_at") > F.col("start")), 1).otherwise(0), F.when(F.col("rule").isin(5, 6), far).otherwise(0))
+
+    # By a second key: the receiver, the folder, the file that an import names.
+    files = t.imports.join(found, ["path", "import_pos"]).select("path", F.col("start").alias("i_start"), F.col("end").alias("i_end"), "is_glob", "file")
+    named = refs.where("in_import").join(files, "path").where("i_start <= start and start < i_end").select(*refs.columns, "file").distinct()
+    globbed = refs.where(plain & ~F.col("member")).join(files.where("is_glob").select("path", "file").distinct(), "path")
+    expected = F.when(F.col("expects").isNotNull(), F.col("s_kind") == F.col("expects")).otherwise(F.col("s_kind").isin(STRING_KEYED))
+    keyed = ~plain & ~((F.col("language") == "helm") & nil(F.col("expects") == "key")) & ~nil(F.col("receiver").rlike("^(ConfigMap|Secret)/"))
+    for r, df in (
+        (1, met(refs.where("language = 'hcl'"), ("r_folder", "s_folder"), ("receiver", "s_qualifier"))),
+        (2, met(refs.where(plain & (F.col("receiver_is_path") | F.col("receiver_is_type"))), ("receiver", "s_qualifier"), ("language", "s_language"))),
+        (3, met(refs.where(plain & F.col("receiver_bound")), ("receiver_file", "s_path")).where(top)),
+        (7, met(named, ("file", "s_path")).where(top)),
+        (10, met(refs.where(keyed & F.col("receiver").isNotNull()), ("receiver", "s_qualifier")).where(expected)),
+        (12, met(globbed, ("file", "s_path")).where(top)),
+        (13, met(refs.where(plain & F.col("language").isin("go", "hcl") & ~F.col("member")), ("r_folder", "s_folder")).where(top)),
+    ):
+        rows = rows.union(ordered(df, r))
     imported = refs.where(plain & F.col("name_bound")).withColumn("wanted", F.when(F.col("original").isin("*", "default"), F.col("name")).otherwise(F.col("original")))
-    wanted = imported.join(s.withColumnRenamed("name", "wanted"), "wanted").where(top & admissible(F.col("language"), F.col("s_language"), F.col("s_kind")))
-    from_import = wanted.where((F.col("bound_file") == F.col("s_path")) | F.col("bound_file").isNull() & F.col("exported") & (F.col("path") != F.col("s_path")))
-    headings = refs.where("kind = 'string-ref' and (expects = 'heading' or expects is null)").join(slugs, "name")
-    plainly = lambda df, r: df.select("ref_id", "target_id", F.lit(r).alias("rule"), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).cast("bigint").alias("c"), F.col("target_id").alias("t")).alias("o"))
+    fitting = admissible(F.col("language"), F.col("s_language"), F.col("s_kind"))
+    from_import = imported.where("bound_file is not null").join(s, (F.col("wanted") == F.col("s_name")) & (F.col("bound_file") == F.col("s_path"))).where(top & fitting)
+    slugs = s.where("s_kind = 'heading'").withColumn("slug", S.anchor_slug(F.col("s_name")))
+    headings = refs.where("kind = 'string-ref' and (expects = 'heading' or expects is null)").join(slugs, F.col("name") == F.col("slug"))
     for r, df in ((8, from_import), (9, _barrels(imported, t, found, s, top)), (11, headings), (12, _packages(refs, t, s)), (1, module_outputs(t, refs)), (10, object_keys(t, refs)), (10, chart_keys(t, refs))):
-        rows = rows.union(plainly(df, r))
+        rows = rows.union(ordered(df, r))
     grouped = rows.groupBy("ref_id", "rule").agg(F.min("o").alias("o"), F.count_distinct("target_id").alias("n"))
+
+    # By the name alone: only how many definitions there are and the least of them, counted for each name before references are met.
+    spoken = F.when(F.col("s_kind").isin(STRING_KEYED), F.array(*map(F.lit, LANGUAGES)))
+    for group in FAMILIES:
+        spoken = spoken.when(F.col("s_language").isin(group), F.array(*map(F.lit, group)))
+    spoken = s.withColumn("language", F.explode(spoken.otherwise(F.array("s_language")))).withColumnRenamed("s_name", "name")
+    least = [F.min("target_id").alias("t"), F.count_distinct("target_id").alias("n")]
+    by_kind = spoken.groupBy("name", "language", "s_kind").agg(*least)
+    strings = refs.where(keyed & F.col("receiver").isNull()).join(by_kind, ["name", "language"]).where(expected).select("ref_id", F.lit(10).alias("rule"), "t", "n")
+    members = refs.where(plain & F.col("member")).join(spoken.where(is_member).groupBy("name", "language").agg(*least), ["name", "language"]).select("ref_id", F.lit(14).alias("rule"), "t", "n")
+
+    def elsewhere(asked: DataFrame, name: str, rule: int) -> DataFrame:
+        """Exported definitions in other files than the reference's: the first file's, or the second's where the first is its own."""
+        each = cut(spoken.where(top & F.col("exported")).groupBy(F.col("name").alias(name), "language", "s_path").agg(*least))
+        first = each.groupBy(name, "language").agg(F.sum("n").alias("total"), F.min(F.struct("s_path", "t")).alias("first"))
+        second = each.join(first.select(name, "language", "first"), [name, "language"]).where("s_path <> first.s_path").groupBy(name, "language").agg(F.min(F.struct("s_path", "t")).alias("second"))
+        own = each.select(name, "language", F.col("s_path").alias("path"), F.col("n").alias("own"))
+        met_ = asked.join(first, [name, "language"]).join(second, [name, "language"], "left").join(own, [name, "language", "path"], "left")
+        n = F.col("total") - F.coalesce("own", F.lit(0))
+        return met_.select("ref_id", F.lit(rule).alias("rule"), F.when(F.col("first.s_path") != F.col("path"), F.col("first.t")).otherwise(F.col("second.t")).alias("t"), n.alias("n")).where("n > 0")
+
+    counted = strings.union(members).union(elsewhere(refs.where(plain & ~F.col("member")), "name", 15)).union(elsewhere(imported.where("bound_file is null"), "wanted", 8))
+    zero = [F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).cast("bigint").alias("c")]
+    grouped = grouped.union(counted.select("ref_id", "rule", F.struct(*zero, "t").alias("o"), "n")).groupBy("ref_id", "rule").agg(F.min("o").alias("o"), F.sum("n").alias("n"))
     hit, vague = F.lit(EXACT), F.lit(FIELD)
     for r, (h, v) in TIERS_OF.items():
         hit, vague = F.when(F.col("rule") == r, h).otherwise(hit), F.when(F.col("rule") == r, v).otherwise(vague)
@@ -143,7 +177,7 @@ def _barrels(imported: DataFrame, t: Tables, found: DataFrame, s: DataFrame, top
     out = []
     for _ in range(hops):
         walk = cut(walk.join(again, ["at", "wanted"]).select("ref_id", F.col("next_at").alias("at"), F.col("next_wanted").alias("wanted")).distinct())
-        out.append(walk.join(s.withColumnRenamed("name", "wanted"), "wanted").where(top & (F.col("at") == F.col("s_path"))).select("ref_id", "target_id"))
+        out.append(walk.join(s, (F.col("wanted") == F.col("s_name")) & (F.col("at") == F.col("s_path"))).where(top).select("ref_id", "target_id"))
         if walk.isEmpty():
             break
         walk = walk.join(out[-1], "ref_id", "left_anti")
@@ -158,7 +192,7 @@ def _packages(refs: DataFrame, t: Tables, s: DataFrame) -> DataFrame:
     folders = t.files.where("language = 'go'").select(S.parent(F.col("path")).alias("folder")).where("folder <> ''").distinct()
     located = longest_suffix_folder(wanted, "module", folders, "folder").where("folder is not null").select("path", "receiver", "folder")
     asked = refs.where("language = 'go' and receiver_bound").join(located, ["path", "receiver"])
-    return asked.join(s, "name").where((S.parent(F.col("s_path")) == F.col("folder")) & F.col("exported") & F.col("s_qualifier").isNull())
+    return asked.join(s, (F.col("name") == F.col("s_name")) & (F.col("folder") == F.col("s_folder"))).where(F.col("exported") & F.col("s_qualifier").isNull())
 
 
 def entity_key(kind: Column, name: Column, path: Column, language: Column, container: Column, qualifier: Column, symbol: Column) -> Column:

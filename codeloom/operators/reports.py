@@ -182,11 +182,17 @@ def packaged(t: Tables, resolved: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def unused(t: Tables, resolved: DataFrame, graph: dict, entries: DataFrame) -> DataFrame:
-    """Symbols that no root reaches and nothing outside themselves refers to, and members of dead cycles; spared ones keep their first reason."""
+    """Symbols that no root reaches and nothing outside themselves refers to, and members of dead cycles; spared ones keep their first reason.
+
+    What only the type hierarchy reaches is on the list too, spared as reached by dispatch.
+    """
     seeds = entries.select(F.col("symbol_id").alias("node"))
     module = graph["file_scope"].select(F.col("dst").alias("node"))
-    reached = reach(graph["edges"], seeds.union(module).distinct()).select(F.col("node").alias("symbol_id"), F.lit(True).alias("reached"))
-    every = with_entities(t.symbols).where(~F.col("kind").isin("parameter", "key", "heading", "block", "module", "link-def"))
+    roots = seeds.union(module).distinct()
+    reached = reach(graph["edges"], roots).select(F.col("node").alias("symbol_id"), F.lit(True).alias("reached"))
+    directly = reach(graph["edges"].where("origin = 'resolved'"), roots).select(F.col("node").alias("symbol_id"), F.lit(True).alias("directly"))
+    dispatched = graph["edges"].where("origin = 'hierarchy'").select(F.col("dst").alias("symbol_id"), F.lit(True).alias("dispatched")).distinct()
+    every = with_entities(t.symbols).where(~F.col("kind").isin("parameter", "key", "link-def"))
     inside = resolved.where("target_id is not null and not in_import").join(t.symbols.select(F.col("symbol_id").alias("target_id"), F.col("path").alias("t_path"), "full_start", "full_end", F.col("name").alias("t_name"), F.col("kind").alias("t_kind")), "target_id")
     outside = inside.where("path <> t_path or start < full_start or start >= full_end")
     strong = outside.where(F.col("confidence") < FIELD).select("target_id")
@@ -196,13 +202,25 @@ def unused(t: Tables, resolved: DataFrame, graph: dict, entries: DataFrame) -> D
     callers = resolved.where("target_id is not null").select(F.col("enclosing_id").alias("src"), F.col("target_id").alias("dst")).distinct()
     cycles = dead_cycles(callers, reached.withColumnRenamed("symbol_id", "node")).select(F.col("node").alias("symbol_id"), F.lit(True).alias("in_dead_cycle"))
     words = t.texts.where("language <> 'markdown'").select(F.explode(F.split("text", r"[^A-Za-z0-9_$-]+")).alias("w")).where("w <> ''").select(S.loose(F.col("w")).alias("loose")).distinct().withColumn("said", F.lit(True))
-    out = every.withColumn("loose", S.loose(F.col("name")))
-    for df, key in ((reached, "symbol_id"), (held, "entity"), (weak, "name"), (cycles, "symbol_id"), (words, "loose"), (seeds.select(F.col("node").alias("symbol_id"), F.lit(True).alias("entry")).distinct(), "symbol_id")):
+    holding = holders(t, t.symbols.join(entries.select("symbol_id"), "symbol_id", "left_semi")).select(F.col("node").alias("symbol_id"), F.lit(True).alias("holding"))
+    own_types = t.symbols.where(F.col("kind").isin("trait", "interface")).select(F.col("name").alias("parent"))
+    foreign = t.supertypes.where("language = 'rust'").join(own_types, "parent", "left_anti").select("language", F.col("type").alias("qualifier")).distinct().withColumn("foreign", F.lit(True))
+    properties = words.select(F.col("loose").alias("property"), F.lit(True).alias("by_property"))
+    out = every.withColumn("loose", S.loose(F.col("name"))).withColumn("property", F.when(F.col("language") == "java", S.loose(S.bean_property(F.col("name")))))
+    out = out.join(foreign, ["language", "qualifier"], "left").join(properties, "property", "left")
+    for df, key in ((reached, "symbol_id"), (held, "entity"), (weak, "name"), (cycles, "symbol_id"), (words, "loose"), (directly, "symbol_id"), (dispatched, "symbol_id"), (holding, "symbol_id"), (seeds.select(F.col("node").alias("symbol_id"), F.lit(True).alias("entry")).distinct(), "symbol_id")):
         out = out.join(df, key, "left")
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     orphan = no("reached") & no("held") & no("entry")
-    kept = F.when(F.col("name").startswith("_"), "underscore").when(~no("namesake"), "ambiguous-name").when(~no("said"), "named-in-text").when(F.col("kind").isin("selector", "element-id", "data-attribute", "property"), None)
-    return out.where(orphan | ~no("in_dead_cycle") & no("entry")).select("path", "name_start", "name", "kind", "exported", F.coalesce("in_dead_cycle", F.lit(False)).alias("in_dead_cycle"), kept.alias("spared"))
+    c = F.col
+    reason = (
+        F.when((c("language") == "hcl") & (c("kind") == "block") & (c("qualifier") == c("name")), "no-address").when(c("kind") == "heading", "structures-prose").when((c("kind") == "module") & c("language").isin("go", "java"), "names-the-files-place")
+        .when(c("name").startswith("_"), "underscore").when(~no("namesake"), "ambiguous-name").when(~no("holding"), "holds-an-entry-point").when(~no("foreign") & (c("kind") == "method"), "implements-foreign-trait").when(~no("by_property"), "reached-by-its-property").when(~no("said"), "named-in-text")
+    )
+    by_dispatch = ~orphan & no("directly") & no("held") & no("entry") & ~no("dispatched")
+    listed = orphan | ~no("in_dead_cycle") & no("entry")
+    kept = F.when(listed, reason).otherwise("dynamic-dispatch")
+    return out.where(listed | by_dispatch).select("path", "name_start", "name", "kind", "exported", F.coalesce("in_dead_cycle", F.lit(False)).alias("in_dead_cycle"), kept.alias("spared"))
 
 
 # -- clones --------------------------------------------------------------------------------------------------------------

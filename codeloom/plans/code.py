@@ -73,7 +73,7 @@ def impact(spark, d):
     return sample(spark).impact("clamp").select("kind", "path", "confidence", "depth")
 
 
-@query("q10_entry_points", values("path, kind, rule, threat_model", [("app.py", "main", "python-main-guard", "local"), ("cmd/main.go", "main", "go-main", "local"), ("test_app.py", "test", "pytest-function", "none")]))
+@query("q10_entry_points", values("path, kind, rule, threat_model", [("app.py", "main", "python-main-guard", "local"), ("cmd/main.go", "main", "go-main", "local"), ("test_app.py", "test", "pytest-function", "none"), *[("infra/main.tf", "infra-input", "terraform-variable", "local")] * 2]))
 def entry_points(spark, d):
     return sample(spark).entry_points().select(F.substring_index("symbol_id", ":", 1).alias("path"), "kind", "rule", "threat_model")
 
@@ -167,7 +167,7 @@ def summary(spark, d):
     return reports.graph_summary(sample(spark).graph)
 
 
-@query("a10_entry_point_summary", values("kind, n", [("main", 2), ("test", 1)]))
+@query("a10_entry_point_summary", values("kind, n", [("main", 2), ("test", 1), ("infra-input", 2)]))
 def entry_summary(spark, d):
     return sample(spark).entry_points().groupBy("kind").agg(F.count("*").cast("int").alias("n"))
 

@@ -435,7 +435,8 @@ _OF_REGION = [
     ("chart/charts/r#/values.yaml", "size: 0\nown: 1\n"),
     ("chart/charts/r#/templates/a.yaml", "x: {{ .Values.size }}\ny: {{ .Values.own }}\n"),
     ("run/r#.sh", 'source ./r+.sh\nstart_#() {\n  echo "#"\n}\n'),
-    ("style/r#.css", '@import "r+.css";\n.c# { color: red; }\n'),
+    ("style/r#.css", '@import "r+.css";\n.c# { color: red; }\n#i .c# { color: blue; }\n'.replace("#i", "[id]")),
+    ("base/r#.py", "class Base_#:\n    def code(self):\n        return #\n\n    def twice(self):\n        return self.code()\n\n\nclass Leaf_#(Base_#):\n    def code(self):\n        return 0\n"),
     ("web/act#.ts", '"use server";\n\nexport function act_#() {\n  return #;\n}\n'),
     ("k8s/r#.yaml", "kind: ConfigMap\nmetadata:\n  name: conf-#\ndata:\n  MODE: m#\n---\nkind: Pod\nmetadata:\n  name: pod-#\nenv:\n  - name: MODE\n    valueFrom:\n      configMapKeyRef:\n        name: conf-#\n        key: MODE\n"),
 ]
@@ -547,3 +548,173 @@ def a17(spark, d):
     files = kit(spark, d).files.where("path like 'kit/%'")
     cached = files.where("path rlike 'kit/n[0-9][.]py'").select(F.sha2(F.concat("language", F.lit("\0"), "text"), 256).alias("key"))
     return facts.cache_counters(files, cached)
+
+
+@query("g02_dispatch_edges", "SELECT 'Base_' || r_regionkey || '::twice' AS caller, 'Leaf_' || r_regionkey || '::code' AS callee, 2 AS confidence FROM region")
+def g02(spark, d):
+    w = kit(spark, d)
+    name = lambda a, b: w.tables.symbols.select(F.col("symbol_id").alias(a), F.col("qualified_name").alias(b))
+    edges = w.graph["edges"].where("origin = 'hierarchy'")
+    return edges.join(name("src", "caller"), "src").join(name("dst", "callee"), "dst").select("caller", "callee", "confidence")
+
+
+@query("e04_method_families", "SELECT 'Base_' || r_regionkey || '::code' AS abstract, 'Leaf_' || r_regionkey || '::code' AS concrete FROM region")
+def e04(spark, d):
+    from ..operators.calls import families
+
+    w = kit(spark, d)
+    name = lambda a, b: w.tables.symbols.select(F.col("symbol_id").alias(a), F.col("qualified_name").alias(b))
+    return families(w.tables).join(name("abstract_id", "abstract"), "abstract_id").join(name("concrete_id", "concrete"), "concrete_id").select("abstract", "concrete")
+
+
+@query("w06_css_winners", "SELECT '.c' || r_regionkey || '|color|' AS subject, value, value = 'blue' AS wins FROM region, (VALUES ('red'), ('blue')) AS v(value)")
+def w06(spark, d):
+    return kit(spark, d).css().select("subject", "value", "wins")
+
+
+@query("q14_flow_forward", "SELECT name, depth FROM nation, (VALUES ('b', 0), ('d', 1), ('e', 2)) AS v(name, depth) WHERE n_nationkey = 5")
+def q14(spark, d):
+    w = kit(spark, d)
+    place = w.tables.symbols.where("path = 'kit/n5.py' and name = 'b'").first()["symbol_id"]
+    return w.flow(place, forward=True).join(w.tables.symbols.select(F.col("symbol_id").alias("node"), "name"), "node").select("name", "depth")
+
+
+@query("m08_imports_by_status", f"WITH {P}, {E}, {T} SELECT 'live' AS status, (SELECT count(*) FROM (SELECT DISTINCT sf, dfn FROM e WHERE c = 1)) + (SELECT count(*) FROM s) AS n")
+def m08(spark, d):
+    from ..operators.edits import organized_imports
+
+    w = shop(spark, d)
+    return organized_imports(w.tables, w.resolved).groupBy("status").agg(F.count("*").alias("n"))
+
+
+# -- facts and plans of the first workspace ------------------------------------------------------------------------------
+
+
+@query("x06_scopes", f"WITH {P} SELECT f AS path, count(*) + 1 AS scopes FROM p GROUP BY f")
+def x06(spark, d):
+    return shop(spark, d).tables.scopes.where("path like 'parts/%/m%'").groupBy("path").agg(F.count("*").alias("scopes"))
+
+
+@query("x07_references_in_function_scopes", f"WITH {P}, {E} SELECT p.f AS path, CAST(sum(2 + CASE WHEN e.dst IS NULL THEN 0 ELSE 1 END + CASE WHEN p.k % 10 = 0 THEN 2 ELSE 0 END) AS BIGINT) AS n FROM p LEFT JOIN e ON e.src = p.k GROUP BY p.f")
+def x07(spark, d):
+    """References whose innermost scope holds them and isn't the file's."""
+    w = shop(spark, d)
+    scopes = w.tables.scopes.select("path", "scope_id", F.col("start").alias("a"), F.col("end").alias("b"))
+    inside = w.tables.refs.join(scopes, ["path", "scope_id"]).where("scope_id > 0 and a <= start and start < b and path like 'parts/%/m%'")
+    return inside.groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("x09_containers", "SELECT 'code' AS name, 'method' AS kind, 'Region_' || r_regionkey AS holder FROM region UNION ALL SELECT m, 'method', 'Nation_' || n_nationkey FROM nation, (VALUES ('code'), ('name')) AS v(m)")
+def x09(spark, d):
+    """Functions in a class are its methods."""
+    s = shop(spark, d).tables.symbols
+    holder = s.select(F.col("symbol_id").alias("container_id"), F.col("name").alias("holder"), F.col("kind").alias("h_kind"))
+    return s.where("path like 'geo/%'").join(holder, "container_id").where("h_kind = 'class'").select("name", "kind", "holder")
+
+
+@query("x10_qualified_names", "SELECT 'Region_' || r_regionkey || '::code' AS qualified_name FROM region UNION ALL SELECT 'Nation_' || n_nationkey || '::' || m FROM nation, (VALUES ('code'), ('name')) AS v(m)")
+def x10(spark, d):
+    return shop(spark, d).symbols(kind="method").select("qualified_name")
+
+
+@query("x17_receivers", f"WITH {P} SELECT 'self' AS receiver, 'code' AS name, (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'os', 'getenv', count(*) FROM p WHERE k % 10 = 0")
+def x17(spark, d):
+    return shop(spark, d).tables.refs.where("receiver is not null and language = 'python'").groupBy("receiver", "name").agg(F.count("*").alias("n"))
+
+
+@query("x24_imports", f"WITH {P}, {E}, {T} SELECT DISTINCT sf AS path, dfn AS name, replace(replace(df, '.py', ''), '/', '.') AS module FROM e WHERE c = 1 UNION ALL SELECT 'tests/test_b' || b || '.py', fn, replace(replace(f, '.py', ''), '/', '.') FROM s")
+def x24(spark, d):
+    return shop(spark, d).tables.bindings.where("language = 'python'").select("path", "name", "module")
+
+
+@query("x26_text_spans", f"WITH {P} SELECT f AS path, CAST(sum(1 + CASE WHEN k % 10 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM p GROUP BY f")
+def x26(spark, d):
+    return shop(spark, d).tables.texts.where("path like 'parts/%'").groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("x30_env_reads", f"WITH {P} SELECT DISTINCT f AS path, 'SIZE_' || p_size AS name FROM p WHERE k % 10 = 0")
+def x30(spark, d):
+    return reports.env_reads(shop(spark, d).tables).select("path", "name")
+
+
+@query("x31_env_declarations", f"WITH {P} SELECT DISTINCT 'deploy/sizes.yaml' AS path, 'SIZE_' || p_size AS name, 's' || p_size AS value FROM p")
+def x31(spark, d):
+    return reports.env_declarations(shop(spark, d).tables)
+
+
+@query("s04_language_filter", f"WITH {P} SELECT 'yaml' AS language, (SELECT count(*) FROM region) + 1 AS files")
+def s04(spark, d):
+    return Workspace(shop(spark, d).given, only=["yaml"]).files.groupBy("language").agg(F.count("*").alias("files"))
+
+
+@query("f04_exact_name", f"WITH {P} SELECT f AS path, fn AS name FROM p WHERE fn = 'make_6'")
+def f04(spark, d):
+    return shop(spark, d).target("make_6").select("path", "name")
+
+
+@query("f08_callables", f"WITH {_CALLABLES} SELECT CASE WHEN name IN ('code', 'name') THEN 'method' ELSE 'function' END AS kind, count(*) AS n FROM c GROUP BY 1")
+def f08(spark, d):
+    return shop(spark, d).graph["nodes"].groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("f12_in_path", f"WITH {P} SELECT f AS path, count(*) AS n FROM p WHERE contains(f, 'parts/b1') GROUP BY f")
+def f12(spark, d):
+    rows = shop(spark, d).run("step a\n  select symbols\n  where kind=function in=parts/b1 !name=shared\n  report\n")[0]["rows"]
+    return rows.groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("f22_safe_references", f"WITH {P}, {E}, {T} SELECT 'call' AS kind, (SELECT count(*) FROM e) + (SELECT count(*) FROM s) + (SELECT count(*) FROM nation) AS n")
+def f22(spark, d):
+    """Calls that an edit may rewrite."""
+    return shop(spark, d).resolved.where("kind = 'call' and target_id is not null and confidence < 2").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("j08_import_files", f"WITH {P}, {E}, {T} SELECT DISTINCT sf AS path, df AS file FROM e WHERE c = 1 UNION SELECT 'tests/test_b' || b || '.py', f FROM s")
+def j08(spark, d):
+    from ..operators.references import import_files
+
+    return import_files(shop(spark, d).tables).where("path like '%.py'").select("path", "file").distinct()
+
+
+@query("j27_next_siblings", f"WITH {P} SELECT f AS path, count(*) - 1 AS n FROM p GROUP BY f HAVING count(*) > 1")
+def j27(spark, d):
+    from ..operators.ranking import next_sibling
+
+    rows = next_sibling(shop(spark, d).tables.symbols.where("kind = 'function' and path like 'parts/%/m%'").select("path", "full_start"), ["path"], "full_start")
+    return rows.where("next_at is not null").groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("a05_edges_by_origin", f"WITH {P}, {E}, {T} SELECT 'resolved' AS origin, (SELECT count(*) FROM e) + (SELECT count(*) FROM s) + (SELECT count(*) FROM nation) AS edges")
+def a05(spark, d):
+    return shop(spark, d).graph["edges"].groupBy("origin").agg(F.count("*").alias("edges"))
+
+
+@query("a06_graph_counts", f"WITH {_CALLABLES} SELECT (SELECT count(*) FROM c) AS nodes, (SELECT count(*) FROM p WHERE k % 10 = 0) AS unresolved")
+def a06(spark, d):
+    w = shop(spark, d)
+    return spark.createDataFrame([(w.graph["nodes"].count(), w.graph["unresolved"].count())], "nodes bigint, unresolved bigint")
+
+
+@query("q01_symbols", f"WITH {P} SELECT f AS path, fn AS name, 'function' AS kind FROM p WHERE b = '7' UNION ALL SELECT f, v, CASE v WHEN 'x' THEN 'parameter' ELSE 'variable' END FROM p, (VALUES ('x'), ('y')) AS t(v) WHERE b = '7' UNION ALL SELECT DISTINCT 'parts/b7/util.py', v, k2 FROM p, (VALUES ('shared', 'function'), ('x', 'parameter')) AS t(v, k2) WHERE b = '7'")
+def q01(spark, d):
+    return shop(spark, d).symbols(roots=["parts/b7"]).select("path", "name", "kind")
+
+
+@query("q05_references", f"WITH {P}, {E}, {T}, r AS (SELECT sf AS path, c FROM e WHERE dfn = 'make_8' UNION ALL SELECT 'tests/test_b' || b || '.py', 1 FROM s WHERE fn = 'make_8') SELECT path, 'call' AS kind FROM r UNION ALL SELECT path, 'identifier' FROM r WHERE c = 1")
+def q05(spark, d):
+    return shop(spark, d).references("make_8").select("path", "kind")
+
+
+@query("m02_rewritable_spans", f"WITH {P}, {E}, {T}, r AS (SELECT sf AS path, c FROM e WHERE dfn = 'make_8' UNION ALL SELECT 'tests/test_b' || b || '.py', 1 FROM s WHERE fn = 'make_8') SELECT path, replacement FROM (SELECT f AS path FROM p WHERE fn = 'make_8' UNION ALL SELECT path FROM r UNION ALL SELECT path FROM r WHERE c = 1), (VALUES ('make_eight')) AS v(replacement)")
+def m02(spark, d):
+    return shop(spark, d).rename("make_8", "make_eight")[0].select("path", "replacement")
+
+
+@query("m16_diffs", f"""
+WITH {P}, {E}, {T}, r AS (SELECT sf AS path, c FROM e WHERE dfn = 'make_8' UNION ALL SELECT 'tests/test_b' || b || '.py', 1 FROM s WHERE fn = 'make_8')
+SELECT path, CAST(count(*) AS INTEGER) AS added, CAST(NULL AS VARCHAR) AS refused FROM (SELECT f AS path FROM p WHERE fn = 'make_8' UNION ALL SELECT path FROM r UNION ALL SELECT path FROM r WHERE c = 1) GROUP BY path""")
+def m16(spark, d):
+    """Edits applied and checked, with the lines that each file's diff adds."""
+    w = shop(spark, d)
+    done = w.apply(w.rename("make_8", "make_eight")[0])
+    return done.select("path", F.regexp_count("diff", F.lit(r"(?m)^\+(?!\+\+)")).alias("added"), "refused")

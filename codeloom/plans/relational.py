@@ -192,13 +192,8 @@ def w09(spark, d):
 
 @query("l07_capped_lists", "SELECT o_custkey, count(*) AS total, array_to_string(list_slice(list(o_orderkey ORDER BY o_orderkey), 1, 4), ',') AS first_four FROM orders GROUP BY o_custkey")
 def l07(spark, d):
-    """L7 is a report: four positions and a count. Only four of each key are held."""
-    o = t(spark, d, "orders").select("o_custkey", "o_orderkey")
-    from pyspark.sql import Window
-
-    ranked = o.withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
-    lists = ranked.groupBy("o_custkey").agg(F.count("*").alias("total"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("n") <= 4, F.struct("n", "o_orderkey")))), lambda x: x["o_orderkey"].cast("string")), ",").alias("first_four"))
-    return lists
+    out = W.capped(t(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], 4, "o_orderkey")
+    return out.select("o_custkey", "total", F.array_join(F.transform("first", lambda x: x.cast("string")), ",").alias("first_four"))
 
 
 # -- G: graphs -----------------------------------------------------------------------------------------------------------

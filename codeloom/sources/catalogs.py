@@ -61,7 +61,7 @@ BUILT_IN = """
 - {rule: actix-get, kind: http, threat_model: remote, language: rust, annotation: get, argument_starts: /}
 - {rule: actix-post, kind: http, threat_model: remote, language: rust, annotation: post, argument_starts: /}
 - {rule: tokio-main, kind: main, threat_model: local, language: rust, annotation: 'tokio::main'}
-- {rule: terraform-variable, kind: infra-input, threat_model: local, language: hcl, path_ends: .tf, symbol_kind: variable}
+- {rule: terraform-variable, kind: infra-input, threat_model: local, language: hcl, path_ends: .tf, keyword: variable}
 - {rule: migration-upgrade, kind: main, threat_model: local, language: python, path_contains: /migrations/, name_is: upgrade}
 """
 
