@@ -147,3 +147,45 @@ def test_keys_and_snapshots(spark, tmp_path):
     assert facts.workspace_key(one.files) == facts.workspace_key(other.files) != facts.workspace_key(Workspace.of(spark, {"a.py": "x = 2\n"}).files)
     assert one.resolved.count() == other.resolved.count() > 0 and len(list(tmp_path.iterdir())) == 1
     assert unbound("f($X)", "g($X, $Y)") == ["$Y"]
+
+
+def test_reasons_that_spare_unused_symbols(spark):
+    w = Workspace.of(spark, {
+        "a.py": "__all__ = ['listed']\n\n\nclass Suite:\n    def test_one(self):\n        pass\n\n\ndef listed():\n    pass\n\n\ndef gone():\n    pass\n\n\ndef _meant():\n    pass\n",
+        "test_b.py": "class Case:\n    def test_two(self):\n        pass\n", "doc.md": "# Alone\n", "p.go": "package p\n", "m.tf": 'provider "aws" {\n  region = "x"\n}\n',
+        "Bean.java": "class Bean { String getOwnerName() { return s; } }\n", "t.html": "<p>${x.ownerName}</p>\n", "u.py": "T = 'ownerName'\n",
+    })
+    out = {(r.path, r.name): r.spared for r in w.unused().collect()}
+    assert out[("a.py", "gone")] is None and out[("a.py", "_meant")] == "underscore" and out[("a.py", "listed")] == "named-in-text"
+    assert out[("test_b.py", "Case")] == "holds-an-entry-point" and out[("doc.md", "Alone")] == "structures-prose"
+    assert out[("m.tf", "aws")] == "no-address" and out.get(("Bean.java", "getOwnerName")) == "reached-by-its-property"
+
+
+def test_imports_say_what_becomes_of_them(spark):
+    from codeloom.operators.edits import organized_imports
+
+    w = Workspace.of(spark, {"a.py": "from __future__ import annotations\nimport os.path\nimport sys\nfrom b import x, y\n__all__ = ['y']\n\n\nprint(sys)\n", "b.py": "x = 1\ny = 2\n", "c.py": "from z import q\nimport b\nimport a\n\nprint(q, a, b)\n"})
+    out = {(r.path, r.name): (r.status, r.reason) for r in organized_imports(w.tables, w.resolved).collect()}
+    assert out == {("a.py", "annotations"): ("kept", "future"), ("a.py", "os"): ("kept", "submodule"), ("a.py", "sys"): ("live", None), ("a.py", "x"): ("removed", None), ("a.py", "y"): ("kept", "listed-in-all"), ("c.py", "q"): ("live", None), ("c.py", "a"): ("live", None), ("c.py", "b"): ("live", None)}
+    assert applied(w, refactorings.sorted_imports(w.files).where("path = 'c.py'"))["c.py"].startswith("import a\nimport b\nfrom z import q\n\n")
+    dead = organized_imports(w.tables, w.resolved).where("status = 'removed'")
+    assert "from b import y\n" in applied(w, refactorings.import_edits(w.files, dead))["a.py"]
+
+
+def test_packages_name_their_commands(spark):
+    from codeloom.operators.reports import packaging_scripts
+
+    files = [("pyproject.toml", '[project]\nname = "x"\n\n[project.scripts]\nrun = "pkg.cli:main"\n\n[tool.z]\na = "b:c"\n'), ("setup.py", "setup(entry_points={'console_scripts': ['go = pkg.go:start', 'two=pkg.two:f']})\n"), ("setup.cfg", "[options.entry_points]\nconsole_scripts =\n    cfg = pkg.cfg:run\n")]
+    out = sorted((r.script, r.module, r.function) for r in packaging_scripts(spark.createDataFrame(files, "path string, text string")).collect())
+    assert out == [("cfg", "pkg.cfg", "run"), ("go", "pkg.go", "start"), ("run", "pkg.cli", "main"), ("two", "pkg.two", "f")]
+    w = Workspace.of(spark, {"pkg/__main__.py": "from .cli import main\n\nmain()\n", "pkg/cli.py": "def main():\n    pass\n\n\ndef other():\n    pass\n", "pkg/__init__.py": ""})
+    assert [(r.rule, r.symbol_id.split(":")[0]) for r in w.entry_points("main").collect()] == [("python-package-main", "pkg/cli.py")]
+
+
+def test_common_names_make_no_pairs(spark):
+    """A name that many files define is resolved by counts: plan rows stay in proportion to references and definitions."""
+    files = {f"m{i}.py": f"def same():\n    return {i}\n\n\ndef use_{i}():\n    return same()\n" for i in range(60)} | {"far.py": "def go():\n    return same()\n", "one.py": "def only():\n    return 1\n", "two.py": "def go2():\n    return only()\n"}
+    w = Workspace.of(spark, files)
+    out = {r.path: (r.target_id, r.confidence, r.rule) for r in w.resolved.where("kind = 'call'").collect()}
+    assert all(out[f"m{i}.py"] == (f"m{i}.py:000000004", 0, 5) for i in range(60))
+    assert out["far.py"] == (None, 3, 15) and out["two.py"] == ("one.py:000000004", 3, 15)
