@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -20,6 +20,7 @@ SPACE = " \t\n\x0b\x0c\r"
 BATCH_BYTES = "8m"
 
 _own: list[str] = []
+_stashed: list[DataFrame] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +73,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path, compression="zstd")
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
+    _stashed.append(out)
+    return out
+
+
+def stashed_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """stash(make()), and then deletes every other table that make() stashed: what it gave is whole on disk."""
+    before = len(_stashed)
+    out = stash(make(), name)
+    for df in _stashed[before:]:
+        if df is not out:
+            drop_stash(df)
     return out
 
 
@@ -81,6 +93,7 @@ def drop_stash(df: DataFrame) -> None:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+        df._stash_path = None
 
 
 def task_id() -> int:

@@ -452,6 +452,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drop_stash(texts)
     grouped = documents.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
     grouped = stash(grouped, "grouped")
+    for df in (met, possible, first, second, third, rest):
+        drop_stash(df)
     least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
     out = grouped.join(least, "component", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.col("id").eqNullSafe(F.coalesce("component_id", "id")).alias("kept"))
