@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm.common import stash, table
+from codeloom.llm.common import drop_stash, stashed_alone, table
 from codeloom.llm.exact_dedup import drop_copies
 from codeloom.llm.langid import drop_unknown
 from codeloom.llm.minhash_dedup import drop_near_copies
@@ -71,5 +71,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, stashed_alone(lambda: stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_stash(before)
     return STAGES[-1][1](spark, docs, sf_dir)
