@@ -257,6 +257,7 @@ def _removed(rows: DataFrame, length: int, texts: bool, group: int) -> DataFrame
     each = parsed.select("rk", F.posexplode(F.arrays_zip("k", "c")).alias("i", "x")).select("rk", "i", "x.k", "x.c")
     # Most triggers occur once: one aggregation of fixed-size columns finds the others, and only their contexts go on.
     repeated = each.groupBy("k").agg(F.count("*").alias("n"), F.min("c").alias("a"), F.max("c").alias("b")).where("n > 1").select("k", (F.col("a") != F.col("b")).alias("open"))
+    repeated = stash(repeated, "triggers")  # read from a table, a skewed trigger's rows can be dealt over tasks in the join
     again = stash(each.join(repeated, "k"), "again")
     # Triggers with several different contexts are open. 1: repeated as a whole. 2: alone, but its trigger has other contexts. 3: repeated, and stands for its equals beside others.
     contexts = again.where("open").groupBy("k", "c").agg(F.count("*").alias("count"), F.min(F.struct("rk", "i")).alias("first"))
@@ -269,6 +270,7 @@ def _removed(rows: DataFrame, length: int, texts: bool, group: int) -> DataFrame
     touched = stash(packed(rows, "rk", "text").join(flagged, "rk"), "texts")
     drop_stash(known)
     drop_stash(again)
+    drop_stash(repeated)
     contexts_open = touched.select("rk", "z", "flags").mapInArrow(_open_contexts(length), OPEN)
     by_trigger = contexts_open.repartition("k", "part").sortWithinPartitions("k", "part", "rk", "first")
     solved = stash(by_trigger.mapInArrow(_solve(length), FOUND), "found")
