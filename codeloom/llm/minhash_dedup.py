@@ -438,7 +438,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         left = rows_in.where("comp <> main").select("family", "band", F.lit(0).alias("side"), "id", "comp", "n_shingles")
         right = rows_in.select("family", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.lit(1).alias("side"), "id", "comp", "n_shingles")
         weight = F.col("n_shingles") + unit_shingles // unit
-        loads = [side.groupBy("family", "band").agg(blocks(F.sum(weight), 2 * unit_shingles).alias(n)) for side, n in ((left, "xs"), (right, "ys"))]
+        loads = [side.groupBy("family", "band").agg(blocks(F.sum(weight), unit_shingles // 2).alias(n)) for side, n in ((left, "xs"), (right, "ys"))]
         loads = loads[0].join(loads[1], ["family", "band"])
         left = left.join(loads, ["family", "band"]).select("family", "band", block(F.col("xs")).alias("x"), every("ys").alias("y"), "side", "id", "comp")
         right = right.join(loads, ["family", "band"]).select("family", "band", every("xs").alias("x"), block(F.col("ys")).alias("y"), "side", "id", "comp")
