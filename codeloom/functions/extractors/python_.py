@@ -90,7 +90,7 @@ def extract(f: Facts) -> None:
                             f.define(target.id, "field", span(target)[0], *span(x), not target.id.startswith("_"))
                             if isinstance(x, ast.AnnAssign):
                                 f.note(span(target)[0], "@declares", ast.unparse(x.annotation))
-                            elif x.value is not None:
+                            if x.value is not None:
                                 typed(span(target)[0], x.value)
                     for y in filter(None, (x.value, getattr(x, "annotation", None))):
                         visit(y, None, False)

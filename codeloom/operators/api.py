@@ -36,8 +36,37 @@ def openapi(routes: DataFrame) -> DataFrame:
     return routes.groupBy("route").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("verb", operation.alias("o"))))).alias("item")).select("route", F.to_json("item").alias("json"))
 
 
+#: JSON types of Python's.
+JSON_TYPES = {"int": "integer", "float": "number", "str": "string", "bool": "boolean", "list": "array", "dict": "object"}
+
+
+def schemas(t: Tables, base: str = "BaseModel") -> DataFrame:
+    """Q23: (name, json) of the classes under a base class: their fields with declared types; those without a default are required."""
+    from .calls import ancestors_of
+
+    models = ancestors_of(t).where(F.col("dst") == base).select(F.col("src").alias("qualifier")).distinct()
+    fields = t.symbols.where("kind = 'field' and language = 'python'").join(models, "qualifier", "left_semi")
+    said = t.notes.where("name = '@declares'").groupBy("symbol_id").agg(F.min("arg").alias("declared"))
+    given = t.flows.select("symbol_id", F.lit(True).alias("given")).distinct().union(t.notes.where("name = '@value'").select("symbol_id", F.lit(True))).distinct()
+    plain = F.regexp_extract("declared", r"^(\w+)", 1)
+    kind = F.lit(None).cast("string")
+    for python, json in JSON_TYPES.items():
+        kind = F.when(plain == python, json).otherwise(kind)
+    reference = F.when(kind.isNull(), F.concat(F.lit("#/components/schemas/"), plain))
+    rows = fields.join(said, "symbol_id").join(given, "symbol_id", "left").withColumn("optional", F.coalesce("given", F.lit(False)) | F.col("declared").rlike(r"Optional|\bNone\b"))
+    each = F.sort_array(F.collect_list(F.struct("name_start", "name", F.struct(kind.alias("type"), reference.alias("$ref")).alias("schema"), "optional")))
+    lists = rows.groupBy("qualifier").agg(each.alias("f"))
+    return lists.select(F.col("qualifier").alias("name"), F.to_json(F.struct(F.lit("object").alias("type"), F.map_from_entries(F.transform("f", lambda x: F.struct(x["name"], x["schema"]))).alias("properties"), F.transform(F.filter("f", lambda x: ~x["optional"]), lambda x: x["name"]).alias("required"))).alias("json"))
+
+
 #: What each verb of the workspace needs of a language.
-CAPABILITIES = {"symbols": None, "references": None, "mentions": None, "rename": None, "callers": IMPERATIVE, "unused": None, "duplicates": IMPERATIVE, "flow": [*IMPERATIVE, "hcl", "css", "scss", "yaml", "helm"], "search": [*IMPERATIVE, "css", "scss", "hcl"], "hierarchy": ["python", "go", "java", "rust", "typescript", "tsx"], "entry-points": IMPERATIVE, "cascade": ["css", "scss"], "values": ["hcl", "helm", "yaml"]}
+CAPABILITIES = {
+    "symbols": None, "references": None, "mentions": None, "rename": None, "delete": None, "unused": None, "callers": IMPERATIVE, "impact": IMPERATIVE, "duplicates": IMPERATIVE,
+    "flow": [*IMPERATIVE, "hcl", "css", "scss", "yaml", "helm"], "search": [*IMPERATIVE, "css", "scss", "hcl"], "hierarchy": ["python", "go", "java", "rust", "typescript", "tsx"], "entry-points": [*IMPERATIVE, "hcl"],
+    "cascade": ["css", "scss"], "values": ["hcl", "helm", "yaml"], "stitch": ["yaml", "helm", "python", "go", "java", "typescript", "tsx", "rust", "bash"], "api": ["python", "typescript", "tsx"],
+    "unused-imports": ["python", "typescript", "tsx", "go", "rust", "java", "zig"], "signature": [x for x in IMPERATIVE if x != "bash"],
+    "types": ["python"], "extract": ["python"], "inline": ["python"], "rewrite": ["python"], "remove-flag": ["python"],
+}
 
 
 def capabilities(spark: SparkSession) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Refactorings that rewrite code, each as rows of edits (path, start, end, replacement) or a refusal.
+"""Refactorings that rewrite code, each as rows of edits (path, start, end, replacement) or a refusal.
 
 Gates are plans: every row must satisfy a condition, or the failing rows come back with the refusal. What needs a syntax
 tree works on one named file on the driver, or on all touched files in Arrow batches. Bodies are rewritten for Python;
@@ -275,6 +275,93 @@ def change_signature(t: Tables, resolved: DataFrame, name: str, change: str) ->
     return planned.drop("refused").distinct()
 
 
+# -- move (M7) -----------------------------------------------------------------------------------------------------------
+
+
+def _module(path: str) -> str:
+    return path.removesuffix(".py").removesuffix("/__init__").replace("/", ".")
+
+
+def _imports_of(s: _Source) -> dict[str, str]:
+    """Name -> the statement that imports it alone, of a file's top level."""
+    out = {}
+    for n in s.tree.body:
+        if isinstance(n, (ast.Import, ast.ImportFrom)):
+            for x in n.names:
+                alone = ast.Import([x]) if isinstance(n, ast.Import) else ast.ImportFrom(n.module, [x], n.level)
+                out[x.asname or x.name.partition(".")[0]] = ast.unparse(alone)
+    return out
+
+
+def _after_imports(s: _Source) -> int:
+    """Where a further import goes: after the last import of the top, or after the docstring."""
+    body, last = s.tree.body, None
+    for i, n in enumerate(body):
+        if isinstance(n, (ast.Import, ast.ImportFrom)) or i == 0 and isinstance(n, ast.Expr) and isinstance(n.value, ast.Constant):
+            last = n
+    return 0 if last is None else min(len(s.raw), s.span(last)[1] + 1)
+
+
+def move_symbol(t: Tables, resolved: DataFrame, name: str, destination: str) -> DataFrame:
+    """M7: moves a top-level function or class of a Python file to another file. Imports that it needs go with it; files that import it, and its old file where that still uses it, import it from its new place."""
+    rows = t.symbols.where((F.col("qualified_name") == name) & F.col("kind").isin("function", "class") & F.col("container_id").isNull() & (F.col("language") == "python")).limit(2).collect()
+    if len(rows) != 1:
+        raise Refusal("not-found" if not rows else "ambiguous", name, rows)
+    origin = rows[0]["path"]
+    if origin == destination:
+        raise Refusal("nothing-to-do", destination)
+    a, b = _python(t.files, origin), _python(t.files, destination)
+    if not t.symbols.where((F.col("path") == destination) & (F.col("name") == name) & F.col("container_id").isNull()).isEmpty():
+        raise Refusal("name-taken", name)
+    uses = resolved.where(F.col("target_id") == rows[0]["symbol_id"]).where("not in_import")
+    if bad := uses.where(((F.col("path") != origin) & F.col("receiver").isNotNull()) | (F.col("confidence") >= FIELD)).select("path", "start").limit(20).collect():
+        raise Refusal("unproven-reference", name, bad)
+    node = next(n for n in a.tree.body if getattr(n, "name", None) == name)
+    mine, known, tops = {x.id for x in _names([node], ast.Load)}, _imports_of(a), {getattr(n, "name", None) for n in a.tree.body} | {x.id for n in a.tree.body if isinstance(n, (ast.Assign, ast.AnnAssign)) for x in _names([n], ast.Store)}
+    there = _imports_of(b)
+    needed = sorted({known[x] for x in mine if x in known and there.get(x) != known[x]})
+    own = sorted(x for x in mine if x in tops and x != name and x is not None)
+    still = any(x.id == name for n in a.tree.body if n is not node for x in _names([n], ast.Load))
+    if own and still:
+        raise Refusal("circular-import", ", ".join(own))
+    if any(line.startswith("from .") for line in needed):
+        raise Refusal("relative-import", needed[0])
+    if own:
+        needed.append(f"from {_module(origin)} import {', '.join(own)}")
+    start, end = a.line(node), a.span(node)[1]
+    while end < len(a.raw) and a.raw[end : end + 1] == b"\n":
+        end += 1
+    edits = [(origin, start, end, "")]
+    new = f"from {_module(destination)} import {name}"
+    if still:
+        edits.append((origin, _after_imports(a), _after_imports(a), new + "\n"))
+    if needed:
+        edits.append((destination, _after_imports(b), _after_imports(b), "\n".join(needed) + "\n"))
+    gap = "" if not b.raw.strip() else "\n\n" if b.raw.endswith(b"\n") else "\n\n\n"
+    edits.append((destination, len(b.raw), len(b.raw), f"{gap}{a.block([node])}\n"))
+    from .references import import_files
+
+    named = t.bindings.where((F.col("original") == name) & (F.col("language") == "python")).join(import_files(t).where(F.col("file") == origin).select("path", "import_pos"), ["path", "import_pos"])
+    statements = named.join(t.imports.select("path", "import_pos", "start"), ["path", "import_pos"]).groupBy("path").agg(F.collect_set("start").alias("starts"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for path, text, starts in zip(batch["path"], batch["text"], batch["starts"]):
+                s = _Source(text)
+                for n in ast.walk(s.tree):
+                    if isinstance(n, ast.ImportFrom) and s.span(n)[0] in set(starts):
+                        moved = [x for x in n.names if x.name == name]
+                        kept = [x for x in n.names if x.name != name]
+                        lines = [ast.unparse(ast.ImportFrom(n.module, kept, n.level))] * bool(kept) + [ast.unparse(ast.ImportFrom(_module(destination), moved, 0))] * (path != destination)
+                        at, to = s.span(n)
+                        out.append((path, at, to if lines else min(len(s.raw), to + 1), "\n".join(lines)))
+            yield pd.DataFrame(out, columns=["path", "start", "end", "replacement"])
+
+    importers = t.files.join(statements, "path").select("path", "text", "starts").mapInPandas(run, EDIT)
+    return _edits(t.files, edits).union(importers)
+
+
 # -- micro-rewrites (M10) ------------------------------------------------------------------------------------------------
 
 _OPPOSITE = {ast.Eq: ast.NotEq, ast.NotEq: ast.Eq, ast.Lt: ast.GtE, ast.GtE: ast.Lt, ast.Gt: ast.LtE, ast.LtE: ast.Gt, ast.Is: ast.IsNot, ast.IsNot: ast.Is, ast.In: ast.NotIn, ast.NotIn: ast.In}
@@ -532,4 +619,4 @@ def commit(applied: DataFrame, root: str) -> int:
     return len(staged)
 
 
-__all__ = ["change_signature", "commit", "edited", "extract_function", "extract_variable", "fold", "import_edits", "inline_variable", "orphaned_imports", "remove_flag", "rewrite", "safe_deletes"]
+__all__ = ["change_signature", "commit", "edited", "extract_function", "extract_variable", "fold", "import_edits", "inline_variable", "move_symbol", "orphaned_imports", "remove_flag", "rewrite", "safe_deletes"]

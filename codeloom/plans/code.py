@@ -172,7 +172,7 @@ def entry_summary(spark, d):
     return sample(spark).entry_points().groupBy("kind").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("a15_capability_totals", values("support, n", [("supported", 139), ("not-applicable", 69)]))
+@query("a15_capability_totals", values("support, n", [("supported", 195), ("not-applicable", 189)]))
 def capability_totals(spark, d):
     return api.capabilities(spark).groupBy("support").agg(F.count("*").cast("int").alias("n"))
 

@@ -40,51 +40,63 @@ PACKAGING = ["pyproject.toml", "setup.cfg"]
 
 
 class _Part(InputPartition):
-    def __init__(self, paths: list[tuple[str, str, str]]) -> None:
-        self.paths = paths
+    """Some files (path, status, detail), or a whole folder with the ignore rules that hold in it."""
+
+    def __init__(self, paths: list[tuple[str, str, str]], folder: str | None = None, rules: list[tuple[str, str]] = ()) -> None:
+        self.paths, self.folder, self.rules = paths, folder, list(rules)
 
 
 class _Reader(DataSourceReader):
-    """Lists on the driver, reads in tasks. The root must be a folder that all executors see."""
+    """The driver lists folders from the top until there are `folders` of them; tasks walk those and read. The root must be a folder that all executors see."""
 
     def __init__(self, options) -> None:
         self.root = options["path"]
         self.no_ignore = str(options.get("noIgnore", "false")).lower() == "true"
-        self.most, self.per = int(options.get("maxBytes", MAX_BYTES)), int(options.get("filesPerPartition", 500))
-
-    def _list(self) -> list[tuple[str, str, str]]:
-        found = []
-
-        def walk(folder: str, rules: list[tuple[str, str]]) -> None:
-            at = os.path.join(self.root, folder)
-            ignore = os.path.join(at, ".gitignore")
-            if not self.no_ignore and os.path.isfile(ignore):
-                with open(ignore, encoding="utf-8", errors="replace") as file:
-                    rules = rules + [(folder, line.strip()) for line in file if line.strip() and not line.startswith("#")]
-            for entry in sorted(os.scandir(at), key=lambda e: e.name):
-                path = posixpath.join(folder, entry.name) if folder else entry.name
-                if not self.no_ignore and (entry.name.startswith(".") or ignored(path, entry.is_dir(follow_symlinks=False), rules)):
-                    continue
-                ext = entry.name.rpartition(".")[2].lower()
-                if entry.is_symlink():
-                    if ext in EXTENSIONS:
-                        found.append((path, "symlink", os.readlink(entry.path)))
-                elif entry.is_dir():
-                    walk(path, rules)
-                elif ext not in EXTENSIONS and entry.name not in PACKAGING:
-                    found.append((path, "unsupported", ext if "." in entry.name else "no extension"))
-                else:
-                    found.append((path, "too-large" if entry.stat().st_size > self.most else "ok", ""))
-
-        walk("", [])
-        return found
+        self.most, self.per, self.folders = int(options.get("maxBytes", MAX_BYTES)), int(options.get("filesPerPartition", 500)), int(options.get("folders", 256))
+
+    def _entries(self, folder: str, rules: list[tuple[str, str]]) -> tuple[list[tuple[str, str, str]], list[str], list[tuple[str, str]]]:
+        """Files and rejects, folders, and the ignore rules that hold inside one folder."""
+        at, found, inner = os.path.join(self.root, folder), [], []
+        ignore = os.path.join(at, ".gitignore")
+        if not self.no_ignore and os.path.isfile(ignore):
+            with open(ignore, encoding="utf-8", errors="replace") as file:
+                rules = rules + [(folder, line.strip()) for line in file if line.strip() and not line.startswith("#")]
+        for entry in sorted(os.scandir(at), key=lambda e: e.name):
+            path = posixpath.join(folder, entry.name) if folder else entry.name
+            if not self.no_ignore and (entry.name.startswith(".") or ignored(path, entry.is_dir(follow_symlinks=False), rules)):
+                continue
+            ext = entry.name.rpartition(".")[2].lower()
+            if entry.is_symlink():
+                if ext in EXTENSIONS:
+                    found.append((path, "symlink", os.readlink(entry.path)))
+            elif entry.is_dir():
+                inner.append(path)
+            elif ext not in EXTENSIONS and entry.name not in PACKAGING:
+                found.append((path, "unsupported", ext if "." in entry.name else "no extension"))
+            else:
+                found.append((path, "too-large" if entry.stat().st_size > self.most else "ok", ""))
+        return found, inner, rules
 
     def partitions(self) -> list[_Part]:
-        found = self._list()
-        return [_Part(found[i : i + self.per]) for i in range(0, len(found), self.per)] or [_Part([])]
+        files, open_ = [], [("", [])]
+        while open_ and len(open_) < self.folders:
+            deeper = []
+            for folder, rules in open_:
+                found, inner, held = self._entries(folder, rules)
+                files += found
+                deeper += [(x, held) for x in inner]
+            open_ = deeper
+        parts = [_Part(files[i : i + self.per]) for i in range(0, len(files), self.per)]
+        return parts + [_Part([], folder, rules) for folder, rules in open_] or [_Part([])]
+
+    def _walk(self, folder: str, rules: list[tuple[str, str]]) -> Iterator[tuple[str, str, str]]:
+        found, inner, held = self._entries(folder, rules)
+        yield from found
+        for x in inner:
+            yield from self._walk(x, held)
 
     def read(self, part: _Part) -> Iterator[tuple]:
-        for path, status, detail in part.paths:
+        for path, status, detail in part.paths if part.folder is None else self._walk(part.folder, part.rules):
             at = os.path.join(self.root, path)
             if status != "ok":
                 yield path, status, os.lstat(at).st_size, None, detail

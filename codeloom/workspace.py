@@ -93,6 +93,9 @@ class Workspace:
     def change_signature(self, name: str, change: str) -> DataFrame:
         return refactorings.change_signature(self.tables, self.resolved, name, change)
 
+    def move(self, name: str, destination: str) -> DataFrame:
+        return refactorings.move_symbol(self.tables, self.resolved, name, destination)
+
     def extract_variable(self, path: str, start: int, end: int, name: str) -> DataFrame:
         return refactorings.extract_variable(self.files, path, start, end, name)
 

@@ -189,3 +189,34 @@ def test_common_names_make_no_pairs(spark):
     out = {r.path: (r.target_id, r.confidence, r.rule) for r in w.resolved.where("kind = 'call'").collect()}
     assert all(out[f"m{i}.py"] == (f"m{i}.py:000000004", 0, 5) for i in range(60))
     assert out["far.py"] == (None, 3, 15) and out["two.py"] == ("one.py:000000004", 3, 15)
+
+
+def test_schemas_of_models(spark):
+    import json
+
+    from codeloom.operators.api import schemas
+
+    w = Workspace.of(spark, {"m.py": "from pydantic import BaseModel\n\n\nclass Base(BaseModel):\n    id: int\n\n\nclass Pet(Base):\n    name: str\n    tag: str | None = None\n    home: Base\n\n\nclass Other:\n    x: int\n"})
+    out = {r.name: json.loads(r.json) for r in schemas(w.tables).collect()}
+    assert out == {
+        "Base": {"type": "object", "properties": {"id": {"type": "integer"}}, "required": ["id"]},
+        "Pet": {"type": "object", "properties": {"name": {"type": "string"}, "tag": {"type": "string"}, "home": {"$ref": "#/components/schemas/Base"}}, "required": ["name", "home"]},
+    }
+
+
+def test_moving_a_function(spark):
+    files = {
+        "pkg/a.py": '"""Doc."""\nimport math\nfrom b import other\n\nSIZE = 3\n\n\ndef area(x):\n    return math.pi * x * SIZE\n\n\ndef rest():\n    return other()\n',
+        "pkg/c.py": "import os\n\n\ndef here():\n    return os.sep\n", "b.py": "def other():\n    return 1\n",
+        "user.py": "from pkg.a import rest, area as size\n\nprint(size(2), rest())\n", "far.py": "import pkg.a\n",
+    }
+    w = Workspace.of(spark, files)
+    out = applied(w, w.move("area", "pkg/c.py"))
+    assert "def area" not in out["pkg/a.py"] and "def rest():" in out["pkg/a.py"]
+    assert out["pkg/c.py"] == "import os\nimport math\nfrom pkg.a import SIZE\n\n\ndef here():\n    return os.sep\n\n\ndef area(x):\n    return math.pi * x * SIZE\n"
+    assert out["user.py"].startswith("from pkg.a import rest\nfrom pkg.c import area as size\n")
+    after = Workspace.of(spark, files | out)
+    assert after.resolved.where("path = 'user.py' and kind = 'call' and name = 'size'").first()["target_id"].startswith("pkg/c.py:")
+    with pytest.raises(Refusal) as e:
+        w.move("nothing", "pkg/c.py")
+    assert e.value.kind == "not-found"

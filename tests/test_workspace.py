@@ -75,6 +75,7 @@ def test_scan_reports_rejects(spark, tmp_path):
     out = {r.path: r.status for r in workspace.scan(spark, str(tmp_path), maxBytes=300).collect()}
     assert out == {"pkg/__init__.py": "ok", "pkg/_x.py": "ok", "b.txt": "unsupported", "big.py": "too-large", "link.py": "symlink"}
     assert "skip.py" in {r.path for r in workspace.scan(spark, str(tmp_path), noIgnore=True).collect()}
+    assert {r.path: r.status for r in workspace.scan(spark, str(tmp_path), maxBytes=300, folders=1).collect()} == out  # walked in tasks
 
 
 @pytest.fixture(scope="module")
