@@ -61,6 +61,8 @@ def brute_near(rows, k, percent=80):
 
     for a in sets:
         for b in range(a):
+            if 100 * min(len(sets[a]), len(sets[b])) < percent * max(len(sets[a]), len(sets[b])):
+                continue
             both = len(sets[a] & sets[b])
             if both and rows[a][0] is not None and rows[b][0] is not None and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 up[top(a)] = top(b)
@@ -202,3 +204,10 @@ def test_stages_tell_rows_of_one_id_apart(spark, words):
     assert texts(drop_near_copies(docs)) in [sorted((i is None, i, t) for i, t in [rows[0], x, rows[4]]) for x in (rows[1], rows[5])]
     cut = texts(remove_repeats(docs))
     assert len(cut) == 6 and sum(shared in t for _, _, t in cut) == 0 and sum(t == rows[4][1] for _, _, t in cut) == 1 and sum(len(t) < 10 for _, _, t in cut) == 5
+
+
+def test_near_loses_no_link_on_the_driver_table(spark):
+    """All links of the documents at sf0.01, by an index of shingles: measured recall and precision of 1."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    out = near_dedup(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), shingle=2).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in out) == brute_near(rows, 2)

@@ -120,3 +120,20 @@ def test_canonical(spark, url, want):
     one = spark.createDataFrame([(url,)], "u string")
     assert one.select(canonical(F.col("u"))).first()[0] == want
     assert host_and_path(F.col("u")) is not None
+
+
+def test_rejection_has_a_margin_whatever_the_languages(spark, words):
+    """Texts that two families claim alike go, clear ones stay; the margin is between the best two, however many there are."""
+    from codeloom.llm.langid import Model, features
+
+    texts = {"en": "the house and the garden with this thing", "fr": "la maison et le jardin avec cette chose", "ru": "дом и сад с этой вещью", "tr": "ev ve bahçe bu şey ile"}
+    for langs in (("en", "fr"), ("en", "fr", "ru", "tr")):
+        names = [v for v in langs for _ in range(5)]
+        m = Model(np.stack([features(texts[v] + " " + texts[v].split()[i]) for v in langs for i in range(5)]), names)
+        assert all(m.margin(features(texts[v])) > 0.5 for v in langs)
+        w = m.family_w[0] - m.family_w[1]
+        between = -w[-1] * w[:-1] / (w[:-1] @ w[:-1])  # where the first two families decide alike
+        assert len(langs) > 2 or m.margin(between) < 1e-6
+    rows = [(n, texts[("en", "fr")[n % 2]] + " " + words(3, n), ("en", "fr")[n % 2]) for n in range(40)] + [(90, None, "en"), (91, "", "fr"), (92, "123 --", "en")]
+    docs = frame(spark, rows)
+    assert drop_unknown(docs).count() == 40 and drop_unknown(docs, least_margin=100.0).count() == 0 and drop_unknown(docs).columns == docs.columns
