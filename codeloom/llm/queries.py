@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import table
 from .exact_dedup import exact_dedup
 from .fingerprints import fingerprint_neighbours
+from .hard_negatives import NEGATIVES_SQL, hard_negatives
 from .langid import held_out, identify, train
+from .license_scan import scan, scan_sql
 from .minhash_dedup import near_dedup
 from .packing import pack
 from .pieces import round_trip
 from .quality import classify
+from .ranked_search import SEARCH_SQL, search
 from .suffix_dedup import PASSAGE, suffix_dedup
 from .token_files import token_files
 from .url_filter import judge
@@ -93,6 +98,23 @@ SELECT c.page_id, host, path, rule,
 FROM c LEFT JOIN m USING (page_id)
 """
 
+#: The base phrases that the query counts, and their labels.
+PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
+
+def op11_license_scan(spark, sf_dir):
+    return scan(table(spark, sf_dir, "documents"), PHRASES)
+
+
+def op12_ranked_search(spark, sf_dir):
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    """Labels of every seventh vector are moved on by one; every hundredth vector is an anchor."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
+
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -105,9 +127,15 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_langid": op9_langid,
     "op10_url_filter": op10_url_filter,
+    "op11_license_scan": op11_license_scan,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE = {
     "op1_exact_dedup": OP1_SQL,
     "op10_url_filter": OP10_SQL,
+    "op11_license_scan": scan_sql(PHRASES),
+    "op12_ranked_search": SEARCH_SQL,
+    "op13_hard_negatives": NEGATIVES_SQL,
 }
