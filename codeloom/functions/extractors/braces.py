@@ -46,7 +46,7 @@ def extract(f: Facts) -> None:
             taken.add(i)
             if i + 2 < len(code):
                 f.flow(a, code[i + 2][2], code[stop][3])
-        elif text in words and i + 1 < len(code) and before not in (".", "::"):
+        elif text in words and i + 1 < len(code) and before not in (".", "::") and not (text == "func" and i and "\n" not in f.text[code[i - 1][3] : a] and before != ";"):  # Go also writes func for literals and types
             _declare(f, code, close, i, words[text], taken)
         elif f.language == "rust" and text == "impl":
             _impl(f, code, close, i)
@@ -131,7 +131,8 @@ def _declare(f: Facts, code, close, i: int, kind: str, taken: set[int]) -> None:
     j, owner = i + 1, None
     if f.language == "go" and kind == "function" and code[j][1] == "(":  # a receiver names the type
         end = close.get(j, j)
-        names = [k for k in range(j, end) if code[k][0] == "name"]
+        bracket = next((k for k in range(j, end) if code[k][1] == "["), end)  # type parameters follow the type's name
+        names = [k for k in range(j, bracket) if code[k][0] == "name"]
         owner = code[names[-1]][1] if names else None
         if len(names) > 1:
             f.define(code[names[0]][1], "parameter", code[names[0]][2])
@@ -190,6 +191,8 @@ def _callable(f: Facts, code, close, i: int, j: int, taken: set[int], owner: str
     f.define(name, "function", at, _begin(f, code, i), end, exported)
     if owner:
         f.definitions[-1]["own_qualifier"] = owner
+        if f.language == "go":
+            _go_signature(f, code, close, at, opened, body)
     taken.add(j)
     _parameters(f, code, opened, close[opened], taken)
     f.scope(code[opened][2], end)
@@ -217,6 +220,56 @@ def _parameters(f: Facts, code, a: int, b: int, taken: set[int]) -> None:
             first = False
 
 
+def _parts(code, a: int, b: int) -> list[list[str]]:
+    """The tokens between two brackets, by commas outside further brackets."""
+    parts, depth = [[]], 0
+    for _, text, _, _ in code[a + 1 : b]:
+        depth += (text in "([{") - (text in ")]}") if len(text) == 1 else 0
+        if text == "," and depth == 0:
+            parts.append([])
+        else:
+            parts[-1].append(text)
+    return [x for x in parts if x]
+
+
+def _go_type(tokens: list[str]) -> str | None:
+    """A type without package names and spaces; null where it holds types that are written out on the spot."""
+    if {"func", "struct", "interface"} & set(tokens) and tokens[-3:] != ["interface", "{", "}"]:
+        return None
+    kept = [x for i, x in enumerate(tokens) if not (i + 2 < len(tokens) and tokens[i + 1] == "." and x.isidentifier() and tokens[i + 2].isidentifier())]
+    return "".join(x for i, x in enumerate(kept) if not (x == "." and i + 1 < len(kept) and kept[i + 1].isidentifier() and (i == 0 or kept[i - 1] != ".")))
+
+
+def _go_types(parts: list[list[str]]) -> list[str | None]:
+    """One type for each parameter: `a, b int` are two of them, and names don't count."""
+    names = [p[0].isidentifier() and p[0] not in ("map", "chan", "func", "interface", "struct") and (len(p) > 1 and (p[1] != "." or p[1:4] == [".", ".", "."])) for p in parts]
+    if not any(names):
+        return [_go_type(p) for p in parts]
+    out: list[str | None] = []
+    after = None
+    for p, named in zip(reversed(parts), reversed(names)):
+        after = _go_type(p[1:]) if named else after
+        out.append(after)
+    return out[::-1]
+
+
+def _go_signature(f: Facts, code, close, at: int, opened: int, body: int | None) -> None:
+    """Notes the number of a method's parameters and, where all of its types can be read, its signature."""
+    types = _go_types(_parts(code, opened, close[opened]))
+    f.note(at, "@arity", str(len(types)))
+    k = close[opened] + 1
+    stop = k
+    while stop < len(code) and stop != body and code[stop][1] not in ";}" and (body is not None or "\n" not in f.text[code[stop - 1][3] : code[stop][2]]):
+        stop = close.get(stop, stop) + 1
+    result = [x[1] for x in code[k:stop]]
+    if result[:1] == ["("] and close.get(k) == stop - 1:
+        gives = _go_types(_parts(code, k, stop - 1))
+    else:
+        gives = [_go_type(result)] if result else []
+    if None not in types and None not in gives:
+        f.note(at, "@signature", f"({','.join(types)}) {','.join(gives)}")
+
+
 def _fields(f: Facts, code, close, body: int, kind: str, taken: set[int]) -> None:
     k, end = body + 1, close[body]
     while k < end:
@@ -233,6 +286,8 @@ def _fields(f: Facts, code, close, body: int, kind: str, taken: set[int]) -> Non
             elif after == "(" and kind == "interface":
                 f.define(text, "method", code[k][2], code[k][2], code[close.get(k + 1, k + 1)][3], True)
                 taken.add(k)
+                if f.language == "go" and k + 1 in close:
+                    _go_signature(f, code, close, code[k][2], k + 1, None)
         elif f.language == "java" and code[k][0] == "name" and after in ("=", ";") and code[k - 1][0] == "name" and text not in RESERVED:
             f.define(text, "field", code[k][2], code[k - 1][2], code[k + 1][3], _has(code, k, "public"))
             taken.add(k)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extractors import EXTRACTORS, extract
-from .calls import families
+from .calls import attribute_family, families
 from .facts import Tables
 from .ranking import overlapping, runs
 from .references import with_entities
@@ -27,7 +27,7 @@ class Refusal(Exception):
 
 
 def rename(t: Tables, resolved: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
-    """M1: (edits, warnings). The entity's sites, its dispatch family and all references of proven targets; weaker ones are warnings."""
+    """M1: (edits, warnings). The entity's sites, its dispatch or attribute family and all references of proven targets; weaker ones are warnings."""
     every = with_entities(t.symbols)
     hit = every.where((F.col("qualified_name") == old) | (F.col("name") == old))
     if hit.isEmpty():
@@ -35,6 +35,9 @@ def rename(t: Tables, resolved: DataFrame, old: str, new: str) -> tuple[DataFram
     leaf = old.rpartition("::")[2]
     kin = families(t)
     linked = kin.union(kin.select("concrete_id", "abstract_id")).toDF("a", "b").join(hit.select(F.col("symbol_id").alias("a")), "a", "left_semi").select(F.col("b").alias("symbol_id"))
+    fields = hit.where("kind = 'field'")
+    if not fields.isEmpty():
+        linked = linked.union(attribute_family(t, fields).select("member_id"))
     ids = hit.select("symbol_id").union(linked).union(every.join(hit.select("entity").distinct(), "entity", "left_semi").select("symbol_id")).distinct()
     clash = t.symbols.where(F.col("name") == new).join(hit.select("path", "scope_id"), ["path", "scope_id"], "left_semi")
     if not clash.isEmpty():

@@ -6,6 +6,9 @@ visited with an anti-join, and cut lineage in the shared folder; only counts com
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,25 +19,97 @@ def flipped(edges: DataFrame) -> DataFrame:
     return edges.withColumnsRenamed({"src": "__s", "dst": "src"}).withColumnRenamed("__s", "dst")
 
 
+@dataclass
+class Factored:
+    """Edges, some of them factored: each site (src, set_id) leads to all members (set_id, dst) of its set.
+
+    Walks take it in place of an edge table. They open a set once, so their work grows with sites and members, not with
+    the pairs of both.
+    """
+
+    edges: DataFrame
+    sites: DataFrame | None = None
+    sets: DataFrame | None = None
+
+    @classmethod
+    def of(cls, edges: "DataFrame | Factored") -> "Factored":
+        return edges if isinstance(edges, Factored) else cls(edges)
+
+    def flipped(self) -> "Factored":
+        if self.sites is None:
+            return Factored(flipped(self.edges))
+        into = self.sets.select(F.col("dst").alias("src"), "set_id", "confidence")
+        return Factored(flipped(self.edges), into, self.sites.select("set_id", F.col("src").alias("dst"), "confidence"))
+
+    def plain(self) -> "Factored":
+        """Without repeats and further columns, written once."""
+        if self.sites is None:
+            return Factored(cut(self.edges.select("src", "dst").distinct()))
+        return Factored(cut(self.edges.select("src", "dst").distinct()), cut(self.sites.select("src", "set_id").distinct()), cut(self.sets.select("set_id", "dst").distinct()))
+
+
+class Seen:
+    """What a walk has visited. A round adds its frontier; only every eighth rewrites what is there."""
+
+    def __init__(self, first: DataFrame) -> None:
+        self.parts = [first]
+
+    def add(self, rows: DataFrame) -> None:
+        self.parts.append(rows)
+        if len(self.parts) > 8:
+            self.parts = [cut(self.rows())]
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+
+def _ahead(g: Factored, frontier: DataFrame, opened: Seen | None) -> tuple[DataFrame, DataFrame | None]:
+    """(node, via) one step from the frontier's nodes, and the sets (set_id) that it opened; via is the least node of several."""
+    step = frontier.join(g.edges, F.col("node") == F.col("src")).select(F.col("dst").alias("to"), "src")
+    new = None
+    if g.sites is not None:
+        new = frontier.join(g.sites, F.col("node") == F.col("src")).groupBy("set_id").agg(F.min("src").alias("src"))
+        new = cut(new.join(opened.rows(), "set_id", "left_anti"))
+        step = step.union(new.join(g.sets, "set_id").select(F.col("dst").alias("to"), "src"))
+    return step.groupBy(F.col("to").alias("node")).agg(F.min("src").alias("via")), new
+
+
+def one_step(edges: DataFrame | Factored, nodes: DataFrame) -> DataFrame:
+    """The nodes (column node) that some of the given ones lead to."""
+    g = Factored.of(edges)
+    return _ahead(g, nodes.select("node").distinct(), _none_opened(g))[0].select("node")
+
+
 def first_neighbours(edges: DataFrame, at: str = "offset") -> DataFrame:
     """One row for each pair; the edge of least offset (then path) supplies the confidence."""
     rest = [c for c in edges.columns if c not in ("src", "dst", at)]
     return edges.groupBy("src", "dst").agg(F.min(F.struct(at, *sorted(rest))).alias("b")).select("src", "dst", "b.*")
 
 
-def trace(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+def trace(edges: DataFrame | Factored, starts: DataFrame, depth: int) -> DataFrame:
     """Nodes within `depth` steps of the starts (column node) with their depth, the node they were reached from (the least of several) and, at the bound, whether they lead further."""
-    out_of = cut(edges.select("src", "dst").distinct())
-    seen = cut(starts.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(dict(starts.dtypes)["node"]).alias("via")))
-    frontier = seen
+    g = Factored.of(edges).plain()
+    frontier = cut(starts.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(dict(starts.dtypes)["node"]).alias("via")))
+    seen, opened = Seen(frontier), _none_opened(g)
     for d in range(1, depth + 1):
-        step = frontier.join(out_of, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("via"))
-        frontier = cut(step.join(seen, "node", "left_anti").select("node", F.lit(d).alias("depth"), "via"))
+        step, new = _ahead(g, frontier, opened)
+        frontier = cut(step.join(seen.rows(), "node", "left_anti").select("node", F.lit(d).alias("depth"), "via"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    unexplored = seen.where(F.col("depth") == depth).select("node").join(out_of.select(F.col("src").alias("node"), "dst"), "node").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti").select("node").distinct().withColumn("__u", F.lit(True))
-    return seen.join(unexplored, "node", "left").select("node", "depth", "via", F.coalesce("__u", F.lit(False)).alias("unexplored"))
+        seen.add(frontier)
+        if new is not None:
+            opened.add(new.select("set_id"))
+    at_bound = seen.rows().where(F.col("depth") == depth).select("node")
+    known = seen.rows().select(F.col("node").alias("dst"))
+    more = at_bound.join(g.edges.select(F.col("src").alias("node"), "dst"), "node").join(known, "dst", "left_anti").select("node")
+    if g.sites is not None:
+        unseen = g.sets.join(known, "dst", "left_anti").select("set_id").distinct()
+        more = more.union(at_bound.join(g.sites.withColumnRenamed("src", "node"), "node").join(unseen, "set_id", "left_semi").select("node"))
+    return seen.rows().join(more.distinct().withColumn("__u", F.lit(True)), "node", "left").select("node", "depth", "via", F.coalesce("__u", F.lit(False)).alias("unexplored"))
+
+
+def _none_opened(g: Factored) -> Seen | None:
+    return None if g.sites is None else Seen(g.sites.select("set_id").limit(0))
 
 
 def cycle_edges(edges: DataFrame, traced: DataFrame) -> DataFrame:
@@ -44,25 +119,27 @@ def cycle_edges(edges: DataFrame, traced: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("to_depth <= from_depth").select("src", "dst")
 
 
-def neighbourhood(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+def neighbourhood(edges: DataFrame | Factored, starts: DataFrame, depth: int) -> DataFrame:
     """Both ways, callers at negative ranks; depth is held between 1 and 8."""
     depth = max(1, min(8, depth))
     ahead = trace(edges, starts, depth).select("node", F.col("depth").alias("rank"), F.col("unexplored").alias("more"))
-    back = trace(flipped(edges), starts, depth).select("node", (-F.col("depth")).alias("rank"), F.col("unexplored").alias("more"))
+    back = trace(Factored.of(edges).flipped(), starts, depth).select("node", (-F.col("depth")).alias("rank"), F.col("unexplored").alias("more"))
     return ahead.unionByName(back.where("rank < 0"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFrame:
+def reach(edges: DataFrame | Factored, seeds: DataFrame, rounds: int = 10_000) -> DataFrame:
     """All nodes that can be reached from the seeds (column node), the seeds included. Semi-naive, so a cycle ends it."""
-    out_of = cut(edges.select("src", "dst").distinct())
-    seen = cut(seeds.select("node").distinct())
-    frontier = seen
+    g = Factored.of(edges).plain()
+    frontier = cut(seeds.select("node").distinct())
+    seen, opened = Seen(frontier), _none_opened(g)
     for _ in range(rounds):
-        new = frontier.join(out_of, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(new.join(seen, "node", "left_anti"))
+        step, new = _ahead(g, frontier, opened)
+        frontier = cut(step.select("node").join(seen.rows(), "node", "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
+            return seen.rows()
+        seen.add(frontier)
+        if new is not None:
+            opened.add(new.select("set_id"))
     raise RuntimeError("reach did not settle")
 
 
@@ -84,22 +161,34 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
 
 
-def taint(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+def taint(edges: DataFrame | Factored, starts: DataFrame, depth: int) -> DataFrame:
     """For nodes that lead to the starts within `depth` steps, the best route's weakest tier and the least depth that has it.
 
-    States are (node, tier, depth); a state that another beats in both is dropped each round, so there are four a node at most.
+    States are (node, tier, depth); a state that another beats in both is dropped each round, so there are four a node at
+    most. A set is opened again only for a better tier than before.
     """
-    into = cut(edges.select("src", "dst", "confidence").groupBy("src", "dst").agg(F.min("confidence").alias("confidence")))
-    seen = cut(starts.select("node").distinct().select("node", F.lit(-1).alias("tier"), F.lit(0).alias("depth")))
-    frontier = seen
+    g = Factored.of(edges)
+    into = cut(g.edges.groupBy("src", "dst").agg(F.min("confidence").alias("confidence")))
+    if g.sites is not None:
+        sites = cut(g.sites.groupBy("src", "set_id").agg(F.min("confidence").alias("confidence")))
+        sets = cut(g.sets.groupBy("set_id", "dst").agg(F.min("confidence").alias("confidence")))
+        opened = Seen(sites.select("set_id", F.lit(0).alias("tier")).limit(0))
+    frontier = cut(starts.select("node").distinct().select("node", F.lit(-1).alias("tier"), F.lit(0).alias("depth")))
+    seen = Seen(frontier)
     for d in range(1, depth + 1):
-        step = frontier.join(into, F.col("node") == F.col("dst")).groupBy(F.col("src").alias("node")).agg(F.min(F.greatest("tier", "confidence")).alias("tier"))
-        known = seen.groupBy("node").agg(F.min("tier").alias("best"))
+        step = frontier.join(into, F.col("node") == F.col("dst")).select("src", F.greatest("tier", "confidence").alias("tier"))
+        if g.sites is not None:
+            new = frontier.join(sets, F.col("node") == F.col("dst")).groupBy("set_id").agg(F.min(F.greatest("tier", "confidence")).alias("tier"))
+            new = cut(new.join(opened.rows().groupBy("set_id").agg(F.min("tier").alias("best")), "set_id", "left").where("best is null or tier < best").select("set_id", "tier"))
+            step = step.union(new.join(sites, "set_id").select("src", F.greatest("tier", "confidence").alias("tier")))
+            opened.add(new)
+        step = step.groupBy(F.col("src").alias("node")).agg(F.min("tier").alias("tier"))
+        known = seen.rows().groupBy("node").agg(F.min("tier").alias("best"))
         frontier = cut(step.join(known, "node", "left").where("best is null or tier < best").select("node", "tier", F.lit(d).alias("depth")))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen.where("depth > 0").groupBy("node").agg(F.min(F.struct("tier", "depth")).alias("b")).select("node", "b.tier", "b.depth").join(starts.select("node"), "node", "left_anti")
+        seen.add(frontier)
+    return seen.rows().where("depth > 0").groupBy("node").agg(F.min(F.struct("tier", "depth")).alias("b")).select("node", "b.tier", "b.depth").join(starts.select("node"), "node", "left_anti")
 
 
 def strong_components(edges: DataFrame, rounds: int = 10_000) -> DataFrame:

@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import LANGUAGES
+from .calls import walkable
 from .edits import Refusal, safe_deletes
+from .graphs import one_step
 
 #: What a where clause may name.
 FIELDS = ["name", "kind", "lang", "file", "in", "annotated-with", "calls", "called-by", "implements", "matches"]
@@ -162,9 +164,8 @@ def _set_of(workspace, name: str, value: str, symbols: bool) -> DataFrame:
         inside = t.symbols.join(places, "path").where("start <= full_start and full_end <= end").select("path", "name_start").distinct()
         return inside if symbols else places.select("path").distinct()
     if name in ("calls", "called-by"):
-        a, b = ("src", "dst") if name == "calls" else ("dst", "src")
-        edges, nodes = workspace.graph["edges"], workspace.graph["nodes"].select(F.col("node").alias(b), F.col("name").alias("__n"))
-        return edges.join(nodes.where(F.col("__n") == value), b).select(F.col(a).alias("symbol_id")).distinct()
+        g, named = walkable(workspace.graph), workspace.graph["nodes"].where(F.col("name") == value).select("node")
+        return one_step(g.flipped() if name == "calls" else g, named).select(F.col("node").alias("symbol_id"))
     if name == "implements":
         from .calls import ancestors_of
 

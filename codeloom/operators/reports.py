@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import CALLABLE, IMPERATIVE, LOCAL
-from .calls import families
+from .calls import families, walkable
+from .clones import greedy_cover
 from .facts import Tables
 from .graphs import dead_cycles, reach, taint
 from .references import with_entities
@@ -73,12 +74,20 @@ def reference_at(resolved: DataFrame, path: str, offset: int) -> DataFrame:
 
 def graph_summary(graph: dict) -> DataFrame:
     """Edges by tier and origin."""
-    return graph["edges"].groupBy(tier_name(F.col("confidence")).alias("tier"), "origin").agg(F.count("*").cast("int").alias("edges"))
+    direct = graph["direct"].groupBy("confidence", "origin").agg(F.count("*").alias("edges"))
+    # The pairs of a set are counted as a product; those that repeat a direct edge don't count.
+    size = graph["sets"].groupBy("set_id").agg(F.count("*").alias("members"))
+    possible = graph["sites"].groupBy("set_id").agg(F.count("*").alias("n")).join(size, "set_id").agg(F.coalesce(F.sum(F.col("n") * F.col("members")), F.lit(0)).alias("edges"))
+    again = graph["direct"].select("src", "dst", "path", "offset").join(graph["sites"].select("src", "path", "offset", "set_id"), ["src", "path", "offset"]).join(graph["sets"].select("set_id", "dst"), ["set_id", "dst"], "left_semi")
+    possible = possible.union(again.agg(-F.count("*"))).agg(F.sum("edges").alias("edges")).where("edges > 0")
+    rows = direct.union(possible.select(F.lit(FIELD).alias("confidence"), F.lit("hierarchy").alias("origin"), "edges"))
+    return rows.groupBy(tier_name(F.col("confidence")).alias("tier"), "origin").agg(F.sum("edges").cast("int").alias("edges"))
 
 
 def hierarchy_callers(graph: dict, target: DataFrame) -> DataFrame:
     """Callers that reach a symbol through the type hierarchy alone."""
-    return graph["edges"].where("origin = 'hierarchy'").join(target.select(F.col("symbol_id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+    sets = graph["sets"].join(target.select(F.col("symbol_id").alias("dst")), "dst", "left_semi").select("set_id").distinct()
+    return graph["sites"].join(sets, "set_id", "left_semi").select(F.col("src").alias("node")).distinct()
 
 
 def holders(t: Tables, symbols: DataFrame) -> DataFrame:
@@ -111,7 +120,7 @@ def impact(t: Tables, resolved: DataFrame, graph: dict, name: str, depth: int =
     refs = references_to(resolved, target)
     of = target.select(F.col("symbol_id").alias("target_id"), F.col("language").alias("t_language"))
     rows = refs.join(of, "target_id").select(F.when(F.col("language") == F.col("t_language"), "reference").otherwise("cross-language").alias("kind"), "path", F.col("start").alias("at"), "confidence", F.lit(1).alias("depth"))
-    callers = taint(graph["edges"], target.select(F.col("symbol_id").alias("node")), depth).join(graph["nodes"].select("node", "path"), "node")
+    callers = taint(walkable(graph), target.select(F.col("symbol_id").alias("node")), depth).join(graph["nodes"].select("node", "path"), "node")
     rows = rows.unionByName(callers.select(F.lit("caller").alias("kind"), "path", F.element_at(F.split("node", ":"), -1).cast("bigint").alias("at"), F.col("tier").alias("confidence"), "depth"))
     text = mentions(t, name).select(F.lit("textual").alias("kind"), "path", F.col("start").alias("at"), F.lit(None).cast("int").alias("confidence"), F.lit(0).alias("depth"))
     return rows.unionByName(text.join(rows.select("path", "at"), ["path", "at"], "left_anti"))
@@ -189,9 +198,9 @@ def unused(t: Tables, resolved: DataFrame, graph: dict, entries: DataFrame) -> D
     seeds = entries.select(F.col("symbol_id").alias("node"))
     module = graph["file_scope"].select(F.col("dst").alias("node"))
     roots = seeds.union(module).distinct()
-    reached = reach(graph["edges"], roots).select(F.col("node").alias("symbol_id"), F.lit(True).alias("reached"))
-    directly = reach(graph["edges"].where("origin = 'resolved'"), roots).select(F.col("node").alias("symbol_id"), F.lit(True).alias("directly"))
-    dispatched = graph["edges"].where("origin = 'hierarchy'").select(F.col("dst").alias("symbol_id"), F.lit(True).alias("dispatched")).distinct()
+    reached = reach(walkable(graph), roots).select(F.col("node").alias("symbol_id"), F.lit(True).alias("reached"))
+    directly = reach(graph["direct"], roots).select(F.col("node").alias("symbol_id"), F.lit(True).alias("directly"))
+    dispatched = graph["sets"].select(F.col("dst").alias("symbol_id"), F.lit(True).alias("dispatched")).distinct()
     every = with_entities(t.symbols).where(~F.col("kind").isin("parameter", "key", "link-def"))
     inside = resolved.where("target_id is not null and not in_import").join(t.symbols.select(F.col("symbol_id").alias("target_id"), F.col("path").alias("t_path"), "full_start", "full_end", F.col("name").alias("t_name"), F.col("kind").alias("t_kind")), "target_id")
     outside = inside.where("path <> t_path or start < full_start or start >= full_end")
@@ -227,17 +236,13 @@ def unused(t: Tables, resolved: DataFrame, graph: dict, entries: DataFrame) -> D
 
 
 def duplicates(t: Tables, floor: int = 60, config_floor: int = 30) -> DataFrame:
-    """Q12: maximal clones: subtrees of equal hash in a language, at least `floor` tokens, largest first, that no accepted larger class covers.
-
-    Hashes that occur once go before anything is gathered; the cover is then settled inside each file: an instance inside
-    a larger repeated instance of its file is covered, and a class stays if two instances are not.
-    """
+    """Q12: maximal clones: subtrees of equal hash in a language, at least `floor` tokens, largest first, without the copies inside accepted larger ones."""
     big = t.subtrees.where(F.col("tokens") >= F.when(F.col("language").isin(IMPERATIVE), floor).otherwise(config_floor))
-    some = big.groupBy("language", "hash").agg(F.count("*").alias("n")).where("n > 1")
+    some = big.groupBy("language", "hash").agg(F.count("*").alias("n")).where("n > 1")  # hashes that occur once go before anything is gathered
     rows = big.join(some.select("language", "hash"), ["language", "hash"], "left_semi")
-    w = Window.partitionBy("path").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    free = rows.withColumn("covered", F.coalesce(F.max("end").over(w) >= F.col("end"), F.lit(False))).where("not covered")
-    return free.groupBy("language", "hash").agg(F.max("tokens").alias("tokens"), F.count("*").alias("instances"), F.sort_array(F.collect_list(F.struct("path", "start", "end"))).alias("places")).where("instances > 1").withColumn("redundant", F.col("tokens") * (F.col("instances") - 1))
+    kept = greedy_cover(rows.select(F.concat_ws(":", "language", "hash").alias("class"), "path", "start", "end", "tokens", "depth"))
+    out = kept.groupBy("class").agg(F.max("tokens").alias("tokens"), F.count("*").alias("instances"), F.sort_array(F.collect_list(F.struct("path", "start", "end"))).alias("places"))
+    return out.select(F.substring_index("class", ":", 1).alias("language"), F.substring_index("class", ":", -1).alias("hash"), "tokens", "instances", "places", (F.col("tokens") * (F.col("instances") - 1)).alias("redundant"))
 
 
 # -- data flow -----------------------------------------------------------------------------------------------------------

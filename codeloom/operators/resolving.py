@@ -5,8 +5,10 @@ Every function is generic over key columns, so that the same plan resolves code
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,15 +45,40 @@ def cap(resolved: DataFrame, untyped: Column, least: int = FIELD) -> DataFrame:
 
 
 def innermost(inner: DataFrame, outer: DataFrame, on: list[str], key: str, start: str, end: str, name: str, at: str, strict: bool = False) -> DataFrame:
-    """The smallest outer interval that holds a point, or null. Equal columns `on` first, so the range test stays inside a file.
+    """The smallest outer interval of equal keys `on` that holds a point, or null; the least name of equally small ones. Null points are in none.
 
-    `strict` leaves out intervals that begin at the point itself.
+    A sweep: intervals and points are laid out by key and place, and one pass keeps the intervals that are open, the
+    smallest on top. That is n log n in a key's rows, and holds no more of them than are open at once. `strict` leaves out
+    intervals that begin at the point itself.
     """
-    holds = (F.col(f"o.{start}") < F.col(f"i.{at}")) if strict else (F.col(f"o.{start}") <= F.col(f"i.{at}"))
-    test = reduce(Column.__and__, [F.col(f"i.{c}") == F.col(f"o.{c}") for c in on], holds & (F.col(f"i.{at}") < F.col(f"o.{end}")))
-    pairs = inner.alias("i").join(outer.alias("o"), test).select(F.col(f"i.{key}").alias(key), F.col(f"o.{name}").alias(name), (F.col(f"o.{end}") - F.col(f"o.{start}")).alias("__len"))
-    best = pairs.groupBy(key).agg(F.min(F.struct("__len", name)).alias("b")).select(key, F.col(f"b.{name}").alias(name))
-    return inner.join(best, key, "left")
+    kind = dict(outer.dtypes)[name]
+    order = (1, 0) if strict else (0, 1)  # whether intervals or points come first at one place
+    keyed = reduce(Column.__and__, [F.col(c).isNotNull() for c in on])
+    spans = outer.where(keyed & (F.col(start) < F.col(end))).select(*on, F.col(start).cast("bigint").alias("__at"), F.lit(order[0]).alias("__side"), F.col(end).cast("bigint").alias("__end"), F.col(name).alias("__name"), F.lit(None).cast(dict(inner.dtypes)[key]).alias("__key"))
+    points = inner.where(keyed & F.col(at).isNotNull()).select(*on, F.col(at).cast("bigint").alias("__at"), F.lit(order[1]).alias("__side"), F.lit(None).cast("bigint").alias("__end"), F.lit(None).cast(kind).alias("__name"), F.col(key).alias("__key")).distinct()
+    laid = spans.unionByName(points).repartition(*on).sortWithinPartitions(*on, "__at", "__side")
+    group = F.xxhash64(*on) if len(on) > 1 else F.col(on[0])
+    point = order[1]
+
+    def sweep(batches):
+        now, open_ = object(), []
+        for b in batches:
+            keys, names = [], []
+            for g, p, side, stop, called, k in zip(*(c.to_pylist() for c in b.columns)):
+                if g != now:
+                    now, open_ = g, []
+                if side != point:
+                    heapq.heappush(open_, (stop - p, called, stop))
+                    continue
+                while open_ and open_[0][2] <= p:
+                    heapq.heappop(open_)
+                if open_:
+                    keys.append(k)
+                    names.append(open_[0][1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(5).type), pa.array(names, b.schema.field(4).type)], names=["k", "n"])
+
+    found = laid.select(group.alias("g"), "__at", "__side", "__end", "__name", "__key").mapInArrow(sweep, f"k {dict(inner.dtypes)[key]}, n {kind}")
+    return inner.join(found.select(F.col("k").alias(key), F.col("n").alias(name)), key, "left")
 
 
 def nearest_preceding(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_at: str, take: list[str], tie: str) -> DataFrame:
@@ -85,6 +112,22 @@ def divide(have: DataFrame, need: DataFrame, owner: str, item: str, group: str |
     return joined.where("__got = __need").select(owner, *keys)
 
 
+def divide_loosely(have: DataFrame, need: DataFrame, owner: str, item: str, group: str, detail: str) -> DataFrame:
+    """(owner, group) of owners that have every item of a group, in a detail that agrees; a null detail agrees with all.
+
+    have has one row an owner and item, need one a group and item. Only owners of a group's rarest item are looked at, so
+    items that everybody has make no pairs.
+    """
+    have = have.select(owner, item, F.col(detail).alias("__h")).dropDuplicates([owner, item])
+    need = need.select(group, item, F.col(detail).alias("__n")).dropDuplicates([group, item])
+    counted = need.join(have.groupBy(item).agg(F.count("*").alias("__have")), item, "left").withColumn("__have", F.coalesce("__have", F.lit(0)))
+    rarest = counted.groupBy(group).agg(F.min(F.struct("__have", item, "__n")).alias("b"), F.count("*").alias("__need")).select(group, "__need", f"b.{item}", "b.__n")
+    agree = F.col("__h").isNull() | F.col("__n").isNull() | (F.col("__h") == F.col("__n"))
+    likely = have.join(rarest, item).where(agree).select(owner, group, "__need")
+    rest = likely.join(need, group).join(have, [owner, item]).where(agree)
+    return rest.groupBy(owner, group).agg(F.count("*").alias("__got"), F.first("__need").alias("__need")).where("__got = __need").select(owner, group)
+
+
 def with_orphans(left: DataFrame, right: DataFrame, key: str, item: str, name: str) -> DataFrame:
     """Left rows with their sorted matches; without any they are orphans."""
     lists = right.groupBy(key).agg(F.sort_array(F.collect_set(item)).alias(name))

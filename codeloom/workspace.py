@@ -58,8 +58,17 @@ class Workspace:
 
     @cached_property
     def graph(self) -> dict[str, DataFrame]:
+        """Direct edges, sites and sets are written once; `edges` is the plan that writes all pairs out."""
         graph = calls.call_graph(self.tables, self.resolved)
-        return graph | {"edges": cut(graph["edges"])}
+        graph |= {name: cut(graph[name]) for name in ("direct", "sites", "sets")}
+        return graph | {"edges": calls.pairs(graph)}
+
+    @cached_property
+    def walkable(self) -> graphs.Factored:
+        return calls.walkable(self.graph)
+
+    def attribute_family(self, name: str) -> DataFrame:
+        return calls.attribute_family(self.tables, self.target(name).where("kind = 'field'"))
 
     @cached_property
     def entries(self) -> DataFrame:
@@ -147,13 +156,13 @@ class Workspace:
         return reports.mentions(self.tables, word)
 
     def callers(self, name: str, depth: int = 3) -> DataFrame:
-        return graphs.trace(graphs.flipped(self.graph["edges"]), self.target(name).select(F.col("symbol_id").alias("node")), depth)
+        return graphs.trace(self.walkable.flipped(), self.target(name).select(F.col("symbol_id").alias("node")), depth)
 
     def callees(self, name: str, depth: int = 3) -> DataFrame:
-        return graphs.trace(self.graph["edges"], self.target(name).select(F.col("symbol_id").alias("node")), depth)
+        return graphs.trace(self.walkable, self.target(name).select(F.col("symbol_id").alias("node")), depth)
 
     def neighbourhood(self, name: str, depth: int = 2) -> DataFrame:
-        return graphs.neighbourhood(self.graph["edges"], self.target(name).select(F.col("symbol_id").alias("node")), depth)
+        return graphs.neighbourhood(self.walkable, self.target(name).select(F.col("symbol_id").alias("node")), depth)
 
     def dot(self) -> DataFrame:
         return graphs.dot(self.graph["edges"])
@@ -166,7 +175,7 @@ class Workspace:
 
     def unreachable(self) -> DataFrame:
         seeds = self.entries.select(F.col("symbol_id").alias("node"))
-        return self.graph["nodes"].join(graphs.reach(self.graph["edges"], seeds), "node", "left_anti")
+        return self.graph["nodes"].join(graphs.reach(self.walkable, seeds), "node", "left_anti")
 
     def unused(self, internal: bool = False) -> DataFrame:
         out = reports.unused(self.tables, self.resolved, self.graph, self.entries)

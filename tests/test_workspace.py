@@ -178,3 +178,119 @@ def test_incremental_index_is_idempotent(spark, tmp_path):
 
 def test_mentions_take_any_word(shop):
     assert shop.mentions("it's \\E.* 'x'").count() == 0 and shop.mentions("total").count() == 1
+
+
+def test_go_types_need_arity_and_signature(spark):
+    from codeloom.operators.calls import go_implementations
+
+    method = "func (t {0}) Area({1}) {2} {{\n\treturn nil\n}}\n"
+    rows = {"Same": ("a int, b int", "error"), "Arity": ("a int", "error"), "Result": ("a, b int", "string"), "Grouped": ("a, b int", "(err error)"), "Qualified": ("a int, b int", "pkg.error"), "Unreadable": ("a int, b int", "func() error"), "Kind": ("a int, b string", "error")}
+    types = "".join(f"type {n} struct {{\n\tx int\n}}\n" + method.format(n, *r) for n, r in rows.items())
+    w = Workspace.of(spark, {"a.go": "package p\ntype Shape interface {\n\tArea(x, y int) error\n}\ntype Loose interface {\n\tArea(x int, y func(int) bool) error\n}\ntype Empty interface {\n}\n" + types})
+    got = {tuple(r) for r in go_implementations(w.tables).collect()}
+    assert {a for a, b in got if b == "Shape"} == {"Same", "Grouped", "Qualified", "Unreadable"}
+    assert {a for a, b in got if b == "Loose"} == {"Same", "Grouped", "Qualified", "Unreadable", "Result", "Kind"} and not any(b == "Empty" for _, b in got)
+
+
+def test_function_literals_of_go_declare_nothing(spark):
+    w = Workspace.of(spark, {"a.go": "package p\n\nfunc run() {\n\tf := func(a int) error {\n\t\treturn nil\n\t}\n\tf(1)\n}\n\nfunc (s *Set[T]) Add(x T) {\n}\n"})
+    assert {(r.name, r.kind, r.qualifier) for r in w.tables.symbols.where("kind in ('function', 'method')").collect()} == {("run", "function", None), ("Add", "method", "Set")}
+
+
+def test_dispatch_is_factored_and_walks_agree_with_pairs(spark):
+    from codeloom.operators.graphs import Factored, flipped, one_step, reach, taint, trace
+
+    types = "".join(f"type T{i} struct {{\n\tn int\n}}\nfunc (t T{i}) Go() error {{\n\treturn stop{i}()\n}}\nfunc stop{i}() error {{\n\treturn nil\n}}\n" for i in range(12))
+    calls = "".join(f"func call{i}(x Runner) error {{\n\treturn x.Go()\n}}\n" for i in range(15))
+    java = "class A {\n  void go() { }\n}\nclass B extends A {\n  void go() { }\n}\nclass C {\n  void run(A a) { a.go(); }\n}\n"
+    py = "class P:\n    def go(self):\n        return 1\n\n\nclass Q(P):\n    def go(self):\n        return 2\n\n\nclass R:\n    def go(self):\n        return 3\n\n\ndef use(x):\n    return x.go()\n"
+    w = Workspace.of(spark, {"a.go": "package p\ntype Runner interface {\n\tGo() error\n}\n" + types + calls, "A.java": java, "p.py": py})
+    g, short = w.graph, {r.symbol_id: r.qualified_name for r in w.tables.symbols.collect()}
+    pairs = {(short[r.src], short[r.dst], r.basis) for r in g["edges"].where("origin = 'hierarchy'").collect()}
+    assert {p for p in pairs if p[0].startswith("call")} == {(f"call{i}", d, "interface-method-set") for i in range(15) for d in ["Runner::Go", *[f"T{j}::Go" for j in range(12)]]}
+    assert {p[1:] for p in pairs if p[0] == "use"} == {("P::go", "declared-supertype"), ("Q::go", "declared-supertype")}
+    assert {p[1:] for p in pairs if p[0] == "C::run"} == {("A::go", "method-name"), ("B::go", "declared-supertype")}
+    assert g["sites"].count() == 17 and g["sets"].count() == 13 + 2 + 2
+    plain, f = g["edges"], w.walkable
+    starts = g["nodes"].where("name in ('call3', 'use')").select("node")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for depth in (1, 2, 3):
+        assert rows(trace(f, starts, depth)) == rows(trace(plain, starts, depth))
+    ends = g["nodes"].where("name in ('stop4', 'go')").select("node")
+    assert rows(trace(f.flipped(), ends, 2)) == rows(trace(flipped(plain), ends, 2))
+    assert rows(reach(f, starts)) == rows(reach(plain, starts)) and rows(taint(f, ends, 3)) == rows(taint(plain, ends, 3))
+    assert rows(one_step(f, starts)) == rows(one_step(plain, starts)) and isinstance(f.flipped(), Factored)
+    tally = {(r.tier, r.origin): r.edges for r in __import__("codeloom.operators.reports", fromlist=["x"]).graph_summary(g).collect()}
+    assert sum(tally.values()) == plain.count() and tally["field-based", "hierarchy"] == len(pairs)
+
+
+def test_attribute_families_climb_and_then_descend(spark):
+    one = "class {0}({1}):\n    def set(self):\n        self.{2} = 1\n\n\n"
+    text = "".join(one.format(*x) for x in [("Top", "", "size"), ("Left", "Top", "size"), ("Right", "Top", "size"), ("Low", "Left, Right", "size"), ("Mixin", "", "size"), ("Mixed", "Low, Mixin", "size"), ("Far", "Mixin", "size"), ("Apart", "", "size"), ("Left2", "Left", "other")])
+    w = Workspace.of(spark, {"a.py": text.replace("()", "")})
+    of = lambda name: sorted(short[r.member_id] for r in w.attribute_family(name).collect())
+    short = {r.symbol_id: r.qualifier for r in w.tables.symbols.collect()}
+    assert of("Left::size") == ["Left", "Low", "Mixed", "Right", "Top"]
+    assert of("Mixin::size") == ["Far", "Mixed", "Mixin"]
+    assert of("Mixed::size") == ["Far", "Left", "Low", "Mixed", "Mixin", "Right", "Top"]
+    assert of("Apart::size") == ["Apart"] and of("Left2::other") == ["Left2"]
+    assert w.rename("Left::size", "width")[0].count() == 5
+
+
+def _covered(members):
+    """The greedy cover, one class after another."""
+    classes = {}
+    for m in sorted(members, key=lambda m: (m[1], m[2])):
+        classes.setdefault(m[0], []).append(m)
+    order = sorted((c for c in classes.values() if len(c) > 1), key=lambda c: (-c[0][4], c[0][5], c[0][1], c[0][2]))
+    taken = []
+    for c in order:
+        free = [m for m in c if not any(x[1] == m[1] and x[2] <= m[2] and m[3] <= x[3] for x in taken)]
+        if len(free) > 1:
+            taken += free
+    return sorted((m[0], m[1], m[2], m[3], m[4]) for m in taken)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_clone_cover_is_the_greedy_one(spark, seed):
+    """Random forests of spans with few different shapes: copies nest, are covered in part, and classes fall to one copy."""
+    import random
+
+    from codeloom.operators.clones import greedy_cover
+
+    rng, members = random.Random(seed), []
+
+    def grow(path, start, room, depth):
+        """A span of `room` tokens, and spans in it; its class is named by its size and a coin."""
+        members.append((f"{room}{rng.choice('ab')}", path, start, start + room, room, depth))
+        at = start + 1
+        while at < start + room - 2:
+            size = rng.randint(1, max(1, min(12, room // 2)))
+            if at + size < start + room and rng.random() < 0.7:
+                grow(path, at, size, depth + 1)
+            at += size + rng.randint(0, 2)
+
+    for f in range(12):
+        for k in range(3):
+            grow(f"f{f}", 100 * k, rng.randint(10, 40), 1)
+    counts = {}
+    for m in members:
+        counts[m[0]] = counts.get(m[0], 0) + 1
+    rows = spark.createDataFrame([m for m in members if counts[m[0]] > 1], "class string, path string, start bigint, end bigint, tokens int, depth int")
+    assert sorted(tuple(r) for r in greedy_cover(rows).collect()) == _covered(members)
+
+
+def test_innermost_sweeps_any_intervals(spark):
+    import random
+
+    from codeloom.operators.resolving import innermost
+
+    rng = random.Random(8)
+    spans = [(k, f"s{n}", a := rng.randint(0, 60), a + rng.randint(0, 30)) for k in range(3) for n in range(40)] + [(None, "none", 0, 99)]
+    points = [(k, f"{k}-{p}", p) for k in range(4) for p in range(-2, 95)] + [(0, "null", None), (None, "no key", 5)]
+    outer, inner = spark.createDataFrame(spans, "k int, name string, a bigint, b bigint"), spark.createDataFrame(points, "k int, id string, p bigint")
+    for strict in (False, True):
+        holds = lambda s, k, p: s[0] == k and p is not None and (s[2] < p if strict else s[2] <= p) and p < s[3]
+        want = {i: min(((s[3] - s[2], s[1]) for s in spans if k is not None and holds(s, k, p)), default=(0, None))[1] for k, i, p in points}
+        got = innermost(inner, outer, ["k"], "id", "a", "b", "name", "p", strict=strict).collect()
+        assert {r.id: r.name for r in got} == want and len(got) == len(points)
