@@ -143,6 +143,33 @@ def reach(edges: DataFrame | Factored, seeds: DataFrame, rounds: int = 10_000) -
     raise RuntimeError("reach did not settle")
 
 
+def regular_walk(edges: DataFrame, starts: DataFrame, automaton: list[tuple[str, str, str]], depth: int) -> DataFrame:
+    """Walks typed edges (src, dst, label) along the paths that an automaton (state, label, next state) allows.
+
+    starts has (node, state); every start has a walk of its own: (origin, node, state, depth, via, label, stop). A node is
+    visited once in each state, at its least depth, from the least node of several. stop is `end` where no edge of an
+    allowed label leads on, `depth-limit` where one does at the bound, and null inside a path.
+    """
+    spark = edges.sparkSession
+    rules = F.broadcast(spark.createDataFrame(automaton, "state string, label string, next string"))  # a few rows, written by hand
+    steps = cut(edges.select("src", "dst", "label").distinct().join(rules, "label"))
+    first = starts.select(F.col("node").alias("origin"), "node", "state").distinct()
+    frontier = cut(first.withColumn("depth", F.lit(0)).withColumn("via", F.lit(None).cast(dict(edges.dtypes)["src"])).withColumn("label", F.lit(None).cast("string")))
+    seen = Seen(frontier)
+    from_ = steps.withColumnsRenamed({"src": "node", "label": "by"})
+    for d in range(1, depth + 1):
+        ahead = frontier.select("origin", "node", "state").join(from_, ["node", "state"])
+        best = ahead.groupBy("origin", F.col("dst").alias("to"), F.col("next").alias("then")).agg(F.min(F.struct(F.col("node").alias("via"), F.col("by").alias("label"))).alias("b"))
+        new = best.select("origin", F.col("to").alias("node"), F.col("then").alias("state"), F.lit(d).alias("depth"), "b.via", "b.label")
+        frontier = cut(new.join(seen.rows().select("origin", "node", "state"), ["origin", "node", "state"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen.add(frontier)
+    on = from_.select("node", "state").distinct().withColumn("__on", F.lit(True))
+    stop = F.when(F.col("__on").isNull(), "end").when(F.col("depth") == depth, "depth-limit")
+    return seen.rows().join(on, ["node", "state"], "left").select("origin", "node", "state", "depth", "via", "label", stop.alias("stop"))
+
+
 def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """All pairs (src, dst) of a small relation such as a type hierarchy, without (x, x) unless on a cycle. Paths double every round."""
     paths = cut(edges.select("src", "dst").distinct())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import python_scalars as P
 from ..functions import scalars as S
+from ..functions.lineage import cut
 from .facts import Tables
 
 
@@ -56,6 +57,13 @@ def chart_keys(t: Tables, refs: DataFrame) -> DataFrame:
     return asked.join(keys, ["name", "owner", "chart"]).groupBy("ref_id").agg(F.min_by("symbol_id", F.struct("later", "symbol_id")).alias("target_id"))
 
 
+def chart_files(t: Tables) -> DataFrame:
+    """(chart, values_key, values_path): the values file of a chart that declares a dotted key, the default file first."""
+    file = S.file_name(F.col("path"))
+    keys = t.symbols.where("kind = 'key' and language = 'yaml'").where(file.rlike(r"^values.*\.ya?ml$"))
+    return keys.groupBy(S.parent(F.col("path")).alias("chart"), F.concat_ws(".", "qualifier", "name").alias("values_key")).agg(F.min_by("path", F.struct(~file.startswith("values.y"), "path")).alias("values_path"))
+
+
 def _leaves(files: DataFrame) -> DataFrame:
     """(path, key, value): leaves of YAML value files, keys as dotted paths."""
 
@@ -82,9 +90,9 @@ def _leaves(files: DataFrame) -> DataFrame:
 
 
 def helm_inputs(t: Tables, passed: list[str] = (), sets: dict[str, str] | None = None) -> DataFrame:
-    """Every source of every chart's values: (key, path, source, position, value), key as `chart/dotted.path`.
+    """Every source of every chart's values: (key, path, source, position, value, written), key as `chart/dotted.path`, written as the file has it.
 
-    A parent's key whose first parts name a subchart belongs to the subchart, at each level between; further out beats
+    A parent's key whose first parts name a subchart belongs to the subchart, at each level between, however deep; further out beats
     nearer. Value files beside the default one take part if passed, in that order; settings come last.
     """
     charts = t.files.where(S.file_name(F.col("path")) == "Chart.yaml").select(S.parent(F.col("path")).alias("chart"))
@@ -95,18 +103,20 @@ def helm_inputs(t: Tables, passed: list[str] = (), sets: dict[str, str] | None =
     for i, p in enumerate(passed):
         order = F.when(F.col("path") == p, i).otherwise(order)
     default = S.file_name(F.col("path")).startswith("values.y")
-    own = leaves.select("chart", "key", "path", F.when(default, "chart").when(order >= 0, "file").otherwise("unpassed").alias("source"), F.when(default, 0).otherwise(F.greatest(order, F.lit(0))).alias("position"), "value")
+    own = leaves.select("chart", "key", F.col("key").alias("written"), "path", F.when(default, "chart").when(order >= 0, "file").otherwise("unpassed").alias("source"), F.when(default, 0).otherwise(F.greatest(order, F.lit(0))).alias("position"), "value")
     if sets:
         top = charts.agg(F.min("chart")).first()[0]  # settings are given to the outermost chart
-        own = own.unionByName(t.files.sparkSession.createDataFrame([(top, k, "--set", "set", i, v) for i, (k, v) in enumerate(sets.items())], "chart string, key string, path string, source string, position int, value string"))
+        own = own.unionByName(t.files.sparkSession.createDataFrame([(top, k, k, "--set", "set", i, v) for i, (k, v) in enumerate(sets.items())], "chart string, key string, written string, path string, source string, position int, value string"))
     nested = charts.withColumn("name", F.regexp_extract("chart", r"(?:^|/)charts/([^/]+)$", 1)).where("name <> ''").select(F.regexp_replace("chart", r"/?charts/[^/]+$", "").alias("parent"), F.col("name").alias("sub_name"), F.col("chart").alias("sub"))
-    out, level = own, own
-    for depth in range(1, 9):  # charts nest a few levels
-        level = level.withColumn("name", F.substring_index("key", ".", 1)).join(nested, (F.col("chart") == F.col("parent")) & (F.col("name") == F.col("sub_name"))).select(F.col("sub").alias("chart"), F.expr("substring(key, length(substring_index(key, '.', 1)) + 2)").alias("key"), "path", F.when(F.col("source") == "chart", "enclosing").otherwise(F.col("source")).alias("source"), F.when(F.col("source").isin("chart", "enclosing"), F.lit(depth)).otherwise(F.col("position")).alias("position"), "value").where("key <> ''")
+    out, level, depth = own, own, 0
+    while True:  # a level is lost of every key, so this ends with the longest one
+        depth += 1
+        level = level.withColumn("name", F.substring_index("key", ".", 1)).join(nested, (F.col("chart") == F.col("parent")) & (F.col("name") == F.col("sub_name"))).select(F.col("sub").alias("chart"), F.expr("substring(key, length(substring_index(key, '.', 1)) + 2)").alias("key"), "written", "path", F.when(F.col("source") == "chart", "enclosing").otherwise(F.col("source")).alias("source"), F.when(F.col("source").isin("chart", "enclosing"), F.lit(depth)).otherwise(F.col("position")).alias("position"), "value").where("key <> ''")
+        level = cut(level)
         if level.isEmpty():
             break
         out = out.unionByName(level)
-    return out.select(F.concat_ws("/", F.nullif("chart", F.lit("")), "key").alias("key"), "path", "source", "position", "value")
+    return out.select(F.concat_ws("/", F.nullif("chart", F.lit("")), "key").alias("key"), "path", "source", "position", "value", "written")
 
 
 def helm_sources(t: Tables, passed: list[str] = (), sets: dict[str, str] | None = None) -> DataFrame:
@@ -141,3 +151,92 @@ def reaches_style(t: Tables, found: DataFrame, origin: str, destination: str) ->
     edges = file_edges(t, found, ["css", "scss"])
     seed = t.files.where(F.col("path") == origin).select(F.col("path").alias("node"))
     return not reach(edges, seed).where(F.col("node") == destination).isEmpty()
+
+
+#: Which typed edge leads from what to what: a value that is written down, the key of a chart or the variable of a module
+#: that it competes for, uses of those, environment variables and their readers.
+CONSUMES = [
+    ("value", "supplies", "key"), ("value", "overridden", "lost"), ("value", "named", "use"), ("key", "expands", "use"), ("use", "declares", "environment"), ("environment", "reads", "reader"),
+    ("value", "given", "variable"), ("value", "given-overridden", "lost"), ("variable", "initialises", "variable"), ("variable", "passes", "variable"), ("property", "substitutes", "use"),
+]
+
+
+def _node(kind: str, *parts):
+    return F.concat(F.lit(f"{kind}:"), *parts)
+
+
+def _readers(t: Tables) -> DataFrame:
+    """(name, node): environment variables and the functions, or else files, that read them."""
+    from .reports import env_reads
+    from .resolving import innermost
+
+    reads = env_reads(t).distinct()
+    quoted = t.texts.select("path", "start", F.regexp_extract("text", r"""^["'`]([A-Z][A-Z0-9_]*)["'`]$""", 1).alias("name")).where("name <> ''").join(reads, ["path", "name"], "left_semi")
+    functions = t.symbols.where("kind in ('function', 'method')").select("path", "symbol_id", "full_start", "full_end")
+    places = quoted.withColumn("place", F.concat_ws(":", "path", "start"))
+    holders = innermost(places, functions, ["path"], "place", "full_start", "full_end", "symbol_id", "start").select("path", "name", F.col("symbol_id").alias("holder"))
+    bare = t.refs.join(reads, ["path", "name"], "left_semi").select("path", "name", F.col("enclosing_id").alias("holder"))
+    found = reads.join(holders.union(bare).distinct(), ["path", "name"], "left")
+    return found.select("name", F.coalesce(_node("function", F.col("holder")), _node("file", F.col("path"))).alias("node")).distinct()
+
+
+def consumer_edges(t: Tables, resolved: DataFrame, passed: list[str] = (), sets: dict[str, str] | None = None) -> DataFrame:
+    """Q15: typed edges (src, dst, label) from written values to what consumes them, through charts, manifests, modules and the environment."""
+    from .reports import env_declarations, terraform_value
+    from .resolving import innermost
+
+    won = F.when(F.col("wins"), F.lit("supplies")).otherwise("overridden")
+    charts = helm_sources(t, passed, sets).select(_node("value", F.col("path"), F.lit("#"), F.col("written")).alias("src"), _node("key", F.col("key")).alias("dst"), won.alias("label"))
+    # A use of a map consumes every key below it.
+    root = F.coalesce(F.nullif(F.regexp_extract("path", r"^(?:(.*)/)?templates/", 1), F.lit("")), F.lit(""))
+    uses = t.refs.where("language = 'helm' and expects = 'key' and kind = 'string-ref'").select("path", "start", F.concat_ws(".", "receiver", "name").alias("dotted"), root.alias("chart"))
+    used = uses.select(_node("use", F.col("path"), F.lit(":"), F.col("start").cast("string")).alias("dst"), F.concat_ws("/", F.nullif("chart", F.lit("")), "dotted").alias("asked"))
+    last = F.substring_index(F.substring(F.col("dst"), 5, 1 << 30), "/", -1)
+    parts = F.split(last, r"\.")
+    keys = charts.select("dst").distinct().withColumn("folder", F.substring(F.col("dst"), 5, 1 << 30)).withColumn("folder", F.expr("substring(folder, 1, length(folder) - length(substring_index(folder, '/', -1)))"))
+    keys = keys.select(F.col("dst").alias("src"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat("folder", F.array_join(F.slice(parts, F.lit(1), i), ".")))).alias("asked"))
+    expands = keys.join(used, "asked").select("src", "dst", F.lit("expands").alias("label"))
+    template = env_declarations(t).select("path", F.col("name").alias("variable"), F.regexp_extract(F.coalesce("value", F.lit("")), r"\.Values\.([\w.]+)", 1).alias("dotted")).where("dotted <> ''")
+    declares = uses.join(template, ["path", "dotted"]).select(_node("use", F.col("path"), F.lit(":"), F.col("start").cast("string")).alias("src"), _node("environment", F.col("variable")).alias("dst"), F.lit("declares").alias("label"))
+    keyed = r"-\s*name:\s*[\"']?([A-Z][A-Z0-9_]*)[\"']?\s+valueFrom:\s+(?:configMap|secret)KeyRef:\s+(?:name:\s*(\S+)\s+key:\s*(\S+)|key:\s*(\S+)\s+name:\s*(\S+))"
+    found = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(keyed), i).alias(f"g{i}") for i in range(1, 6)])
+    by_key = t.files.where("language in ('yaml', 'helm')").select("path", F.explode(found).alias("x")).select("path", F.col("x.g1").alias("variable"), F.concat("x.g2", "x.g5").alias("object"), F.concat("x.g3", "x.g4").alias("name"))
+    named_refs = resolved.where("expects = 'key' and (receiver like 'ConfigMap/%' or receiver like 'Secret/%')").select("path", "start", "name", F.substring_index("receiver", "/", -1).alias("object"), "target_id")
+    use = _node("use", F.col("path"), F.lit(":"), F.col("start").cast("string"))
+    declares = declares.union(named_refs.join(by_key, ["path", "object", "name"]).select(use, _node("environment", F.col("variable")), F.lit("declares")))
+    written = t.symbols.where("language = 'yaml' and kind = 'key'").select(F.col("symbol_id").alias("target_id"), _node("value", F.col("path"), F.lit("#"), F.concat_ws(".", "qualifier", "name")).alias("src"))
+    named = named_refs.join(written, "target_id").select("src", use.alias("dst"), F.lit("named").alias("label"))
+    reads = _readers(t).select(_node("environment", F.col("name")).alias("src"), F.col("node").alias("dst"), F.lit("reads").alias("label"))
+    hcl = t.symbols.where("language = 'hcl'").select("symbol_id", "path", "name", "qualifier", S.parent(F.col("path")).alias("folder"))
+    variables = hcl.where("qualifier = 'var'").select("symbol_id", "folder", "name")
+    given = terraform_value(t).where("rank <> 0").select("folder", "name", "path", F.when(F.col("wins"), F.lit("given")).otherwise("given-overridden").alias("label")).join(variables, ["folder", "name"])
+    given = given.select(_node("value", F.col("path"), F.lit("#"), F.col("name")).alias("src"), _node("variable", F.col("symbol_id")).alias("dst"), "label")
+    points = resolved.where("language = 'hcl' and target_id is not null").select("ref_id", "path", "start", "target_id")
+    spans = t.flows.where("language = 'hcl'").select("path", F.col("symbol_id").alias("filled"), "source_start", "source_end")
+    fills = innermost(points, spans, ["path"], "ref_id", "source_start", "source_end", "filled", "start").where("filled is not null and filled <> target_id")
+    fills = fills.select(_node("variable", F.col("target_id")).alias("src"), _node("variable", F.col("filled")).alias("dst"), F.lit("initialises").alias("label"))
+    passes = module_callers(t).withColumn("part", F.explode(F.regexp_extract_all("value", F.lit(r"((?:var|local)\.\w+)"), 1))).select("child", "variable", S.parent(F.col("path")).alias("folder"), F.substring_index("part", ".", 1).alias("qualifier"), F.substring_index("part", ".", -1).alias("name"))
+    passes = passes.join(hcl.select("folder", "qualifier", "name", F.col("symbol_id").alias("from_id")), ["folder", "qualifier", "name"]).join(variables.select(F.col("folder").alias("child"), F.col("name").alias("variable"), F.col("symbol_id").alias("to_id")), ["child", "variable"])
+    passes = passes.select(_node("variable", F.col("from_id")).alias("src"), _node("variable", F.col("to_id")).alias("dst"), F.lit("passes").alias("label"))
+    styles = t.symbols.where("kind = 'property' and name like '--%'").select(F.col("symbol_id").alias("target_id"))
+    substitutes = resolved.join(styles, "target_id", "left_semi").select(_node("property", F.col("target_id")).alias("src"), use.alias("dst"), F.lit("substitutes").alias("label"))
+    out = charts
+    for edges in (expands, declares, named, reads, given, fills, passes, substitutes):
+        out = out.union(edges)
+    return out.distinct()
+
+
+def consumers(t: Tables, edges: DataFrame, symbols: DataFrame, depth: int = 8) -> DataFrame:
+    """Q15 forward: what consumes the symbols (column symbol_id): regular_walk's rows, their origins as symbols.
+
+    A key of a values file or manifest, a variable or an assignment to one, or a custom property. A value that loses
+    against another is followed to the competition it loses.
+    """
+    s = t.symbols.join(symbols.select("symbol_id").distinct(), "symbol_id", "left_semi")
+    values = s.where("language = 'yaml' and kind = 'key'").select("symbol_id", _node("value", F.col("path"), F.lit("#"), F.concat_ws(".", "qualifier", "name")).alias("node"), F.lit("value").alias("state"))
+    variables = s.where("language = 'hcl'").select("symbol_id", _node("variable", F.col("symbol_id")).alias("node"), F.lit("variable").alias("state"))
+    styles = s.where("kind = 'property'").select("symbol_id", _node("property", F.col("symbol_id")).alias("node"), F.lit("property").alias("state"))
+    from .graphs import regular_walk
+
+    starts = cut(values.union(variables).union(styles))
+    return regular_walk(edges, starts, CONSUMES, depth).join(starts.select("symbol_id", F.col("node").alias("origin")), "origin").drop("origin")

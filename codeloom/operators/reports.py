@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..schemas import CALLABLE, IMPERATIVE, LOCAL
+from ..schemas import CALLABLE, IMPERATIVE, LANGUAGES, LOCAL
 from .calls import families, walkable
 from .clones import greedy_cover
 from .facts import Tables
@@ -141,7 +141,9 @@ def entry_points(t: Tables, resolved: DataFrame, rules: DataFrame, files: DataFr
         s = s.join(_heads(t, textual), "symbol_id", "left")
     else:
         s = s.withColumn("first_word", F.lit(None).cast("string")).withColumn("directives", F.lit(None).cast("array<string>"))
-    r = rules.withColumnsRenamed({"language": "r_language", "kind": "entry_kind", "keyword": "r_keyword", "directive": "r_directive"})
+    every = F.array(*map(F.lit, sorted(LANGUAGES)))
+    r = rules.withColumn("language", F.explode(F.when(F.col("language").isNull(), every).otherwise(F.array("language"))))
+    r = r.withColumnsRenamed({"language": "r_language", "kind": "entry_kind", "keyword": "r_keyword", "directive": "r_directive"})
     tests = {
         "r_language": c("language") == c("r_language"), "name_is": c("name") == c("name_is"), "name_starts": c("name").startswith(c("name_starts")), "name_ends": c("name").endswith(c("name_ends")), "symbol_kind": c("kind") == c("symbol_kind"),
         "file_is": S.file_name(c("path")) == c("file_is"), "path_contains": c("path").contains(c("path_contains")), "path_starts": c("path").startswith(c("path_starts")), "path_ends": c("path").endswith(c("path_ends")), "path_matches": F.rlike(c("path"), c("path_matches")),
@@ -151,22 +153,29 @@ def entry_points(t: Tables, resolved: DataFrame, rules: DataFrame, files: DataFr
     fits = F.lit(True)
     for name, test in tests.items():
         fits = fits & (c(name).isNull() | F.coalesce(test, F.lit(False)))
-    found = s.join(F.broadcast(r), fits).select("symbol_id", "entry_kind", "rule", "threat_model")
+    found = s.join(_bounded(r), fits & (c("language") == c("r_language"))).select("symbol_id", "entry_kind", "rule", "threat_model")
     found = found.union(packaged(t, resolved, t.files if files is None else files).select("symbol_id", F.lit("main"), "rule", F.lit("local")))
     return found.groupBy("symbol_id", "entry_kind").agg(F.min("rule").alias("rule"), F.min_by("threat_model", "rule").alias("threat_model")).withColumnRenamed("entry_kind", "kind")
 
 
+def _bounded(rules: DataFrame, most: int = 20_000) -> DataFrame:
+    """The rules as a broadcast side while they are no more than `most`; a user's catalog beyond that is joined by language."""
+    return F.broadcast(rules) if rules.limit(most + 1).count() <= most else rules
+
+
 DIRECTIVE = r"""["'](use [a-z]+)["']"""
+#: White space and comments, of any length.
+_BLANK = r"(?:\s++|//[^\n]*+|/\*(?s:.*?)\*/)*+"
 
 
 def _heads(t: Tables, languages: list[str]) -> DataFrame:
     """(symbol_id, first word of its declaration, directives at the top of its file and body)."""
-    file = F.regexp_extract("text", r"\A\s*(?:(?://[^\n]*\n|/\*(?s:.*?)\*/)\s*)*" + DIRECTIVE, 1)
+    file = F.regexp_extract("text", r"\A" + _BLANK + DIRECTIVE, 1)
     files = t.files.where(F.col("language").isin(languages)).select("path", F.col("text").cast("binary").alias("raw"), file.alias("file_directive"))
-    own = t.symbols.where(F.col("language").isin(languages)).select("path", "symbol_id", "full_start", "full_end").join(files, "path")
-    head = F.decode(F.expr("substring(raw, int(full_start + 1), int(least(full_end - full_start, 400)))"), "utf-8")
-    own = own.select("symbol_id", "file_directive", head.alias("head"))
-    return own.select("symbol_id", F.regexp_extract("head", r"\A\s*(\w+)", 1).alias("first_word"), F.array("file_directive", F.regexp_extract("head", r"\{\s*" + DIRECTIVE, 1)).alias("directives"))
+    own = t.symbols.where(F.col("language").isin(languages) & (F.col("kind") != "parameter")).select("path", "symbol_id", "full_start", "full_end").join(files, "path")
+    whole = F.decode(F.expr("substring(raw, int(full_start + 1), int(full_end - full_start))"), "utf-8")
+    own = own.select("symbol_id", "file_directive", whole.alias("whole"))
+    return own.select("symbol_id", F.regexp_extract("whole", r"\A" + _BLANK + r"(\w+)", 1).alias("first_word"), F.array("file_directive", F.regexp_extract("whole", r"\A[^{]*\{" + _BLANK + DIRECTIVE, 1)).alias("directives"))
 
 
 def packaging_scripts(files: DataFrame) -> DataFrame:
@@ -306,10 +315,14 @@ def env_declarations(t: Tables) -> DataFrame:
 
 
 def stitch(t: Tables) -> DataFrame:
-    """Every declaration with the files that read its variable; orphans have none. Template values are named."""
+    """Every declaration with the files that read its variable; orphans have none. Template values are named, with the values file of their chart that declares them."""
+    from .provenance import chart_files
+
     reads = env_reads(t).groupBy("name").agg(F.sort_array(F.collect_set("path")).alias("readers"))
     out = env_declarations(t).join(reads, "name", "left")
-    return out.select("path", "name", "value", F.nullif(F.regexp_extract(F.coalesce("value", F.lit("")), r"\.Values\.([\w.]+)", 1), F.lit("")).alias("values_key"), F.coalesce("readers", F.array().cast("array<string>")).alias("readers"), F.col("readers").isNull().alias("orphan"))
+    out = out.select("path", "name", "value", F.nullif(F.regexp_extract(F.coalesce("value", F.lit("")), r"\.Values\.([\w.]+)", 1), F.lit("")).alias("values_key"), F.coalesce("readers", F.array().cast("array<string>")).alias("readers"), F.col("readers").isNull().alias("orphan"))
+    root = F.regexp_extract("path", r"^(?:(.*)/)?templates/", 1)
+    return out.withColumn("chart", root).join(chart_files(t), ["chart", "values_key"], "left").select(*out.columns, "values_path")
 
 
 def terraform_value(t: Tables) -> DataFrame:

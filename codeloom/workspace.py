@@ -81,6 +81,13 @@ class Workspace:
     def helm(self, passed: list[str] = (), sets: dict[str, str] | None = None) -> DataFrame:
         return provenance.helm_sources(self.tables, passed, sets)
 
+    @cached_property
+    def consumer_edges(self) -> DataFrame:
+        return cut(provenance.consumer_edges(self.tables, self.resolved))
+
+    def consumers(self, name: str, depth: int = 8) -> DataFrame:
+        return provenance.consumers(self.tables, self.consumer_edges, self.target(name), depth)
+
     def module_callers(self) -> DataFrame:
         return provenance.module_callers(self.tables)
 

@@ -294,3 +294,48 @@ def test_innermost_sweeps_any_intervals(spark):
         want = {i: min(((s[3] - s[2], s[1]) for s in spans if k is not None and holds(s, k, p)), default=(0, None))[1] for k, i, p in points}
         got = innermost(inner, outer, ["k"], "id", "a", "b", "name", "p", strict=strict).collect()
         assert {r.id: r.name for r in got} == want and len(got) == len(points)
+
+
+def test_consumers_follow_typed_edges(spark):
+    from codeloom.operators.graphs import regular_walk
+
+    edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "y"), ("c", "a", "x"), ("a", "d", "y"), ("c", "e", "x"), ("e", "f", "x")], "src string, dst string, label string")
+    starts = spark.createDataFrame([("a", "s")], "node string, state string")
+    got = {(r.node, r.state, r.depth, r.stop) for r in regular_walk(edges, starts, [("s", "x", "t"), ("t", "y", "s")], 4).collect()}
+    assert got == {("a", "s", 0, None), ("b", "t", 1, None), ("c", "s", 2, None), ("a", "t", 3, None), ("e", "t", 3, "end"), ("d", "s", 4, "end")}
+    assert {(r.node, r.stop) for r in regular_walk(edges, starts, [("s", "x", "s"), ("s", "y", "s")], 2).collect()} == {("a", None), ("b", None), ("d", "end"), ("c", "depth-limit")}
+
+    w = Workspace.of(spark, {
+        "k.yaml": "kind: ConfigMap\nmetadata:\n  name: conf\ndata:\n  MODE: fast\n", "pod.yaml": "kind: Pod\nmetadata:\n  name: pod\nenv:\n  - name: APP_MODE\n    valueFrom:\n      configMapKeyRef:\n        name: conf\n        key: MODE\n",
+        "a.go": 'package a\n\nimport "os"\n\nfunc mode() string {\n\treturn os.Getenv("APP_MODE")\n}\n', "m/main.tf": 'variable "size" {\n  default = 1\n}\n\nlocals {\n  twice = var.size\n}\n\noutput "all" {\n  value = local.twice\n}\n',
+        "main.tf": 'variable "top" {\n  default = 2\n}\n\nmodule "m" {\n  source = "./m"\n  size = var.top\n}\n\noutput "end" {\n  value = module.m.all\n}\n', "s.css": ":root { --ink: red; }\n.a { color: var(--ink); }\n",
+    })
+    named = {r.symbol_id: r.name for r in w.tables.symbols.collect()}
+    chain = lambda name: [(r.state, named.get(r.node.split(":", 1)[1], r.node.split(":", 1)[0])) for r in sorted(w.consumers(name).collect(), key=lambda r: r.depth)]
+    assert chain("data::MODE") == [("value", "value"), ("use", "use"), ("environment", "environment"), ("reader", "mode")]
+    assert chain("var::top") == [("variable", "top"), ("variable", "size"), ("variable", "twice"), ("variable", "all"), ("variable", "end")]
+    assert [x[0] for x in chain("--ink")] == ["property", "use"]
+
+
+def test_declarations_name_the_values_file_of_their_chart(spark):
+    w = Workspace.of(spark, {p: t for c in ("a", "b") for p, t in {f"{c}/Chart.yaml": "name: x\n", f"{c}/values.yaml": "mode: one\n", f"{c}/values-prod.yaml": "mode: two\n", f"{c}/templates/t.yaml": "env:\n  - name: MODE\n    value: {{ .Values.mode }}\n"}.items()})
+    assert {(r.path, r.values_key, r.values_path) for r in w.stitch().collect()} == {(f"{c}/templates/t.yaml", "mode", f"{c}/values.yaml") for c in "ab"}
+
+
+def test_directives_stand_behind_comments_of_any_length(spark):
+    long = "/* " + "x" * 5000 + " */\n  // y\n"
+    w = Workspace.of(spark, {"a.ts": "export async function act() {\n  " + long + "  'use server';\n  return 1;\n}\nexport function other() {\n  call();\n  'use server';\n}\n", "b.ts": long + "'use server';\nexport function whole() {\n  return 2;\n}\n"})
+    found = {r.name for r in w.entry_points("http").join(w.tables.symbols.select("symbol_id", "name"), "symbol_id").collect()}
+    assert found == {"act", "whole"}
+
+
+def test_charts_nest_without_a_bound(spark):
+    depth, files, body = 11, {}, "size: 1\n"
+    for i in reversed(range(depth)):
+        body = f"c{i}:\n" + "".join(f"  {x}\n" for x in body.splitlines())
+    for i in range(depth + 1):
+        folder = "top/" + "".join(f"charts/c{j}/" for j in range(i))
+        files |= {f"{folder}Chart.yaml": "name: x\n", f"{folder}values.yaml": body if i == 0 else "size: 0\n" if i == depth else "own: 1\n"}
+    w = Workspace.of(spark, files)
+    last = "top/" + "/".join(f"charts/c{j}" for j in range(depth)) + "/size"
+    assert {(r.path, r.value, r.wins) for r in w.helm().where(f"key = '{last}'").collect()} == {("top/values.yaml", "1", True), (f"{last[:-5]}/values.yaml", "0", False)}
