@@ -24,6 +24,9 @@ SELF = ["self", "this", "cls"]
 FAMILIES = [["typescript", "tsx"], ["css", "scss"], ["yaml", "helm"]]
 #: Rule -> tier of its only answer, tier of several; and the rules that take the first of several.
 TIERS_OF = {1: (EXACT, FIELD), 2: (EXACT, FIELD), 3: (IMPORTED, FIELD), 4: (EXACT, EXACT), 5: (EXACT, EXACT), 6: (EXACT, NAME), 7: (IMPORTED, FIELD), 8: (IMPORTED, FIELD), 9: (IMPORTED, FIELD), 10: (EXACT, EXACT), 11: (EXACT, EXACT), 12: (IMPORTED, FIELD), 13: (EXACT, FIELD), 14: (FIELD, FIELD), 15: (NAME, NAME)}
+#: Path receivers that no type answers: the module that a folder forms, and the module that a file's name is. They come behind rule 2.
+BESIDE, STEM = 102, 103
+TIERS_OF |= {BESIDE: (EXACT, FIELD), STEM: (IMPORTED, FIELD)}
 KEEPS_FIRST = [1, 4, 5, 6, 7, 8, 9, 10, 11, 13]
 RECEIVER_LANGUAGES = ["python", "rust", "typescript", "tsx", "go", "zig"]
 
@@ -36,6 +39,14 @@ def admissible(a: Column, b: Column, kind: Column) -> Column:
     return out
 
 
+def _spoken_in(language: Column, kind: Column) -> Column:
+    """The languages whose references may mean a definition."""
+    out = F.when(kind.isin(STRING_KEYED), F.array(*map(F.lit, LANGUAGES)))
+    for group in FAMILIES:
+        out = out.when(language.isin(group), F.array(*map(F.lit, group)))
+    return out.otherwise(F.array(language))
+
+
 def import_files(t: Tables) -> DataFrame:
     """(path, import_pos, file) by module path: relative and dotted forms, packages by __init__, unique stems last."""
     files = t.files.select("path", "language")
@@ -74,21 +85,25 @@ def resolve(t: Tables) -> DataFrame:
     for c in ("receiver_bound", "name_bound", "receiver_is_type"):
         refs = refs.withColumn(c, F.coalesce(c, F.lit(False)))
     on_value = (F.col("kind") == "call") & F.col("receiver").isNotNull() & ~F.col("receiver_is_path") & ~F.col("receiver_bound")
-    refs = cut(refs.withColumn("member", (F.col("kind") == "field") | on_value))
+    refs = refs.withColumn("member", (F.col("kind") == "field") | on_value)
 
     s = t.symbols.select(F.col("name").alias("s_name"), F.col("symbol_id").alias("target_id"), F.col("path").alias("s_path"), F.col("language").alias("s_language"), F.col("kind").alias("s_kind"), F.col("name_start").alias("s_at"), "full_start", "full_end", F.col("scope_id").alias("s_scope"), F.col("qualifier").alias("s_qualifier"), "exported", S.parent(F.col("path")).alias("s_folder"))
-    refs = refs.withColumn("r_folder", S.parent(F.col("path")))
+    shared = s.withColumn("language", F.explode(_spoken_in(F.col("s_language"), F.col("s_kind")))).groupBy(F.col("s_name").alias("name"), "language").agg((F.bool_or(F.col("s_kind") == "field") & F.bool_or(F.col("s_kind") == "method")).alias("both_kinds")).where("both_kinds")
+    refs = cut(refs.withColumn("r_folder", S.parent(F.col("path"))).join(shared, ["name", "language"], "left").withColumn("both_kinds", F.coalesce("both_kinds", F.lit(False))))
     top = F.col("s_qualifier").isNull() & ~F.col("s_kind").isin(LOCAL)
     is_member = F.col("s_kind").isin(MEMBERS) & F.col("s_qualifier").isNotNull()
     plain = F.col("kind") != "string-ref"
     nil = lambda c: F.coalesce(c, F.lit(False))
 
+    # A name that fields and methods share: a call means the methods, any other access the fields.
+    other = F.col("member") & F.col("both_kinds") & (((F.col("kind") == "call") & (F.col("s_kind") == "field")) | ((F.col("kind") == "field") & (F.col("s_kind") == "method")))
+
     def met(left: DataFrame, *keys: tuple[str, str]) -> DataFrame:
         """References with the symbols of their name that a second key has in common too: a common name alone makes no pairs."""
         test = F.col("name") == F.col("s_name")
         for r, k in keys:
             test = test & (F.col(r) == F.col(k))
-        return left.join(s, test).where(admissible(F.col("language"), F.col("s_language"), F.col("s_kind")))
+        return left.join(s, test).where(admissible(F.col("language"), F.col("s_language"), F.col("s_kind")) & ~other)
 
     def ordered(df: DataFrame, rule, a=None, b=None, c=None) -> DataFrame:
         zero = F.lit(0)
@@ -122,29 +137,34 @@ def resolve(t: Tables) -> DataFrame:
         (2, met(refs.where(plain & (F.col("receiver_is_path") | F.col("receiver_is_type"))), ("receiver", "s_qualifier"), ("language", "s_language"))),
         (3, met(refs.where(plain & F.col("receiver_bound")), ("receiver_file", "s_path")).where(top)),
         (7, met(named, ("file", "s_path")).where(top)),
-        (10, met(refs.where(keyed & F.col("receiver").isNotNull()), ("receiver", "s_qualifier")).where(expected)),
+        (BESIDE, met(refs.where(plain & F.col("receiver_is_path") & F.col("receiver").isin("super", "self")), ("r_folder", "s_folder"), ("language", "s_language")).where("s_qualifier is null")),
         (12, met(globbed, ("file", "s_path")).where(top)),
         (13, met(refs.where(plain & F.col("language").isin("go", "hcl") & ~F.col("member")), ("r_folder", "s_folder")).where(top)),
     ):
         rows = rows.union(ordered(df, r))
+    # A module's name is its file's, or its folder's where the file is the folder's own.
+    stem, own_file = S.stem(F.col("s_path")), S.stem(F.col("s_path")).isin("mod", "lib")
+    modules = s.where(top).withColumn("s_module", F.explode(F.when(own_file, F.array(stem, F.element_at(F.split("s_folder", "/"), -1))).otherwise(F.array(stem))))
+    asked = refs.where(plain & F.col("receiver_is_path"))
+    by_stem = asked.join(modules, (F.col("name") == F.col("s_name")) & (F.col("receiver") == F.col("s_module")) & (F.col("language") == F.col("s_language"))).where(~other)
+    rows = rows.union(ordered(by_stem, STEM))
     imported = refs.where(plain & F.col("name_bound")).withColumn("wanted", F.when(F.col("original").isin("*", "default"), F.col("name")).otherwise(F.col("original")))
     fitting = admissible(F.col("language"), F.col("s_language"), F.col("s_kind"))
     from_import = imported.where("bound_file is not null").join(s, (F.col("wanted") == F.col("s_name")) & (F.col("bound_file") == F.col("s_path"))).where(top & fitting)
-    slugs = s.where("s_kind = 'heading'").withColumn("slug", S.anchor_slug(F.col("s_name")))
-    headings = refs.where("kind = 'string-ref' and (expects = 'heading' or expects is null)").join(slugs, F.col("name") == F.col("slug"))
-    for r, df in ((8, from_import), (9, _barrels(imported, t, found, s, top)), (11, headings), (12, _packages(refs, t, s)), (1, module_outputs(t, refs)), (10, object_keys(t, refs)), (10, chart_keys(t, refs))):
+    for r, df in ((8, from_import), (9, _barrels(imported, t, found, s, top)), (12, _packages(refs, t, s)), (1, module_outputs(t, refs)), (10, object_keys(t, refs)), (10, chart_keys(t, refs))):
         rows = rows.union(ordered(df, r))
     grouped = rows.groupBy("ref_id", "rule").agg(F.min("o").alias("o"), F.count_distinct("target_id").alias("n"))
 
     # By the name alone: only how many definitions there are and the least of them, counted for each name before references are met.
-    spoken = F.when(F.col("s_kind").isin(STRING_KEYED), F.array(*map(F.lit, LANGUAGES)))
-    for group in FAMILIES:
-        spoken = spoken.when(F.col("s_language").isin(group), F.array(*map(F.lit, group)))
-    spoken = s.withColumn("language", F.explode(spoken.otherwise(F.array("s_language")))).withColumnRenamed("s_name", "name")
+    spoken = s.withColumn("language", F.explode(_spoken_in(F.col("s_language"), F.col("s_kind")))).withColumnRenamed("s_name", "name")
     least = [F.min("target_id").alias("t"), F.count_distinct("target_id").alias("n")]
     by_kind = spoken.groupBy("name", "language", "s_kind").agg(*least)
     strings = refs.where(keyed & F.col("receiver").isNull()).join(by_kind, ["name", "language"]).where(expected).select("ref_id", F.lit(10).alias("rule"), "t", "n")
-    members = refs.where(plain & F.col("member")).join(spoken.where(is_member).groupBy("name", "language").agg(*least), ["name", "language"]).select("ref_id", F.lit(14).alias("rule"), "t", "n")
+    owned = spoken.where("s_qualifier is not null").groupBy("name", "language", "s_kind", F.col("s_qualifier").alias("receiver")).agg(*least)
+    strings = strings.union(refs.where(keyed & F.col("receiver").isNotNull()).join(owned, ["name", "language", "receiver"]).where(expected).select("ref_id", F.lit(10).alias("rule"), "t", "n"))
+    slugs = s.where("s_kind = 'heading'").groupBy(S.anchor_slug(F.col("s_name")).alias("name")).agg(*least)
+    strings = strings.union(refs.where("kind = 'string-ref' and (expects = 'heading' or expects is null)").join(slugs, "name").select("ref_id", F.lit(11).alias("rule"), "t", "n"))
+    members = refs.where(plain & F.col("member")).join(spoken.where(is_member).groupBy("name", "language", "s_kind").agg(*least), ["name", "language"]).where(~other).select("ref_id", F.lit(14).alias("rule"), "t", "n")
 
     def elsewhere(asked: DataFrame, name: str, rule: int) -> DataFrame:
         """Exported definitions in other files than the reference's: the first file's, or the second's where the first is its own."""
@@ -164,8 +184,9 @@ def resolve(t: Tables) -> DataFrame:
         hit, vague = F.when(F.col("rule") == r, h).otherwise(hit), F.when(F.col("rule") == r, v).otherwise(vague)
     one = F.col("n") == 1
     answered = grouped.select("ref_id", F.when(one | F.col("rule").isin(*KEEPS_FIRST), F.col("o.t")).alias("target_id"), F.when(one, hit).otherwise(vague).cast("int").alias("confidence"), "rule")
-    rules = [answered]
-    out = first_answer(refs, "ref_id", "target_id", rules)
+    place_of = F.when(F.col("rule") == BESIDE, 21).when(F.col("rule") == STEM, 22).otherwise(F.col("rule") * 10)
+    out = first_answer(refs, "ref_id", "target_id", [answered.withColumn("rule", place_of)])
+    out = out.withColumn("rule", F.when(F.col("rule") == 21, BESIDE).when(F.col("rule") == 22, STEM).when(F.col("rule") == 99, 99).otherwise((F.col("rule") / 10).cast("int")))
     untyped = F.col("kind").isin("field", "call") & F.col("receiver").isNotNull() & ~F.col("receiver").isin(SELF) & ~F.col("receiver_is_path") & ~F.col("receiver_bound") & ~F.col("receiver_is_type") & (F.col("language") != "hcl")
     return out.withColumn("confidence", F.when(untyped, F.greatest("confidence", F.lit(FIELD))).otherwise(F.col("confidence"))).select(*t.refs.columns, "target_id", "confidence", "rule", "member", "receiver_bound")
 

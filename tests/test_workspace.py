@@ -339,3 +339,21 @@ def test_charts_nest_without_a_bound(spark):
     w = Workspace.of(spark, files)
     last = "top/" + "/".join(f"charts/c{j}" for j in range(depth)) + "/size"
     assert {(r.path, r.value, r.wins) for r in w.helm().where(f"key = '{last}'").collect()} == {("top/values.yaml", "1", True), (f"{last[:-5]}/values.yaml", "0", False)}
+
+
+def test_path_receivers_and_shared_member_names(spark):
+    w = Workspace.of(spark, {
+        "src/model/mod.rs": "pub fn slug() -> i32 {\n    1\n}\n", "src/model/parts.rs": "pub fn part() -> i32 {\n    super::slug()\n}\npub fn near() -> i32 {\n    self::part()\n}\n", "src/text.rs": "pub fn slug() -> i32 {\n    2\n}\n",
+        "src/main.rs": "fn main() {\n    crate::model::slug();\n    lib::text::slug();\n    other::slug();\n}\n",
+        "a.ts": "class Order {\n  name: string;\n  title: string;\n}\nclass Named {\n  name(): string { return 'x'; }\n}\nfunction use(o: Order, n: Named) {\n  o.name;\n  n.name();\n  o.title;\n}\n",
+        "a.md": "# Top\n\n[x](#top) [y](b.md#top)\n", "b.md": "# Top\n",
+    })
+    at = {r.symbol_id: (r.path, r.kind) for r in w.tables.symbols.collect()}
+    rows = w.resolved.collect()
+    rust = {(r.path.rpartition("/")[2], r.receiver, r.name): (at[r.target_id][0] if r.target_id else None, r.confidence, r.rule) for r in rows if r.language == "rust" and r.receiver}
+    assert rust[("parts.rs", "super", "slug")] == ("src/model/mod.rs", 0, 102) and rust[("parts.rs", "self", "part")] == ("src/model/parts.rs", 0, 102)
+    assert rust[("main.rs", "model", "slug")] == ("src/model/mod.rs", 1, 103) and rust[("main.rs", "text", "slug")] == ("src/text.rs", 1, 103)
+    assert rust[("main.rs", "other", "slug")][2] not in (102, 103)
+    members = {(r.receiver, r.name, r.kind): at[r.target_id][1] for r in rows if r.language == "typescript" and r.receiver in ("o", "n") and r.target_id}
+    assert members == {("o", "name", "field"): "field", ("n", "name", "call"): "method", ("o", "title", "field"): "field"}
+    assert {(r.path, at[r.target_id][0]) for r in rows if r.language == "markdown" and r.target_id} >= {("a.md", "a.md")}
