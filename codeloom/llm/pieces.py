@@ -4,14 +4,14 @@ A path through a text is a sequence of vocabulary pieces; its weight is the sum
 library itself splits the two pieces' joint text into just them and minus infinity elsewhere. For byte-pair models the
 library's segmentation is the one path of weight 0, so the best path gives the library's ids exactly, merges included.
 
-Chunks. Texts of more than `chunk` characters are cut into chunks; shorter ones are one chunk, encoded and decoded where
-they are read. No piece reaches across the start of a run of spaces, so a cut there has a single boundary state and its
-chunks are independent (their transfer matrix is one by one). Only where a chunk has no such place (a giant word) is it
-cut anywhere. The states of such a boundary are (piece, how far it reaches into the next chunk), a handful each; a
-chunk's transfer matrix holds which states at its start lead with weight 0 to which at its end. Matrices are combined
-associatively, FAN at a time, level upon level, until a text has one. Going down again, each level's two boundary states
-settle those between the matrices below it, and every chunk is then traced back on its own. Characters that no piece
-covers become their UTF-8 bytes; nothing merges with them.
+Chunks. Texts of less than `giant` characters are one chunk, encoded and decoded where they are read. Longer ones are cut
+every `chunk` characters, wherever that is. The states of a boundary are (piece, how far it reaches into the next chunk),
+some dozens; a chunk's transfer matrix holds which states at its start lead with weight 0 to which at its end. No piece
+reaches across the start of a run of spaces, so all paths meet in one state there: a matrix is found from the
+characters up to the chunk's first such place and from its last one on, and what lies between has one path. Matrices are
+combined associatively, FAN at a time, level upon level, until a text has one. Going down again, each level's two
+boundary states settle those between the matrices below it, and every chunk is then traced back on its own. Characters
+that no piece covers become their UTF-8 bytes; nothing merges with them.
 
 Defined results: null or empty text has no ids; texts of any length are handled in bounded memory; null ids and repeated
 rows are rows of their own (repeated rows with one id are told apart by their number in the input partition); an empty
@@ -165,21 +165,35 @@ class Codec:
                 back[at - lo + 1].setdefault(-2 - at, (at, next(iter(back[at - lo]))))
         return back
 
+    def meets(self, text: str, lo: int, hi: int) -> tuple[int, int] | None:
+        """The first and the last place from lo on and before hi where a run of spaces starts: all paths have one state there."""
+        first = next((m.start() + 1 for m in _starts.finditer(text, max(lo - 1, 0), hi) if m.start() + 1 >= lo), hi)
+        if first >= hi:
+            return None
+        last = hi
+        while (last := text.rfind(SPACE, first, last)) > first and text[last - 1] == SPACE:
+            pass
+        return first, max(first, last)
+
     def transfer(self, text: str, lo: int, hi: int, entries: list[State], last: bool) -> dict[State, list[State]]:
         """Which states at hi each state at lo leads to; at the text's end only the state that reaches just there."""
-        out = {}
-        for entry in entries:
-            if entry[1] > hi - lo:
-                out[entry] = [(entry[0], entry[1] - (hi - lo))]
-                continue
-            back = self.steps(text, lo, hi, entry)
-            found = []
-            for over in range(self.longest):
-                for piece, (at, _) in back[hi - lo + over].items():
-                    if at < hi:
-                        found.append((max(piece, -1), over))
-            out[entry] = [START] if last and any(s[1] == 0 for s in found) else [] if last else sorted(set(found))
-        return out
+        if (middle := self.meets(text, lo, hi)) is not None:
+            first, tail = middle
+            alive = [e for e in entries if e[1] == first - lo or e[1] < first - lo and self.steps(text, lo, first, e)[first - lo]]
+            leave = self._across(text, tail, hi, START, last)
+            return {e: leave for e in alive if leave}
+        return {entry: self._across(text, lo, hi, entry, last) for entry in entries}
+
+    def _across(self, text: str, lo: int, hi: int, entry: State, last: bool) -> list[State]:
+        if entry[1] > hi - lo:
+            return [(entry[0], entry[1] - (hi - lo))]
+        back = self.steps(text, lo, hi, entry)
+        found = []
+        for over in range(self.longest):
+            for piece, (at, _) in back[hi - lo + over].items():
+                if at < hi:
+                    found.append((max(piece, -1), over))
+        return [START] if last and any(s[1] == 0 for s in found) else [] if last else sorted(set(found))
 
     def entries(self, text: str, at: int) -> list[State]:
         """All states that a boundary may have."""
@@ -190,6 +204,14 @@ class Codec:
                     out.add((piece, end - at))
         return sorted(out)
 
+    def traced(self, text: str, lo: int, hi: int, entry: State, leave: State) -> bytes:
+        """Ids of a chunk between two states, as little-endian 32-bit bytes: traced back at its ends, and looked up by segments where all paths meet."""
+        pack = lambda ids: array("I", ids).tobytes()
+        if (middle := self.meets(text, lo, hi)) is None:
+            return pack(self.trace(text, lo, hi, entry, leave))
+        first, last = middle
+        return pack(self.trace(text, lo, first, entry, START)) + self.segments(text[first:last]) + pack(self.trace(text, last, hi, START, leave))
+
     def trace(self, text: str, lo: int, hi: int, entry: State, leave: State) -> list[int]:
         """Ids of the pieces that start in lo + entry's reach and end at hi + leave's reach."""
         end = hi + leave[1]
@@ -224,23 +246,12 @@ def codec(path: str) -> Codec:
 _parts = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
+_starts = re.compile(f"[^{SPACE}](?={SPACE})")
+
+
 def cut(text: str, chunk: int) -> list[tuple[int, int, bool, bool]]:
-    """(start, end, whether the start is cut inside a segment, likewise the end) of the chunks of a marked text."""
-    out, lo, inside = [], 0, False
-    while lo < len(text):
-        hi = min(len(text), lo + chunk)
-        hard = False
-        if hi < len(text):
-            at = hi  # the last run of spaces that starts in the chunk after other characters
-            while (at := text.rfind(SPACE, lo + 1, at)) > lo and text[at - 1] == SPACE:
-                pass
-            if at > lo:
-                hi = at
-            else:
-                hard = not (text[hi] == SPACE and text[hi - 1] != SPACE)
-        out.append((lo, hi, inside, hard))
-        lo, inside = hi, hard
-    return out
+    """(start, end, whether another chunk comes before, likewise behind) of the chunks of a marked text."""
+    return [(lo, min(len(text), lo + chunk), lo > 0, lo + chunk < len(text)) for lo in range(0, len(text), chunk)]
 
 
 CHUNK = "rk string, id bigint, part int, parts int, body string, lo int, hi int, inside boolean, open boolean, moves string"
@@ -300,7 +311,7 @@ def _chunks(path: str, chunk: int):
                 a = max(0, lo - reach) if inside else lo
                 b = min(len(whole), hi + reach) if hard else hi
                 c, body = codec(path), whole[a:b]
-                moves = _write(c.transfer(body, lo - a, hi - a, c.entries(body, lo - a) if inside else [START], not hard)) if inside or hard else "-1,0>-1,0"
+                moves = _write(c.transfer(body, lo - a, hi - a, c.entries(body, lo - a) if inside else [START], not hard))
                 yield from put((f"{task}:{number}", i, part, len(rows), body, lo - a, hi - a, inside, hard, moves), b - a + 100)
         yield from flush()
 
@@ -371,7 +382,7 @@ def _encode(path: str):
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for rk, i, part, body, lo, hi, inside, hard, enter, leave in rows_of(batches):
             if inside or hard:
-                raw = array("I", c.trace(body, lo, hi, _state(enter), _state(leave))).tobytes()
+                raw = c.traced(body, lo, hi, _state(enter), _state(leave))
             else:
                 raw = c.segments(body[lo:hi])
             small = squeeze(np.frombuffer(raw, "<u4").astype("<u2").tobytes() if len(c.pieces) <= 1 << 16 else raw)
@@ -387,20 +398,20 @@ def _wide(c: Codec, small: bytes) -> bytes:
     return np.frombuffer(raw, "<u2").astype("<u4").tobytes() if len(c.pieces) <= 1 << 16 else raw
 
 
-def _giants(rows: DataFrame, path: str, chunk: int) -> DataFrame:
-    """(rk, id, part, n, ids) of the chunks of texts that have more than one; ids as _encode packs them."""
-    chunks = stash(rows.where(F.length("text") >= chunk).mapInArrow(_chunks(path, chunk), CHUNK), "chunks")
+def matrices(rows: DataFrame, path: str, giant: int, chunk: int) -> DataFrame:
+    """The chunks of giant texts with their transfer matrices (moves), written to the shared folder."""
+    return stash(rows.where(F.length("text") >= giant).mapInArrow(_chunks(path, chunk), CHUNK), "chunks")
+
+
+def _giants(rows: DataFrame, path: str, giant: int, chunk: int) -> DataFrame:
+    """(rk, id, part, n, ids) of the chunks of giant texts; ids as _encode packs them."""
+    chunks = matrices(rows, path, giant, chunk)
     cols = ["rk", "id", "part", "body", "lo", "hi", "inside", "open", "enter", "leave"]
-    chained = chunks.where("inside or open").select("rk").distinct()
-    moves = chunks.select("rk", "part", "moves").join(chained, "rk", "left_semi")
-    if moves.isEmpty():
-        named = chunks.withColumn("enter", F.lit(None).cast("string")).withColumn("leave", F.lit(None).cast("string"))
-    else:
-        named = chunks.join(boundary_states(moves), ["rk", "part"], "left")
+    named = chunks.join(boundary_states(chunks.select("rk", "part", "moves")), ["rk", "part"])
     return named.select(*cols).repartition("rk", "part").mapInArrow(_encode(path), IDS)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model: str | None = None, chunk: int = 65_536) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model: str | None = None, giant: int = 32_768, chunk: int = 8_192) -> DataFrame:
     """(id, rk, part, n_tokens, ids): ids of every chunk in little-endian 32-bit integers. rk names the input row of a text of several chunks, which are the whole text in order of part; it is null for others."""
     bounded_batches(docs.sparkSession)
     path = model or default_model()
@@ -419,15 +430,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, m
         for b in batches:
             yield b.set_column(4, "ids", pa.array([_wide(c, z) for z in b.column(4).to_pylist()], pa.binary()))
 
-    alone = rows.where(F.coalesce(F.length("text"), F.lit(0)) < chunk).mapInArrow(run, IDS)
-    return alone.union(_giants(rows, path, chunk).mapInArrow(widen, IDS)).select(F.col("id").alias(id_col), "rk", "part", F.col("n").alias("n_tokens"), "ids")
+    alone = rows.where(F.coalesce(F.length("text"), F.lit(0)) < giant).mapInArrow(run, IDS)
+    return alone.union(_giants(rows, path, giant, chunk).mapInArrow(widen, IDS)).select(F.col("id").alias(id_col), "rk", "part", F.col("n").alias("n_tokens"), "ids")
 
 
 DONE = "id bigint, n_tokens bigint, ids_crc32 bigint, n_chars bigint, decoded_sha256 string"
 _DONE = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("n_chars", pa.int64()), ("decoded_sha256", pa.string())])
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model: str | None = None, chunk: int = 65_536) -> DataFrame:
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model: str | None = None, giant: int = 32_768, chunk: int = 8_192) -> DataFrame:
     """(id, n_tokens, ids_crc32, n_chars, decoded_sha256) of every row: encodes each text and decodes its ids again. A giant text's chunks are read in order and never held together."""
     bounded_batches(docs.sparkSession)
     path = model or default_model()
@@ -468,6 +479,6 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield from done()
         yield from flush()
 
-    small = rows.where(F.coalesce(F.length("text"), F.lit(0)) < chunk).mapInArrow(alone, DONE)
-    giant = _giants(rows, path, chunk).repartition("rk").sortWithinPartitions("rk", "part").mapInArrow(run, DONE)
+    small = rows.where(F.coalesce(F.length("text"), F.lit(0)) < giant).mapInArrow(alone, DONE)
+    giant = _giants(rows, path, giant, chunk).repartition("rk").sortWithinPartitions("rk", "part").mapInArrow(run, DONE)
     return small.union(giant).withColumnRenamed("id", id_col)

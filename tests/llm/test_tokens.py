@@ -144,7 +144,7 @@ def test_round_trip_over_spark(spark, odd_rows, codec):
     import hashlib
 
     rows = [r[:2] for r in odd_rows]
-    out = round_trip(frame(spark, rows).repartition(3), chunk=1000).collect()
+    out = round_trip(frame(spark, rows).repartition(3), giant=1000, chunk=1000).collect()
     want = sorted((str(i), len(e := codec.lib.encode(t or "")), zlib.crc32(np.array(e, "<u4").tobytes()), len(t or ""), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
     assert sorted((str(x.doc_id), x.n_tokens, x.ids_crc32, x.n_chars, x.decoded_sha256) for x in out) == want
     assert round_trip(frame(spark, []).where("false")).collect() == []
@@ -161,7 +161,24 @@ def test_matrices_combine_in_any_grouping(codec, words):
 
 def test_giant_words_go_up_and_down_the_tree(spark, words, codec):
     rows = [(1, words(250, 3).replace(" ", "")), (2, words(30, 2)), (3, "x" * 300), (4, None), (4, words(5, 1))]
-    out = round_trip(frame(spark, rows).repartition(2), chunk=7).collect()  # the first has more than 100 chunks
+    out = round_trip(frame(spark, rows).repartition(2), giant=7, chunk=7).collect()  # the first has more than 100 chunks
     assert sorted((x.doc_id, x.n_tokens, x.ids_crc32) for x in out) == sorted((i, len(e := codec.lib.encode(t or "")), zlib.crc32(np.array(e, "<u4").tobytes())) for i, t in rows)
-    parts = sorted((x.doc_id, x.part, x.ids) for x in encode(frame(spark, rows), chunk=40).collect() if x.doc_id != 4)
+    parts = sorted((x.doc_id, x.part, x.ids) for x in encode(frame(spark, rows), giant=40, chunk=40).collect() if x.doc_id != 4)
     assert {i: np.frombuffer(b"".join(p for j, _, p in parts if j == i), "<u4").tolist() for i in (1, 2, 3)} == {i: codec.lib.encode(t) for i, t in rows if i != 4}
+
+
+def test_giant_texts_go_through_their_matrices(spark, codec, words):
+    """Every chunk of every text over the length has a matrix of several states, whatever its spaces; texts without a space too."""
+    from codeloom.llm.pieces import _read, matrices
+
+    rows = [(1, words(9000, 3)), (2, words(9000, 4).replace(" ", "")), (3, "a " * 20_000), (4, " " * 40_000), (5, words(50, 5)), (6, "ñ🙂" * 20_000)]
+    big = [r for r in rows if len(r[1]) >= 32_768]
+    docs = frame(spark, rows)
+    got = matrices(docs.selectExpr("doc_id AS id", "text"), default_model(), 32_768, 8_192).collect()
+    assert len(big) == 5 and len(got) == sum(-(-len(marked(t)) // 8_192) for _, t in big)
+    inner = [m for x in got if 0 < x.part for m in [_read(x.moves)]]
+    assert sum(len(m) > 1 for m in inner) > len(inner) / 3 and all(m for m in inner)
+    out = {x.doc_id: x for x in round_trip(docs).collect()}
+    for i, t in rows:
+        ids = codec.lib.encode(t)
+        assert (out[i].n_tokens, out[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), i
