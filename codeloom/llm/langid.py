@@ -7,7 +7,9 @@ squared hinge loss.
 
 Training reads a bounded sample of the rows that `learn` marks: at most `per_language` documents of a language (500) and
 about `sample` documents in all (3000), those of least hash of the id. All documents are predicted. Only the sample's
-features, 16 KB a document, come to the driver.
+features, 16 KB a document, come to the driver. Weights take 32 KB for each family and for each pair inside one, so more
+than `most_languages` different labels (1000, several times the codes in use) are refused with their number: such a
+column doesn't hold languages.
 
 Defined results: null text, or text without a letter, is `und` with score 0; a language that no training row has can't
 be predicted; with one language trained, all other texts get it with score 1; with none, all are `und`; repeated rows
@@ -116,11 +118,14 @@ class Model:
         return float(best[-1] - best[-2])
 
 
-def train(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, sample: int = 3000) -> Model | None:
+def train(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, sample: int = 3000, most_languages: int = 1000) -> Model | None:
     """Fits a model on a bounded sample: per_language rows of each language that has any."""
     bounded_batches(docs.sparkSession)
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(11)).alias("h"))
-    counts = rows.groupBy("lang").count().collect()
+    by_language = rows.groupBy("lang").count()
+    counts = by_language.limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"{by_language.count()} different values of {lang_col}; at most {most_languages} languages are learned")
     if not counts:
         return None
     per_language = max(1, min(per_language, sample // len(counts)))
