@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, emitter, rows_of, unpacked, utf8
+from .common import bounded_batches, drop_stash, emitter, rows_of, stash, unpacked, utf8
 from .tokens import ordered_texts
 
 RATES = np.repeat([1 / 4, 1 / 16, 1 / 64, 1 / 256], 16)
@@ -112,14 +112,17 @@ def likeness(a: str, b: str) -> float:
 _OUT = pa.schema([("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
-def build_lexicon(docs: DataFrame, text_col: str = "text", *, least: float = 1 / 1000, most: float = 1 / 10) -> list[bytes]:
-    """Terms in the band; raises if there are more than the band allows for documents of 20,000 distinct terms."""
-    n, bound = docs.count(), int(20_000 / least)
-    band = document_frequencies(docs, text_col).where((F.col("documents") >= max(2.0, n * least)) & (F.col("documents") <= max(2.0, n * most))).select("term")
-    found = band.limit(bound + 1).collect()  # one more than there can be, so that a band too wide is seen before it is held
-    if len(found) > bound:
-        raise ValueError("more band terms than its bound")
-    return [bytes(r["term"]) for r in found]
+def build_lexicon(docs: DataFrame, text_col: str = "text", *, least: float = 1 / 1000, most: float = 1 / 10, held: int = 2_000_000) -> list[bytes]:
+    """Terms in the band. They are counted before any is collected: more than `held` (about 0.5 GB in a worker; documents of 2,000 distinct terms on average) are refused with their number."""
+    n = docs.count()
+    band = stash(document_frequencies(docs, text_col).where((F.col("documents") >= max(2.0, n * least)) & (F.col("documents") <= max(2.0, n * most))).select("term"), "band")
+    found = band.count()
+    if found > held:
+        drop_stash(band)
+        raise ValueError(f"{found} band terms; workers hold {held}")
+    out = [bytes(r["term"]) for r in band.collect()]
+    drop_stash(band)
+    return out
 
 
 def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: float = 1 / 1000, most: float = 1 / 10) -> DataFrame:

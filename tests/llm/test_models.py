@@ -137,3 +137,15 @@ def test_rejection_has_a_margin_whatever_the_languages(spark, words):
     rows = [(n, texts[("en", "fr")[n % 2]] + " " + words(3, n), ("en", "fr")[n % 2]) for n in range(40)] + [(90, None, "en"), (91, "", "fr"), (92, "123 --", "en")]
     docs = frame(spark, rows)
     assert drop_unknown(docs).count() == 40 and drop_unknown(docs, least_margin=100.0).count() == 0 and drop_unknown(docs).columns == docs.columns
+
+
+def test_bounds_speak_before_anything_is_collected(spark, words):
+    from codeloom.llm.fingerprints import build_lexicon
+
+    docs = frame(spark, [(n, words(30, n % 7), f"l{n}") for n in range(40)])
+    with pytest.raises(ValueError, match="40 different values of lang"):
+        train(docs, F.lit(True), most_languages=39)
+    assert len(train(docs, F.lit(True), most_languages=40).langs) == 40
+    assert len(build_lexicon(docs, most=1.0)) > 100
+    with pytest.raises(ValueError, match="band terms"):
+        build_lexicon(docs, most=1.0, held=100)
