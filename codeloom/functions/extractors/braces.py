@@ -277,12 +277,23 @@ def _fields(f: Facts, code, close, body: int, kind: str, taken: set[int]) -> Non
         if code[k][1] in "([{" and code[k][0] == "op":
             k = close.get(k, k) + 1
             continue
-        begins = code[k - 1][1] in ("{", ";", ",", "}") or f.language == "go" and "\n" in f.text[code[k - 1][3] : code[k][2]] or _has(code, k, "pub")
+        begins = code[k - 1][1] in ("{", ";", ",", "}") or f.language in ("go", "typescript", "tsx") and "\n" in f.text[code[k - 1][3] : code[k][2]] or _has(code, k, "pub")
         if code[k][0] == "name" and text not in RESERVED and begins and kind not in ("enum", "module"):
-            plain = after == ":" or f.language == "go" and (code[k + 1][0] == "name" or after in "*[") or f.language == "java" and False
+            script = f.language in ("typescript", "tsx")
+            maybe = script and after == "?" and code[k + 2][1] == ":"
+            plain = after == ":" or maybe or f.language == "go" and (code[k + 1][0] == "name" or after in "*[") or f.language == "java" and False
             if plain:
                 f.define(text, "field", code[k][2], code[k][2], code[k + 1][3], text[:1].isupper() if f.language == "go" else True)
                 taken.add(k)
+                if script:
+                    stop = begin = k + 2 + maybe
+                    angles = 0
+                    while stop < end and code[stop][1] != ";" and (code[stop][1] != "," or angles) and (angles or stop == begin or "\n" not in f.text[code[stop - 1][3] : code[stop][2]] or code[stop][1] == "|"):
+                        angles += (code[stop][1] == "<") - (code[stop][1] == ">" and angles > 0)
+                        stop = close.get(stop, stop) + 1
+                    f.note(code[k][2], "@declares", f.text[code[begin][2] : code[stop - 1][3]] if stop > begin else None)
+                    if maybe:
+                        f.note(code[k][2], "@optional")
             elif after == "(" and kind == "interface":
                 f.define(text, "method", code[k][2], code[k][2], code[close.get(k + 1, k + 1)][3], True)
                 taken.add(k)

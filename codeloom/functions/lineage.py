@@ -1,12 +1,14 @@
-"""Cutting lineage in loops, in the folder that all executors share."""
+"""Cutting lineage in loops, in the folder that all executors share; and what Python workers import."""
 
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -22,3 +24,11 @@ def cut(df: DataFrame) -> DataFrame:
             atexit.register(shutil.rmtree, _own[0], True)
         context.setCheckpointDir(f"file://{_own[0]}")
     return df.checkpoint(eager=True)
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, whatever folder that was started in."""
+    root = str(Path(__file__).resolve().parents[2])
+    have = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in have.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)

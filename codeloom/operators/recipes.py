@@ -1,5 +1,9 @@
 """Recipes: steps whose `where` clause is a predicate query over symbols or files.
 
+    requires language python
+    expect no-new unused
+    expect changed > 0 files
+
     step rename-helpers
       select symbols
       where kind=function name~help* !exported in=pkg/
@@ -14,10 +18,12 @@ their negations anti-joins.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..schemas import LANGUAGES
 from .calls import walkable
 from .edits import Refusal, safe_deletes
@@ -30,6 +36,12 @@ KINDS = "function method class struct trait interface enum type constant variabl
 ACTIONS = ["rename", "delete", "restructure", "report"]
 
 
+#: What a recipe may require of a workspace, and expect of what it leaves.
+REQUIRES = ["language", "symbol", "path"]
+EXPECTS = ["no-new", "changed", "refusals"]
+COMPARISONS = {"=": "__eq__", ">": "__gt__", "<": "__lt__", ">=": "__ge__", "<=": "__le__"}
+
+
 class RecipeError(ValueError):
     pass
 
@@ -46,6 +58,13 @@ class Step:
     allow_empty: bool = False
 
 
+@dataclass
+class Recipe:
+    steps: list[Step] = field(default_factory=list)
+    requires: list[tuple[str, str]] = field(default_factory=list)
+    expects: list[tuple[str, str, int]] = field(default_factory=list)  # (no-new, what, 0) or (changed or refusals, comparison, count)
+
+
 def _distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -79,8 +98,19 @@ def predicate(text: str) -> tuple[bool, str, str, str]:
     return negated, known(text, FLAGS, "flag"), "flag", ""
 
 
-def parse(text: str) -> list[Step]:
-    steps: list[Step] = []
+def _expectation(args: list[str], number: int) -> tuple[str, str, int]:
+    what = known(args[0] if args else "", EXPECTS, "expectation")
+    if what == "no-new":
+        return what, known(args[1] if len(args) > 1 else "", ["unused", "duplicates"], "analysis"), 0
+    if len(args) < 3 or args[1] not in COMPARISONS or not args[2].isdigit() or args[3:] not in ([], ["files"]):
+        raise RecipeError(f"line {number}: expect {what} takes one of {' '.join(COMPARISONS)} and a number")
+    return what, args[1], int(args[2])
+
+
+def read(text: str) -> Recipe:
+    """A recipe's steps, and the requirements and expectations that stand outside or between them."""
+    recipe = Recipe()
+    steps = recipe.steps
     for number, line in enumerate(text.splitlines(), 1):
         words = line.split("#", 1)[0].split()
         if not words:
@@ -89,6 +119,13 @@ def parse(text: str) -> list[Step]:
         if verb == "step":
             steps.append(Step(" ".join(args)))
             continue
+        if verb == "expect":
+            recipe.expects.append(_expectation(args, number))
+            continue
+        if verb == "requires":
+            kind, value = known(args[0] if args else "", REQUIRES, "requirement"), " ".join(args[1:]).strip("\"'")
+            recipe.requires.append((kind, known(value, list(LANGUAGES), "language") if kind == "language" else value))
+            continue
         if not steps:
             raise RecipeError(f"line {number}: a recipe begins with a step")
         step = steps[-1]
@@ -104,7 +141,11 @@ def parse(text: str) -> list[Step]:
             step.allow_empty = True
         else:
             step.action, step.args = known(verb, ACTIONS, "action"), args
-    return steps
+    return recipe
+
+
+def parse(text: str) -> list[Step]:
+    return read(text).steps
 
 
 def glob_match(pattern: str, text: str) -> bool:
@@ -183,28 +224,83 @@ def _set_of(workspace, name: str, value: str, symbols: bool) -> DataFrame:
     return workspace.changed.select("path").distinct()
 
 
+def _do(workspace, step: Step) -> dict:
+    try:
+        rows = select(workspace, step)
+        result = {"step": step.name, "rows": rows}
+        if step.action == "rename":
+            names = [r["qualified_name"] for r in rows.select("qualified_name").distinct().limit(1000).collect()]
+            if len(names) != 1:
+                raise Refusal("ambiguous", f"rename takes one name, not {len(names)}")
+            result["edits"], result["warnings"] = workspace.rename(names[0], step.args[0])
+        elif step.action == "delete":
+            names = rows.select(F.col("qualified_name").alias("wanted")).distinct()
+            result["edits"] = safe_deletes(workspace.tables, workspace.resolved, names)
+        elif step.action == "restructure":
+            pattern, template = " ".join(step.args).split(" => ", 1)
+            lang = next((v for _, n, _, v in step.where if n == "lang"), "python")
+            result["edits"] = workspace.search(lang, pattern, template).select("path", "start", "end", "replacement")
+        return result
+    except Refusal as e:
+        if step.on_refusal == "stop":
+            raise
+        return {"step": step.name, "refused": e.kind}
+
+
+def check_requirements(workspace, recipe: Recipe) -> None:
+    """Refuses a recipe that was written for another tree, before it does nothing and says it has succeeded."""
+    t = workspace.tables
+    for kind, value in recipe.requires:
+        found = {"language": lambda v: t.files.where(F.col("language") == v), "symbol": lambda v: t.symbols.where(F.col("name") == v), "path": lambda v: t.files.where(F.col("path").contains(v))}[kind](value)
+        if found.isEmpty():
+            raise Refusal("requirement", f"requires {kind} {value}: this workspace has none")
+
+
 def run(workspace, text: str) -> list[dict]:
-    """Runs the steps; each gives its name, how many subjects it chose, its edits (a DataFrame) or rows, and any refusal."""
-    out = []
-    for step in parse(text):
-        try:
-            rows = select(workspace, step)
-            result = {"step": step.name, "rows": rows}
-            if step.action == "rename":
-                names = [r["qualified_name"] for r in rows.select("qualified_name").distinct().limit(1000).collect()]
-                if len(names) != 1:
-                    raise Refusal("ambiguous", f"rename takes one name, not {len(names)}")
-                result["edits"], result["warnings"] = workspace.rename(names[0], step.args[0])
-            elif step.action == "delete":
-                names = rows.select(F.col("qualified_name").alias("wanted")).distinct()
-                result["edits"] = safe_deletes(workspace.tables, workspace.resolved, names)
-            elif step.action == "restructure":
-                pattern, template = " ".join(step.args).split(" => ", 1)
-                lang = next((v for _, n, _, v in step.where if n == "lang"), "python")
-                result["edits"] = workspace.search(lang, pattern, template).select("path", "start", "end", "replacement")
-            out.append(result)
-        except Refusal as e:
-            if step.on_refusal == "stop":
-                raise
-            out.append({"step": step.name, "refused": e.kind})
-    return out
+    """Runs the steps on the workspace as it is; each gives its name, its edits (a DataFrame) or rows, and any refusal."""
+    recipe = read(text)
+    check_requirements(workspace, recipe)
+    return [_do(workspace, step) for step in recipe.steps]
+
+
+def expectations(before, after, recipe: Recipe, changed: DataFrame, refusals: int) -> DataFrame:
+    """(expectation, actual, held) of two resolved states of a workspace, in one plan.
+
+    What is unused now and wasn't is a difference of rows, by path and name; of clone classes, the difference of their
+    numbers that doesn't go below 0.
+    """
+    spark = before.spark
+    rows = []
+    for what, how, count in recipe.expects:
+        if what == "no-new":
+            key = ["path", "name"]
+            if how == "unused":
+                listed = lambda w: w.unused().where("spared is null").select(*key).distinct()
+                fresh = listed(after).join(listed(before), key, "left_anti").agg(F.count("*").alias("actual"))
+            else:
+                number = lambda w, sign: w.duplicates().agg((F.count("*") * sign).alias("n"))
+                fresh = number(after, 1).union(number(before, -1)).agg(F.greatest(F.sum("n"), F.lit(0)).alias("actual"))
+            rows.append(fresh.select(F.lit(f"no-new {how}").alias("expectation"), "actual", (F.col("actual") == 0).alias("held")))
+            continue
+        actual = changed.agg(F.count("*").alias("actual")) if what == "changed" else spark.range(1).select(F.lit(refusals).cast("bigint").alias("actual"))
+        rows.append(actual.select(F.lit(f"{what} {how} {count}" + " files" * (what == "changed")).alias("expectation"), "actual", getattr(F.col("actual"), COMPARISONS[how])(F.lit(count)).alias("held")))
+    return reduce(DataFrame.unionByName, rows) if rows else spark.createDataFrame([], "expectation string, actual bigint, held boolean")
+
+
+def verify(workspace, text: str) -> dict:
+    """Runs the steps one on another's result, and holds what they leave against the recipe's expectations.
+
+    Gives steps, the workspace after them, changed (path, before, after), expectations (a DataFrame) and ok. Edits are
+    planned only: a caller writes them where ok says so.
+    """
+    recipe = read(text)
+    check_requirements(workspace, recipe)
+    now, steps = workspace, []
+    for step in recipe.steps:
+        steps.append(_do(now, step))
+        if "edits" in steps[-1]:
+            now = now.edited(steps[-1]["edits"])
+    then = now.files.select("path", F.col("text").alias("after"))
+    changed = cut(workspace.files.select("path", F.col("text").alias("before")).join(then, "path").where("before <> after"))
+    held = cut(expectations(workspace, now, recipe, changed, sum("refused" in x for x in steps)))
+    return {"steps": steps, "workspace": now, "changed": changed, "expectations": held, "ok": held.where("not held").isEmpty()}

@@ -548,17 +548,16 @@ def _folded(files: DataFrame) -> DataFrame:
 
 
 def remove_flag(workspace, flag: str, value: bool) -> tuple[DataFrame, list[dict]]:
-    """M9: (whole-file edits, a summary of each round). Each round does the first that applies: substitute the flag, fold constants, remove symbols that had uses before the cascade and have none now, remove imports that it orphaned."""
-    kind, first = type(workspace), workspace
+    """M9: (whole-file edits, a summary of each round, with the number of references that it resolved). Each round does the first that applies: substitute the flag, fold constants, remove symbols that had uses before the cascade and have none now, remove imports that it orphaned."""
+    first = workspace
     t = first.tables
     hit = t.symbols.where((F.col("name") == flag) & F.col("kind").isin("constant", "variable") & (F.col("language") == "python"))
     if hit.isEmpty():
         raise Refusal("not-found", flag)
     used = cut(first.resolved.where("target_id is not null and not in_import").select(F.col("target_id").alias("symbol_id")).distinct().join(t.symbols, "symbol_id").select("path", "qualified_name").distinct())
     dead_before = cut(first.unused_imports().select("path", "name", "module"))
-    files, rounds = first.files, []
+    w, rounds = first, []
     for number in range(1, MAX_ROUNDS + 1):
-        w = kind(files.select("path", "text"))
         flags = w.tables.symbols.where((F.col("name") == flag) & F.col("kind").isin("constant", "variable")).select(F.col("symbol_id").alias("target_id"))
         refs = w.resolved.join(flags, "target_id", "left_semi").where("not in_import").where(F.col("confidence") < FIELD)
         held = w.resolved.where("target_id is not null and not in_import").join(w.tables.symbols.select(F.col("symbol_id").alias("target_id"), F.col("path").alias("t_path"), "full_start", "full_end"), "target_id")
@@ -577,12 +576,13 @@ def remove_flag(workspace, flag: str, value: bool) -> tuple[DataFrame, list[dict
                 break
         else:
             break
-        rounds.append({"round": number, "action": name, "edits": planned.count(), "files": planned.select("path").distinct().count()})
-        files = edited(w.files, planned)
+        rounds.append({"round": number, "action": name, "edits": planned.count(), "files": planned.select("path").distinct().count(), "resolved": first.resolved.count() if w is first else w.resolved_again.count()})
+        # What the round leaves is read and resolved only where it can differ.
+        w = w.with_texts(edited(w.files.join(planned.select("path").distinct(), "path", "left_semi"), planned).select("path", F.col("text").alias("after")))
     if not rounds:
         raise Refusal("nothing-to-do", flag)
     before = first.files.select("path", F.col("text").alias("old"))
-    out = files.join(before, "path").where("text <> old").select("path", F.lit(0).cast("bigint").alias("start"), F.octet_length("old").cast("bigint").alias("end"), F.col("text").alias("replacement"))
+    out = w.files.join(before, "path").where("text <> old").select("path", F.lit(0).cast("bigint").alias("start"), F.octet_length("old").cast("bigint").alias("end"), F.col("text").alias("replacement"))
     return out, rounds
 
 

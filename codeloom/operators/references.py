@@ -72,9 +72,9 @@ def import_files(t: Tables) -> DataFrame:
     return t.imports.select("path", "import_pos").join(direct, ["path", "import_pos"], "left").join(loose, ["path", "import_pos"], "left").select("path", "import_pos", F.coalesce("file", "by_stem").alias("file")).where("file is not null and file <> path")
 
 
-def resolve(t: Tables) -> DataFrame:
-    """refs with target_id, confidence and the rule that answered."""
-    found = cut(import_files(t))  # short plans: each of these tables is used by several rules
+def resolve(t: Tables, found: DataFrame | None = None) -> DataFrame:
+    """refs with target_id, confidence and the rule that answered. found: import_files, where it is at hand."""
+    found = cut(import_files(t)) if found is None else found  # short plans: each of these tables is used by several rules
     bound = t.bindings.join(found, ["path", "import_pos"], "left").select("path", F.col("name").alias("bound"), "original", "module", F.col("file").alias("bound_file"))
     types = t.symbols.where(F.col("kind").isin(TYPES)).select("language", F.col("name").alias("receiver")).distinct().withColumn("receiver_is_type", F.lit(True))
     refs = t.refs.join(bound.select("path", F.col("bound").alias("receiver"), F.col("bound_file").alias("receiver_file"), F.lit(True).alias("receiver_bound")), ["path", "receiver"], "left")
@@ -191,6 +191,27 @@ def resolve(t: Tables) -> DataFrame:
     return out.withColumn("confidence", F.when(untyped, F.greatest("confidence", F.lit(FIELD))).otherwise(F.col("confidence"))).select(*t.refs.columns, "target_id", "confidence", "rule", "member", "receiver_bound")
 
 
+def affected(before: Tables, after: Tables, changed: DataFrame, links: DataFrame) -> DataFrame:
+    """The references of `after` whose answers the changed files (path) may alter; all others keep theirs.
+
+    An answer comes from definitions of a name, in files that imports lead to. So those are affected that stand in a
+    changed file, that name or are received by something a changed file defines or defined, or whose file imports a changed
+    one, directly or through others that hand names on. links: import_files of both.
+    """
+    from .graphs import reach
+
+    names = lambda t: t.symbols.join(changed, "path", "left_semi").select("name", S.anchor_slug(F.col("name")).alias("slug"))
+    both = names(before).union(names(after))
+    spoken = cut(both.select("name").union(both.select("slug")).union(both.select(F.substring_index("name", ".", -1))).distinct())
+    links = links.select(F.col("file").alias("src"), F.col("path").alias("dst")).distinct()
+    importers = reach(links, changed.select(F.col("path").alias("node")), rounds=64).select(F.col("node").alias("path"))
+    refs = after.refs
+    hit = refs.join(spoken, "name", "left_semi").select("ref_id")
+    hit = hit.union(refs.join(spoken.withColumnRenamed("name", "receiver"), "receiver", "left_semi").select("ref_id"))
+    hit = hit.union(refs.join(importers.distinct(), "path", "left_semi").select("ref_id"))
+    return refs.join(hit.distinct(), "ref_id", "left_semi")
+
+
 def _barrels(imported: DataFrame, t: Tables, found: DataFrame, s: DataFrame, top: Column, hops: int = 8) -> DataFrame:
     """Follows names through files that import and re-export them, a hop at a time, up to the reference's bound. A name that is found goes no further."""
     again = cut(t.bindings.join(found, ["path", "import_pos"]).select(F.col("path").alias("at"), F.col("name").alias("wanted"), F.col("original").alias("next_wanted"), F.col("file").alias("next_at")).distinct())

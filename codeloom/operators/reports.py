@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.lineage import cut
 from ..schemas import CALLABLE, IMPERATIVE, LANGUAGES, LOCAL
 from .calls import families, walkable
 from .clones import greedy_cover
 from .facts import Tables
-from .graphs import dead_cycles, reach, taint
+from .graphs import Seen, dead_cycles, reach, taint, trace
 from .references import with_entities
-from .resolving import FIELD, tier_name
+from .resolving import FIELD, containing, tier_name
 
 # -- statistics ----------------------------------------------------------------------------------------------------------
 
@@ -257,33 +258,35 @@ def duplicates(t: Tables, floor: int = 60, config_floor: int = 30) -> DataFrame:
 # -- data flow -----------------------------------------------------------------------------------------------------------
 
 
+def _flows(t: Tables, uses: DataFrame) -> DataFrame:
+    """(symbol_id, ref_id): a definition and the references that its initialiser holds."""
+    return containing(uses.select("ref_id", "path", "start"), t.flows.select("path", "symbol_id", "source_start", "source_end"), ["path"], "ref_id", "source_start", "source_end", "symbol_id", "start").select("symbol_id", "ref_id").distinct()
+
+
 def flow_backward(t: Tables, resolved: DataFrame, start: str, depth: int = 8) -> DataFrame:
     """Q13: what a definition is initialised from, step by step: (depth, symbol_id, confidence, stop). Parameters, calls, weak links and the bound end a route and say so."""
-    sources = t.flows.select("symbol_id", "path", "source_start", "source_end")
     kinds = t.symbols.select("symbol_id", "kind")
-    inside = resolved.select("path", "start", F.col("target_id"), "confidence", F.col("kind").alias("r_kind"))
+    uses = resolved.where("target_id is not null")
+    edges = cut(_flows(t, uses).join(uses.select("ref_id", "target_id", F.col("confidence").alias("link")), "ref_id").groupBy("symbol_id", "target_id").agg(F.min("link").alias("link")))
     step = kinds.where(F.col("symbol_id") == start).select("symbol_id", F.lit(0).alias("depth"), F.lit(0).alias("confidence"), F.when(F.col("kind") == "parameter", "parameter").alias("stop"))
-    from ..functions.lineage import cut
-
-    seen = frontier = cut(step)
+    frontier = cut(step)
+    seen = Seen(frontier)
     for d in range(1, depth + 1):
-        ahead = frontier.where("stop is null").select("symbol_id", F.col("confidence").alias("so_far")).join(sources, "symbol_id").join(inside, "path").where("source_start <= start and start < source_end")
-        nxt = ahead.where("target_id is not null").groupBy(F.col("target_id").alias("symbol_id")).agg(F.min(F.greatest("so_far", "confidence")).alias("confidence"))
-        nxt = nxt.join(seen.select("symbol_id"), "symbol_id", "left_anti").join(kinds, "symbol_id")
+        ahead = frontier.where("stop is null").select("symbol_id", F.col("confidence").alias("so_far")).join(edges, "symbol_id")
+        nxt = ahead.groupBy(F.col("target_id").alias("symbol_id")).agg(F.min(F.greatest("so_far", "link")).alias("confidence"))
+        nxt = nxt.join(seen.rows().select("symbol_id"), "symbol_id", "left_anti").join(kinds, "symbol_id")
         stop = F.when(F.col("kind") == "parameter", "parameter").when(F.col("kind").isin(CALLABLE), "call").when(F.col("confidence") >= FIELD, "weak-link").when(F.lit(d == depth), "depth-limit")
         frontier = cut(nxt.select("symbol_id", F.lit(d).alias("depth"), "confidence", stop.alias("stop")))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        seen.add(frontier)
+    return seen.rows()
 
 
 def flow_forward(t: Tables, resolved: DataFrame, start: str, depth: int = 8) -> DataFrame:
     """Q14: definitions that a symbol's uses initialise: reachability over (used symbol, initialised symbol)."""
-    uses = resolved.where("target_id is not null").select("path", "start", "target_id")
-    edges = uses.join(t.flows.select("path", "source_start", "source_end", "symbol_id"), "path").where("source_start <= start and start < source_end").select(F.col("target_id").alias("src"), F.col("symbol_id").alias("dst")).distinct()
-    from .graphs import trace
-
+    uses = resolved.where("target_id is not null")
+    edges = _flows(t, uses).join(uses.select("ref_id", "target_id"), "ref_id").select(F.col("target_id").alias("src"), F.col("symbol_id").alias("dst")).distinct()
     return trace(edges, t.symbols.where(F.col("symbol_id") == start).select(F.col("symbol_id").alias("node")), depth)
 
 

@@ -44,27 +44,25 @@ def cap(resolved: DataFrame, untyped: Column, least: int = FIELD) -> DataFrame:
     return resolved.withColumn("confidence", F.when(untyped, F.greatest("confidence", F.lit(least))).otherwise(F.col("confidence")))
 
 
-def innermost(inner: DataFrame, outer: DataFrame, on: list[str], key: str, start: str, end: str, name: str, at: str, strict: bool = False) -> DataFrame:
-    """The smallest outer interval of equal keys `on` that holds a point, or null; the least name of equally small ones. Null points are in none.
+def _sweep(inner: DataFrame, outer: DataFrame, on: list[str], key: str, start: str, end: str, name: str, at: str, strict: bool, every: bool) -> DataFrame:
+    """(key, name): for each point the smallest interval of equal keys `on` that holds it, or every one.
 
-    A sweep: intervals and points are laid out by key and place, and one pass keeps the intervals that are open, the
-    smallest on top. That is n log n in a key's rows, and holds no more of them than are open at once. `strict` leaves out
-    intervals that begin at the point itself.
+    Intervals and points are laid out by key and place, and one pass keeps the intervals that are open, the smallest on
+    top. That is n log n in a key's rows, and holds no more of them than are open at once.
     """
-    kind = dict(outer.dtypes)[name]
+    kinds = dict(inner.dtypes)[key], dict(outer.dtypes)[name]
     order = (1, 0) if strict else (0, 1)  # whether intervals or points come first at one place
     keyed = reduce(Column.__and__, [F.col(c).isNotNull() for c in on])
-    spans = outer.where(keyed & (F.col(start) < F.col(end))).select(*on, F.col(start).cast("bigint").alias("__at"), F.lit(order[0]).alias("__side"), F.col(end).cast("bigint").alias("__end"), F.col(name).alias("__name"), F.lit(None).cast(dict(inner.dtypes)[key]).alias("__key"))
-    points = inner.where(keyed & F.col(at).isNotNull()).select(*on, F.col(at).cast("bigint").alias("__at"), F.lit(order[1]).alias("__side"), F.lit(None).cast("bigint").alias("__end"), F.lit(None).cast(kind).alias("__name"), F.col(key).alias("__key")).distinct()
+    spans = outer.where(keyed & (F.col(start) < F.col(end))).select(*on, F.col(start).cast("bigint").alias("__at"), F.lit(order[0]).alias("__side"), F.col(end).cast("bigint").alias("__end"), F.col(name).alias("__name"), F.lit(None).cast(kinds[0]).alias("__key"))
+    points = inner.where(keyed & F.col(at).isNotNull()).select(*on, F.col(at).cast("bigint").alias("__at"), F.lit(order[1]).alias("__side"), F.lit(None).cast("bigint").alias("__end"), F.lit(None).cast(kinds[1]).alias("__name"), F.col(key).alias("__key")).distinct()
     laid = spans.unionByName(points).repartition(*on).sortWithinPartitions(*on, "__at", "__side")
-    group = F.xxhash64(*on) if len(on) > 1 else F.col(on[0])
     point = order[1]
 
     def sweep(batches):
-        now, open_ = object(), []
+        now, open_ = None, []
         for b in batches:
             keys, names = [], []
-            for g, p, side, stop, called, k in zip(*(c.to_pylist() for c in b.columns)):
+            for *g, p, side, stop, called, k in zip(*(c.to_pylist() for c in b.columns)):
                 if g != now:
                     now, open_ = g, []
                 if side != point:
@@ -72,13 +70,29 @@ def innermost(inner: DataFrame, outer: DataFrame, on: list[str], key: str, start
                     continue
                 while open_ and open_[0][2] <= p:
                     heapq.heappop(open_)
-                if open_:
+                if every and open_:
+                    open_ = [x for x in open_ if x[2] > p]
+                    heapq.heapify(open_)
+                for x in open_ if every else open_[:1]:
                     keys.append(k)
-                    names.append(open_[0][1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(5).type), pa.array(names, b.schema.field(4).type)], names=["k", "n"])
+                    names.append(x[1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(b.num_columns - 1).type), pa.array(names, b.schema.field(b.num_columns - 2).type)], names=["k", "n"])
+
+    found = laid.select(*on, "__at", "__side", "__end", "__name", "__key").mapInArrow(sweep, f"k {kinds[0]}, n {kinds[1]}")
+    return found.select(F.col("k").alias(key), F.col("n").alias(name))
+
+
+def innermost(inner: DataFrame, outer: DataFrame, on: list[str], key: str, start: str, end: str, name: str, at: str, strict: bool = False) -> DataFrame:
+    """The smallest outer interval of equal keys `on` that holds a point, or null; the least name of equally small ones. Null points are in none.
+
+    `strict` leaves out intervals that begin at the point itself.
+    """
+    return inner.join(_sweep(inner, outer, on, key, start, end, name, at, strict, False), key, "left")
+
 
-    found = laid.select(group.alias("g"), "__at", "__side", "__end", "__name", "__key").mapInArrow(sweep, f"k {dict(inner.dtypes)[key]}, n {kind}")
-    return inner.join(found.select(F.col("k").alias(key), F.col("n").alias(name)), key, "left")
+def containing(inner: DataFrame, outer: DataFrame, on: list[str], key: str, start: str, end: str, name: str, at: str) -> DataFrame:
+    """(key, name) of every outer interval that holds a point: as many rows as there are such pairs."""
+    return _sweep(inner, outer, on, key, start, end, name, at, False, True)
 
 
 def nearest_preceding(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_at: str, take: list[str], tie: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..schemas import TYPES
 from .facts import Tables
+from .resolving import nearest_preceding
 
 #: Fixed value: how many names a value is followed through.
 CHAIN = 4
@@ -41,8 +42,9 @@ def types(t: Tables) -> DataFrame:
     known = cut(declared.union(plain).union(called).union(members))
     # A name stands for the last binding of it before the place, in the same file.
     bound = places.where("kind in ('variable', 'parameter', 'constant')").select("path", F.col("name").alias("wanted"), F.col("name_start").alias("at"), F.col("symbol_id").alias("of"))
-    named = values.where("how = 'name'").join(bound, ["path", "wanted"]).where("at < name_start").groupBy("symbol_id").agg(F.max_by("of", "at").alias("of"))
-    named = cut(named)
+    asked = values.where("how = 'name'").select("symbol_id", "path", "wanted", (F.col("name_start") - 1).alias("before"))
+    named = nearest_preceding(asked, bound, ["path", "wanted"], "before", "at", ["of"], "of").where("prev_of is not null")
+    named = cut(named.select("symbol_id", F.col("prev_of").alias("of")))
     for _ in range(CHAIN):
         new = named.join(known.select("symbol_id"), "symbol_id", "left_anti").join(known.select(F.col("symbol_id").alias("of"), "type", "basis"), "of").select("symbol_id", "type", "basis")
         new = cut(new)

@@ -67,6 +67,9 @@ def _files(spark, d) -> DataFrame:
 def shop(spark, d) -> Workspace:
     key = (spark.sparkContext.applicationId, d)
     if key not in _kept:
+        for old in _kept.values():
+            old.close()
+            old.given.unpersist()
         _kept.clear()
         _kept[key] = Workspace(_files(spark, d).persist())
     return _kept[key]
@@ -394,6 +397,9 @@ def kit(spark, d) -> Workspace:
     """A Python module for each nation; for each region a Terraform module, a subchart, a script, a stylesheet, a server action and a ConfigMap with its reader."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _kits:
+        for old in _kits.values():
+            old.close()
+            old.given.unpersist()
         _kits.clear()
         _kits[key] = Workspace(_kit_files(spark, d).persist())
     return _kits[key]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from .functions.lineage import cut
+from .functions.lineage import cut, importable
 from .operators import calls, edits, facts, graphs, patterns, provenance, recipes, refactorings, references, reports, types
 from .sources import catalogs, workspace
 
@@ -29,6 +30,8 @@ class Workspace:
         self.files = workspace.with_languages(files, only)
         self.catalog_folder, self.store = catalog_folder, store
         self.changed = self.files.limit(0)
+        self.base: Workspace | None = None
+        importable(self.spark)
 
     @classmethod
     def of(cls, spark: SparkSession, files: dict[str, str], **options) -> "Workspace":
@@ -40,20 +43,38 @@ class Workspace:
 
     @cached_property
     def tables(self) -> facts.Tables:
-        return facts.tables(self.files)
+        """Of an edited workspace, only changed files are extracted; their facts lie over those that stay."""
+        if self.base is None:
+            return facts.tables(self.files)
+        fresh = cut(facts.extracted(self.files.join(self.changed, "path", "left_semi")))
+        return facts.tables(self.files, self.base.tables.nested.join(self.changed, "path", "left_anti").unionByName(fresh))
+
+    @cached_property
+    def import_files(self) -> DataFrame:
+        return cut(references.import_files(self.tables))
+
+    @cached_property
+    def resolved_again(self) -> DataFrame:
+        """Of an edited workspace, the references that changed files may affect, resolved."""
+        links = self.base.import_files.union(self.import_files)
+        asked = cut(references.affected(self.base.tables, self.tables, self.changed, links))
+        return cut(references.resolve(replace(self.tables, refs=asked), self.import_files))
 
     @cached_property
     def resolved(self) -> DataFrame:
         """K7: written once to the shared folder, so no verb resolves again; with a store, kept there by workspace key and taken from it by later workspaces of the same files."""
+        if self.base is not None:
+            rest = self.base.resolved.join(self.changed, "path", "left_anti").join(self.resolved_again.select("ref_id"), "ref_id", "left_anti")
+            return cut(rest.unionByName(self.resolved_again))
         if not self.store:
-            return cut(references.resolve(self.tables))
+            return cut(references.resolve(self.tables, self.import_files))
         at = f"{self.store}/resolved-{facts.workspace_key(self.files)}"
         try:
             return self.spark.read.parquet(at)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        references.resolve(self.tables).write.parquet(at)
+        references.resolve(self.tables, self.import_files).write.parquet(at)
         return self.spark.read.parquet(at)
 
     @cached_property
@@ -92,10 +113,10 @@ class Workspace:
         return provenance.module_callers(self.tables)
 
     def visible_scripts(self) -> DataFrame:
-        return provenance.visible_scripts(self.tables, references.import_files(self.tables))
+        return provenance.visible_scripts(self.tables, self.import_files)
 
     def reaches_style(self, origin: str, destination: str) -> bool:
-        return provenance.reaches_style(self.tables, references.import_files(self.tables), origin, destination)
+        return provenance.reaches_style(self.tables, self.import_files, origin, destination)
 
     def first_definition(self, name: str) -> DataFrame:
         return reports.first_definition(self.tables, name)
@@ -218,5 +239,27 @@ class Workspace:
     def apply(self, planned: DataFrame) -> DataFrame:
         return edits.apply(planned, self.files)
 
+    def edited(self, planned: DataFrame) -> "Workspace":
+        """The workspace as the edits leave it; files that refuse theirs stay as they are. Facts and answers that they can't alter are kept."""
+        done = self.apply(planned).where("refused is null and before <> after").select("path", "after")
+        return self.with_texts(done)
+
+    def with_texts(self, changed: DataFrame) -> "Workspace":
+        """The workspace with other texts (path, after) for some of its files."""
+        done = cut(changed)
+        files = self.given.join(done, "path", "left").withColumn("text", F.coalesce("after", "text")).drop("after")
+        out = Workspace(files, self.catalog_folder)
+        out.files = out.files.join(self.files.select("path"), "path", "left_semi")  # languages that were left out stay out
+        out.base, out.changed = self, done.select("path")
+        return out
+
+    def close(self) -> None:
+        """Releases what is held of the texts' facts."""
+        if "tables" in self.__dict__:
+            self.tables.nested.unpersist()
+
+    def verify(self, recipe: str) -> dict:
+        return recipes.verify(self, recipe)
+
     def run(self, recipe: str) -> list[dict]:
         return recipes.run(self, recipe)

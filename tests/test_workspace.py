@@ -357,3 +357,101 @@ def test_path_receivers_and_shared_member_names(spark):
     members = {(r.receiver, r.name, r.kind): at[r.target_id][1] for r in rows if r.language == "typescript" and r.receiver in ("o", "n") and r.target_id}
     assert members == {("o", "name", "field"): "field", ("n", "name", "call"): "method", ("o", "title", "field"): "field"}
     assert {(r.path, at[r.target_id][0]) for r in rows if r.language == "markdown" and r.target_id} >= {("a.md", "a.md")}
+
+
+RECIPE = "requires language python\nrequires symbol lead\nexpect no-new unused\nexpect no-new duplicates\nexpect changed > 0 files\nexpect refusals = 0\nstep drop\n  select symbols\n  where name={0} kind=function\n  {1}\n"
+
+
+def test_recipes_hold_what_they_leave_against_expectations(spark):
+    from codeloom.operators.recipes import RecipeError, read
+
+    w = Workspace.of(spark, {"a.py": "def follow():\n    return 1\n\n\ndef lead():\n    return follow()\n\n\ndef alone():\n    return 2\n"})
+    bad, good = w.verify(RECIPE.format("lead", "delete")), w.verify(RECIPE.format("alone", "delete"))
+    said = lambda out: {r.expectation: (r.actual, r.held) for r in out["expectations"].collect()}
+    assert said(bad) == {"no-new unused": (1, False), "no-new duplicates": (0, True), "changed > 0 files": (1, True), "refusals = 0": (0, True)} and not bad["ok"]
+    assert said(good)["no-new unused"] == (0, True) and good["ok"] and good["changed"].first().path == "a.py"
+    skipped = w.verify(RECIPE.format("follow", "on-refusal skip\n  delete"))
+    assert said(skipped)["refusals = 0"] == (1, False) and said(skipped)["changed > 0 files"] == (0, False)
+    for text in ("expect no-new bugs", "expect changed 3", "expect changed > x", "requires planet mars", "requires language klingon"):
+        with pytest.raises(RecipeError):
+            read(text)
+    with pytest.raises(edits.Refusal):
+        w.run("requires path nowhere/\n" + RECIPE.format("alone", "delete"))
+
+
+def test_facts_of_other_extractors_are_not_served(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "s")
+    rows = spark.createDataFrame([("a.py", "python", "x = 1\n"), ("b.py", "python", "y = 1\n"), ("c.py", "python", "x = 1\n")], incremental.MANIFEST)
+    incremental.index_batch(rows, store)
+    now = incremental.fingerprint()
+    monkeypatch.setattr(incremental, "fingerprint", lambda: "later")
+    assert incremental.stored(spark, store).count() == 0 and incremental.stale(spark, store).count() == 3
+    incremental.index_batch(rows.where("path = 'a.py'"), store, 1)
+    assert {r.path for r in incremental.stored(spark, store).collect()} == {"a.py", "c.py"} and [r.path for r in incremental.stale(spark, store).collect()] == ["b.py"]
+    incremental.index_batch(spark.createDataFrame([("a.py", "python", "old = 1\n")], incremental.MANIFEST), store, 0)  # comes late
+    incremental.index_batch(rows, store, 2)
+    incremental.compact(spark, store)
+    assert {r.version for r in spark.read.parquet(f"{store}/facts").select("version").distinct().collect()} == {"later"} and now != "later"
+    assert {(r.path, r.symbols[0].name) for r in incremental.stored(spark, store).collect()} == {("a.py", "x"), ("b.py", "y"), ("c.py", "x")}
+    incremental.index_batch(rows, store, 3)
+    assert spark.read.parquet(f"{store}/facts").count() == 3
+
+
+def test_schemas_of_script_types_close_over_references(spark):
+    import json
+
+    from codeloom.operators.api import script_schemas
+
+    w = Workspace.of(spark, {
+        "types.ts": "export interface Pet {\n  id: number;\n  name?: string;\n  mother: Pet | null;\n  tags: Tag[];\n  kind: 'cat' | 'dog';\n  owner: Owner;\n}\nexport interface Tag {\n  text: string\n  count: Record<string, number>\n}\nexport interface Unused {\n  x: Owner;\n}\n",
+        "people.ts": "export interface Owner {\n  pets: Array<Pet>;\n  born: Date;\n  note: string | undefined;\n  odd: Elsewhere;\n}\n",
+        "app/api/pets/route.ts": "import { Pet } from '../../../types';\nexport async function POST(req: Request) {\n  const body: Pet = await req.json();\n  return body;\n}\n",
+    })
+    out = {r.name: json.loads(r.json) for r in script_schemas(w.tables, w.resolved).collect()}
+    pet = {"$ref": "#/components/schemas/Pet"}
+    assert set(out) == {"Pet", "Tag", "Owner"}
+    assert out["Pet"] == {"type": "object", "properties": {"id": {"type": "number"}, "name": {"type": "string"}, "mother": {"anyOf": [pet, {"type": "null"}]}, "tags": {"type": "array", "items": {"$ref": "#/components/schemas/Tag"}}, "kind": {"type": "string", "enum": ["cat", "dog"]}, "owner": {"$ref": "#/components/schemas/Owner"}}, "required": ["id", "mother", "tags", "kind", "owner"]}
+    assert out["Tag"]["properties"] == {"text": {"type": "string"}, "count": {"type": "object", "additionalProperties": {"type": "number"}}}
+    assert out["Owner"] == {"type": "object", "properties": {"pets": {"type": "array", "items": pet}, "born": {"type": "string", "format": "date-time"}, "note": {"type": "string"}, "odd": {}}, "required": ["pets", "born", "odd"]}
+
+
+CHANGES = {
+    "renamed definition": ("shop/util.py", "def clamp(", "def squeeze("),
+    "new definition of a known name": ("app.py", "def main():", "def total():\n    pass\n\n\ndef main():"),
+    "shifted places": ("shop/core.py", "import os\n", "import os\n\nX = 1\n"),
+    "other import": ("web/cart.ts", "import { add as plus } from './sum';\n", ""),
+    "other heading": ("docs/guide.md", "# Big Guide", "# Small Guide"),
+    "barrel": ("shop/__init__.py", "total as price", "settings as price"),
+    "other key": ("chart/values.yaml", "mode: fast", "mood: fast"),
+    "variable": ("infra/main.tf", 'variable "zone"', 'variable "place"'),
+}
+
+
+def test_edited_workspaces_resolve_as_whole_ones_do(spark):
+    """Facts and answers after each kind of change, against a run over all files; what is resolved again is counted."""
+    from codeloom.plans.sample import FILES
+
+    now, files = Workspace.of(spark, FILES), dict(FILES)
+    total = now.resolved.count()
+    say = lambda w: sorted(map(repr, w.resolved.select(sorted(w.resolved.columns)).collect()))
+    again = []
+    for names in (["shifted places", "other key", "other import"], [n for n in CHANGES if n not in ("shifted places", "other key", "other import")]):
+        for name in names:
+            path, old, new = CHANGES[name]
+            assert old in files[path], name
+            files[path] = files[path].replace(old, new)
+        done = spark.createDataFrame([(CHANGES[n][0], files[CHANGES[n][0]]) for n in names], "path string, after string")
+        now = now.with_texts(done)
+        again.append(now.resolved_again.count())
+        whole = Workspace.of(spark, files)
+        assert say(now) == say(whole), names
+        assert sorted(r.symbol_id for r in now.tables.symbols.collect()) == sorted(r.symbol_id for r in whole.tables.symbols.collect())
+    assert again[0] < total
+
+
+def test_flows_hold_every_reference_of_an_initialiser(spark):
+    from codeloom.operators.resolving import containing
+
+    outer = spark.createDataFrame([("f", "a", 0, 10), ("f", "b", 2, 5), ("f", "c", 4, 9), ("g", "d", 0, 3)], "path string, name string, s int, e int")
+    inner = spark.createDataFrame([(1, "f", 4), (2, "f", 9), (3, "f", 10), (4, "g", 2), (5, "h", 1)], "id int, path string, at int")
+    assert sorted(tuple(r) for r in containing(inner, outer, ["path"], "id", "s", "e", "name", "at").collect()) == [(1, "a"), (1, "b"), (1, "c"), (2, "a"), (4, "d")]
