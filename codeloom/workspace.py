@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 from functools import cached_property
 
@@ -146,13 +147,34 @@ class Workspace:
         return refactorings.remove_flag(self, flag, value)
 
     def target(self, name: str) -> DataFrame:
-        """Q24: symbols of a name, or NotFound with the three nearest names."""
-        hit = self.tables.symbols.where((F.col("name") == name) | (F.col("qualified_name") == name))
+        """Q24: symbols of a name or at path:line:column (from 1), or NotFound with the three nearest names."""
+        if place := re.fullmatch(r"(.+):(\d+):(\d+)", name):
+            hit = self.at(place[1], int(place[2]), int(place[3]))
+        else:
+            hit = self.tables.symbols.where((F.col("name") == name) | (F.col("qualified_name") == name))
         if hit.isEmpty():
             near = self.tables.symbols.select("name").distinct().select("name", F.levenshtein("name", F.lit(name)).alias("d")).orderBy("d", "name").limit(3).collect()
             raise NotFound(name, [r["name"] for r in near])
         return hit
 
+    def at(self, path: str, line: int, column: int) -> DataFrame:
+        """The symbol defined or referred to at a place, lines and characters counted from 1."""
+        rows = F.split("text", "\n")
+        before = F.aggregate(F.slice(rows, 1, line - 1), F.lit(0), lambda n, x: n + F.octet_length(x) + 1) if line > 1 else F.lit(0)
+        found = self.files.where(F.col("path") == path).select((before + F.octet_length(F.substring(F.get(rows, F.lit(line - 1)), 1, column - 1))).alias("offset")).first()
+        if found is None or found["offset"] is None:
+            return self.tables.symbols.limit(0)
+        return reports.definition_at(self.tables, self.resolved, path, found["offset"])
+
+    def candidates(self, name: str) -> DataFrame:
+        """Q24: what a name may mean, as places to choose from: (place, kind, qualified_name, language), one row for each entity."""
+        hit = references.with_entities(self.tables.symbols).join(self.target(name).select("symbol_id"), "symbol_id", "left_semi")
+        first = hit.groupBy("entity").agg(F.min(F.struct("path", "name_start", "kind", "qualified_name", "language")).alias("b")).select("b.*")
+        upto = F.decode(F.expr("substring(cast(text as binary), 1, int(name_start))"), "utf-8")
+        placed = first.join(self.files.select("path", "text"), "path").withColumn("head", upto)
+        line, column = F.size(F.split("head", "\n")), F.length(F.substring_index("head", "\n", -1)) + 1
+        return placed.select(F.concat_ws(":", "path", line, column).alias("place"), "kind", "qualified_name", "language")
+
     def symbols(self, name: str | None = None, kind: str | None = None, roots: list[str] | None = None) -> DataFrame:
         from .functions.scalars import under
 

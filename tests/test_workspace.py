@@ -455,3 +455,13 @@ def test_flows_hold_every_reference_of_an_initialiser(spark):
     outer = spark.createDataFrame([("f", "a", 0, 10), ("f", "b", 2, 5), ("f", "c", 4, 9), ("g", "d", 0, 3)], "path string, name string, s int, e int")
     inner = spark.createDataFrame([(1, "f", 4), (2, "f", 9), (3, "f", 10), (4, "g", 2), (5, "h", 1)], "id int, path string, at int")
     assert sorted(tuple(r) for r in containing(inner, outer, ["path"], "id", "s", "e", "name", "at").collect()) == [(1, "a"), (1, "b"), (1, "c"), (2, "a"), (4, "d")]
+
+
+def test_targets_by_place_and_candidates(spark):
+    w = Workspace.of(spark, {"a.py": "# ñ\ndef one():\n    ñ = two(); return ñ\n\n\ndef two():\n    return 1\n", "b.py": "def two():\n    return 2\n"})
+    name = lambda place: w.target(place).first().qualified_name
+    assert name("a.py:2:5") == "one" and name("a.py:3:9") == "two" and name("a.py:3:23") == "ñ"
+    assert {(r.place, r.kind) for r in w.candidates("two").collect()} == {("a.py:6:5", "function"), ("b.py:1:5", "function")}
+    for nowhere in ("a.py:99:1", "none.py:1:1", "a.py:1:1"):
+        with pytest.raises(NotFound):
+            w.target(nowhere)
