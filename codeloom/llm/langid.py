@@ -61,20 +61,25 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 12) -> np.ndarray:
-    """Weights, the bias last, by dual coordinate descent on squared hinge loss; y is 1 or -1. Classes weigh alike."""
-    x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
-    w, a = np.zeros(x.shape[1]), np.zeros(len(x))
+def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 12, rows: np.ndarray | None = None) -> np.ndarray:
+    """Weights, the bias last, by dual coordinate descent on squared hinge loss; y is 1 or -1. Classes weigh alike.
+
+    rows: those of x that y is for. x is read where it lies; no copy of it is made, since the driver holds it.
+    """
+    at = np.arange(len(x)) if rows is None else np.asarray(rows)
+    w, bias, a = np.zeros(x.shape[1]), 0.0, np.zeros(len(at))
     share = np.where(y > 0, (y > 0).mean(), (y < 0).mean())
-    q, soft = (x * x).sum(1), share / cost
+    q, soft = np.array([float(x[i].astype(np.float64) @ x[i]) + 1 for i in at]), share / cost
     rng = np.random.default_rng(3)
     for _ in range(rounds):
-        for i in rng.permutation(len(x)):
-            step = max(a[i] - (y[i] * (x[i] @ w) - 1 + soft[i] * a[i]) / (q[i] + soft[i]), 0.0) - a[i]
+        for i in rng.permutation(len(at)):
+            row = x[at[i]].astype(np.float64)
+            step = max(a[i] - (y[i] * (row @ w + bias) - 1 + soft[i] * a[i]) / (q[i] + soft[i]), 0.0) - a[i]
             if step:
                 a[i] += step
-                w += step * y[i] * x[i]
-    return w
+                w += step * y[i] * row
+                bias += step * y[i]
+    return np.append(w, bias)
 
 
 class Model:
@@ -90,8 +95,8 @@ class Model:
         self.pair_w = {}
         for members in self.members.values():
             for a, b in combinations(members, 2):
-                rows = (names == a) | (names == b)
-                self.pair_w[a, b] = linear_svm(x[rows], np.where(names[rows] == a, 1, -1))
+                rows = np.flatnonzero((names == a) | (names == b))
+                self.pair_w[a, b] = linear_svm(x, np.where(names[rows] == a, 1, -1), rows=rows)
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         x = np.append(x, 1.0)
@@ -147,7 +152,10 @@ def train(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: s
             kept.append(r)
     if not kept:
         return None
-    return Model(np.stack([np.frombuffer(r["x"], np.float32) for r in kept]), [r["lang"] for r in kept])
+    langs = [r["lang"] for r in kept]
+    x = np.frombuffer(b"".join(r["x"] for r in kept), np.float32).reshape(len(kept), -1)
+    del found, kept
+    return Model(x, langs)
 
 
 _OUT = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
