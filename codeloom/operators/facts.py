@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import extractors
+from ..functions.lineage import cut
 from ..functions.extractors import EXTRACTORS, extract
 from ..schemas import FACTS
 
@@ -62,7 +63,9 @@ def tables(files: DataFrame, nested: DataFrame | None = None) -> Tables:
 
     symbols = each("symbols").withColumn("symbol_id", place("path", "name_start")).withColumn("container_id", F.when(F.col("container").isNotNull(), place("path", "container"))).drop("container")
     symbols = symbols.withColumn("qualified_name", F.when(F.col("qualifier").isNull(), F.col("name")).otherwise(F.concat_ws("::", "qualifier", "name")))
+    symbols = cut(symbols)  # symbols and references are what every plan joins: written once, they are a leaf of each
     refs = each("refs").withColumn("ref_id", place("path", "start")).withColumn("enclosing_id", F.when(F.col("enclosing").isNotNull(), place("path", "enclosing"))).drop("enclosing")
+    refs = cut(refs)
     scopes = each("scopes")
     imports = nested.select("path", "language", F.explode("imports").alias("x")).select("path", "language", "x.*")
     named = imports.select("path", "language", "import_pos", "module", F.explode("names").alias("n")).select("path", "language", "import_pos", "module", F.col("n.original").alias("original"), F.col("n.local").alias("name"))
