@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from codeloom.plans import catalog
 
 #: Checked by the driver at a larger size; here a few of each kind, to keep the suite short.
-NAMES = ["f05_qualified_name_with_fallback", "f16_entry_rules", "f23_whole_word_mentions", "f24_first_reason", "j02_prioritized_cascade", "j04_innermost_interval", "j10_longest_suffix_folder", "j22_division", "j23_declarations_and_readers", "j25_nearest_preceding", "a09_clone_classes", "w04_competition", "w08_overlapping_spans", "w09_contiguous_runs", "g04_bounded_walk", "g06_taint", "g10_components", "n02_anchor_slug", "p02_line_and_column", "q02_stats", "x05_html_facts", "q11_unused", "q08_call_graph"]
+NAMES = ["f05_qualified_name_with_fallback", "f16_entry_rules", "f23_whole_word_mentions", "f24_first_reason", "j02_prioritized_cascade", "j04_innermost_interval", "j10_longest_suffix_folder", "j22_division", "j23_declarations_and_readers", "j25_nearest_preceding", "a09_clone_classes", "w04_competition", "w08_overlapping_spans", "w09_contiguous_runs", "g04_bounded_walk", "g06_taint", "g10_components", "n02_anchor_slug", "p02_line_and_column", "q02_stats", "x05_html_facts", "q11_unused", "q08_call_graph", "j22_go_interfaces", "j21_dispatch_targets", "e05_attribute_family", "q12_clone_cover", "q15_forward_chain"]
 
 
 @pytest.mark.parametrize("name", NAMES)
