@@ -34,6 +34,7 @@ def _files(spark, d) -> DataFrame:
     k = F.col("p_partkey")
     part = t(spark, d, "part").select(k.alias("k"), "p_name", "p_size", number.alias("b"), F.concat(F.lit("m"), F.col("p_size"), F.lit("_"), F.expr("p_partkey div 2000")).alias("m"), F.concat(F.when(k % 8 == 1, "_make_").otherwise("make_"), k).alias("fn"))
     ahead = part.select((F.col("k") - 1).alias("k"), F.col("b").alias("nb"), F.col("m").alias("nm"), F.col("fn").alias("nfn")).where("k % 4 <> 0")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), t(spark, d, "part").count() // 20_000 + 1)  # a task's share of the files doesn't grow with the table
     part = part.join(ahead, "k", "left")
     lines = lambda *cs: F.concat(*[F.lit(c) if isinstance(c, str) else c for c in cs])
     c = F.col
@@ -41,7 +42,7 @@ def _files(spark, d) -> DataFrame:
     body = lines("\n\ndef ", c("fn"), '(x):\n    """Part ', c("p_name"), '."""\n    y = x\n', env, "    return ", F.when(c("nfn").isNull(), "y").otherwise(lines(c("nfn"), "(y)")), "\n")
     far = F.when(c("nfn").isNotNull() & ((c("nb") != c("b")) | (c("nm") != c("m"))), lines("from parts.b", c("nb"), ".", c("nm"), " import ", c("nfn"), "\n"))
     joined = lambda x: F.array_join(x, "")
-    modules = part.groupBy("b", "m").agg(F.sort_array(F.collect_set(far)).alias("imports"), F.sort_array(F.collect_list(F.struct("k", body.alias("body")))).alias("bodies"))
+    modules = part.repartition(tasks, "b", "m").groupBy("b", "m").agg(F.sort_array(F.collect_set(far)).alias("imports"), F.sort_array(F.collect_list(F.struct("k", body.alias("body")))).alias("bodies"))
     modules = modules.select(lines("parts/b", c("b"), "/", c("m"), ".py").alias("path"), lines(joined("imports"), joined(F.col("bodies.body"))).alias("text"))
     brands = part.groupBy("b").agg(F.min_by(F.struct("m", "fn"), "k").alias("first"))
     util = brands.select(lines("parts/b", c("b"), "/util.py"), F.lit("def shared(x):\n    return x\n"))
@@ -60,7 +61,7 @@ def _files(spark, d) -> DataFrame:
     sizes = sizes.select(F.lit("deploy/sizes.yaml"), lines("env:\n", joined(F.transform("sizes", lambda s: lines("  - name: SIZE_", s, "\n    value: s", s, "\n")))))
     out = modules
     for x in (util, tests, geo, keys, infra, given, sizes):
-        out = out.union(x)
+        out = out.union(x.coalesce(1))  # a few rows, one for each brand or region
     return out
 
 

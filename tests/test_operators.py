@@ -139,3 +139,37 @@ def test_positions_and_names():
     assert P.full_line_span("ab\ncd\nef", 4, 5) == (3, 6) and P.reindent("  a\n    b", "\t") == "\ta\n\t  b"
     assert P.relative_link("docs/a.md", "docs/b.md") == "./b.md" and P.relative_link("a/b/c.md", "x.md") == "../../x.md"
     assert (P.snake("HTTPServerName"), P.pascal("a_b-c"), P.suggest_name("order.getTotal(x)")) == ("http_server_name", "ABC", "total")
+
+
+def _largest_share(df):
+    counts = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(counts) / sum(counts)
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Joins as of large tables, whose rows are dealt by key."""
+    put = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in put}
+    for k, v in put.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_files_without_a_chart_are_not_dealt_to_one_task(spark, shuffled):
+    from codeloom.sources import workspace
+
+    files = spark.range(400).selectExpr("concat('a/m', id, '.py') as path", "'x = 1' as text").repartition(4)
+    files = files.union(spark.createDataFrame([("c/Chart.yaml", ""), ("c/templates/a.yaml", ""), ("d/templates/a.yaml", "")], "path string, text string"))
+    out = workspace.with_languages(files)
+    assert _largest_share(out) < 0.5
+    assert {r["path"]: r["language"] for r in out.where("language <> 'python'").collect()} == {"c/Chart.yaml": "yaml", "c/templates/a.yaml": "helm", "d/templates/a.yaml": "yaml"}
+
+
+def test_rows_without_a_key_are_not_dealt_to_one_task(spark, shuffled):
+    rows = spark.range(400).selectExpr("cast(id as string) as ref_id", "if(id < 5, cast(id as string), null) as k")
+    out = R.with_key(rows, "k", spark.createDataFrame([("1", 10), ("7", 70)], "k string, v int"), "ref_id")
+    assert _largest_share(out) < 0.5 and out.count() == 400
+    assert [(r["k"], r["v"]) for r in out.where("v is not null").collect()] == [("1", 10)]
