@@ -150,22 +150,48 @@ def unpacked(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z)
 
 
+def _roots(up: DataFrame) -> DataFrame:
+    """(node, root, moved) of (node, root) where roots may be nodes again: each goes on to the last, twice as far every time."""
+    while True:
+        ahead = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        after = stash(up.select("node", "root").join(ahead, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "roots")
+        drop_stash(up)
+        up = after
+        if up.where("moved").isEmpty():
+            return up
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node in links (u, v): the smallest node that can be reached.
 
-    Labels fall to the least label among neighbours and then to that label's own label, so long chains shrink fast. Every round aggregates before it shuffles and is written to the shared folder.
+    Each round, a node goes to its least neighbour, if that is less, and on from there to one that has no lesser neighbour. Links are then drawn anew between those, and links within one go, so that rounds don't read all links again. Two rounds halve the nodes at least. Every round aggregates before it shuffles and is written to the shared folder.
     """
-    both = stash(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "links")
-    labels = stash(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).select("node", F.least("node", "low").alias("component")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("low"))
-        fell = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("mid"))
-        up = labels.select(F.col("node").alias("mid"), F.col("component").alias("top"))
-        after = stash(fell.join(up, "mid", "left").select("node", "old", F.least("mid", "top").alias("component")), "labels")
-        moved = not after.where("old <> component").isEmpty()
+
+    def drawn(df: DataFrame) -> DataFrame:
+        return stash(df.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+
+    left, levels = drawn(links), []
+    while not left.isEmpty():
+        if len(levels) == rounds:
+            raise RuntimeError("components did not settle")
+        roots = _roots(left.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root")))
+        levels.append(roots)
+        ru, rv = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("u", "v"))
+        after = drawn(left.join(ru, "u", "left").join(rv, "v").select(F.coalesce("ru", "u").alias("u"), F.col("rv").alias("v")))
+        drop_stash(left)
+        left = after
+    if not levels:
+        return left.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    drop_stash(left)
+    # A node went at one level only, to one that went at a later level or at none.
+    labels = levels.pop()
+    while levels:
+        lower, ahead = levels.pop(), labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        after = stash(lower.select("node", "root").join(ahead, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(labels.select("node", "root")), "labels")
+        drop_stash(lower)
         drop_stash(labels)
         labels = after
-        if not moved:
-            drop_stash(both)
-            return labels.select("node", "component")
-    raise RuntimeError("components did not settle")
+    own = labels.select("root").distinct()
+    out = stash(labels.select("node", F.col("root").alias("component")).union(own.select("root", "root")), "labels")
+    drop_stash(labels)
+    return out

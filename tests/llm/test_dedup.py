@@ -130,6 +130,34 @@ def test_components_of_chains(spark):
     assert all(out[i] == 0 for i in range(61)) and out[101] == 100
 
 
+def join_rows(spark):
+    """Rows that all joins of the session have made so far."""
+    store, out = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        metrics = [n.metrics() for n in map(nodes.apply, range(nodes.size())) if "Join" in n.name()]
+        ids = [m.accumulatorId() for ms in metrics for m in map(ms.apply, range(ms.size())) if m.name() == "number of output rows"]
+        out += sum(int(values.get(i).get().replace(",", "")) for i in ids if values.get(i).isDefined())
+    return out
+
+
+def test_components_of_a_shuffled_chain(spark):
+    order = list(range(500))
+    random.Random(3).shuffle(order)
+    out = components(spark.createDataFrame(list(zip(order, order[1:])), "u bigint, v bigint")).collect()
+    assert sorted((r.node, r.component) for r in out) == [(i, 0) for i in range(500)]
+
+
+def test_components_join_links_once(spark):
+    rng = random.Random(3)
+    links = {(10_000 + i, rng.randrange(30)) for i in range(2000) for _ in range(6)}
+    df, before = spark.createDataFrame(sorted(links), "u bigint, v bigint"), join_rows(spark)
+    out = {r.node: r.component for r in components(df).collect()}
+    assert set(out.values()) == {0} and len(out) == len({x for link in links for x in link})
+    assert join_rows(spark) - before < 3 * len(links)
+
+
 def brute_suffix(texts, length):
     count = Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
     out = []
