@@ -20,7 +20,8 @@ SPACE = " \t\n\x0b\x0c\r"
 BATCH_BYTES = "8m"
 
 _own: list[str] = []
-_stashed: list[DataFrame] = []
+#: For each stashed_alone() that runs, the paths stashed in it. No DataFrame is kept here: each holds the names of its files in the driver.
+_made: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,27 +74,39 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path, compression="zstd")
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
-    _stashed.append(out)
+    if _made:
+        _made[-1].append(path)
     return out
 
 
 def stashed_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """stash(make()), and then deletes every other table that make() stashed: what it gave is whole on disk."""
-    before = len(_stashed)
-    out = stash(make(), name)
-    for df in _stashed[before:]:
-        if df is not out:
-            drop_stash(df)
+    _made.append([])
+    try:
+        out = stash(make(), name)
+    finally:
+        paths = _made.pop()
+    for path in paths:
+        if path != out._stash_path:
+            _delete(out.sparkSession, path)
+    if _made:
+        _made[-1].append(out._stash_path)
     return out
 
 
 def drop_stash(df: DataFrame) -> None:
     """Deletes a stashed table that nothing reads any more."""
     if path := getattr(df, "_stash_path", None):
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+        _delete(df.sparkSession, path)
         df._stash_path = None
+        for paths in _made:
+            if path in paths:
+                paths.remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def task_id() -> int:

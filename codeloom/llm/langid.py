@@ -7,7 +7,7 @@ squared hinge loss.
 
 Training reads a bounded sample of the rows that `learn` marks: at most `per_language` documents of a language (500) and
 about `sample` documents in all (3000), those of least hash of the id. All documents are predicted. Only the sample's
-features, 16 KB a document, come to the driver. Weights take 32 KB for each family and for each pair inside one, so more
+features come to the driver, compressed; there they take 16 KB a document. Weights take 32 KB for each family and for each pair inside one, so more
 than `most_languages` different labels (1000, several times the codes in use) are refused with their number: such a
 column doesn't hold languages.
 
@@ -18,14 +18,16 @@ get equal predictions; an empty table gives an empty result; ids may be null; ot
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, emitter, rows_of
+from .common import bounded_batches, emitter, rows_of, unpacked
 
 SIZE = 4096
 #: Families of common languages by ISO 639-1 code. A code that is not here is a family of its own.
@@ -140,20 +142,24 @@ def train(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: s
     near = rows.join(F.broadcast(bounds), "lang").where("h <= most").select("lang", "text", "h")  # one row a language
 
     def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            got = [(v, h, features(t).tobytes()) for v, t, h in rows_of([b]) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], names=["lang", "h", "x"])
-
-    found = near.mapInArrow(run, "lang string, h bigint, x binary").collect()
-    kept, seen = [], {}
-    for r in sorted(found, key=lambda r: (r["lang"], r["h"], r["x"])):
-        seen[r["lang"]] = seen.get(r["lang"], 0) + 1
-        if seen[r["lang"]] <= per_language:
-            kept.append(r)
+            got = [(v, h, squeeze(features(t).tobytes())) for v, t, h in rows_of([b]) if has_letter(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], names=["lang", "h", "z"])
+
+    found = near.mapInArrow(run, "lang string, h bigint, z binary").collect()
+    kept, seen, place = [], {}, itemgetter("lang", "h")
+    for _, tied in groupby(sorted(found, key=place), place):
+        for r in sorted(tied, key=lambda r: unpacked(r["z"])):
+            seen[r["lang"]] = seen.get(r["lang"], 0) + 1
+            if seen[r["lang"]] <= per_language:
+                kept.append(r)
     if not kept:
         return None
     langs = [r["lang"] for r in kept]
-    x = np.frombuffer(b"".join(r["x"] for r in kept), np.float32).reshape(len(kept), -1)
+    x = np.empty((len(kept), SIZE), np.float32)
+    for i, r in enumerate(kept):
+        x[i] = np.frombuffer(unpacked(r["z"]), np.float32)
     del found, kept
     return Model(x, langs)
 

@@ -1,11 +1,14 @@
+import gc
 import hashlib
+import os
 import random
 import re
+import weakref
 from collections import Counter, defaultdict
 
 import pytest
 
-from codeloom.llm.common import components
+from codeloom.llm.common import components, drop_stash, stash, stashed_alone
 from codeloom.llm.exact_dedup import Filter, Run, drop_copies, exact_dedup
 from codeloom.llm.minhash_dedup import Scheme, drop_near_copies, near_dedup, shingles
 from codeloom.llm.suffix_dedup import covered, parse, remove_repeats, repeated_windows, suffix_dedup
@@ -239,3 +242,28 @@ def test_near_loses_no_link_on_the_driver_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     out = near_dedup(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), shingle=2).collect()
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in out) == brute_near(rows, 2)
+
+
+def test_stashed_tables_are_not_held(spark):
+    def held():
+        df = stash(spark.range(3), "held")
+        return weakref.ref(df), df._stash_path.removeprefix("file://")
+
+    gone, path = held()
+    gc.collect()
+    assert gone() is None and os.path.isdir(path)
+    paths = []
+
+    def inner():
+        paths.append(held()[1])
+        drop_stash(dropped := stash(spark.range(2), "dropped"))
+        assert dropped._stash_path is None
+        return spark.range(4)
+
+    def outer():
+        out = stashed_alone(inner, "inner")
+        paths.append(out._stash_path.removeprefix("file://"))
+        return out
+
+    out = stashed_alone(outer, "outer")
+    assert out.count() == 4 and not any(map(os.path.exists, paths)) and os.path.isdir(path)
